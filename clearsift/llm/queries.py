@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import find_contamination
+from .html_extraction import extract_pages
 from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
+from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity
 from .weak_quality import classify_quality
 
@@ -30,6 +32,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
