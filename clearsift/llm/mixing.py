@@ -57,7 +57,7 @@ def mix_sources(
     A source's complete epochs take each document once; the rest of its budget goes to documents in the order of
     -ln(u) / quality (Efraimidis and Spirakis), u a uniform number from the seed and the document's id, until the
     prefix sum of sizes reaches it: a document is taken if at least half of it fits. Returns doc_id, size (words),
-    source_size, target, taken, source and quality; a document is taken at most `most_epochs` times.
+    source_size, target, taken, source, quality and copies (how often it is taken); a document is taken at most `most_epochs` times.
 
     A null text has no words, and a document without words takes none. A null source is a source of its own.
     Documents with equal ids get equal keys and lie side by side in the order. An empty table gives an empty
@@ -85,13 +85,30 @@ def mix_sources(
         .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
         .select("d.doc_id", "d.source", "d.size", "d.quality", "d.before", "p.source_size", "p.target", "p.start")
         .withColumn("epochs", epochs)
+        .withColumn("copies", F.col("epochs") + F.when(half_fits, F.lit(1)).otherwise(F.lit(0)))
         .select(
             "doc_id",
             "size",
             "source_size",
             "target",
-            (F.col("epochs") * F.col("size") + F.when(half_fits, F.col("size")).otherwise(F.lit(0))).alias("taken"),
+            (F.col("copies") * F.col("size")).alias("taken"),
             "source",
             "quality",
+            "copies",
         )
     )
+
+
+def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+    """The mix itself: every document as often as mix_sources takes it, with the columns it had.
+
+    A document that is not taken is absent, one taken twice is there twice. Rows with equal id, source and size get
+    the same number of copies, the largest of theirs.
+    """
+    size = F.size(words(F.col("text"))).cast("long")
+    plan = mix_sources(docs, **params).groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    plan = durable(plan, "mix-copies").alias("p")
+    d = docs.withColumn("_mix_size", size).alias("d")
+    same = [F.col(f"d.{a}").eqNullSafe(F.col(f"p.{b}")) for a, b in (("doc_id", "doc_id"), ("source", "source"), ("_mix_size", "size"))]
+    joined = d.join(plan, same[0] & same[1] & same[2])
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("_mix_copy")).drop("_mix_copy")
