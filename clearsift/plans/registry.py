@@ -1,10 +1,6 @@
 """All queries of the library by name, with the SQL that checks them."""
 
-from __future__ import annotations
+from clearsift.plans import fixture_queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = dict(fixture_queries.QUERIES)
+ORACLE_SQL = dict(fixture_queries.ORACLE_SQL)
