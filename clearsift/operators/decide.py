@@ -92,28 +92,6 @@ def decide(candidates: DataFrame, features: DataFrame, docs: DataFrame, profile_
     )
 
 
-def merge_features(rules: DataFrame, model: DataFrame, model_ok: DataFrame) -> DataFrame:
-    """Joins rule features and model features by id and settles their confidence.
-
-    rules: doc_id, feature_id, n_strong, evidence. model: doc_id, feature_id, evidence. model_ok: doc_id, ok. With
-    both sources a feature is high; with rules alone it is high from two strong matches on, medium for one, and weak
-    ones stay, as medium, only if the model failed; with the model alone it is medium.
-    """
-    from clearsift.functions.arrays import merge_evidence
-
-    empty = F.array().cast("array<string>")
-    a = rules.select("doc_id", "feature_id", "n_strong", F.col("evidence").alias("rule_evidence"))
-    b = model.select("doc_id", "feature_id", F.col("evidence").alias("model_evidence"))
-    both = a.join(b, ["doc_id", "feature_id"], "full").join(model_ok, "doc_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    by_rule, by_model = F.col("rule_evidence").isNotNull(), F.col("model_evidence").isNotNull() & F.col("ok")
-    confidence = (
-        F.when(by_rule & by_model, "tinggi").when(by_rule & (F.col("n_strong") >= 2), "tinggi").when(by_rule & (F.col("n_strong") == 1), "sedang")
-        .when(by_rule & ~F.col("ok"), "sedang").when(by_model, "sedang")
-    )
-    merged = merge_evidence(F.coalesce("rule_evidence", empty), F.when(by_model, F.col("model_evidence")).otherwise(empty))
-    return both.select("doc_id", "feature_id", merged.alias("evidence"), confidence.alias("confidence")).filter("confidence IS NOT NULL")
-
-
 def claim_cascade(docs: DataFrame) -> DataFrame:
     """The claim from the first source that has one: model, evidence, best sentence (4.0 points if the model's was rejected, else 3.0)."""
     least = F.when(F.col("model_rejected"), F.lit(4.0)).otherwise(F.lit(3.0))
