@@ -1,0 +1,121 @@
+"""SQL for DuckDB that gives the same rows as the queries of this subpackage, where SQL can."""
+
+from __future__ import annotations
+
+from .quality_rules import FENCES
+
+_W = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+_WORDS = _W.format("coalesce(text, '')")
+
+# Sources in code-point order weigh 3, 1, 2; the level of the budgets is where the capped sum meets the target.
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols,
+    (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+e AS (SELECT doc_id, source, size, greatest(0.05, 1.0 - symbols / greatest(size, 1)) AS quality, u FROM d),
+k AS (SELECT *, -ln(u) / quality AS key FROM e),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2.0 * source_size AS cap FROM s),
+t AS (SELECT *, 1.5 * sum(source_size) OVER () AS budget, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS remaining FROM w),
+f AS (SELECT *, cap <= weight * (budget - before) / remaining AS filled FROM t),
+g AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE weight * (budget - coalesce(sum(cap) FILTER (WHERE filled) OVER (), 0)) / sum(weight) FILTER (WHERE NOT filled) OVER () END AS target FROM f),
+p AS (SELECT k.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM p),
+r AS (SELECT *, epochs + CASE WHEN epochs < 2 AND 2 * start + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END AS copies FROM q)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, quality, copies FROM r
+"""
+
+_BUCKET = "CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) + 64 * (length(bin(v)) - 7) END"
+_FLOOR = "CASE WHEN {0} < 128 THEN {0} ELSE ({0} - 64 * ({0} // 64 - 1)) << ({0} // 64 - 1) END"
+
+
+def _bounds() -> str:
+    parts = []
+    for f in FENCES:
+        spread = f"greatest(q3 - q1, {f.least})"
+        parts.append(f"max(CASE WHEN metric = '{f.metric}' THEN q3 + {f.reach} * {spread} END) AS hi_{f.metric}")
+        if f.two_sided:
+            parts.append(f"max(CASE WHEN metric = '{f.metric}' THEN q1 - {f.reach} * {spread} END) AS lo_{f.metric}")
+    return ", ".join(parts)
+
+
+_INSIDE = " AND ".join(f"coalesce({f.metric} <= hi_{f.metric}, true)" + (f" AND coalesce({f.metric} >= lo_{f.metric}, true)" if f.two_sided else "") for f in FENCES)
+_LONG = " UNION ALL ".join(f"SELECT lang, source, '{f.metric}' AS metric, {f.metric} AS v FROM m WHERE NOT base_failed AND {f.metric} IS NOT NULL" for f in FENCES)
+
+
+def _quartiles(name: str, by: str) -> str:
+    keys = f"{by}, " if by else ""
+    return f"""{name}0 AS (SELECT {keys}metric, b, sum(n) AS n FROM sk GROUP BY {keys}metric, b),
+{name}1 AS (SELECT *, sum(n) OVER (PARTITION BY {keys}metric ORDER BY b) AS seen, sum(n) OVER (PARTITION BY {keys}metric) AS total FROM {name}0),
+{name}2 AS (SELECT {keys}metric, max(total) AS n, min(b) FILTER (WHERE 4 * seen >= total) AS b1, min(b) FILTER (WHERE 4 * seen >= 3 * total) AS b3 FROM {name}1 GROUP BY {keys}metric),
+{name} AS (SELECT {keys}metric, n, {_FLOOR.format('b1')} AS q1, {_FLOOR.format('b3')} AS q3 FROM {name}2)"""
+
+
+QUALITY_RULES = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM dup) GROUP BY r),
+ln AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+fe AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM t JOIN ln USING (r) LEFT JOIN cov USING (r)),
+m AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, CASE WHEN n_words >= 100 THEN (100 * word_chars) // n_words END AS mean_len,
+    CASE WHEN n_words > 0 THEN (1000 * n_symbols) // word_chars END AS symbols, CASE WHEN n_words > 0 THEN (1000 * n_dup_lines) // n_words END AS dup_lines,
+    CASE WHEN n_words > 0 THEN (1000 * n_repeat_words) // n_words END AS repeats FROM fe),
+lo AS ({_LONG}),
+sk AS (SELECT lang, source, metric, {_BUCKET} AS b, count(*) AS n FROM lo GROUP BY ALL),
+{_quartiles('o', 'lang, source')}, {_quartiles('l', 'lang')}, {_quartiles('a', '')},
+g AS (SELECT * FROM (SELECT DISTINCT lang, source FROM sk), (SELECT unnest([{', '.join(repr(f.metric) for f in FENCES)}]) AS metric)),
+pk AS (SELECT g.lang, g.source, g.metric, CASE WHEN o.n >= 50 THEN o.q1 WHEN l.n >= 50 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.n >= 50 THEN o.q3 WHEN l.n >= 50 THEN l.q3 ELSE a.q3 END AS q3
+    FROM g LEFT JOIN o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source AND o.metric = g.metric
+    LEFT JOIN l ON l.lang IS NOT DISTINCT FROM g.lang AND l.metric = g.metric LEFT JOIN a ON a.metric = g.metric),
+bd AS (SELECT lang, source, {_bounds()} FROM pk GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_INSIDE} AS kept
+FROM m LEFT JOIN bd ON m.lang IS NOT DISTINCT FROM bd.lang AND m.source IS NOT DISTINCT FROM bd.source
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+JACCARD_JOIN = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_W.format(_LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)
+    UNION ALL SELECT doc_id, len(w) || ':' || array_to_string(w, ' ') FROM t WHERE len(w) BETWEEN 1 AND 2)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
+"""
+
+SUBSTRING_DEDUP = f"""
+WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13)),
+seen AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS first FROM win),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM seen WHERE first < doc_id)),
+kept AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.j) AS k FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM t) u ANTI JOIN gone ON gone.doc_id = u.doc_id AND gone.j = u.j GROUP BY u.doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+"""
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_W.format("lower(coalesce(text, ''))")} AS w FROM documents), b AS (SELECT item_id, {_W.format("lower(coalesce(text, ''))")} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, len(w) || ':' || array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+bs AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)
+    UNION ALL SELECT item_id, len(w) || ':' || array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id), s AS (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN bs USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, c / n AS containment FROM s JOIN n USING (item_id) WHERE 100 * c >= 80 * n
+"""
+
+# CRC-32 byte by byte from its generator polynomial: eight steps a byte.
+_STEP = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+SHARDING = """
+WITH RECURSIVE tab(k, n, c) AS (SELECT 0, i, i::BIGINT FROM range(256) r(i) UNION ALL SELECT k + 1, n, """ + _STEP + """ FROM tab WHERE k < 8),
+tl AS (SELECT list(c ORDER BY n) AS t FROM tab WHERE k = 8),
+x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, length(h) // 2 + 1 AS size, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda a, v: xor(a >> 8, t[1 + (xor(a, v) & 255)])), 4294967295) AS text_crc32 FROM x, tl),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS LAST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, least(7, ((2 * before + size) * 8) // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""

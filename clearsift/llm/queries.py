@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .decontamination import find_contamination
 from .html_extraction import extract_pages
 from .jaccard_join import jaccard_components
@@ -75,4 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The learned operators, HTML and PII have no SQL; tests hold them against brute force or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": oracles.MIXING,
+    "op3_quality_rules": oracles.QUALITY_RULES,
+    "op4_jaccard_join": oracles.JACCARD_JOIN,
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_decontamination": oracles.DECONTAMINATION,
+    "op9_sharding": oracles.SHARDING,
+}
