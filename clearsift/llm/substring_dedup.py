@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import durable, words
 from .windows import minimizers, run_hashes, windows_with
 
-_GRAM = 5
+#: Words of a gram: enough that two documents seldom share one by chance, few enough that windows choose few.
+_GRAM = 7
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: An automaton is compiled when its phrases have so many characters; this bounds a task's memory.
 _SHARD_CHARS = 400_000
@@ -57,7 +58,7 @@ def suspect_windows(suspects: DataFrame, window: int) -> DataFrame:
             at = places + np.repeat(first, counts)
             # With several texts under one id a place may lie in another text; it is left out where it lies beyond the end.
             at = at[places < np.repeat(lengths, counts)]
-            starts = windows_with(at, lengths, _GRAM, window)
+            starts = windows_with(h, at, lengths, _GRAM, window)
             row = np.repeat(np.arange(len(lengths)), lengths)[starts]
             win = run_hashes(h, window)[starts].view(np.int64)
             yield pa.RecordBatch.from_arrays(

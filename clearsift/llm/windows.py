@@ -48,20 +48,22 @@ def minimizers(h: np.ndarray, lengths: np.ndarray, gram: int, window: int) -> tu
     Which grams are chosen inside a window depends on its words alone, so that two documents that share a window
     share its chosen grams.
     """
-    width = window - gram + 1
-    inside = starts_of_runs(lengths, gram)
-    grams = np.where(inside, run_hashes(h, gram), _TOP)
-    least = np.where(starts_of_runs(lengths, window), _slide(grams, width, np.minimum, _TOP), np.uint64(0))
-    most = _slide(least[::-1], width, np.maximum, np.uint64(0))[::-1]  # over the windows that hold the place
-    at = np.flatnonzero(inside & (most == grams) & (grams != 0))
+    grams, least = _window_minima(h, lengths, gram, window)
+    most = _slide(least[::-1], window - gram + 1, np.maximum, np.uint64(0))[::-1]  # over the windows that hold the place
+    at = np.flatnonzero((grams != _TOP) & (most == grams) & (grams != 0))
     return at, grams[at].view(np.int64)
 
 
-def windows_with(places: np.ndarray, lengths: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Starts of the windows that hold a gram that begins at one of the places."""
-    n = int(lengths.sum())
-    marked = np.zeros(n + window, np.int64)
-    marked[places] = 1
-    up_to = np.append(0, np.cumsum(marked))
-    held = up_to[np.arange(n) + window - gram + 1] - up_to[np.arange(n)] > 0
-    return np.flatnonzero(held & starts_of_runs(lengths, window))
+def _window_minima(h: np.ndarray, lengths: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram at each place (the greatest number where none fits) and the least of each window (0 where none fits)."""
+    grams = np.where(starts_of_runs(lengths, gram), run_hashes(h, gram), _TOP)
+    least = _slide(grams, window - gram + 1, np.minimum, _TOP)
+    return grams, np.where(starts_of_runs(lengths, window), least, np.uint64(0))
+
+
+def windows_with(h: np.ndarray, places: np.ndarray, lengths: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """Starts of the windows whose least gram begins at one of the places."""
+    grams, least = _window_minima(h, lengths, gram, window)
+    marked = np.full(len(grams), _TOP)
+    marked[places] = grams[places]
+    return np.flatnonzero((_slide(marked, window - gram + 1, np.minimum, _TOP) == least) & (least != 0) & (least != _TOP))
