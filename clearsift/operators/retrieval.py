@@ -42,7 +42,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, blocks: int = 16, digit
     """
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, d = _matrix(left["embedding"]), _matrix(right["embedding"])
+        q, d = _matrix(left["vector"]), _matrix(right["vector"])
         ids, docs = np.asarray(left["query_id"]), np.asarray(right["doc_id"])
         if not len(ids) or not len(docs):
             return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -53,8 +53,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, blocks: int = 16, digit
         keep = np.isfinite(best)
         return pa.table({"query_id": np.repeat(ids, order.shape[1])[keep.ravel()], "doc_id": docs[order][keep], "score": best[keep]})
 
-    q = queries.select(F.col("vec_id").alias("query_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    d = corpus.select(F.col("vec_id").alias("doc_id"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    d = corpus.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     met = q.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(block, "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -508,3 +508,91 @@ def contamination_ngrams(spark: SparkSession, d: str) -> DataFrame:
     docs = word_grams(table(spark, d, "documents"), "doc_id", 6)
     items = word_grams(table(spark, d, "benchmark"), "item_id", 6)
     return docs.join(items, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+
+
+# Operators that SQL cannot express; literal rows in the tests hold their results.
+
+
+@query()
+def feature_detection(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.features import detect_features
+
+    return detect_features(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query()
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.claims import split_sentences
+
+    return table(spark, d, "conversations").select("conv_id", "turn", split_sentences(F.col("text")).alias("sentences"))
+
+
+@query()
+def paragraph_join(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.claims import paragraphs
+
+    return paragraphs(lines.explode_lines(table(spark, d, "documents")))
+
+
+@query()
+def claim_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of documents: the first content words stand for evidence, the best sentence is the fallback."""
+    from clearsift.operators.claims import best_sentences, claim_from_evidence
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    best = best_sentences(lines.explode_lines(docs), spark.createDataFrame([], "doc_id long, evidence array<string>")).select("doc_id", "sentence", F.col("score").alias("sentence_score"))
+    evidence = F.when(F.expr("doc_id % 3 = 0"), claim_from_evidence(F.substring("text", 1, 80)))
+    rows = docs.join(best, "doc_id", "left").withColumns({"evidence_claim": evidence, "model_claim": F.lit(None).cast("string"), "model_rejected": F.expr("doc_id % 2 = 0")})
+    return decide.claim_cascade(rows).select("doc_id", "claim", "claim_source")
+
+
+@query()
+def faithfulness(spark: SparkSession, d: str) -> DataFrame:
+    """The first words of every turn against the whole turn."""
+    from clearsift.operators.faithful import check_faithfulness
+
+    pairs = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, 6)).alias("claim"), "text")
+    return check_faithfulness(pairs).select("id", "reason", "n_bad")
+
+
+@query()
+def mask_documents(spark: SparkSession, d: str) -> DataFrame:
+    return masking.mask_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query()
+def evidence_highlight(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.alignment import highlight_spans
+
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", highlight_spans(F.col("text"), F.slice(F.split("text", r"\s+"), 1, 2)).alias("spans"))
+
+
+@query()
+def character_error(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items against a reading without their vowels."""
+    from clearsift.operators.alignment import character_error_rate
+
+    items = table(spark, d, "benchmark")
+    return items.select("item_id", F.round(character_error_rate(F.col("text"), F.regexp_replace("text", "[aeiou]", "")), 6).alias("cer"))
+
+
+@query()
+def page_records(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.sources.html_pages import article_record
+
+    return table(spark, d, "pages").select("page_id", article_record("html").alias("r")).select("page_id", "r.*")
+
+
+@query()
+def screening(spark: SparkSession, d: str) -> DataFrame:
+    """The whole plan on documents as pages; the vectors of the same ids are theirs, all vectors are articles."""
+    from clearsift.operators.screen import screen
+
+    docs = table(spark, d, "documents").filter("doc_id % 50 = 0")
+    pages = lines.explode_lines(docs).withColumns({"box": F.array(F.struct(F.lit(0.0).alias("x"), (F.col("pos") * 20.0 + 100).alias("y"))), "height": F.lit(2000)})
+    vectors = table(spark, d, "embeddings")
+    label = F.when(F.col("label") < 3, "salah").when(F.col("label") < 5, "satir").otherwise("lainnya")
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 60).alias("title"))
+    articles = vectors.join(titles, "vec_id", "left").select("vec_id", "embedding", label.alias("label"), F.coalesce("title", F.lit("")).alias("title"))
+    return screen(pages, vectors.select("vec_id", "embedding"), articles, decide.profiles(spark))

@@ -1,12 +1,19 @@
-"""HTML pages as tables: links of a listing page in page order."""
+"""HTML pages as tables: links of a listing page, records of article pages, blocks of text."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf, udtf
 
+_LINK = T.StructType([T.StructField("href", T.StringType()), T.StructField("pos", T.IntegerType())])
+_RECORD = T.StructType(
+    [T.StructField("title", T.StringType()), T.StructField("date", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("narrative", T.StringType())]
+)
 
-@udtf(returnType="href string, pos int")
+
+@udtf(returnType=_LINK)
 class PageLinks:
     """The links of a page, each address once, at its first place."""
 
@@ -30,5 +37,61 @@ class PageLinks:
             yield href, i
 
 
+def _read_article(html: str | None) -> dict:
+    """Title (h1), date (time), blocks (leaf p, blockquote, li inside the article) and sections by heading."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.title, self.date, self.blocks, self.sections = "", None, [], {}
+            self.inside, self.kind, self.parts, self.heading, self.seen_article = 0, None, [], "", False
+
+        def _close(self):
+            text = " ".join("".join(self.parts).split())
+            if self.kind == "h1" and text and not self.title:
+                self.title = text
+            elif self.kind in ("h2", "h3", "h4") and text:
+                self.heading = text.lower().strip(" :[]=")
+            elif self.kind in ("p", "blockquote", "li") and text and self.inside:
+                self.blocks.append(text)
+                self.sections[self.heading] = f"{self.sections.get(self.heading, '')} {text}".strip()
+            self.kind, self.parts = None, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside += 1
+                self.seen_article = True
+            if tag == "time" and self.date is None:
+                self.date = dict(attrs).get("datetime")
+            if tag in ("h1", "h2", "h3", "h4", "p", "blockquote", "li", "div", "section", "article"):
+                self._close()
+                self.kind = tag
+
+        def handle_endtag(self, tag):
+            if tag in ("h1", "h2", "h3", "h4", "p", "blockquote", "li", "div", "section", "article"):
+                self._close()
+            if tag == "article" and self.inside:
+                self.inside -= 1
+
+        def handle_data(self, data):
+            self.parts.append(data)
+
+    reader = Reader()
+    reader.feed(html or "")
+    reader.close()
+    reader._close()
+    if not reader.title or not reader.seen_article:
+        return {"title": None, "date": None, "blocks": None, "narrative": None}
+    narrative = next((v for k, v in reader.sections.items() if k in ("narasi", "narrative")), None)
+    return {"title": reader.title, "date": reader.date, "blocks": reader.blocks, "narrative": narrative}
+
+
+@pandas_udf(_RECORD)
+def article_record(html: pd.Series) -> pd.DataFrame:
+    """The record of an article page; all null without a heading or an article."""
+    return pd.DataFrame([_read_article(x) for x in html], columns=["title", "date", "blocks", "narrative"])
+
+
 def register_table_functions(spark: SparkSession) -> None:
     spark.udtf.register("page_links", PageLinks)
