@@ -96,3 +96,35 @@ def image_problem(content: Column, most_bytes: int) -> Column:
     head = F.hex(F.substring(content, 1, 8))
     known = head.startswith("FFD8FF") | (head == "89504E470D0A1A0A")
     return F.when(n == 0, 400).when(n > most_bytes, 413).when(~known, 415)
+
+
+def read_false_news(spark: SparkSession, path: str, with_narrative: bool) -> DataFrame:
+    """(doc_id, text, label) of a labelled news set (id, judul, narasi, label): labels 0 and 1 only."""
+    rows = read_csv(spark, path, "id string, judul string, narasi string, label string").filter(F.trim("label").isin("0", "1"))
+    body = F.concat_ws(". ", "judul", F.nullif(F.trim("narasi"), F.lit(""))) if with_narrative else F.col("judul")
+    return rows.select(F.col("id").alias("doc_id"), body.alias("text"), F.trim("label").cast("int").alias("label"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of transcripts, whole files; [UI]...[/UI] and [?] become the marks that the error rate knows.
+    Files that begin with DRAF are refused by a null text."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("t"))
+    marked = F.regexp_replace(F.regexp_replace("t", r"\[/?UI\]", "\x01"), r"\[\?\]", "\x00")
+    return raw.select("path", F.when(~F.col("t").rlike(r"^\s*DRAF"), F.trim(marked)).alias("text"))
+
+
+def read_queries(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(id, query): of read pages in JSON files the clean text, else the raw one; the first n by id (the limit is asked for)."""
+    rows = spark.read.schema("id string, teks string, teks_bersih string").json(path)
+    return rows.select("id", F.coalesce(F.nullif(F.trim("teks_bersih"), F.lit("")), "teks").alias("query")).filter("query IS NOT NULL").orderBy("id").limit(n)
+
+
+def read_markdown_table(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, cells): the rows of the tables of a Markdown report, without headings' rules."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("t")).filter(F.col("t").rlike(r"^\|.*\|$") & ~F.col("t").rlike(r"^\|[\s:|\-]+\|$"))
+    return rows.select("pos", F.transform(F.split(F.regexp_replace("t", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)).alias("cells"))
+
+
+def read_source_map(spark: SparkSession, path: str) -> DataFrame:
+    """(image, article_id, url) of a map of images to articles."""
+    return read_csv(spark, path, "image string, article_id string, url string").withColumn("image", F.regexp_extract("image", r"([^/]+?)(?:\.\w+)?$", 1))

@@ -48,3 +48,10 @@ def envelope(result: DataFrame, error_column: str = "error") -> DataFrame:
     good = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     bad = F.to_json(F.struct(F.struct(F.col(error_column).alias("kode")).alias("galat")))
     return result.select("doc_id", F.when(F.col(error_column).isNull(), good).otherwise(bad).alias("body"))
+
+
+def write_vectors(vectors: DataFrame, path: str, variant: str, fingerprint: str) -> None:
+    """Vectors as Parquet, and beside them one row that says how many there are, their size and what they were made of."""
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    meta = vectors.agg(F.count("*").alias("jumlah"), F.max(F.size("embedding")).alias("dimensi"))
+    meta.withColumns({"varian": F.lit(variant), "teks_sha1": F.lit(fingerprint)}).write.mode("overwrite").json(f"{path}/meta")
