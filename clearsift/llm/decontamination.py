@@ -64,4 +64,4 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 5, percen
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that hold no benchmark item; rows without an id are kept, as they cannot be named as leaks."""
     leaks = durable(find_contamination(docs, items, width, percent).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaks, docs["doc_id"] == leaks["doc_id"], "left_anti")

@@ -144,4 +144,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None = No
     """The documents that are not predicted toxic, as they are; a document with several rows goes if one is toxic."""
     scores = score_toxicity(docs, labels, p)
     bad = durable(scores.filter("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct(), "toxic")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")

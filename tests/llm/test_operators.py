@@ -249,6 +249,14 @@ def test_toxicity_of_odd_rows(spark, docs):
     assert len({r.score for r in score_toxicity(docs, one_class).collect()}) == 1
 
 
+def test_filters_keep_columns_with_odd_names_and_their_order(spark, docs):
+    odd = docs.select("text", "lang", "source", "doc_id", docs["size"].alias("a.b"), docs["h"].alias("_range"), docs["score"].alias("copies"))
+    labels = spark.createDataFrame([(i, 0, int(i % 2)) for i in range(30)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "no such words in any document at all")], "item_id long, text string")
+    for out in (drop_toxic(odd, labels), drop_contaminated(odd, items), jaccard_join.drop_near_copies(odd), mixed_documents(odd)):
+        assert out.columns == odd.columns and out.count() > 0
+
+
 def test_label_model_trusts_labellers_that_agree():
     rng = np.random.default_rng(1)
     patterns, good = Counter(), Counter()
