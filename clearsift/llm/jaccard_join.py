@@ -16,6 +16,8 @@ from .windows import mix, run_hashes, starts_of_runs
 _U = np.uint64
 #: Documents of a block; a candidate group larger than this is split into blocks that meet in pairs.
 _BLOCK = 64
+#: Seeds of the two digests of a set.
+_SEEDS = (0x5851F42D, 0x14057B7E)
 
 
 def shingle_sets(h: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +57,11 @@ def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", *keep, F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
 
 
+def _digest(grams: np.ndarray, rows: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A digest of each set, whatever the order of its elements."""
+    return mix(_per_row(mix(grams ^ _U(seed)), rows, n)).view(np.int64)
+
+
 def set_digests(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles and two digests of the shingle set; equal sets have equal digests."""
 
@@ -62,7 +69,7 @@ def set_digests(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             grams, counts = _lists(batch, width)
             rows = np.repeat(np.arange(len(counts)), counts)
-            c1, c2 = (mix(_per_row(mix(grams ^ _U(s)), rows, len(counts))).view(np.int64) for s in (0x5851F42D, 0x14057B7E))
+            c1, c2 = (_digest(grams, rows, len(counts), s) for s in _SEEDS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(c1), pa.array(c2)], ["doc_id", "n_shingles", "c1", "c2"])
 
     return _hashed(docs).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long")
@@ -77,7 +84,7 @@ def size_bands(largest: int, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, doc_id): digests of the parts of each set, of which two linked sets share at least one.
+    """(sig, c1): digests of the parts of each set, of which two linked sets share at least one, and of the whole set.
 
     Sets x and y with a Jaccard of p% differ in at most (100 - p)(|x| + |y|) / (100 + p) elements. A band is dealt
     into one part more than the largest such number, by the hash of the element alone: one part at least is the
@@ -87,9 +94,13 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, counts = _lists(batch, width)
-            has = np.flatnonzero(counts > 0)
-            if not len(has):
+            if not len(grams):
                 continue
+            rows = np.repeat(np.arange(len(counts)), counts)
+            whole = _digest(grams, rows, len(counts), _SEEDS[0])
+            once = np.zeros(len(counts), bool)  # of equal sets in a batch one is enough
+            once[np.unique(whole, return_index=True)[1]] = True
+            grams, counts = grams[once[rows]], np.where(once, counts, 0)
             bounds = size_bands(int(counts.max()), percent)
             rows = np.repeat(np.arange(len(counts)), counts)
             band = np.searchsorted(bounds, counts, side="right") - 1
@@ -106,9 +117,38 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(counts)), parts)
                 number = (np.arange(total) - first[owner]).astype(np.uint64)
                 sig = mix(sums ^ mix(number + (level[owner].astype(np.uint64) << _U(32)))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), batch.column("doc_id").take(pa.array(owner))], ["sig", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(whole[owner])], ["sig", "c1"])
+
+    return _hashed(docs).mapInArrow(run, "sig long, c1 long")
+
+
+def shared_parts(parts: DataFrame) -> DataFrame:
+    """(a, b): of the sets with one signature, the least digest with each other one.
 
-    return _hashed(docs).mapInArrow(run, "sig long, doc_id long")
+    Rows are dealt by signature and sorted, and stream by: a group of any size needs no memory. A signature has one
+    row of the many that each set gives, so that even one that a third of all sets share is a small part of a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, None
+        for batch in batches:
+            sig, c1 = np.asarray(batch.column("sig")), np.asarray(batch.column("c1"))
+            if not len(sig):
+                continue
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            heads = np.flatnonzero(new)
+            first = c1[heads].copy()
+            if sig[0] == last:
+                first[0] = centre
+            centres = np.repeat(first, np.diff(np.append(heads, len(sig))))
+            last, centre = sig[-1], centres[-1]
+            edges = np.stack([centres, c1], 1)[centres != c1]
+            if len(edges):
+                edges = np.unique(edges, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    return parts.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(run, "a long, b long")
 
 
 class PrefixTree:
@@ -250,17 +290,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = durable(set_digests(base, width), "jaccard-digests")
     classes = durable(digests.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    others = durable(digests.filter("doc_id IS NOT NULL").select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "jaccard-others")
-    whole = base.filter("doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
-
-    shared = signatures(whole, width, percent).groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"))
-    shared = durable(shared.filter("a < last").select("sig", "a"), "jaccard-signatures")
-    pairs = signatures(whole, width, percent).join(shared, "sig").select("a", F.col("doc_id").alias("b"))
-    groups = durable(connected_components(pairs), "jaccard-groups")
+    named = durable(classes.select("c1", "rep"), "jaccard-names")
+    parts = signatures(base.filter("doc_id IS NOT NULL"), width, percent)
+    shared = durable(shared_parts(parts).distinct(), "jaccard-shared")
+    # Digests become ids of representatives; were two sets to share a digest, both would become candidates.
+    pairs = shared.join(named.select(F.col("c1").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("c1").alias("b"), F.col("rep").alias("rb")), "b")
+    groups = durable(connected_components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "jaccard-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     sized = durable(groups.join(durable(sizes, "jaccard-sizes"), "component"), "jaccard-sized")
-    candidates = whole.join(sized.withColumnRenamed("node", "doc_id"), "doc_id")
+    # Both sides grow with the input: a merge join at every size.
+    candidates = base.join(sized.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
     links = durable(linked_pairs(candidates, width, percent), "jaccard-links")
     found = connected_components(links).withColumnRenamed("node", "rep")
     labelled = durable(classes.join(found, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id")), "jaccard-labels")
@@ -274,4 +313,4 @@ def drop_near_copies(docs: DataFrame, width: int = 3, percent: int = 90) -> Data
     """One document of each component stays, that with the least id; rows without an id stay."""
     components = jaccard_components(docs, width, percent)
     gone = durable(components.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
