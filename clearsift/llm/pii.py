@@ -18,25 +18,36 @@ MALE = (
 ).split()
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Mme Mlle Sr Sra Señor Señora".split()
 
-_FIRST = "|".join([*FEMALE, *MALE])
-_TITLE = "|".join(TITLES)
+
+def _any_of(names: list[str]) -> str:
+    """A pattern for a list of words that branches by their first letters and fails at once on any other."""
+    by: dict[str, list[str]] = {}
+    for n in names:
+        by.setdefault(n[0], []).append(n[1:])
+    return f"(?=[{''.join(by)}])(?:{'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in by.items())})"
+
+
+_FIRST, _TITLE = _any_of([*FEMALE, *MALE]), _any_of(TITLES)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{Ll}]+"
-#: What is looked for, in this order where two begin at one place.
+_NAME = r"\p{Lu}\p{Ll}+"
+_SECRET_WORD = "(?i:password|passwd|pwd|token|secret|api_key|apikey)"
+#: What is looked for, in this order where two begin at one place. Cheap looks at the next or last characters come
+#: before dear ones, as every word of every text is tried.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b",
-    "secret": r"(?<=\b(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{6,}",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
-    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
-    "phone": r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}\b",
-    "national": r"(?<![\d\-])\d{3}-\d{2}-\d{4}\b",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\d)",
-    "name": rf"\b(?:{_FIRST})\b(?= {_NAME})|(?<=\b(?:{_FIRST}) ){_NAME}|(?<=\b(?:{_TITLE})\.? ){_NAME}|(?<=\b(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,20}} ){_NAME}",
+    "email": r"[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "key": r"(?=[Ags])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b",
+    "secret": rf"(?<=[=:]\s{{0,3}}[\"']?)(?<=\b{_SECRET_WORD}\s{{0,3}}[=:]\s{{0,3}}[\"']?)[^\s\"']{{6,}}",
+    "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+    "iban": r"(?=[A-Z]{2}\d)[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+    "phone": r"(?=[+(\d])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}\b)",
+    "national": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}\b",
+    "card": r"(?=\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\d)",
+    "name": rf"(?=\p{{Lu}}\p{{Ll}})(?<!\p{{L}})(?:{_FIRST}\b(?= {_NAME})|(?<= )(?:(?<=\b{_FIRST} )|(?<=\b{_TITLE}\.? )|(?<=\b{_TITLE}\.? \p{{Lu}}\p{{Ll}}{{1,20}} )){_NAME})",
 }
-EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of this holds no entity.
-_MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|token|secret|api_key|apikey)\s*[=:]|\b(?:{_FIRST}|{_TITLE})\b"
+#: An entity begins where no letter or digit of a word goes on.
+EVERY = f"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
+#: A text without any of these holds no entity: a digit or @, a secret's name with a value, a known name or title.
+_MAYBE = ("[0-9@]", rf"[=:](?<={_SECRET_WORD}\s{{0,3}}[=:])", rf"{_FIRST}(?!\p{{L}})|{_TITLE}\b")
 
 _KINDS = [  # what a found piece is, by itself: the first that it matches
     ("email", r"^[^\s@]+@[^\s@]+$"),
@@ -168,7 +179,8 @@ def replace_pii(docs: DataFrame, secret: str = "clearsift-demo-key") -> DataFram
     A null text stays null with n_replaced 0; null ids are passed on; repeated rows are treated alike; an empty
     table gives an empty result; further columns are ignored. Use a secret of your own.
     """
-    found = F.when(F.col("text").rlike(_MAYBE), F.regexp_extract_all("text", F.lit(EVERY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    maybe = F.col("text").rlike(_MAYBE[0]) | F.col("text").rlike(_MAYBE[1]) | F.col("text").rlike(_MAYBE[2])
+    found = F.when(maybe, F.regexp_extract_all("text", F.lit(EVERY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     seen = docs.select("doc_id", "text", found.alias("found"))
     has = F.coalesce(F.size("found") > 0, F.lit(False))
     hits = durable(seen.filter(has).withColumn("row", F.monotonically_increasing_id()), "pii-hits")
