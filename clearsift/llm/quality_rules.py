@@ -24,7 +24,7 @@ class Fence:
 
 
 #: mean_len: hundredths of a character a word; symbols: a thousand characters; dup_lines and repeats: a thousand words.
-FENCES = (Fence("mean_len", 4, 20, two_sided=True), Fence("symbols", 3, 10), Fence("dup_lines", 3, 15), Fence("repeats", 3, 60))
+FENCES = (Fence("mean_len", 4, 20, two_sided=True), Fence("symbols", 3, 10), Fence("dup_lines", 3, 15), Fence("repeats", 3, 95))
 
 
 def window_hashes(hashes: Column, width: int) -> Column:
