@@ -22,6 +22,11 @@ class WeakQualityParams:
     #: At most so many documents are learned from (the bound of what the driver collects).
     max_training_rows: int = 20_000
     em_rounds: int = 200
+    #: Prior of the labellers' rates of voting bad, on good and on bad documents, and its weight against the counts:
+    #: they only vote bad on strong grounds, and each knows one kind of bad document of several.
+    bad_on_good: float = 0.002
+    bad_on_bad: float = 0.3
+    prior_weight: float = 2.0
     epochs: int = 8
     batch: int = 128
     rate: float = 0.01
@@ -58,7 +63,7 @@ def labelled_votes(docs: DataFrame) -> DataFrame:
     # Variety falls with length, so that its bound does too.
     usual = F.pow(F.greatest(n, F.lit(1)).cast("double"), F.lit(-0.12))
     votes = [
-        _vote(n >= 20, n < 3),
+        _vote(n >= 20, n < 1),
         _vote((mean >= 4.2) & (mean <= 6.2), (n >= 20) & ((mean < 3.5) | (mean > 7.0))),
         _vote(symbols < 0.01, symbols > 0.05),
         _vote((n >= 20) & (F.col("variety") >= usual), (n >= 20) & (F.col("variety") < usual * 0.6)),
@@ -69,24 +74,27 @@ def labelled_votes(docs: DataFrame) -> DataFrame:
     return facts.select("doc_id", "text", F.concat(*votes).alias("votes"))
 
 
-def label_model(patterns: dict[str, int], rounds: int) -> dict[str, float]:
+def label_model(patterns: dict[str, int], p: WeakQualityParams) -> dict[str, float]:
     """EM over the counts of vote patterns: the posterior of being good for each pattern.
 
-    Labellers are independent given the class, each with its own rates of voting bad, good or not at all. Every
-    document counts, through its pattern; there are at most 3**len(VOTES) of them. The start is the share of good
-    votes among a pattern's votes, so that class 1 stays the good one.
+    Labellers are independent given the class, each with its own rates of voting good where it votes; no opinion says
+    nothing. Every document counts, through its pattern; there are at most 3**len(VOTES) of them. The rates have the
+    prior of the parameters, in proportion to their class. The start
+    takes bad votes, which the labellers only cast on strong grounds, for five good ones; class 1 stays the good one.
     """
     if not patterns:
         return {}
     keys = sorted(patterns)
     votes = np.array([[int(c) for c in k] for k in keys])
     count = np.array([patterns[k] for k in keys], dtype=np.float64)
-    one_hot = (votes[:, :, None] == np.arange(3)).astype(np.float64)
-    good = np.clip(((votes == 1).sum(1) + 0.5) / ((votes != 2).sum(1) + 1.0), 0.05, 0.95)
-    for _ in range(rounds):
+    one_hot = (votes[:, :, None] == np.arange(2)).astype(np.float64)
+    n_good, n_bad = (votes == 1).sum(1), (votes == 0).sum(1)
+    good = np.clip((n_good + 0.5) / (n_good + 5 * n_bad + 1.0), 0.05, 0.95)
+    usual = np.array([[p.bad_on_bad, 1 - p.bad_on_bad], [p.bad_on_good, 1 - p.bad_on_good]])[:, None, :]
+    for _ in range(p.em_rounds):
         weight = np.stack([count * (1 - good), count * good])
         prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        rates = np.einsum("ck,kjv->cjv", weight, one_hot) + 1.0
+        rates = np.einsum("ck,kjv->cjv", weight, one_hot) + p.prior_weight * weight.sum(1)[:, None, None] * usual + 1e-3
         rates /= rates.sum(2, keepdims=True)
         joint = np.log(prior)[:, None] + np.einsum("kjv,cjv->ck", one_hot, np.log(rates))
         new = sigmoid(joint[1] - joint[0])
@@ -145,7 +153,7 @@ def classify_quality(docs: DataFrame, p: WeakQualityParams | None = None) -> Dat
     tallies = durable(labelled_votes(docs).select("doc_id", "votes"), "weak-votes")
     # One row for each pattern of votes: at most 3 ** len(VOTES).
     patterns = {r["votes"]: r["n"] for r in tallies.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    posterior = label_model(patterns, p.em_rounds)
+    posterior = label_model(patterns, p)
     rows = [(k, float(v)) for k, v in posterior.items()]
     table = spark.createDataFrame(rows, "votes string, posterior double")
     total = sum(patterns.values())

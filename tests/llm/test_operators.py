@@ -20,7 +20,7 @@ from clearsift.llm.quality_rules import quality_rules
 from clearsift.llm.sharding import shard_by_bytes
 from clearsift.llm.substring_dedup import dedup_substrings
 from clearsift.llm.toxicity import ToxicityParams, drop_toxic, score_toxicity
-from clearsift.llm.weak_quality import VOTES, classify_quality, label_model
+from clearsift.llm.weak_quality import VOTES, WeakQualityParams, classify_quality, label_model
 
 
 @pytest.fixture(scope="module")
@@ -266,10 +266,10 @@ def test_label_model_trusts_labellers_that_agree():
         p = "".join(str(y if rng.random() < a else 1 - y) for a in accuracy[: len(VOTES)])
         patterns[p] += 1
         good[p] += y
-    posterior = label_model(patterns, 200)
+    posterior = label_model(patterns, WeakQualityParams(prior_weight=0.0))
     right = sum(good[p] if posterior[p] >= 0.5 else n - good[p] for p, n in patterns.items())
     assert right / 4000 > 0.95
-    assert label_model({}, 5) == {}
+    assert label_model({}, WeakQualityParams()) == {}
 
 
 def test_quality_classifier_on_held_out_kinds(spark):
