@@ -596,3 +596,72 @@ def screening(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 60).alias("title"))
     articles = vectors.join(titles, "vec_id", "left").select("vec_id", "embedding", label.alias("label"), F.coalesce("title", F.lit("")).alias("title"))
     return screen(pages, vectors.select("vec_id", "embedding"), articles, decide.profiles(spark))
+
+
+# Reports.
+
+
+@query("SELECT ts::DATE AS day, count(*) AS calls, sum(floor(value)::BIGINT) AS tokens, round(avg(floor(value)::BIGINT), 4) AS tokens_a_call FROM events GROUP BY 1")
+def daily_usage(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import daily_usage as usage
+
+    return usage(table(spark, d, "events").select("ts", F.floor("value").alias("tokens")))
+
+
+@query("""WITH c AS (SELECT event_id AS seq, ts::DATE AS day, epoch_us(ts) / 1000000.0 AS sec, floor(value)::BIGINT AS tokens FROM events),
+g AS (SELECT *, sec - lag(sec) OVER w AS gap, row_number() OVER w AS nth, sum(tokens) OVER (PARTITION BY day ORDER BY sec, seq ROWS UNBOUNDED PRECEDING) AS spent FROM c WINDOW w AS (PARTITION BY day ORDER BY sec, seq))
+SELECT seq, coalesce(gap, 5.0) >= 5.0 AND nth <= 50 AND spent <= 2000 AS allowed FROM g""")
+def allowed_calls(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import allowed_calls as allowed
+
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0
+    calls = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.to_date("ts").alias("day"), at.alias("at"), F.floor("value").alias("tokens"))
+    return allowed(calls, 5.0, 50, 2000).select("seq", "allowed")
+
+
+@query("SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 3")
+def latest_years(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report: its limit is the feature."""
+    from clearsift.operators.reports import latest_years as latest
+
+    return latest(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer) WHERE k <= CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 2 ELSE 0 END")
+def quota_sample(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import quota_sample as quota
+
+    return quota(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), {"BUILDING": 3, "MACHINERY": 2}, "c_mktsegment", "c_custkey")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5(doc_id::VARCHAR || '|11'), doc_id LIMIT 25")
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sampling operator: its limit is the feature."""
+    from clearsift.operators.reports import seeded_sample as sample
+
+    return sample(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 25, 11)
+
+
+@query("""WITH k AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://(www\\.)?', ''), '#.*$', ''), '/+$', '') AS k FROM pages), m AS (SELECT k, min(page_id) AS by_url FROM k GROUP BY k)
+SELECT page_id AS query_id, by_url AS article_id, by_url IS NOT NULL AS found FROM k LEFT JOIN m ON m.k = k.k AND m.by_url % 2 = 0""")
+def find_targets(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import find_targets as targets
+
+    pages = table(spark, d, "pages").select(F.col("page_id"), "url", F.lit("").alias("title"))
+    first = pages.groupBy(text.url_key(F.col("url")).alias("k")).agg(F.min("page_id").alias("article_id"), F.min_by("url", "page_id").alias("url")).filter("article_id % 2 = 0")
+    articles = first.select("article_id", "url", F.concat(F.lit("judul "), "article_id").alias("title"))
+    return targets(pages.withColumnRenamed("page_id", "query_id"), articles)
+
+
+@query("SELECT event_type, median(value) AS median, max(value) AS max, count(*) FILTER (WHERE value > 90) AS n_cut, list_sort(list(value))[1 + round_even(0.9 * (count(*) - 1), 0)::INT] AS p90 FROM events GROUP BY event_type")
+def latency_stats(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import latency_stats as stats
+
+    return stats(table(spark, d, "events"), "value", F.col("value") > 90, "event_type")
+
+
+@query("SELECT l_returnflag, avg(l_quantity) AS mean_all, avg(l_quantity) FILTER (WHERE l_linenumber <> 1) AS mean_kept, count(*) FILTER (WHERE l_linenumber = 1) AS n_excluded FROM lineitem GROUP BY l_returnflag")
+def average_with_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import average_with_exclusion as average
+
+    return average(table(spark, d, "lineitem"), "l_quantity", F.col("l_linenumber") == 1, "l_returnflag")
