@@ -125,3 +125,29 @@ def confirm(results: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(name, n_broken): how many rows break each named condition."""
     counted = results.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()])
     return counted.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n_broken")) for n in checks])))
+
+
+def comparison_table(results: dict[str, DataFrame], measure: str, value: str) -> DataFrame:
+    """One row for each measure, a column for each run: results maps names of runs to (measure, value)."""
+    whole = None
+    for name, df in results.items():
+        named = df.select(F.lit(name).alias("run"), F.col(measure).alias("measure"), F.col(value).alias("value"))
+        whole = named if whole is None else whole.unionByName(named)
+    return whole.groupBy("measure").pivot("run", sorted(results)).agg(F.first("value"))
+
+
+def evaluation_report(rows: DataFrame, ranks: DataFrame, slice_column: str) -> dict[str, DataFrame]:
+    """The tables of an evaluation report: confusion, metrics by slice, ranking. rows: expected, actual (0 or 1) and the slice."""
+    from clearsift.operators.evaluation import confusion, ranking_metrics, slice_metrics
+
+    return {
+        "confusion": confusion(rows.withColumn("actual", F.col("actual").cast("string")), "expected", "actual", ["0", "1"]),
+        "slices": slice_metrics(rows, slice_column),
+        "ranking": ranking_metrics(ranks),
+    }
+
+
+def length_sorted(texts: DataFrame, partitions: int, column: str = "text") -> DataFrame:
+    """Texts dealt into ranges of length and sorted in each, so that batches for a model hold texts of like length."""
+    n = F.length(column)
+    return texts.repartitionByRange(partitions, n).sortWithinPartitions(n)

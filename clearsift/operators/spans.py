@@ -29,3 +29,16 @@ def word_grams(rows: DataFrame, key: str, n: int) -> DataFrame:
     words = rows.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     grams = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
     return words.select(key, F.explode_outer(grams).alias("gram")).filter("gram IS NOT NULL").distinct()
+
+
+def with_index_map(rows: DataFrame, column: str) -> DataFrame:
+    """Adds norm (lower case, white space runs as one blank, none at the ends) and at: of each of its characters the
+    place in the text."""
+    chars = rows.withColumn("_c", F.split(F.coalesce(column, F.lit("")), ""))
+    blank = lambda c: c.rlike(r"(?U)^\s$")
+    kept = F.filter(F.transform("_c", lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: (x["c"] != "") & (~blank(x["c"]) | ((x["i"] > 0) & ~F.coalesce(blank(F.get("_c", x["i"] - 1)), F.lit(True)))))
+    rows = chars.withColumn("_k", kept)
+    last = F.element_at("_k", -1)
+    rows = rows.withColumn("_k", F.when((F.size("_k") > 0) & blank(last["c"]), F.slice("_k", F.lit(1), F.size("_k") - 1)).otherwise(F.col("_k")))
+    norm = F.array_join(F.transform("_k", lambda x: F.when(blank(x["c"]), F.lit(" ")).otherwise(F.lower(x["c"]))), "")
+    return rows.withColumns({"norm": norm, "at": F.transform("_k", lambda x: x["i"])}).drop("_c", "_k")

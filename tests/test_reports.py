@@ -59,3 +59,20 @@ def test_more_files(spark, tmp_path):
     assert [r.cells for r in readers.read_markdown_table(spark, str(tmp_path / "r.md")).orderBy("pos").collect()] == [["a", "b"], ["1", "2"]]
     sinks.write_vectors(spark.createDataFrame([(1, [0.5, 0.5])], "id long, embedding array<float>"), str(tmp_path / "v"), "base", "abc")
     assert spark.read.json(str(tmp_path / "v" / "meta")).first().dimensi == 2
+
+
+def test_index_map_patterns_and_tables(spark):
+    from clearsift.operators.features import pattern_of
+    from clearsift.operators.spans import with_index_map
+
+    rows = with_index_map(spark.createDataFrame([(1, " Satu\n\n DUA "), (2, None)], "id long, t string"), "t").orderBy("id").collect()
+    assert rows[0].norm == "satu dua" and [" Satu\n\n DUA "[i].lower() for i in rows[0]["at"] if not " Satu\n\n DUA "[i].isspace()] == list("satudua") and rows[1].norm == ""
+    patterns = [("kuat", r"\bsatu dua\b"), ("lemah", r"\bdua\b")]
+    assert col(spark, pattern_of(F.lit("satu dua"), patterns, F.lit(5), F.lit(8))) == 1 and col(spark, pattern_of(F.lit("satu dua"), patterns, F.lit(0), F.lit(4))) is None
+    a, b = spark.createDataFrame([("m", 1.0)], "k string, v double"), spark.createDataFrame([("m", 2.0)], "k string, v double")
+    assert tuple(reports.comparison_table({"x": a, "y": b}, "k", "v").first()) == ("m", 1.0, 2.0)
+    texts = spark.createDataFrame([("a" * n,) for n in (5, 1, 9, 3)], "text string")
+    assert [len(r.text) for r in reports.length_sorted(texts, 2).collect()] == [1, 3, 5, 9]
+    judged = spark.createDataFrame([("en", 1, 1), ("en", 0, 1), ("de", 1, 0)], "lang string, expected int, actual int")
+    out = reports.evaluation_report(judged, spark.createDataFrame([(1,), (None,)], "rank int"), "lang")
+    assert out["slices"].count() == 3 and out["ranking"].first().mrr == 0.5 and out["confusion"].count() == 2
