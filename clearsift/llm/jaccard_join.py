@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, lower_ascii, words
 from .components import connected_components
-from .windows import mix, run_hashes, starts_of_runs
+from .windows import mix, pieces, run_hashes, starts_of_runs
 
 _U = np.uint64
 #: Documents of a block; a candidate group larger than this is split into blocks that meet in pairs.
@@ -66,7 +67,7 @@ def set_digests(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles and two digests of the shingle set; equal sets have equal digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             grams, counts = _lists(batch, width)
             rows = np.repeat(np.arange(len(counts)), counts)
             c1, c2 = (_digest(grams, rows, len(counts), s) for s in _SEEDS)
@@ -83,16 +84,32 @@ def size_bands(largest: int, percent: int) -> np.ndarray:
     return np.array(bounds + [bounds[-1] * 100 // percent + 1])
 
 
+def parts_of(lower: int, upper: int, percent: int) -> tuple[int, int]:
+    """(parts, d) for a band of sizes [lower, upper): linked sets, the larger in the band, differ in at most d elements.
+
+    The least number of parts of which a set of the least size fills more than d, by six standard deviations."""
+    d = 2 * (100 - percent) * (upper - 1) // (100 + percent)
+    for k in range(d + 1, 8 * (d + 2) + lower):
+        load = lower / k
+        empty = math.exp(-load)
+        spread = math.sqrt(k * empty * max(0.0, 1 - (1 + load) * empty))
+        if k * (1 - empty) - 6 * spread >= d + 1:
+            return k, d
+    return d + 1, d
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(sig, c1): digests of the parts of each set, of which two linked sets share at least one, and of the whole set.
 
-    Sets x and y with a Jaccard of p% differ in at most (100 - p)(|x| + |y|) / (100 + p) elements. A band is dealt
-    into one part more than the largest such number, by the hash of the element alone: one part at least is the
-    same in both. A set gives the parts of its own band and, as the smaller set of a pair, of the next.
+    Sets x and y with a Jaccard of p% differ in at most (100 - p)(|x| + |y|) / (100 + p) = d elements, and so in at
+    most d of the parts into which elements are dealt by their hashes. A set that fills more than d parts has a
+    filled one in common with each partner; only one that fills fewer gives its empty parts too. A set gives the
+    parts of its own band and, as the smaller set of a pair, of the next.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known = [(0, 0)]
+        for batch in pieces(batches):
             grams, counts = _lists(batch, width)
             if not len(grams):
                 continue
@@ -105,19 +122,24 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             rows = np.repeat(np.arange(len(counts)), counts)
             band = np.searchsorted(bounds, counts, side="right") - 1
             value = mix(grams ^ _U(0xD1B54A32))
+            while len(known) < len(bounds):  # bands are the same in every batch
+                k = len(known) - 1
+                known.append(parts_of(int(bounds[k]), int(bounds[k + 1]), percent))
+            table = np.array(known)
             for step in (0, 1):
-                level = np.where(counts > 0, band + step, 0)
-                parts = (100 - percent) * 2 * (bounds[level + 1] - 1) // (100 + percent) + 1
-                parts = np.where(counts > 0, parts, 0)
+                level = np.where(counts > 0, band + step, -1)
+                parts, most = table[level + 1, 0], table[level + 1, 1]
                 first = np.cumsum(parts) - parts
-                seed = mix(level.astype(np.uint64) + _U(1))
-                part = (mix(grams ^ seed[rows]) % parts[rows].astype(np.uint64)).astype(np.int64)
+                seed = mix((level + 1).astype(np.uint64))
+                place = first[rows] + (mix(grams ^ seed[rows]) % parts[rows].astype(np.uint64)).astype(np.int64)
                 total = int(parts.sum())
-                sums = _per_row(value, first[rows] + part, total)
+                sums = _per_row(value, place, total)
+                filled = np.bincount(place, minlength=total) > 0
                 owner = np.repeat(np.arange(len(counts)), parts)
+                given = filled | (np.bincount(owner[filled], minlength=len(counts)) <= most)[owner]
                 number = (np.arange(total) - first[owner]).astype(np.uint64)
                 sig = mix(sums ^ mix(number + (level[owner].astype(np.uint64) << _U(32)))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(whole[owner])], ["sig", "c1"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[given]), pa.array(whole[owner[given]])], ["sig", "c1"])
 
     return _hashed(docs).mapInArrow(run, "sig long, c1 long")
 
@@ -237,6 +259,36 @@ def join_block(ids: np.ndarray, left: np.ndarray, sets: list[np.ndarray], percen
     return links
 
 
+def exploded_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(gram, doc_id, n, c1): a row for each element of each set, with the set's size and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            grams, counts = _lists(batch, width)
+            rows = np.repeat(np.arange(len(counts)), counts)
+            whole = _digest(grams, rows, len(counts), _SEEDS[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams.view(np.int64)), batch.column("doc_id").take(pa.array(rows)), pa.array(counts[rows]), pa.array(whole[rows])], ["gram", "doc_id", "n", "c1"]
+            )
+
+    return _hashed(docs).mapInArrow(run, "gram long, doc_id long, n long, c1 long")
+
+
+def refined_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) between documents (doc_id, text) of groups too large for a block: a second, finer search for candidates.
+
+    Elements are ordered by how many of these documents hold them, rare ones first. Linked sets share one of their
+    first n - ceil(p n / 100) + 1 elements; as common passages come last, only real near copies share rare ones.
+    """
+    elements = durable(exploded_sets(docs, width), "jaccard-elements")
+    held = durable(elements.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-held")
+    # An element that one document holds has no row in `held`; it takes its place in the order with df 1.
+    ordered = elements.join(held, "gram", "left").select("doc_id", "n", "c1", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram").alias("e"))
+    first = F.expr(f"CAST(n - (({percent} * n + 99) div 100) + 1 AS INT)")
+    prefix = ordered.groupBy("doc_id", "n", "c1").agg(F.sort_array(F.collect_list("e")).alias("es")).select("doc_id", F.explode_outer(F.slice("es", F.lit(1), first)).alias("e"))
+    return shared_parts(prefix.filter("e.df > 1").select(F.col("e.gram").alias("sig"), F.col("doc_id").alias("c1"))).distinct()
+
+
 def linked_pairs(candidates: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links (a, b) inside candidate groups (doc_id, text, component, size)."""
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
@@ -250,7 +302,7 @@ def linked_pairs(candidates: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             grams, counts = _lists(batch, width)
             sets = np.split(grams, np.cumsum(counts)[:-1]) if len(counts) else []
             keys = zip(batch.column("component").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)
@@ -275,14 +327,21 @@ def linked_pairs(candidates: DataFrame, width: int, percent: int) -> DataFrame:
     return _hashed(dealt, "component", "i", "j", "is_left").mapInArrow(run, "a long, b long")
 
 
+def sized(components: DataFrame) -> DataFrame:
+    """Adds the size of its component to each node."""
+    components = durable(components, "jaccard-groups")
+    sizes = durable(components.groupBy("component").agg(F.count("*").alias("size")), "jaccard-sizes")
+    return durable(components.join(sizes, "component"), "jaccard-sized")
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Joins documents whose shingle sets have a Jaccard of at least `percent` into components.
 
     A set holds the distinct runs of `width` words (A-Z lower-cased); of fewer words, the whole sequence; none of no
     words. Returns doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included). Equal
     sets are one class with one representative. Parts of sets that two representatives share make candidate groups,
-    which no link leaves; in each, prefix trees find the links. Groups are split into blocks of bounded size that
-    meet in pairs; no candidate is dropped.
+    which no link leaves; large groups are searched again by their rare elements. In each group prefix trees find the
+    links; a group still larger than a block is split into blocks that meet in pairs. No candidate is dropped.
 
     Documents without words are linked with nothing. A null id has a null component. Several rows of one id are one
     document with several sets. An empty table gives an empty result; further columns are ignored.
@@ -295,11 +354,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     shared = durable(shared_parts(parts).distinct(), "jaccard-shared")
     # Digests become ids of representatives; were two sets to share a digest, both would become candidates.
     pairs = shared.join(named.select(F.col("c1").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("c1").alias("b"), F.col("rep").alias("rb")), "b")
-    groups = durable(connected_components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "jaccard-groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    sized = durable(groups.join(durable(sizes, "jaccard-sizes"), "component"), "jaccard-sized")
-    # Both sides grow with the input: a merge join at every size.
-    candidates = base.join(sized.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
+    groups = sized(connected_components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    # Both sides grow with the input: a merge join at every size. Texts move this once.
+    candidates = durable(base.join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id"), "jaccard-candidates")
+    large = candidates.filter(F.col("size") > _BLOCK).select("doc_id", "text")
+    finer = sized(connected_components(refined_pairs(large, width, percent))).withColumnRenamed("node", "doc_id")
+    small = candidates.filter(F.col("size") <= _BLOCK)
+    candidates = small.unionByName(large.join(finer, "doc_id").select(*small.columns))
     links = durable(linked_pairs(candidates, width, percent), "jaccard-links")
     found = connected_components(links).withColumnRenamed("node", "rep")
     labelled = durable(classes.join(found, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id")), "jaccard-labels")

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "h", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that a list column has at most `most` elements in each, or one row: this bounds a task's memory."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(batch.column(column).value_lengths().fill_null(0), dtype=np.int64))
+        start, before = 0, 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, int(ends[stop - 1])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit numbers (the finaliser of a common splittable generator)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
