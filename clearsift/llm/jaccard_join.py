@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lower_ascii, words
+from .common import durable, lower_ascii, release, words
 from .components import connected_components
 from .windows import mix, pieces, run_hashes, starts_of_runs
 
@@ -352,13 +352,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     named = durable(classes.select("c1", "rep"), "jaccard-names")
     parts = signatures(base.filter("doc_id IS NOT NULL"), width, percent)
     shared = durable(shared_parts(parts).distinct(), "jaccard-shared")
+    release(docs.sparkSession)
     # Digests become ids of representatives; were two sets to share a digest, both would become candidates.
     pairs = shared.join(named.select(F.col("c1").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("c1").alias("b"), F.col("rep").alias("rb")), "b")
     groups = sized(connected_components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
     # Both sides grow with the input: a merge join at every size. Texts move this once.
     candidates = durable(base.join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id"), "jaccard-candidates")
+    release(docs.sparkSession)
     large = candidates.filter(F.col("size") > _BLOCK).select("doc_id", "text")
     finer = sized(connected_components(refined_pairs(large, width, percent))).withColumnRenamed("node", "doc_id")
+    release(docs.sparkSession)
     small = candidates.filter(F.col("size") <= _BLOCK)
     candidates = small.unionByName(large.join(finer, "doc_id").select(*small.columns))
     links = durable(linked_pairs(candidates, width, percent), "jaccard-links")
