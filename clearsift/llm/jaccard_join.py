@@ -280,13 +280,13 @@ def refined_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     Elements are ordered by how many of these documents hold them, rare ones first. Linked sets share one of their
     first n - ceil(p n / 100) + 1 elements; as common passages come last, only real near copies share rare ones.
     """
-    elements = durable(exploded_sets(docs, width), "jaccard-elements")
+    elements = exploded_sets(docs, width)
     held = durable(elements.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-held")
-    # An element that one document holds has no row in `held`; it takes its place in the order with df 1.
-    ordered = elements.join(held, "gram", "left").select("doc_id", "n", "c1", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram").alias("e"))
-    first = F.expr(f"CAST(n - (({percent} * n + 99) div 100) + 1 AS INT)")
-    prefix = ordered.groupBy("doc_id", "n", "c1").agg(F.sort_array(F.collect_list("e")).alias("es")).select("doc_id", F.explode_outer(F.slice("es", F.lit(1), first)).alias("e"))
-    return shared_parts(prefix.filter("e.df > 1").select(F.col("e.gram").alias("sig"), F.col("doc_id").alias("c1"))).distinct()
+    # Elements that one document holds stand first and meet nobody: only their number counts, n less those held.
+    shared = elements.join(held, "gram").groupBy("doc_id", "n", "c1").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("es"))
+    first = F.expr(f"CAST(greatest(n - (({percent} * n + 99) div 100) + 1 - (n - size(es)), 0) AS INT)")
+    prefix = shared.select("doc_id", F.explode_outer(F.slice("es", F.lit(1), first)).alias("e")).filter("e IS NOT NULL")
+    return shared_parts(prefix.select(F.col("e.gram").alias("sig"), F.col("doc_id").alias("c1"))).distinct()
 
 
 def linked_pairs(candidates: DataFrame, width: int, percent: int) -> DataFrame:
