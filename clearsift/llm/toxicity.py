@@ -24,6 +24,10 @@ class ToxicityParams:
     #: Terms that tell the labels apart by this z-score, at most so many.
     min_z: float = 4.0
     max_terms: int = 4096
+    #: Pairs of one of these terms and any other, however weak by itself, in at least so many labelled documents, whose
+    #: labels the machine of single terms misses by this z-score.
+    pair_rows: int = 8
+    pair_z: float = 8.0
     factors: int = 8
     epochs: int = 15
     batch: int = 128
@@ -34,17 +38,16 @@ class ToxicityParams:
 
 @dataclass(frozen=True)
 class FactorizationMachine:
-    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over a document's known terms."""
+    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over a document's known terms and chosen pairs."""
 
     slots: np.ndarray  # of each term id its place in w and v, or -1
     bias: float
     w: np.ndarray
     v: np.ndarray
+    pairs: np.ndarray  # two term ids a row; their places in w and v are the last ones
 
     def score(self, rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
-        at = self.slots[terms]
-        known = at >= 0
-        rows, at = rows[known], at[known]
+        rows, at = _places(rows, terms, n, self.slots, self.pairs, len(self.w))
         total = np.full(n, self.bias)
         total += np.bincount(rows, self.w[at], n)
         for f in range(self.v.shape[1]):
@@ -53,14 +56,88 @@ class FactorizationMachine:
         return sigmoid(total)
 
 
+def _places(rows: np.ndarray, terms: np.ndarray, n: int, slots: np.ndarray, pairs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of known terms by row, and after them, of pairs of which a row has both."""
+    at = slots[terms]
+    known = at >= 0
+    more_rows, more_at = [rows[known]], [at[known].astype(np.int64)]
+    if len(pairs):
+        members, index = np.unique(pairs, return_inverse=True)
+        a, b = index.reshape(-1, 2).T
+        column = np.full(len(slots), -1, np.int64)
+        column[members] = np.arange(len(members))
+        mine = column[terms] >= 0
+        r, c = rows[mine], column[terms[mine]]
+        for start in range(0, n, 1024):
+            here = (r >= start) & (r < start + 1024)
+            has = np.zeros((min(1024, n - start), len(members)), bool)
+            has[r[here] - start, c[here]] = True
+            x, y = np.nonzero(has[:, a] & has[:, b])
+            more_rows.append(x + start)
+            more_at.append(y + size - len(pairs))
+    return np.concatenate(more_rows), np.concatenate(more_at)
+
+
+def missed_pairs(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, score: np.ndarray, machine: FactorizationMachine, p: ToxicityParams) -> np.ndarray:
+    """Pairs of a known term and any other that the errors of `score` ask for, by a score test.
+
+    A word that is common in clean text enters here, if only another word makes it toxic. Of pairs that stand in the
+    same documents, as a word's and its beginning's do, one is enough.
+    """
+    n, size = len(labels), len(machine.slots)
+    error, spread = labels - score, np.maximum(score * (1 - score), 0.01)
+    seen = np.bincount(terms, minlength=size)
+    some = np.flatnonzero(seen >= p.pair_rows)
+    place = np.full(size, -1, np.int64)
+    place[some] = np.arange(len(some))
+    keep = place[terms] >= 0
+    rows, at = rows[keep], place[terms[keep]]
+    starts = np.searchsorted(rows, np.arange(n + 1))
+    by = np.argsort(at, kind="stable")
+    first, docs_of = np.searchsorted(at[by], np.arange(len(some) + 1)), rows[by]
+    found: dict[tuple[int, float, float], tuple[int, int]] = {}
+    for anchor in np.flatnonzero(machine.slots >= 0):
+        if place[anchor] < 0:
+            continue
+        docs = docs_of[first[place[anchor]] : first[place[anchor] + 1]]
+        lengths = starts[docs + 1] - starts[docs]
+        index = at[np.repeat(starts[docs] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        n_both = np.bincount(index, minlength=len(some))
+        total = np.bincount(index, np.repeat(error[docs], lengths), len(some))
+        among = np.bincount(index, np.repeat(spread[docs], lengths), len(some))
+        z = np.abs(total) / np.sqrt(np.maximum(among, 0.01))
+        for other in np.flatnonzero((n_both >= p.pair_rows) & (n_both < len(docs)) & (z >= p.pair_z)):
+            key = (int(n_both[other]), round(float(total[other]), 6), round(float(among[other]), 6))
+            found.setdefault(key, (int(anchor), int(some[other])))
+    return np.array(sorted(found.values()), np.int64).reshape(-1, 2)
+
+
 def train(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, p: ToxicityParams) -> FactorizationMachine:
-    """Fits the machine on a bounded sample: rows[i] has terms[i]; labels are 0 or 1. One class only: its base rate."""
+    """Fits the machine on a bounded sample: rows[i] has terms[i]; labels are 0 or 1. One class only: its base rate.
+
+    Single terms come first: each half is scored by a machine of the other, and the pairs that these miss come in.
+    """
+    none = np.zeros((0, 2), np.int64)
+    machine = _fit(rows, terms, labels, none, p)
+    if not len(machine.w):
+        return machine
+    n, score = len(labels), np.zeros(len(labels))
+    half = np.random.default_rng(p.seed).permutation(n) % 2 == 0
+    for mine in (half, ~half):
+        place, learn = np.cumsum(mine) - 1, ~mine[rows]
+        other = _fit((np.cumsum(~mine) - 1)[rows[learn]], terms[learn], labels[~mine], none, p)
+        score[mine] = other.score(place[rows[~learn]], terms[~learn], int(mine.sum()))
+    pairs = missed_pairs(rows, terms, labels, score, machine, p)
+    return _fit(rows, terms, labels, pairs, p) if len(pairs) else machine
+
+
+def _fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, pairs: np.ndarray, p: ToxicityParams) -> FactorizationMachine:
     n, size = len(labels), 1 << p.bits
     slots = np.full(size, -1, np.int32)
     positive = float(labels.sum())
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5))) if n else 0.0
     if not n or positive in (0.0, float(n)):
-        return FactorizationMachine(slots, bias, np.zeros(0), np.zeros((0, p.factors)))
+        return FactorizationMachine(slots, bias, np.zeros(0), np.zeros((0, p.factors)), pairs)
     seen = np.bincount(terms, minlength=size)
     hits = np.bincount(terms, labels[rows], minlength=size)
     rate = seen / n
@@ -70,17 +147,19 @@ def train(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, p: ToxicityPa
     chosen = np.argsort(-z, kind="stable")[: p.max_terms]
     chosen = np.sort(chosen[z[chosen] >= p.min_z])
     slots[chosen] = np.arange(len(chosen))
-    at = slots[terms]
-    rows, at = rows[at >= 0], at[at >= 0]
+    size = len(chosen) + len(pairs)
+    rows, at = _places(rows, terms, n, slots, pairs, size)
+    order = np.argsort(rows, kind="stable")
+    rows, at = rows[order], at[order]
     starts = np.searchsorted(rows, np.arange(n + 1))
     rng = np.random.default_rng(p.seed)
-    b, w, v = np.array([bias]), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), p.factors))
+    b, w, v = np.array([bias]), np.zeros(size), rng.normal(0, 0.01, (size, p.factors))
     step = adam([b, w, v], p.rate)
     for _ in range(p.epochs):
         order = rng.permutation(n)
         for k in range(0, n, p.batch):
             docs = order[k : k + p.batch]
-            x = np.zeros((len(docs), len(chosen)))
+            x = np.zeros((len(docs), size))
             for i, d in enumerate(docs):
                 x[i, at[starts[d] : starts[d + 1]]] = 1.0
             xv = x @ v
@@ -88,7 +167,7 @@ def train(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, p: ToxicityPa
             e = (sigmoid(z) - labels[docs]) / len(docs)
             gv = x.T @ (e[:, None] * xv) - v * (x.T @ e)[:, None]
             step([np.array([e.sum()]), x.T @ e + p.decay * w, gv + p.decay * v])
-    return FactorizationMachine(slots, float(b[0]), w, v)
+    return FactorizationMachine(slots, float(b[0]), w, v, pairs)
 
 
 def with_terms(docs: DataFrame, p: ToxicityParams) -> DataFrame:
@@ -118,7 +197,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None
     """Scores every whole text: doc_id, held_out, score in [0, 1], predicted (1 if score >= 0.5).
 
     The machine learns from `labels.toxic` of the documents whose crc32(doc_id) mod 5 is not 0; labels, language,
-    source and id are no inputs of a score. Of several labels of one document the highest counts, of several
+    source and id are no inputs of a score. A pair of terms counts by itself where single terms miss its labels; one of
+    the two has to tell the labels apart alone (min_z). Of several labels of one document the highest counts, of several
     texts under one id the least is learned from; null labels are skipped. A text without known terms, an empty
     one or null gets the bias alone; a null id is not held out. Without both classes among the labels all scores
     are the smoothed base rate. Repeated rows are scored one by one; an empty table gives an empty result;

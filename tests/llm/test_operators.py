@@ -19,7 +19,7 @@ from clearsift.llm.pii import replace_pii, with_surrogates
 from clearsift.llm.quality_rules import quality_rules
 from clearsift.llm.sharding import shard_by_bytes
 from clearsift.llm.substring_dedup import dedup_substrings
-from clearsift.llm.toxicity import ToxicityParams, drop_toxic, score_toxicity
+from clearsift.llm.toxicity import ToxicityParams, drop_toxic, score_toxicity, train
 from clearsift.llm.weak_quality import VOTES, WeakQualityParams, classify_quality, label_model
 
 
@@ -240,6 +240,29 @@ def test_toxicity_learns_interactions(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def test_toxicity_learns_a_group_word_that_is_weak_by_itself():
+    """An insult is toxic only with a group word that is common in clean text and tells nothing alone."""
+    rng = np.random.default_rng(9)
+    slur, insult, group = 100, 101, 102
+
+    def sample(n):
+        has = rng.random((n, 3)) < (0.3, 0.04, 0.2)
+        docs = [sorted({*rng.choice(60, 12).tolist(), *np.array([slur, insult, group])[h].tolist()}) for h in has]
+        rows = np.repeat(np.arange(n), [len(d) for d in docs])
+        return rows, np.concatenate(docs), has, (has[:, 0] | (has[:, 1] & has[:, 2])).astype(float)
+
+    rows, terms, has, labels = sample(6000)
+    share = has[:, 2].mean()
+    apart = has[labels == 1, 2].mean() - has[labels == 0, 2].mean()
+    assert abs(apart) / np.sqrt(share * (1 - share) * (1 / labels.sum() + 1 / (1 - labels).sum())) < ToxicityParams().min_z
+    machine = train(rows, terms, labels, ToxicityParams())
+    rows, terms, has, labels = sample(6000)
+    score = machine.score(rows, terms, 6000)
+    both = has[:, 1] & has[:, 2]
+    assert both.sum() > 30 and (score[both] >= 0.5).all()
+    assert ((score >= 0.5) == (labels == 1)).mean() > 0.99
+
+
 def test_toxicity_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(i, 0, int(i % 2)) for i in range(30)], "doc_id long, quality int, toxic int")
     out = score_toxicity(docs, labels).collect()
