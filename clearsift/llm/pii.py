@@ -68,6 +68,11 @@ _ENDINGS = {("female", "latin"): ["la", "na", "ria", "lia"], ("male", "latin"):
             ("female", "cyrillic"): ["на", "ла", "рия", "лия"], ("male", "cyrillic"): ["н", "р", "слав", "мир"], ("surname", "cyrillic"): ["нов", "ров", "лин", "ский"]}
 
 
+#: From this attempt on, a surrogate may leave its value's length.
+_EXACT = 5
+_NAMES = ("female", "male", "surname")
+
+
 def kind_of(value: Column) -> Column:
     chain = F.when(F.lit(False), F.lit(""))
     for name, pattern in _KINDS:
@@ -103,6 +108,27 @@ def _in_kind(value: Column, digest: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _in_secret(value: Column, digest: Column) -> Column:
+    """As _in_kind, for letters and digits of all scripts; a value without any gets other symbols."""
+    bare = ~value.rlike(r"[\p{L}\p{N}]")
+    alphabet = {s: "".join(sorted(set("".join(x)))) for s, x in _SYLLABLES.items()}["cyrillic"]
+
+    def one(c: Column, i: Column) -> Column:
+        cyrillic = _pick(list(alphabet), _draw(digest, i, len(alphabet)))
+        latin = F.chr(_draw(digest, i, 26) + 97)
+        letter = F.when(c.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
+        return (
+            F.when(c.rlike("[A-Za-z0-9]"), c)
+            .when(c.rlike(r"\p{N}"), _draw(digest, i, 10).cast("string"))
+            .when(c.rlike(r"\p{Lu}"), F.upper(letter))
+            .when(c.rlike(r"\p{L}"), letter)
+            .when(bare, _pick(list("!#%&*+?_~^"), _draw(digest, i, 10)))
+            .otherwise(c)
+        )
+
+    return F.array_join(F.transform(F.split(_in_kind(value, digest, F.lit(0)), ""), one), "")
+
+
 def _luhn_sum(digits: Column, doubled: int) -> Column:
     """Luhn's sum of an array of digits counted from the right; those at places of parity `doubled` count twice."""
     twice = lambda d: F.when(d >= 5, d * 2 - 9).otherwise(d * 2)
@@ -115,7 +141,12 @@ def _digits(value: Column) -> Column:
 
 
 def with_surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """Adds the surrogate of each (kind, value) for its `attempt`; the same key, entity and attempt give the same."""
+    """Adds the surrogate of each (kind, value) for its `attempt`; the same key, entity and attempt give the same.
+
+    From attempt _EXACT on, surrogates are longer by one more piece with each attempt (a digit, letter or syllable), and
+    the octets of an address are of any length, so that no format is ever used up. Keys, card numbers and IBANs have at
+    least 10**11 surrogates and stay as they are.
+    """
     value = F.col("value")
     material = lambda *x: F.sha2(F.concat_ws("|", F.lit(secret), *x).cast("binary"), 512)
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -125,14 +156,19 @@ def with_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     digest = F.col("digest")
     top = F.substring_index(domain, ".", -1)
     host = F.expr("substring(substring_index(value, '@', -1), 1, length(substring_index(value, '@', -1)) - length(substring_index(value, '.', -1)))")
-    octet = lambda o, i: F.when(F.length(o) == 1, 1 + _draw(digest, i, 9)).when(F.length(o) == 2, 10 + _draw(digest, i, 90)).otherwise(100 + _draw(digest, i, 155)).cast("string")
+    more = F.greatest(F.col("attempt") - (_EXACT - 1), F.lit(0))
+    grown = lambda c: F.array_join(F.transform(F.slice(F.sequence(F.lit(0), more), F.lit(1), more), lambda i: c(i + 5)), "")
+    digits, letters = grown(lambda i: _draw(digest, i, 10).cast("string")), grown(lambda i: F.chr(_draw(digest, i, 26) + 97))
+    octet = lambda o, i: F.when(more > 0, 1 + _draw(digest, i, 255)).when(F.length(o) == 1, 1 + _draw(digest, i, 9)).when(F.length(o) == 2, 10 + _draw(digest, i, 90)).otherwise(100 + _draw(digest, i, 155)).cast("string")
     code = F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])|^\+", 0))
     last = (10 - _luhn_sum(_digits(F.expr("substring(drawn, 1, length(drawn) - 1)")), 0) % 10) % 10
     chain = (
-        F.when(F.col("kind") == "email", F.concat(_in_kind(local, digest, F.lit(0)), F.lit("@"), _in_kind(host, F.col("domain_digest"), F.lit(0)), top))
+        F.when(F.col("kind") == "email", F.concat(_in_kind(local, digest, F.lit(0)), letters, F.lit("@"), _in_kind(host, F.col("domain_digest"), F.lit(0)), top))
         .when(F.col("kind") == "key", _in_kind(value, digest, F.length(F.regexp_extract(value, r"^(?:AKIA|gh[pousr]_|sk-)", 0))))
         .when(F.col("kind") == "ip", F.array_join(F.transform(F.split(value, r"\."), octet), "."))
-        .when(F.col("kind") == "phone", _in_kind(value, digest, code))
+        .when(F.col("kind") == "phone", F.concat(_in_kind(value, digest, code), digits))
+        .when(F.col("kind") == "national", F.concat(_in_kind(value, digest, F.lit(0)), digits))
+        .when(F.col("kind") == "secret", F.concat(_in_secret(value, digest), letters))
         .when(F.col("kind") == "iban", _in_kind(value, digest, F.lit(2)))
         .when(
             F.col("kind") == "card",
@@ -142,19 +178,19 @@ def with_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     for (kind, s), endings in _ENDINGS.items():
         syllables = [_pick(_SYLLABLES[s], _draw(digest, F.lit(i), len(_SYLLABLES[s]))) for i in range(3)]
-        chain = chain.when((F.col("kind") == kind) & (script == s), F.initcap(F.concat(*syllables, _pick(endings, _draw(digest, F.lit(3), len(endings))))))
+        chain = chain.when((F.col("kind") == kind) & (script == s), F.initcap(F.concat(*syllables, grown(lambda i, s=s: _pick(_SYLLABLES[s], _draw(digest, i, len(_SYLLABLES[s])))), _pick(endings, _draw(digest, F.lit(3), len(endings))))))
     return base.withColumn("surrogate", chain.otherwise(_in_kind(value, digest, F.lit(0)))).drop("digest", "domain_digest", "drawn")
 
 
-def assign_surrogates(entities: DataFrame, secret: str, most_rounds: int = 30) -> DataFrame:
+def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """One surrogate for each distinct (kind, value): no two share one, and none is a value that really occurs.
 
     Who collides draws again with the next attempt (of equal surrogates the least value keeps its own), until no
-    collision is left; each round is written.
+    collision is left; each round is written. As formats grow with the attempts, that happens.
     """
     real = durable(entities.select("value").distinct().withColumnRenamed("value", "surrogate"), "pii-real")
     table = durable(with_surrogates(entities.distinct().withColumn("attempt", F.lit(0)), secret), "pii-surrogates")
-    for _ in range(most_rounds):
+    while True:
         owner = table.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("owner"))
         checked = table.join(owner, "surrogate").join(real.withColumn("taken", F.lit(True)), "surrogate", "left")
         bad = F.coalesce("taken", F.lit(False)) | (F.col("owner") != F.struct("kind", "value"))
@@ -163,7 +199,6 @@ def assign_surrogates(entities: DataFrame, secret: str, most_rounds: int = 30) -
             return checked.select("kind", "value", "surrogate")
         again = with_surrogates(checked.filter("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), secret)
         table = durable(checked.filter("NOT bad").select("kind", "value", "attempt", "surrogate").unionByName(again.select("kind", "value", "attempt", "surrogate")), "pii-surrogates")
-    raise RuntimeError("a kind of entity has more values in these texts than surrogates of its format")
 
 
 def replace_pii(docs: DataFrame, secret: str = "clearsift-demo-key") -> DataFrame:
@@ -174,7 +209,8 @@ def replace_pii(docs: DataFrame, secret: str = "clearsift-demo-key") -> DataFram
     in all documents (coreference), different entities different ones (distinctness), drawn with a keyed digest:
     separators, lengths, country codes, issuer digits, valid check digits, an e-mail's shared domain, a name's
     gender and script stay as they are. Names are replaced word by word, so that a surname alone still refers to
-    the same person. Only rows that hold an entity are shuffled.
+    the same person; a name that is found once in a document is replaced at its bare mentions there, too. Where a format
+    has too few surrogates, they grow longer. Only rows that hold an entity are shuffled.
 
     A null text stays null with n_replaced 0; null ids are passed on; repeated rows are treated alike; an empty
     table gives an empty result; further columns are ignored. Use a secret of your own.
@@ -186,8 +222,13 @@ def replace_pii(docs: DataFrame, secret: str = "clearsift-demo-key") -> DataFram
     hits = durable(seen.filter(has).withColumn("row", F.monotonically_increasing_id()), "pii-hits")
     pieces = hits.select("row", F.posexplode("found").alias("place", "value")).withColumn("kind", kind_of(F.col("value")))
     table = durable(assign_surrogates(pieces.select("kind", "value").distinct(), secret), "pii-table")
-    named = pieces.join(table, ["kind", "value"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("new"))
-    rebuilt = hits.join(named, "row").select("doc_id", F.split("text", EVERY, -1).alias("between"), F.col("new.surrogate").alias("new"))
-    whole = F.array_join(F.zip_with("between", "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = rebuilt.select("doc_id", whole.alias("text"), F.size("new").cast("long").alias("n_replaced"))
+    named = pieces.join(table, ["kind", "value"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate", "kind", "value"))).alias("new"))
+    people = F.array_distinct(F.transform(F.filter("new", lambda x: x.kind.isin(*_NAMES)), lambda x: F.struct(x.value.alias("value"), x.surrogate.alias("surrogate"))))
+    rebuilt = hits.join(named, "row").select("doc_id", F.split("text", EVERY, -1).alias("between"), F.col("new.surrogate").alias("new"), people.alias("people"))
+    alone = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x.value, F.lit(r"(?![\p{L}\p{N}])"))
+    # No surrogate is a name that occurs, so that one name after the other can be replaced.
+    others = F.transform("between", lambda t: F.aggregate("people", t, lambda t, x: F.regexp_replace(t, alone(x), x.surrogate)))
+    n_alone = F.aggregate("between", F.lit(0), lambda n, t: n + F.aggregate("people", F.lit(0), lambda m, x: m + F.regexp_count(t, alone(x))))
+    whole = F.array_join(F.zip_with(others, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = rebuilt.select("doc_id", whole.alias("text"), (F.size("new") + n_alone).cast("long").alias("n_replaced"))
     return seen.filter(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_replaced")).unionByName(changed)

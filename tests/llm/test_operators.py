@@ -370,6 +370,22 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert len({r.text for r in out}) == 9 and not {r.text for r in out} & {t for _, t in rows}
 
 
+def test_surrogates_of_values_whose_format_is_used_up_or_cannot_vary(spark):
+    texts = ["password: ******", "token=секретный", "password=????????"] + [f"ip {i}.{j}.{k}.{m}" for i in range(1, 10) for j in range(1, 10) for k in range(1, 10) for m in range(1, 10)]
+    out = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(out.values())) == len(texts) and not set(out.values()) & set(texts)
+    assert out[0].startswith("password: ") and out[1].startswith("token=") and "секретный" not in out[1] and "******" not in out[0]
+    assert all(0 <= int(o) <= 255 for d, t in out.items() if d > 2 for o in t.split()[1].split("."))
+
+
+def test_bare_mentions_of_a_found_name(spark):
+    rows = [(1, "Mr Keller left. Keller said that Kellers and Keller's brother stay."), (2, "Keller is a word here.")]
+    out = {r.doc_id: r for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = out[1].text.split()[1]
+    assert out[1].text == f"Mr {new} left. {new} said that Kellers and {new}'s brother stay." and new != "Keller" and out[1].n_replaced == 3
+    assert out[2].text == rows[1][1] and out[2].n_replaced == 0
+
+
 def test_surrogates_depend_on_the_key(spark):
     entity = spark.createDataFrame([("email", "a.b@c.org", 0)], "kind string, value string, attempt int")
     assert with_surrogates(entity, "k1").first().surrogate != with_surrogates(entity, "k2").first().surrogate
