@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lower_ascii, release, words
+from .common import durable, lower_ascii, words
 from .components import connected_components
 from .windows import mix, pieces, run_hashes, starts_of_runs
 
 _U = np.uint64
-#: Documents of a block; a candidate group larger than this is split into blocks that meet in pairs.
-_BLOCK = 64
+#: Documents and elements of a block, on average; a candidate group larger than this is split into blocks that meet in pairs.
+_BLOCK_DOCS, _BLOCK_ELEMENTS = 512, 1 << 18
 #: Seeds of the two digests of a set.
 _SEEDS = (0x5851F42D, 0x14057B7E)
 
@@ -76,101 +75,70 @@ def set_digests(docs: DataFrame, width: int) -> DataFrame:
     return _hashed(docs).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long")
 
 
-def size_bands(largest: int, percent: int) -> np.ndarray:
-    """Lower bounds of bands of set sizes: sets that can link lie in one band or in two that follow each other."""
-    bounds = [1]
-    while bounds[-1] <= largest:
-        bounds.append(bounds[-1] * 100 // percent + 1)
-    return np.array(bounds + [bounds[-1] * 100 // percent + 1])
+def least_common(n, percent: int):
+    """The least number of elements that a set of n elements has in common with any set linked with it."""
+    return (percent * n + 99) // 100
 
 
-def parts_of(lower: int, upper: int, percent: int) -> tuple[int, int]:
-    """(parts, d) for a band of sizes [lower, upper): linked sets, the larger in the band, differ in at most d elements.
+def asked(n, share: int):
+    """The number of common elements that extended prefixes are made for, by set size: `share` percent, at least one."""
+    return np.maximum(1, n * share // 100)
 
-    The least number of parts of which a set of the least size fills more than d, by six standard deviations."""
-    d = 2 * (100 - percent) * (upper - 1) // (100 + percent)
-    for k in range(d + 1, 8 * (d + 2) + lower):
-        load = lower / k
-        empty = math.exp(-load)
-        spread = math.sqrt(k * empty * max(0.0, 1 - (1 + load) * empty))
-        if k * (1 - empty) - 6 * spread >= d + 1:
-            return k, d
-    return d + 1, d
 
+def prefix_elements(docs: DataFrame, width: int, percent: int, share: int, owners: bool) -> DataFrame:
+    """The first elements of each set in one global order, that of the hashes: gram, and if asked for, c1, most, k.
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, c1): digests of the parts of each set, of which two linked sets share at least one, and of the whole set.
-
-    Sets x and y with a Jaccard of p% differ in at most (100 - p)(|x| + |y|) / (100 + p) = d elements, and so in at
-    most d of the parts into which elements are dealt by their hashes. A set that fills more than d parts has a
-    filled one in common with each partner; only one that fills fewer gives its empty parts too. A set gives the
-    parts of its own band and, as the smaller set of a pair, of the next.
+    Linked sets x and y have least_common elements in common at least, so that the first l common ones lie among the
+    first n - least_common(n) + l of each. With l = asked(n), these prefixes of x and y have at least min(asked(|x|),
+    asked(|y|)) elements in common. `most` is the prefix's size, and k a lower bound of that minimum for any partner.
+    Of equal sets in a batch one is enough.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [(0, 0)]
         for batch in pieces(batches):
             grams, counts = _lists(batch, width)
             if not len(grams):
                 continue
             rows = np.repeat(np.arange(len(counts)), counts)
             whole = _digest(grams, rows, len(counts), _SEEDS[0])
-            once = np.zeros(len(counts), bool)  # of equal sets in a batch one is enough
+            most = counts - least_common(counts, percent) + asked(counts, share)
+            once = np.zeros(len(counts), bool)
             once[np.unique(whole, return_index=True)[1]] = True
-            grams, counts = grams[once[rows]], np.where(once, counts, 0)
-            bounds = size_bands(int(counts.max()), percent)
-            rows = np.repeat(np.arange(len(counts)), counts)
-            band = np.searchsorted(bounds, counts, side="right") - 1
-            value = mix(grams ^ _U(0xD1B54A32))
-            while len(known) < len(bounds):  # bands are the same in every batch
-                k = len(known) - 1
-                known.append(parts_of(int(bounds[k]), int(bounds[k + 1]), percent))
-            table = np.array(known)
-            for step in (0, 1):
-                level = np.where(counts > 0, band + step, -1)
-                parts, most = table[level + 1, 0], table[level + 1, 1]
-                first = np.cumsum(parts) - parts
-                seed = mix((level + 1).astype(np.uint64))
-                place = first[rows] + (mix(grams ^ seed[rows]) % parts[rows].astype(np.uint64)).astype(np.int64)
-                total = int(parts.sum())
-                sums = _per_row(value, place, total)
-                filled = np.bincount(place, minlength=total) > 0
-                owner = np.repeat(np.arange(len(counts)), parts)
-                given = filled | (np.bincount(owner[filled], minlength=len(counts)) <= most)[owner]
-                number = (np.arange(total) - first[owner]).astype(np.uint64)
-                sig = mix(sums ^ mix(number + (level[owner].astype(np.uint64) << _U(32)))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[given]), pa.array(whole[owner[given]])], ["sig", "c1"])
-
-    return _hashed(docs).mapInArrow(run, "sig long, c1 long")
-
-
-def shared_parts(parts: DataFrame) -> DataFrame:
-    """(a, b): of the sets with one signature, the least digest with each other one.
-
-    Rows are dealt by signature and sorted, and stream by: a group of any size needs no memory. A signature has one
-    row of the many that each set gives, so that even one that a third of all sets share is a small part of a task.
+            taken = once[rows] & (np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts) < most[rows])
+            out, rows = [pa.array(grams[taken].view(np.int64))], rows[taken]
+            if owners:
+                k = asked(least_common(counts, percent), share)
+                out += [pa.array(whole[rows]), pa.array(most[rows].astype(np.int32)), pa.array(k[rows].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out, ["gram", "c1", "most", "k"][: len(out)])
+
+    return _hashed(docs).mapInArrow(run, "gram long" + ", c1 long, most int, k int" * owners)
+
+
+def rarest(elements: DataFrame, held: DataFrame, kept: Column) -> DataFrame:
+    """(gram, c1): of each set's elements (gram, c1 and others) those in `held`, rare ones first, `kept` of them.
+
+    `held` gives elements of more than one row with their frequency df. The join is a plain one of two exchanges, which
+    Spark splits where an element is hot; what is gathered of a set are its own elements.
     """
+    others = [F.first(c).alias(c) for c in elements.columns if c not in ("gram", "c1")]
+    common = elements.join(held, "gram").groupBy("c1").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("es"), *others)
+    first = common.select("c1", F.slice("es", F.lit(1), F.greatest(F.lit(0), kept).cast("int")).alias("es"))
+    return first.select("c1", F.explode_outer("es").alias("e")).filter("e IS NOT NULL").select(F.col("e.gram").alias("gram"), "c1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre = None, None
-        for batch in batches:
-            sig, c1 = np.asarray(batch.column("sig")), np.asarray(batch.column("c1"))
-            if not len(sig):
-                continue
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            heads = np.flatnonzero(new)
-            first = c1[heads].copy()
-            if sig[0] == last:
-                first[0] = centre
-            centres = np.repeat(first, np.diff(np.append(heads, len(sig))))
-            last, centre = sig[-1], centres[-1]
-            edges = np.stack([centres, c1], 1)[centres != c1]
-            if len(edges):
-                edges = np.unique(edges, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-    return parts.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(run, "a long, b long")
+
+def possible_sets(docs: DataFrame, width: int, percent: int, share: int = 10) -> DataFrame:
+    """c1: the digests of all sets that may be linked with another, found by their prefixes alone.
+
+    Two prefixes with k or more common elements share one of the `most` - k + 1 rarest elements of each. As what is
+    common in the corpus comes last, boilerplate makes few sets possible. Elements that one row holds stand first and
+    meet nobody: only their number counts.
+    """
+    counted = prefix_elements(docs, width, percent, share, False).groupBy("gram").agg(F.count("*").alias("df"))
+    held = durable(counted.filter("df > 1"), "jaccard-held")
+    elements = prefix_elements(docs, width, percent, share, True)
+    kept = durable(rarest(elements, held, F.size("es") - F.col("k") + 1), "jaccard-rare")
+    met = durable(kept.groupBy("gram").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).filter("a < b").select("gram"), "jaccard-met")
+    return durable(kept.join(met, "gram").select("c1").distinct(), "jaccard-possible")
 
 
 class PrefixTree:
@@ -178,16 +146,17 @@ class PrefixTree:
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
-        # A node: children by first element, sets that end here, least and largest size of the sets below.
-        self.root: list = [{}, [], 1 << 62, 0]
+        # A node: children by first element, sets that end here, and of the sets below least and largest size and the
+        # least number of elements that no other set has.
+        self.root: list = [{}, [], 1 << 62, 0, 1 << 62]
 
     def add(self, ranks: np.ndarray, size: int, name: int) -> None:
-        node, at = self.root, 0
-        node[2], node[3] = min(node[2], size), max(node[3], size)
+        node, at, own = self.root, 0, size - len(ranks)
+        node[2], node[3], node[4] = min(node[2], size), max(node[3], size), min(node[4], own)
         while at < len(ranks):
             edge = node[0].get(int(ranks[at]))
             if edge is None:
-                leaf = [{}, [(name, size)], size, size]
+                leaf = [{}, [(name, size)], size, size, own]
                 node[0][int(ranks[at])] = [ranks[at:], leaf]
                 return
             label, child = edge
@@ -195,16 +164,16 @@ class PrefixTree:
             differ = np.flatnonzero(label[:n] != ranks[at : at + n])
             same = int(differ[0]) if len(differ) else n
             if same < len(label):  # split the edge
-                middle = [{int(label[same]): [label[same:], child]}, [], child[2], child[3]]
+                middle = [{int(label[same]): [label[same:], child]}, [], child[2], child[3], child[4]]
                 node[0][int(ranks[at])] = [label[:same], middle]
                 child = middle
-            child[2], child[3] = min(child[2], size), max(child[3], size)
+            child[2], child[3], child[4] = min(child[2], size), max(child[3], size), min(child[4], own)
             node, at = child, at + same
         node[1].append((name, size))
 
     def linked(self, inside: np.ndarray, up_to: np.ndarray, size: int) -> Iterator[int]:
         """Names of the stored sets linked with a query: `inside` marks its elements, `up_to` counts them by rank."""
-        p = self.percent
+        p, own = self.percent, size - int(up_to[-1])
         stack = [(self.root, 0, 0, 0)]  # node, overlap, elements on the path, the query's elements up to here
         while stack:
             node, overlap, depth, passed = stack.pop()
@@ -213,8 +182,8 @@ class PrefixTree:
                     yield name
             for label, child in node[0].values():
                 o, d, q = overlap + int(inside[label].sum()), depth + len(label), int(up_to[label[-1]])
-                # What differs up to here bounds what can still be equal in the remaining lengths.
-                if (100 + p) * ((d - o) + (q - o)) <= (100 - p) * (size + child[3]) and p * child[2] <= 100 * size and p * size <= 100 * child[3]:
+                # What differs up to here, and what no other set has, bounds what can be equal in the remaining lengths.
+                if (100 + p) * ((d - o) + (q - o) + own + child[4]) <= (100 - p) * (size + child[3]) and p * child[2] <= 100 * size and p * size <= 100 * child[3]:
                     stack.append((child, o, d, q))
 
 
@@ -228,15 +197,13 @@ def _find(parent: dict[int, int], x: int) -> int:
 def join_block(ids: np.ndarray, left: np.ndarray, sets: list[np.ndarray], percent: int, crossing: bool) -> list[tuple[int, int]]:
     """Links that join the documents of a block (or of two blocks, across) into components; others are implied.
 
-    Elements found in one set only are counted, not stored. The others are ordered by falling frequency, so that
-    similar sets share long paths.
+    Sets stand in the global order, that of their hashes; elements found in one set only are counted, not stored.
     """
     every, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = int((count > 1).sum())
-    rank = np.empty(len(every), np.int64)
-    rank[np.lexsort((every, -count))] = np.arange(len(every))
+    rank = np.where(count > 1, np.cumsum(count > 1) - 1, shared)
     ends = np.cumsum([len(s) for s in sets])
-    ranked = [np.sort(r[r < shared]) for r in np.split(rank[inverse], ends[:-1])]
+    ranked = [r[r < shared] for r in np.split(rank[inverse], ends[:-1])]
     parent = {i: i for i in range(len(ids))}
     tree, links = PrefixTree(percent), []
     inside = np.zeros(shared + 1, np.int64)
@@ -259,43 +226,54 @@ def join_block(ids: np.ndarray, left: np.ndarray, sets: list[np.ndarray], percen
     return links
 
 
-def exploded_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(gram, doc_id, n, c1): a row for each element of each set, with the set's size and digest."""
+def set_elements(docs: DataFrame, width: int) -> DataFrame:
+    """(gram, c1, n): a row for each element of each set, with the set's digest and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             grams, counts = _lists(batch, width)
             rows = np.repeat(np.arange(len(counts)), counts)
             whole = _digest(grams, rows, len(counts), _SEEDS[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams.view(np.int64)), batch.column("doc_id").take(pa.array(rows)), pa.array(counts[rows]), pa.array(whole[rows])], ["gram", "doc_id", "n", "c1"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(whole[rows]), pa.array(counts[rows])], ["gram", "c1", "n"])
+
+    return _hashed(docs).mapInArrow(run, "gram long, c1 long, n long")
+
+
+def with_digests(docs: DataFrame, width: int) -> DataFrame:
+    """Adds to documents (doc_id, text) their sets' digest c1 and size n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            grams, counts = _lists(batch, width)
+            whole = _digest(grams, np.repeat(np.arange(len(counts)), counts), len(counts), _SEEDS[0])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(whole), pa.array(counts)], ["doc_id", "text", "c1", "n"])
 
-    return _hashed(docs).mapInArrow(run, "gram long, doc_id long, n long, c1 long")
+    return _hashed(docs, "text").mapInArrow(run, "doc_id long, text string, c1 long, n long")
 
 
-def refined_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) between documents (doc_id, text) of groups too large for a block: a second, finer search for candidates.
+def candidate_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(c1, component, blocks): groups of the sets (doc_id, text, c1, n) that no link leaves.
 
-    Elements are ordered by how many of these documents hold them, rare ones first. Linked sets share one of their
-    first n - ceil(p n / 100) + 1 elements; as common passages come last, only real near copies share rare ones.
+    Linked sets share one of their first n - least_common(n) + 1 elements in any one order; here, the rare ones of these
+    documents come first. A set is joined with the least one that it shares such an element with. A group's number of
+    blocks bounds what a task holds.
     """
-    elements = exploded_sets(docs, width)
-    held = durable(elements.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-held")
-    # Elements that one document holds stand first and meet nobody: only their number counts, n less those held.
-    shared = elements.join(held, "gram").groupBy("doc_id", "n", "c1").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("es"))
-    first = F.expr(f"CAST(greatest(n - (({percent} * n + 99) div 100) + 1 - (n - size(es)), 0) AS INT)")
-    prefix = shared.select("doc_id", F.explode_outer(F.slice("es", F.lit(1), first)).alias("e")).filter("e IS NOT NULL")
-    return shared_parts(prefix.select(F.col("e.gram").alias("sig"), F.col("doc_id").alias("c1"))).distinct()
+    elements = set_elements(docs, width)
+    held = durable(elements.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-common")
+    kept = durable(rarest(elements, held, F.size("es") - F.expr(f"({percent} * n + 99) div 100") + 1), "jaccard-rarest")
+    centres = durable(kept.groupBy("gram").agg(F.min("c1").alias("a"), F.max("c1").alias("z")).filter("a < z").select("gram", "a"), "jaccard-centres")
+    edges = kept.join(centres, "gram").filter("a <> c1").select("a", F.col("c1").alias("b")).distinct()
+    groups = connected_components(edges).withColumnRenamed("node", "c1")
+    sizes = docs.select("c1", "n").join(groups, "c1").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("elements"))
+    blocks = F.greatest(F.ceil(F.col("docs") / _BLOCK_DOCS), F.ceil(F.col("elements") / _BLOCK_ELEMENTS)).cast("int")
+    return groups.join(durable(sizes.select("component", blocks.alias("blocks")), "jaccard-blocks"), "component")
 
 
 def linked_pairs(candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) inside candidate groups (doc_id, text, component, size)."""
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    """Verified links (a, b) inside candidate groups (doc_id, text, component, blocks)."""
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     meet = (
-        candidates.withColumn("blocks", blocks)
-        .withColumn("mine", mine)
+        candidates.withColumn("mine", mine)
         .select("doc_id", "component", "mine", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("doc_id", "component", "text", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("is_left"))
     )
@@ -327,44 +305,29 @@ def linked_pairs(candidates: DataFrame, width: int, percent: int) -> DataFrame:
     return _hashed(dealt, "component", "i", "j", "is_left").mapInArrow(run, "a long, b long")
 
 
-def sized(components: DataFrame) -> DataFrame:
-    """Adds the size of its component to each node."""
-    components = durable(components, "jaccard-groups")
-    sizes = durable(components.groupBy("component").agg(F.count("*").alias("size")), "jaccard-sizes")
-    return durable(components.join(sizes, "component"), "jaccard-sized")
-
-
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Joins documents whose shingle sets have a Jaccard of at least `percent` into components.
 
     A set holds the distinct runs of `width` words (A-Z lower-cased); of fewer words, the whole sequence; none of no
     words. Returns doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included). Equal
-    sets are one class with one representative. Parts of sets that two representatives share make candidate groups,
-    which no link leaves; large groups are searched again by their rare elements. In each group prefix trees find the
-    links; a group still larger than a block is split into blocks that meet in pairs. No candidate is dropped.
+    sets are one class with one representative. Prefixes of the sets in a global order show which may be linked at all;
+    the full sets of these, rare elements first, give candidate groups, which no link leaves. In each group prefix
+    trees find the links; a group larger than a block is split into blocks that meet in pairs. No candidate is dropped.
 
     Documents without words are linked with nothing. A null id has a null component. Several rows of one id are one
-    document with several sets. An empty table gives an empty result; further columns are ignored.
+    document with several sets. Long texts are sets like others, of as many elements as they have; batches are cut so
+    that a task holds about a million words or one text. An empty table gives an empty result; further columns are
+    ignored. Which of two equal sets is looked at makes no difference (ties).
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = durable(set_digests(base, width), "jaccard-digests")
     classes = durable(digests.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    named = durable(classes.select("c1", "rep"), "jaccard-names")
-    parts = signatures(base.filter("doc_id IS NOT NULL"), width, percent)
-    shared = durable(shared_parts(parts).distinct(), "jaccard-shared")
-    release(docs.sparkSession)
-    # Digests become ids of representatives; were two sets to share a digest, both would become candidates.
-    pairs = shared.join(named.select(F.col("c1").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("c1").alias("b"), F.col("rep").alias("rb")), "b")
-    groups = sized(connected_components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    # Both sides grow with the input: a merge join at every size. Texts move this once.
-    candidates = durable(base.join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id"), "jaccard-candidates")
-    release(docs.sparkSession)
-    large = candidates.filter(F.col("size") > _BLOCK).select("doc_id", "text")
-    finer = sized(connected_components(refined_pairs(large, width, percent))).withColumnRenamed("node", "doc_id")
-    release(docs.sparkSession)
-    small = candidates.filter(F.col("size") <= _BLOCK)
-    candidates = small.unionByName(large.join(finer, "doc_id").select(*small.columns))
-    links = durable(linked_pairs(candidates, width, percent), "jaccard-links")
+    # Digests name sets; were two sets to share one, both would be candidates, and nothing would be lost.
+    possible = possible_sets(base.filter("doc_id IS NOT NULL"), width, percent)
+    reps = durable(classes.join(possible, "c1").select(F.col("rep").alias("doc_id")).distinct(), "jaccard-reps")
+    texts = durable(with_digests(base.join(reps, "doc_id", "left_semi"), width), "jaccard-candidates")
+    groups = durable(candidate_groups(texts, width, percent), "jaccard-groups")
+    links = durable(linked_pairs(texts.join(groups, "c1"), width, percent), "jaccard-links")
     found = connected_components(links).withColumnRenamed("node", "rep")
     labelled = durable(classes.join(found, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id")), "jaccard-labels")
     # Without words there is no class; the document is its own component.

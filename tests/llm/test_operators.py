@@ -154,17 +154,50 @@ def test_jaccard_components_match_brute_force(docs, width, percent):
 
 
 def test_large_groups_are_split_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "_BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "_BLOCK_DOCS", 5)
     got = Counter(tuple(r) for r in jaccard_components(frame(spark)).collect())
     assert got == _components(documents(), 3, 90)
 
 
-def test_size_bands_hold_every_pair():
-    for percent in (50, 80, 90, 95):
-        bounds = jaccard_join.size_bands(3000, percent)
-        band = lambda n: int(np.searchsorted(bounds, n, side="right")) - 1  # noqa: E731, B023
-        for a in range(1, 2000):
-            assert band(min(100 * a // percent, 3000)) - band(a) in (0, 1)
+def near_copies_with_boilerplate():
+    """Groups of near copies at all distances, and documents that only share long passages with each other."""
+    rng = np.random.default_rng(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    prose = lambda n: list(rng.choice(vocab, n))
+    common, texts = [prose(60) for _ in range(4)], []
+    for _ in range(6):
+        base = prose(int(rng.integers(40, 200)))
+        for k in range(12):
+            w = list(base)
+            for at in rng.integers(0, len(w), k):
+                w[at] = str(rng.choice(vocab))
+            texts.append(w)
+    for _ in range(60):
+        texts.append(prose(int(rng.integers(5, 40))) + common[int(rng.integers(4))] + common[int(rng.integers(4))])
+    texts += [prose(20_000)] * 2 + [prose(20_000)]
+    texts.append(texts[-1][:19_500] + prose(300))
+    return [(i, " ".join(w), "en", "s", 1, "", 0, 0.0, "") for i, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (3, 60)])
+def test_jaccard_components_of_near_copies_and_boilerplate(spark, width, percent):
+    rows = near_copies_with_boilerplate()
+    assert Counter(tuple(r) for r in jaccard_components(frame(spark, rows), width, percent).collect()) == _components(rows, width, percent)
+
+
+def test_prefixes_of_linked_sets_share_as_many_elements_as_asked():
+    rng = np.random.default_rng(4)
+    for percent, share in ((50, 10), (80, 10), (90, 10), (80, 40)):
+        for _ in range(500):
+            n = int(rng.integers(1, 120))
+            x = rng.choice(2000, n, replace=False)
+            y = np.unique(np.concatenate([x[rng.random(n) < rng.uniform(0.5, 1)], rng.choice(2000, int(rng.integers(0, 30)))]))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                k = [int(jaccard_join.asked(np.array([jaccard_join.least_common(len(s), percent)]), share)[0]) for s in (x, y)]
+                most = [len(s) - jaccard_join.least_common(len(s), percent) + int(jaccard_join.asked(np.array([len(s)]), share)[0]) for s in (x, y)]
+                shared = len(np.intersect1d(np.sort(x)[: most[0]], y[: most[1]]))
+                assert shared >= max(k) >= 1
 
 
 def test_components_of_a_chain_and_a_star(spark):
