@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -20,9 +22,11 @@ BLOCKS = frozenset(
 #: Elements that hold other blocks; where one ends, all that it holds ends too.
 CONTAINERS = frozenset("article aside body center div dl fieldset figure footer form header html li main menu nav ol section table td th tr ul head".split())
 #: Elements that are never content.
-NEVER = frozenset("nav footer aside form head script style noscript template iframe svg button select textarea dialog menu canvas object audio video map".split())
-#: Elements of NEVER and others whose end is waited for, besides CONTAINERS.
-HOLDING = CONTAINERS | NEVER
+NEVER = frozenset("nav footer menu dialog head script style noscript template iframe svg button select textarea canvas object audio video map".split())
+#: Elements that are beside the content, unless they hold nearly all of it.
+BESIDE = frozenset(("aside", "form"))
+#: Elements of these whose end is waited for, besides CONTAINERS.
+HOLDING = CONTAINERS | NEVER | BESIDE
 #: Words in class, id or role that mark menus, notices, adverts, comments and other page furniture.
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies "
@@ -30,28 +34,50 @@ FURNITURE = frozenset(
     "pagination popup promo promoted promotion recommended related search share sharing sidebar signup skip social "
     "sponsor sponsored sponsors subscribe toolbar widget".split()
 )
+#: Elements that are content regions by definition.
+REGIONS = frozenset(("article", "main"))
+_WHOLE = REGIONS | {"html", "body"}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAME = re.compile(r"[a-z]+")
 
 
+@dataclass
+class Container:
+    """An element that holds others: its name, the one it is in, and whether it is never content or marked as furniture."""
+
+    tag: str
+    parent: int
+    never: bool = False
+    marked: bool = False
+
+
+@dataclass
+class Line:
+    """What stands between the ends of blocks: its text, tags, container, and the characters inside links."""
+
+    text: str
+    tags: int
+    container: int
+    linked: int
+
+
 class LineReader(HTMLParser):
-    """Turns parser events into lines: [text, tags, container, inside an article, furniture]."""
+    """Turns parser events into lines and the containers they are in; container 0 is the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, container, furniture
-        self.regions: list[int] = []  # the containers that are articles or main parts, innermost last
-        self.containers = 0
+        self.lines: list[Line] = []
+        self.containers = [Container("", -1)]
+        self.open = [0]
+        self.names: Counter[str] = Counter()  # of the open containers
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = self.links = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
-            _, container, furniture = self.open[-1] if self.open else ("", 0, False)
-            self.lines.append((text, self.tags, container, self.regions[-1] if self.regions else 0, furniture))
-        self.parts, self.tags = [], 0
+            self.lines.append(Line(text, self.tags, self.open[-1], self.linked))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -59,31 +85,31 @@ class LineReader(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
+        self.links += tag == "a"
         if tag in HOLDING and tag not in _VOID:
-            inside = bool(self.open) and self.open[-1][2]
             names = [v or "" for k, v in attrs if k in ("class", "id", "role")]
-            marked = any(n in FURNITURE for v in names for n in _NAME.findall(v.lower()))
+            marked = tag not in _WHOLE and any(n in FURNITURE for v in names for n in _NAME.findall(v.lower()))
             hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-            page_header = tag == "header" and not self.regions
-            self.containers += 1
-            self.open.append((tag, self.containers, inside or marked or hidden or page_header or tag in NEVER))
-            if tag in ("article", "main"):
-                self.regions.append(self.containers)
+            page_header = tag == "header" and not any(self.names[x] for x in REGIONS)
+            self.containers.append(Container(tag, self.open[-1], tag in NEVER, marked or hidden or page_header or tag in BESIDE))
+            self.open.append(len(self.containers) - 1)
+            self.names[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        if tag in HOLDING and any(x[0] == tag for x in self.open):
-            while True:
-                name, container, _ = self.open.pop()
-                if self.regions and self.regions[-1] == container:
-                    self.regions.pop()
-                if name == tag:
-                    break
+        self.links = max(0, self.links - (tag == "a"))
+        while self.names[tag]:  # all that is open inside ends, too
+            name = self.containers[self.open.pop()].tag
+            self.names[name] -= 1
+            if name == tag:
+                break
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.links:
+            self.linked += len("".join(data.split()))
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)  # as browsers read it
@@ -93,6 +119,38 @@ class LineReader(HTMLParser):
         self.end_line()
 
 
+def furniture(containers: list[Container], lines: list[Line], least: float = 0.1) -> np.ndarray:
+    """Which containers are beside the content, by themselves or with what they are in.
+
+    Marks are only hints: where they leave less than `least` of the page's text, and no article or main part with any,
+    the mark of the container that holds most of it is taken back, and so on.
+    """
+    own = np.zeros(len(containers), np.int64)
+    for line in lines:
+        own[line.container] += len(line.text)
+    parent = [c.parent for c in containers]
+    marked = np.array([c.marked for c in containers])
+    never = np.array([c.never for c in containers])
+    for i in range(1, len(containers)):
+        never[i] |= never[parent[i]]
+    own[never] = 0
+    below = own.copy()
+    for i in range(len(containers) - 1, 0, -1):
+        below[parent[i]] += below[i]
+    in_region = np.array([c.tag in REGIONS for c in containers])
+    for i in range(1, len(containers)):
+        in_region[i] |= in_region[parent[i]]
+    while True:
+        out = never | marked
+        for i in range(1, len(containers)):
+            out[i] |= out[parent[i]]
+        left = own[~out].sum()
+        heavy = np.where(marked, below, 0)
+        if not heavy.any() or own[~out & in_region].any() or left >= least * below[0]:
+            return out
+        marked[int(heavy.argmax())] = False
+
+
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines; the kernel is normalised at the ends."""
     reach = max(1, int(np.ceil(3 * sigma)))
@@ -116,6 +174,17 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def content_root(containers: list[Container], lines: list[Line], chosen: np.ndarray, most: float = 0.95) -> int:
+    """The innermost container that holds `most` of the chosen lines' text or more."""
+    dense = np.zeros(len(containers), np.int64)
+    for i in np.flatnonzero(chosen):
+        dense[lines[i].container] += len(lines[i].text)
+    for i in range(len(containers) - 1, 0, -1):
+        dense[containers[i].parent] += dense[i]
+    # A container comes after the one it is in, so that the last that holds enough is the innermost.
+    return int(np.flatnonzero(dense >= most * dense[0])[-1])
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of one page; empty for a null or blank page."""
     if not html:
@@ -123,19 +192,31 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     reader = LineReader()
     reader.feed(html)
     reader.close()
-    lines = reader.lines
-    ratios = np.array([0.0 if furniture else len(text) / max(tags, 1) for text, tags, _, _, furniture in lines])
+    lines, containers = reader.lines, reader.containers
+    if not lines:
+        return ""
+    beside = furniture(containers, lines)[[x.container for x in lines]]
+    ratios = np.array([0.0 if out else len(x.text) / max(x.tags, 1) for x, out in zip(lines, beside, strict=True)])
     if not ratios.any():
         return ""
     smoothed = smooth(ratios, sigma)
-    chosen = (smoothed >= threshold(smoothed)) & (ratios > 0)
+    cut = threshold(smoothed)
+    chosen = (smoothed >= cut) & (ratios > 0)
     if not chosen.any():
         chosen[int(ratios.argmax())] = True
-    # A cluster of dense lines marks a region: its article or main part if there is one, else its own container.
-    articles = {lines[i][3] for i in np.flatnonzero(chosen)} - {0}
-    homes = {lines[i][2] for i in np.flatnonzero(chosen)}
-    keep = (lambda line: line[3] in articles) if articles else (lambda line: line[2] in homes)
-    return " ".join(line[0] for line in lines if line[0] and not line[4] and keep(line))
+    # Dense lines mark content regions: their articles or main parts if they are in any, else what holds them all.
+    region = [i if c.tag in REGIONS else 0 for i, c in enumerate(containers)]
+    for i in range(1, len(containers)):
+        region[i] = region[i] or region[containers[i].parent]
+    articles = {region[lines[i].container] for i in np.flatnonzero(chosen)} - {0}
+    root = content_root(containers, lines, chosen)
+    inside = [i == root for i in range(len(containers))]
+    for i in range(root + 1, len(containers)):
+        inside[i] = inside[containers[i].parent] or i == root
+    # Inside a region, a line that is nothing but links and lies in the lower cluster is a menu.
+    menu = [x.linked > 0.5 * len(x.text.replace(" ", "")) and x.text.count(" ") > 0 and r < cut for x, r in zip(lines, smoothed, strict=True)]
+    kept = (x.text for x, out, m in zip(lines, beside, menu, strict=True) if x.text and not out and not m and (region[x.container] in articles if articles else inside[x.container]))
+    return " ".join(kept)
 
 
 def extract_pages(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
@@ -143,10 +224,11 @@ def extract_pages(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
 
     Every line of a page (what stands between the ends of blocks) has a ratio of text to tags; furniture such as
     menus, adverts, forms, notices and comments has none. Ratios are smoothed, lines above the threshold between
-    the two clusters mark content regions, and all blocks of a region are kept, short ones too. Character references
-    are decoded, white space inside a block becomes one space, blocks are joined by one space.
+    the two clusters mark content regions: articles and main parts, or what holds them all. The blocks of a region are
+    kept, short ones too, but for those of the lower cluster that consist of links. Class names are hints: where they
+    would leave next to nothing of a page, they are not believed. Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
-    A null, blank or textless page gives an empty text. Markup that never ends is read as far as it goes. Nulls in
+    A null, blank or textless page gives an empty text. A very long page is read whole, in time in proportion to it. Markup that never ends is read as far as it goes. Nulls in
     page_id and url are passed on; repeated rows are read one by one; an empty table gives an empty result; further
     columns are ignored.
     """
