@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def hashed_terms(tokens: Column, bits: int, prefix: int = 0) -> Column:
@@ -17,6 +18,12 @@ def hashed_terms(tokens: Column, bits: int, prefix: int = 0) -> Column:
     return F.array_distinct(ids)
 
 
+def within_terms(sample: DataFrame, order: str, most: int) -> DataFrame:
+    """The first rows of a bounded sample whose `terms` number `most` or fewer in all: this bounds its bytes too."""
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return sample.withColumn("_sum", F.sum(F.size("terms").cast("long")).over(before)).filter(F.col("_sum") <= most).drop("_sum")
+
+
 def flat(column: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Of a list column: the row number of each element, and the elements."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,22 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SYMBOLS, durable, words
-from .hashed import adam, flat, hashed_terms, sigmoid
+from .hashed import adam, flat, hashed_terms, sigmoid, within_terms
 
-VOTES = ("length", "word_length", "symbols", "variety", "lines", "endings", "capitals")
+VOTES = ("length", "word_length", "symbols", "variety", "lines", "endings", "capitals", "marks", "echoes")
 
 
 @dataclass(frozen=True)
 class WeakQualityParams:
     bits: int = 18
-    #: At most so many documents are learned from (the bound of what the driver collects).
+    #: At most so many documents, of so many terms in all, are learned from (the bounds of what the driver collects).
     max_training_rows: int = 20_000
+    max_training_terms: int = 16_000_000
     em_rounds: int = 200
-    #: Prior of the labellers' rates of voting bad, on good and on bad documents, and its weight against the counts:
-    #: they only vote bad on strong grounds, and each knows one kind of bad document of several.
-    bad_on_good: float = 0.002
-    bad_on_bad: float = 0.3
-    prior_weight: float = 2.0
+    #: Votes that each labeller is credited with in each class beforehand, and how many of them are bad: a labeller that
+    #: hardly votes keeps these rates, any other its own, whatever the size of the corpus.
+    prior_votes: float = 10.0
+    bad_on_good: float = 0.02
+    bad_on_bad: float = 0.5
     epochs: int = 8
     batch: int = 128
     rate: float = 0.01
@@ -45,6 +46,8 @@ def labelled_votes(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = docs.select("doc_id", "text", words(F.col("text")).alias("w"), lines.alias("lines"), F.regexp_count(text, F.lit(SYMBOLS)).alias("symbols"), F.regexp_count(text, F.lit(r"\p{Lu}")).alias("capitals"))
     count = F.size("w")
+    marks = F.filter("w", lambda x: ~x.rlike(r"[\p{L}\p{N}]"))
+    echoes = F.filter("w", lambda x, i: x == F.get("w", i - 1))
     facts = base.select(
         "doc_id",
         "text",
@@ -56,6 +59,8 @@ def labelled_votes(docs: DataFrame) -> DataFrame:
         F.size("lines").alias("n_lines"),
         F.size(F.array_distinct("lines")).alias("n_distinct"),
         F.size(F.filter("lines", lambda x: x.rlike(r"[.!?]\s*$"))).alias("n_ended"),
+        (F.size(marks) / F.greatest(count, F.lit(1))).alias("marks"),
+        (F.size(echoes) / F.greatest(count, F.lit(1))).alias("echoes"),
     )
     n, chars, n_lines = F.col("n"), F.greatest(F.col("chars"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     mean, symbols, capitals = F.col("chars") / F.greatest(n, F.lit(1)), F.col("symbols") / chars, F.col("capitals") / chars
@@ -70,6 +75,8 @@ def labelled_votes(docs: DataFrame) -> DataFrame:
         _vote((n_lines >= 3) & (repeated < 0.1), (n_lines >= 4) & (repeated > 0.34)),
         _vote(ended >= 0.9, ended < 0.4),
         _vote((capitals > 0) & (capitals < 0.1), (n >= 20) & (capitals > 0.3)),
+        _vote((n >= 20) & (F.col("marks") < 0.01), (n >= 20) & (F.col("marks") > 0.04)),
+        _vote((n >= 20) & (F.col("echoes") < 0.05), (n >= 20) & (F.col("echoes") > 0.15)),
     ]
     return facts.select("doc_id", "text", F.concat(*votes).alias("votes"))
 
@@ -78,9 +85,9 @@ def label_model(patterns: dict[str, int], p: WeakQualityParams) -> dict[str, flo
     """EM over the counts of vote patterns: the posterior of being good for each pattern.
 
     Labellers are independent given the class, each with its own rates of voting good where it votes; no opinion says
-    nothing. Every document counts, through its pattern; there are at most 3**len(VOTES) of them. The rates have the
-    prior of the parameters, in proportion to their class. The start
-    takes bad votes, which the labellers only cast on strong grounds, for five good ones; class 1 stays the good one.
+    nothing. Every document counts, through its pattern; there are at most 3**len(VOTES) of them. The rates are counted,
+    but for the few prior votes of the parameters. The start takes a bad vote for three good ones; class 1 stays the
+    good one.
     """
     if not patterns:
         return {}
@@ -89,12 +96,12 @@ def label_model(patterns: dict[str, int], p: WeakQualityParams) -> dict[str, flo
     count = np.array([patterns[k] for k in keys], dtype=np.float64)
     one_hot = (votes[:, :, None] == np.arange(2)).astype(np.float64)
     n_good, n_bad = (votes == 1).sum(1), (votes == 0).sum(1)
-    good = np.clip((n_good + 0.5) / (n_good + 5 * n_bad + 1.0), 0.05, 0.95)
+    good = np.clip((n_good + 0.5) / (n_good + 3 * n_bad + 1.0), 0.05, 0.95)
     usual = np.array([[p.bad_on_bad, 1 - p.bad_on_bad], [p.bad_on_good, 1 - p.bad_on_good]])[:, None, :]
     for _ in range(p.em_rounds):
         weight = np.stack([count * (1 - good), count * good])
         prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        rates = np.einsum("ck,kjv->cjv", weight, one_hot) + p.prior_weight * weight.sum(1)[:, None, None] * usual + 1e-3
+        rates = np.einsum("ck,kjv->cjv", weight, one_hot) + p.prior_votes * usual
         rates /= rates.sum(2, keepdims=True)
         joint = np.log(prior)[:, None] + np.einsum("kjv,cjv->ck", one_hot, np.log(rates))
         new = sigmoid(joint[1] - joint[0])
@@ -139,28 +146,27 @@ def train_linear(rows: np.ndarray, terms: np.ndarray, soft: np.ndarray, p: WeakQ
 
 
 def classify_quality(docs: DataFrame, p: WeakQualityParams | None = None) -> DataFrame:
-    """Scores every whole text without given labels: doc_id, votes, posterior, score in [0, 1] and kept (score >= 0.5).
+    """Scores every whole text without given labels: doc_id, score in [0, 1] and kept (score >= 0.5).
 
     Overlapping heuristic labellers vote on all documents; EM over the counts of their patterns estimates how far
-    each can be trusted; the posteriors of a bounded sample train a linear scorer on hashed terms, which scores all.
+    each can be trusted; the posteriors of a bounded sample, that of the least hashes, train a linear scorer on hashed
+    terms, which scores all. Each text is read twice, to vote and to score; sampled ones a third time.
 
-    A null or blank text has no words: its labellers hardly vote and its score is the scorer's bias. Null ids are
-    scored like others. Repeated rows are scored one by one; an empty table gives an empty result; further columns
-    are ignored.
+    A null or blank text has no words: its labellers hardly vote and its score is the scorer's bias. A very long text
+    is scored whole, by its distinct terms. Null ids are scored like others. Repeated rows are scored one by one, and
+    learned from once; an empty table gives an empty result; further columns are ignored.
     """
     p = p or WeakQualityParams()
     spark = docs.sparkSession
-    tallies = durable(labelled_votes(docs).select("doc_id", "votes"), "weak-votes")
+    lot = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(p.seed))
+    tallies = durable(labelled_votes(docs).select("votes", lot.alias("lot")), "weak-votes")
     # One row for each pattern of votes: at most 3 ** len(VOTES).
     patterns = {r["votes"]: r["n"] for r in tallies.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    posterior = label_model(patterns, p)
-    rows = [(k, float(v)) for k, v in posterior.items()]
-    table = spark.createDataFrame(rows, "votes string, posterior double")
-    total = sum(patterns.values())
-    voted = labelled_votes(docs).join(F.broadcast(table), "votes")
-    rate = min(1.0, p.max_training_rows / max(total, 1))
-    lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(p.seed)), F.lit(1_000_000)) < int(rate * 1_000_000)
-    sample = with_terms(voted.filter(lot), p, "posterior", "doc_id").orderBy("doc_id", "posterior", "terms").limit(p.max_training_rows).select("posterior", "terms").toArrow()
+    table = spark.createDataFrame([(k, float(v)) for k, v in label_model(patterns, p).items()], "votes string, posterior double")
+    chosen = durable(tallies.orderBy("lot", "votes").limit(p.max_training_rows).distinct().join(F.broadcast(table), "votes").select("lot", "posterior"), "weak-sample")
+    # At most max_training_rows rows of two numbers.
+    sampled = docs.withColumn("lot", lot).join(F.broadcast(chosen), "lot").select("lot", "text", "posterior").dropDuplicates(["lot"])
+    sample = within_terms(with_terms(sampled, p, "lot", "posterior"), "lot", p.max_training_terms).orderBy("lot").select("posterior", "terms").toArrow()
     ids = flat(sample["terms"])
     model = spark.sparkContext.broadcast(train_linear(*ids, np.asarray(sample["posterior"], dtype=np.float64), p))
 
@@ -171,8 +177,8 @@ def classify_quality(docs: DataFrame, p: WeakQualityParams | None = None) -> Dat
             n = batch.num_rows
             length = np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1))
             s = sigmoid(bias + np.bincount(owner, weights[terms], n) / length)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("votes"), batch.column("posterior"), pa.array(s)], ["doc_id", "votes", "posterior", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = with_terms(voted, p, "doc_id", "votes", "posterior").mapInArrow(score, f"doc_id {kind}, votes string, posterior double, score double")
+    scored = with_terms(docs, p, "doc_id").mapInArrow(score, f"doc_id {kind}, score double")
     return scored.withColumn("kept", F.col("score") >= 0.5)
