@@ -81,8 +81,10 @@ def kind_of(value: Column) -> Column:
 
 
 def _draw(digest: Column, place: Column, n: int) -> Column:
-    """A number under n from two bytes of a hexadecimal digest of 128 digits, taken in a circle."""
-    return F.conv(F.substring(F.concat(digest, digest), (place * 4) % 128 + 1, F.lit(4)), 16, 10).cast("int") % n
+    """A number under n from two bytes of a hexadecimal digest of 128 digits; each 32 places have a digest of their own."""
+    block = F.floor(place / 32)
+    own = F.when(block == 0, digest).otherwise(F.sha2(F.concat_ws("|", digest, block.cast("string")).cast("binary"), 512))
+    return F.conv(F.substring(own, (place * 4) % 128 + 1, F.lit(4)), 16, 10).cast("int") % n
 
 
 def _pick(options: list[str], number: Column) -> Column:
@@ -143,19 +145,19 @@ def _digits(value: Column) -> Column:
 def with_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """Adds the surrogate of each (kind, value) for its `attempt`; the same key, entity and attempt give the same.
 
+    `domain` is the surrogate of an e-mail address's domain, itself an entity of the kind "domain", and else null.
     From attempt _EXACT on, surrogates are longer by one more piece with each attempt (a digit, letter or syllable), and
     the octets of an address are of any length, so that no format is ever used up. Keys, card numbers and IBANs have at
     least 10**11 surrogates and stay as they are.
     """
     value = F.col("value")
     material = lambda *x: F.sha2(F.concat_ws("|", F.lit(secret), *x).cast("binary"), 512)
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    local = F.substring_index(value, "@", 1)
     base = entities.withColumn("digest", material(F.col("kind"), value, F.col("attempt").cast("string")))
-    base = base.withColumn("domain_digest", material(F.lit("domain"), F.lower(domain)))
     base = base.withColumn("drawn", F.when(F.col("kind") == "card", _in_kind(value, F.col("digest"), F.lit(1))))
     digest = F.col("digest")
-    top = F.substring_index(domain, ".", -1)
-    host = F.expr("substring(substring_index(value, '@', -1), 1, length(substring_index(value, '@', -1)) - length(substring_index(value, '.', -1)))")
+    top = F.substring_index(value, ".", -1)
+    host = F.expr("substring(value, 1, length(value) - length(substring_index(value, '.', -1)) - 1)")
     more = F.greatest(F.col("attempt") - (_EXACT - 1), F.lit(0))
     grown = lambda c: F.array_join(F.transform(F.slice(F.sequence(F.lit(0), more), F.lit(1), more), lambda i: c(i + 5)), "")
     digits, letters = grown(lambda i: _draw(digest, i, 10).cast("string")), grown(lambda i: F.chr(_draw(digest, i, 26) + 97))
@@ -163,7 +165,8 @@ def with_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     code = F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])|^\+", 0))
     last = (10 - _luhn_sum(_digits(F.expr("substring(drawn, 1, length(drawn) - 1)")), 0) % 10) % 10
     chain = (
-        F.when(F.col("kind") == "email", F.concat(_in_kind(local, digest, F.lit(0)), letters, F.lit("@"), _in_kind(host, F.col("domain_digest"), F.lit(0)), top))
+        F.when(F.col("kind") == "email", F.concat(_in_kind(local, digest, F.lit(0)), letters, F.lit("@"), F.col("domain")))
+        .when(F.col("kind") == "domain", F.concat(_in_kind(host, digest, F.lit(0)), letters, F.lit("."), top))
         .when(F.col("kind") == "key", _in_kind(value, digest, F.length(F.regexp_extract(value, r"^(?:AKIA|gh[pousr]_|sk-)", 0))))
         .when(F.col("kind") == "ip", F.array_join(F.transform(F.split(value, r"\."), octet), "."))
         .when(F.col("kind") == "phone", F.concat(_in_kind(value, digest, code), digits))
@@ -179,26 +182,38 @@ def with_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     for (kind, s), endings in _ENDINGS.items():
         syllables = [_pick(_SYLLABLES[s], _draw(digest, F.lit(i), len(_SYLLABLES[s]))) for i in range(3)]
         chain = chain.when((F.col("kind") == kind) & (script == s), F.initcap(F.concat(*syllables, grown(lambda i, s=s: _pick(_SYLLABLES[s], _draw(digest, i, len(_SYLLABLES[s])))), _pick(endings, _draw(digest, F.lit(3), len(endings))))))
-    return base.withColumn("surrogate", chain.otherwise(_in_kind(value, digest, F.lit(0)))).drop("digest", "domain_digest", "drawn")
+    return base.withColumn("surrogate", chain.otherwise(_in_kind(value, digest, F.lit(0)))).drop("digest", "drawn")
 
 
-def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """One surrogate for each distinct (kind, value): no two share one, and none is a value that really occurs.
+def settle(entities: DataFrame, secret: str) -> DataFrame:
+    """(kind, value, surrogate) of entities (kind, value, domain): no two share one, none is a value that occurs.
 
     Who collides draws again with the next attempt (of equal surrogates the least value keeps its own), until no
     collision is left; each round is written. As formats grow with the attempts, that happens.
     """
+    keys = ["kind", "value", "domain", "attempt", "surrogate"]
     real = durable(entities.select("value").distinct().withColumnRenamed("value", "surrogate"), "pii-real")
-    table = durable(with_surrogates(entities.distinct().withColumn("attempt", F.lit(0)), secret), "pii-surrogates")
+    table = durable(with_surrogates(entities.distinct().withColumn("attempt", F.lit(0)), secret).select(*keys), "pii-surrogates")
     while True:
         owner = table.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("owner"))
         checked = table.join(owner, "surrogate").join(real.withColumn("taken", F.lit(True)), "surrogate", "left")
         bad = F.coalesce("taken", F.lit(False)) | (F.col("owner") != F.struct("kind", "value"))
-        checked = durable(checked.select("kind", "value", "attempt", "surrogate", bad.alias("bad")), "pii-checked")
+        checked = durable(checked.select(*keys, bad.alias("bad")), "pii-checked")
         if not checked.filter("bad").limit(1).count():
             return checked.select("kind", "value", "surrogate")
-        again = with_surrogates(checked.filter("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), secret)
-        table = durable(checked.filter("NOT bad").select("kind", "value", "attempt", "surrogate").unionByName(again.select("kind", "value", "attempt", "surrogate")), "pii-surrogates")
+        again = with_surrogates(checked.filter("bad").select("kind", "value", "domain", (F.col("attempt") + 1).alias("attempt")), secret)
+        table = durable(checked.filter("NOT bad").select(*keys).unionByName(again.select(*keys)), "pii-surrogates")
+
+
+def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
+    """One surrogate for each distinct (kind, value). The domains of e-mail addresses are settled first, as entities of
+    their own: addresses that share one keep sharing one, and different domains stay different."""
+    domain = F.when(F.col("kind") == "email", F.lower(F.substring_index("value", "@", -1)))
+    found = durable(entities.select("kind", "value", domain.alias("of")).distinct(), "pii-entities")
+    none = F.lit(None).cast("string").alias("domain")
+    domains = settle(found.filter("of IS NOT NULL").select(F.lit("domain").alias("kind"), F.col("of").alias("value"), none), secret)
+    domains = durable(domains.select(F.col("value").alias("of"), F.col("surrogate").alias("domain")), "pii-domains")
+    return settle(found.join(domains, "of", "left").select("kind", "value", "domain"), secret)
 
 
 def replace_pii(docs: DataFrame, secret: str = "clearsift-demo-key") -> DataFrame:
@@ -212,14 +227,16 @@ def replace_pii(docs: DataFrame, secret: str = "clearsift-demo-key") -> DataFram
     the same person; a name that is found once in a document is replaced at its bare mentions there, too. Where a format
     has too few surrogates, they grow longer. Only rows that hold an entity are shuffled.
 
+    Names are only found after the listed titles and first names; others stay. A very long text is one row as any other.
     A null text stays null with n_replaced 0; null ids are passed on; repeated rows are treated alike; an empty
     table gives an empty result; further columns are ignored. Use a secret of your own.
     """
     maybe = F.col("text").rlike(_MAYBE[0]) | F.col("text").rlike(_MAYBE[1]) | F.col("text").rlike(_MAYBE[2])
     found = F.when(maybe, F.regexp_extract_all("text", F.lit(EVERY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    seen = docs.select("doc_id", "text", found.alias("found"))
+    # Written with what was found, so that the patterns, by far the dearest step, run over each text once.
+    seen = durable(docs.select("doc_id", "text", found.alias("found")).withColumn("row", F.monotonically_increasing_id()), "pii-seen")
     has = F.coalesce(F.size("found") > 0, F.lit(False))
-    hits = durable(seen.filter(has).withColumn("row", F.monotonically_increasing_id()), "pii-hits")
+    hits = seen.filter(has)
     pieces = hits.select("row", F.posexplode("found").alias("place", "value")).withColumn("kind", kind_of(F.col("value")))
     table = durable(assign_surrogates(pieces.select("kind", "value").distinct(), secret), "pii-table")
     named = pieces.join(table, ["kind", "value"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate", "kind", "value"))).alias("new"))

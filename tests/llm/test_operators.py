@@ -316,18 +316,34 @@ def test_filters_keep_columns_with_odd_names_and_their_order(spark, docs):
 def test_label_model_trusts_labellers_that_agree():
     rng = np.random.default_rng(1)
     patterns, good = Counter(), Counter()
-    accuracy = (0.95, 0.9, 0.9, 0.85, 0.8, 0.75, 0.55)
+    accuracy = (0.95, 0.9, 0.9, 0.85, 0.8, 0.75, 0.55, 0.8, 0.7)
     for _ in range(4000):
         y = int(rng.random() < 0.8)
         p = "".join(str(y if rng.random() < a else 1 - y) for a in accuracy[: len(VOTES)])
         patterns[p] += 1
         good[p] += y
-    posterior = label_model(patterns, WeakQualityParams(prior_weight=0.0))
+    posterior = label_model(patterns, WeakQualityParams())
     right = sum(good[p] if posterior[p] >= 0.5 else n - good[p] for p, n in patterns.items())
     assert right / 4000 > 0.95
     assert label_model({}, WeakQualityParams()) == {}
 
 
+def test_label_model_distrusts_a_labeller_that_is_wrong():
+    """Labellers that seldom vote, and one that votes bad on a third of the good documents, as on a hot source."""
+    rng = np.random.default_rng(6)
+    for size in (4000, 40_000):
+        patterns, good = Counter(), Counter()
+        for _ in range(size):
+            y = int(rng.random() < 0.85)
+            votes = ["2" if rng.random() < 0.3 else "0" if rng.random() < (0.01 if y else 0.6) else "1" for _ in VOTES]
+            votes[1] = "0" if rng.random() < 1 / 3 else "1"
+            patterns["".join(votes)] += 1
+            good["".join(votes)] += y
+        posterior = label_model(patterns, WeakQualityParams())
+        right = sum(good[p] if posterior[p] >= 0.5 else n - good[p] for p, n in patterns.items())
+        assert right / size > 0.97
+
+
 def test_quality_classifier_on_held_out_kinds(spark):
     rng = np.random.default_rng(2)
     vocab = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(300)]
@@ -343,8 +359,13 @@ def test_quality_classifier_on_held_out_kinds(spark):
     assert sum(out[i] == (i % 6 != 0) for i in range(300)) >= 297
 
 
-def test_quality_classifier_of_odd_rows(docs):
-    assert classify_quality(docs).count() == len(documents())
+def test_quality_classifier_of_odd_rows(spark, docs):
+    out = classify_quality(docs).collect()
+    assert Counter(r.doc_id for r in out) == Counter(d for d, *_ in documents()) and all(0 <= r.score <= 1 and r.kept == (r.score >= 0.5) for r in out)
+    assert len({r.score for r in out if r.doc_id == 6}) == 1  # a repeated row
+    long = [(i, " ".join(f"Word{i} goes on and on here." for _ in range(4000)), "en", "s", 1, "", 0, 0.0, "") for i in range(3)]
+    bounded = classify_quality(frame(spark, documents() + long), WeakQualityParams(max_training_terms=200)).collect()
+    assert len(bounded) == len(documents()) + 3
 
 
 PAGE = """<html><head><title>No</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
@@ -361,6 +382,19 @@ def test_main_text():
     assert main_text("<div><p>" + "long " * 5000 + "</p></div>") == ("long " * 5000).strip()
 
 
+def test_main_text_does_not_believe_marks_that_leave_nothing():
+    long = "A long paragraph of text that is dense enough to be content, as it goes on and on. " * 3
+    two, text = f"<p>{long}</p><p>{long}</p>", f"{long}{long}".strip()
+    for page in ('<body class="has-sidebar">{}</body>', '<div class="right-sidebar">{}</div>', '<div class="comment-open">{}<div class="comments"><p>me too</p></div></div>', "<aside>{}", '<div class="content no-banner">{}</div>', "<form>{}<input></form>"):
+        assert main_text(page.format(two)) == text
+    assert main_text(f"<form><h1>Head</h1>{two}</form>") == f"Head {text}"
+    assert main_text(f'<main><p>Tiny.</p></main><section class="comments">{two}</section>') == "Tiny."
+    # Short blocks between long ones stay, rows of links and what lies outside do not.
+    assert main_text(f'<div><p>{long}</p><ul><li>short</li></ul><table><tr><td>cell</td></tr></table><p>{long}</p></div><div><a href="x">next page</a></div>') == f"{long}short cell {long}".strip()
+    assert main_text(f'<article><p>{long}</p><p><a href="a">Read more</a> | <a href="b">Next story</a></p><p>{long}</p><p>Short.</p></article>') == f"{text} Short."
+    assert main_text("<div>" * 20_000 + f"<p>{long}</p>") == long.strip()
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "v", "<p>é</p>", "x")]
     out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
@@ -411,6 +445,26 @@ def test_surrogates_of_values_whose_format_is_used_up_or_cannot_vary(spark):
     assert all(0 <= int(o) <= 255 for d, t in out.items() if d > 2 for o in t.split()[1].split("."))
 
 
+def test_domains_stay_apart(spark):
+    """Twenty-six domains of one letter each: the host's format is used up, so that some grow."""
+    texts = [f"write x{i % 3}@{chr(97 + i // 3)}.org soon" for i in range(78)] + ["key " + "ghp_" + "a1B" * 30]
+    out = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hosts = [out[i].split()[1].split("@")[1] for i in range(78)]
+    assert len(set(hosts)) == 26 and all(hosts[3 * k] == hosts[3 * k + 1] == hosts[3 * k + 2] and hosts[3 * k].endswith(".org") for k in range(26))
+    assert not {h for h in hosts} & {f"{chr(97 + k)}.org" for k in range(26)} and len({out[i] for i in range(78)}) == 78
+    key = out[78].split()[1][4:]
+    assert len(key) == 90 and key[:32] != key[32:64]
+
+
+def test_odd_rows_of_personal_data(spark):
+    """Very long texts, repeated rows, nulls."""
+    long = "word " * 20_000 + "mail a.b@c.org " + "word " * 20_000
+    rows = [(1, long), (1, long), (2, "a.b@c.org"), (2, "a.b@c.org"), (None, None), (3, None)]
+    out = replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 6 and len({r.text for r in out if r.doc_id == 1}) == 1 and {r.text for r in out if r.doc_id == 2} == {[r.text for r in out if r.doc_id == 1][0].split()[20_001]}
+    assert all(r.text is None and r.n_replaced == 0 for r in out if r.doc_id in (None, 3))
+
+
 def test_bare_mentions_of_a_found_name(spark):
     rows = [(1, "Mr Keller left. Keller said that Kellers and Keller's brother stay."), (2, "Keller is a word here.")]
     out = {r.doc_id: r for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -420,5 +474,5 @@ def test_bare_mentions_of_a_found_name(spark):
 
 
 def test_surrogates_depend_on_the_key(spark):
-    entity = spark.createDataFrame([("email", "a.b@c.org", 0)], "kind string, value string, attempt int")
+    entity = spark.createDataFrame([("email", "a.b@c.org", "q.org", 0)], "kind string, value string, domain string, attempt int")
     assert with_surrogates(entity, "k1").first().surrogate != with_surrogates(entity, "k2").first().surrogate
