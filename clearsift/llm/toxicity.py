@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .hashed import adam, flat, hashed_terms, sigmoid
+from .hashed import adam, flat, hashed_terms, sigmoid, within_terms
 
 
 @dataclass(frozen=True)
@@ -19,15 +19,20 @@ class ToxicityParams:
     #: Term ids: 2**bits; besides a word, its first `prefix` characters are a term, for inflected and joined forms.
     bits: int = 20
     prefix: int = 4
-    #: At most so many labelled documents are learned from (the bound of what the driver collects).
+    #: At most so many labelled documents, of so many terms in all, are learned from (the bounds of what the driver collects).
     max_training_rows: int = 20_000
-    #: Terms that tell the labels apart by this z-score, at most so many.
+    max_training_terms: int = 16_000_000
+    #: Terms in so many labelled documents are looked at; those that tell the labels apart by this z-score are known, at
+    #: most so many.
+    least_rows: int = 3
     min_z: float = 4.0
     max_terms: int = 4096
-    #: Pairs of one of these terms and any other, however weak by itself, in at least so many labelled documents, whose
-    #: labels the machine of single terms misses by this z-score.
+    #: Terms become known, too, if they are in a pair, in so many labelled documents, whose labels the machine misses by
+    #: this z-score: pairs of a known term and any other, and of any two of the most frequent terms, so many.
     pair_rows: int = 8
     pair_z: float = 8.0
+    frequent: int = 1024
+    max_pairs: int = 1024
     factors: int = 8
     epochs: int = 15
     batch: int = 128
@@ -38,16 +43,16 @@ class ToxicityParams:
 
 @dataclass(frozen=True)
 class FactorizationMachine:
-    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over a document's known terms and chosen pairs."""
+    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over a document's known terms."""
 
     slots: np.ndarray  # of each term id its place in w and v, or -1
     bias: float
     w: np.ndarray
     v: np.ndarray
-    pairs: np.ndarray  # two term ids a row; their places in w and v are the last ones
 
     def score(self, rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
-        rows, at = _places(rows, terms, n, self.slots, self.pairs, len(self.w))
+        at = self.slots[terms]
+        rows, at = rows[at >= 0], at[at >= 0]
         total = np.full(n, self.bias)
         total += np.bincount(rows, self.w[at], n)
         for f in range(self.v.shape[1]):
@@ -56,118 +61,148 @@ class FactorizationMachine:
         return sigmoid(total)
 
 
-def _places(rows: np.ndarray, terms: np.ndarray, n: int, slots: np.ndarray, pairs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of known terms by row, and after them, of pairs of which a row has both."""
-    at = slots[terms]
-    known = at >= 0
-    more_rows, more_at = [rows[known]], [at[known].astype(np.int64)]
-    if len(pairs):
-        members, index = np.unique(pairs, return_inverse=True)
-        a, b = index.reshape(-1, 2).T
-        column = np.full(len(slots), -1, np.int64)
-        column[members] = np.arange(len(members))
-        mine = column[terms] >= 0
-        r, c = rows[mine], column[terms[mine]]
-        for start in range(0, n, 1024):
-            here = (r >= start) & (r < start + 1024)
-            has = np.zeros((min(1024, n - start), len(members)), bool)
-            has[r[here] - start, c[here]] = True
-            x, y = np.nonzero(has[:, a] & has[:, b])
-            more_rows.append(x + start)
-            more_at.append(y + size - len(pairs))
-    return np.concatenate(more_rows), np.concatenate(more_at)
-
-
-def missed_pairs(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, score: np.ndarray, machine: FactorizationMachine, p: ToxicityParams) -> np.ndarray:
-    """Pairs of a known term and any other that the errors of `score` ask for, by a score test.
-
-    A word that is common in clean text enters here, if only another word makes it toxic. Of pairs that stand in the
-    same documents, as a word's and its beginning's do, one is enough.
+class Sample:
+    """Labelled documents by their terms, renumbered to those in `least` documents or more; terms of row i: at[starts[i]:starts[i + 1]]."""
+
+    def __init__(self, rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, least: int) -> None:
+        seen = np.bincount(terms)
+        self.names = np.flatnonzero(seen >= least)
+        self.labels, self.seen = labels, seen[self.names]
+        number = np.full(len(seen), -1, np.int32)
+        number[self.names] = np.arange(len(self.names), dtype=np.int32)
+        at = number[terms]
+        self.rows, self.at = rows[at >= 0].astype(np.int32), at[at >= 0]
+        self.starts = np.searchsorted(self.rows, np.arange(len(labels) + 1))
+
+    def dense(self, docs: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+        """A matrix of documents by the terms that have a place."""
+        x = np.zeros((len(docs), size), np.float32)
+        for i, d in enumerate(docs):
+            p = place[self.at[self.starts[d] : self.starts[d + 1]]]
+            x[i, p[p >= 0]] = 1.0
+        return x
+
+
+def marginal(sample: Sample, docs: np.ndarray, p: ToxicityParams) -> np.ndarray:
+    """The terms that tell the labels of the documents (a mask) apart by themselves."""
+    mine = docs[sample.rows]
+    at, hit = sample.at[mine], sample.labels[sample.rows[mine]]
+    n, positive = int(docs.sum()), float(sample.labels[docs].sum())
+    if positive in (0.0, float(n)):
+        return np.zeros(0, np.int64)
+    seen, hits = np.bincount(at, minlength=len(sample.names)), np.bincount(at, hit, minlength=len(sample.names))
+    rate = seen / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.abs(hits / positive - (seen - hits) / (n - positive)) / np.sqrt(rate * (1 - rate) * (1 / positive + 1 / (n - positive)))
+    z = np.where((seen >= p.least_rows) & np.isfinite(z), z, 0.0)
+    best = np.argsort(-z, kind="stable")[: p.max_terms]
+    return np.sort(best[z[best] >= p.min_z])
+
+
+def missed_pairs(sample: Sample, score: np.ndarray, known: np.ndarray, p: ToxicityParams) -> list[tuple[int, int, float]]:
+    """Pairs of terms, with a sign, that the errors of `score` ask for, by a score test; the clearest come first.
+
+    A word that is common in clean text enters here, if only another word makes it toxic, and so do two words that tell
+    nothing alone. Of pairs that stand in the same documents, as a word's and its beginning's do, one is enough.
     """
-    n, size = len(labels), len(machine.slots)
-    error, spread = labels - score, np.maximum(score * (1 - score), 0.01)
-    seen = np.bincount(terms, minlength=size)
-    some = np.flatnonzero(seen >= p.pair_rows)
-    place = np.full(size, -1, np.int64)
-    place[some] = np.arange(len(some))
-    keep = place[terms] >= 0
-    rows, at = rows[keep], place[terms[keep]]
-    starts = np.searchsorted(rows, np.arange(n + 1))
-    by = np.argsort(at, kind="stable")
-    first, docs_of = np.searchsorted(at[by], np.arange(len(some) + 1)), rows[by]
-    found: dict[tuple[int, float, float], tuple[int, int]] = {}
-    for anchor in np.flatnonzero(machine.slots >= 0):
-        if place[anchor] < 0:
-            continue
-        docs = docs_of[first[place[anchor]] : first[place[anchor] + 1]]
-        lengths = starts[docs + 1] - starts[docs]
-        index = at[np.repeat(starts[docs] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-        n_both = np.bincount(index, minlength=len(some))
-        total = np.bincount(index, np.repeat(error[docs], lengths), len(some))
-        among = np.bincount(index, np.repeat(spread[docs], lengths), len(some))
+    error, spread = sample.labels - score, np.maximum(score * (1 - score), 0.01)
+    found: dict[tuple[int, float, float], tuple[float, int, int, float]] = {}
+
+    def take(a: int, others: np.ndarray, both: np.ndarray, total: np.ndarray, among: np.ndarray) -> None:
         z = np.abs(total) / np.sqrt(np.maximum(among, 0.01))
-        for other in np.flatnonzero((n_both >= p.pair_rows) & (n_both < len(docs)) & (z >= p.pair_z)):
-            key = (int(n_both[other]), round(float(total[other]), 6), round(float(among[other]), 6))
-            found.setdefault(key, (int(anchor), int(some[other])))
-    return np.array(sorted(found.values()), np.int64).reshape(-1, 2)
+        # A term that never stands without the other makes no pair with it.
+        proper = (both >= p.pair_rows) & (both < np.minimum(sample.seen[a], sample.seen[others])) & (z >= p.pair_z)
+        for i in np.flatnonzero(proper):
+            key = (int(both[i]), round(float(total[i]), 4), round(float(among[i]), 4))
+            found.setdefault(key, (-float(z[i]), a, int(others[i]), float(np.sign(total[i]))))
+
+    size = len(sample.names)
+    by = np.argsort(sample.at, kind="stable").astype(np.int32)
+    first = np.searchsorted(sample.at[by], np.arange(size + 1))
+    every = np.arange(size)
+    for a in known:
+        docs = sample.rows[by[first[a] : first[a + 1]]]
+        lengths = sample.starts[docs + 1] - sample.starts[docs]
+        index = sample.at[np.repeat(sample.starts[docs] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        sums = [np.bincount(index, np.repeat(x[docs], lengths), size) for x in (error, spread)]
+        take(int(a), every, np.bincount(index, minlength=size), *sums)
+    common = np.argsort(-np.where(2 * sample.seen < len(error), sample.seen, 0), kind="stable")[: p.frequent]
+    common = np.sort(common[sample.seen[common] >= p.pair_rows])
+    place = np.full(size, -1, np.int32)
+    place[common] = np.arange(len(common))
+    sums = np.zeros((3, len(common), len(common)))
+    for k in range(0, len(error), 1024):
+        docs = np.arange(k, min(k + 1024, len(error)))
+        x = sample.dense(docs, place, len(common))
+        for i, weight in enumerate((np.ones(len(docs)), error[docs], spread[docs])):
+            sums[i] += x.T @ (x * weight[:, None].astype(np.float32))
+    for i, a in enumerate(common):
+        take(int(a), common[i + 1 :], *sums[:, i, i + 1 :])
+    return [x[1:] for x in sorted(found.values())[: p.max_pairs]]
 
 
 def train(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, p: ToxicityParams) -> FactorizationMachine:
-    """Fits the machine on a bounded sample: rows[i] has terms[i]; labels are 0 or 1. One class only: its base rate.
+    """Fits the machine on a bounded sample: rows[i], in ascending order, has terms[i]; labels are 0 or 1. One class
+    only: its base rate.
 
-    Single terms come first: each half is scored by a machine of the other, and the pairs that these miss come in.
+    A first machine knows the terms that tell the labels apart alone. Each half is scored by a machine of the other, and
+    the terms of the pairs that these miss become known; their factors start in the direction of the pair.
     """
-    none = np.zeros((0, 2), np.int64)
-    machine = _fit(rows, terms, labels, none, p)
-    if not len(machine.w):
-        return machine
-    n, score = len(labels), np.zeros(len(labels))
+    n, positive = len(labels), float(labels.sum())
+    bias = float(np.log((positive + 0.5) / (n - positive + 0.5))) if n else 0.0
+    nothing = FactorizationMachine(np.full(1 << p.bits, -1, np.int32), bias, np.zeros(0), np.zeros((0, p.factors)))
+    if not n or not len(terms) or positive in (0.0, float(n)):
+        return nothing
+    sample = Sample(rows, terms, labels, p.least_rows)
     half = np.random.default_rng(p.seed).permutation(n) % 2 == 0
+    score = np.zeros(n)
     for mine in (half, ~half):
-        place, learn = np.cumsum(mine) - 1, ~mine[rows]
-        other = _fit((np.cumsum(~mine) - 1)[rows[learn]], terms[learn], labels[~mine], none, p)
-        score[mine] = other.score(place[rows[~learn]], terms[~learn], int(mine.sum()))
-    pairs = missed_pairs(rows, terms, labels, score, machine, p)
-    return _fit(rows, terms, labels, pairs, p) if len(pairs) else machine
-
-
-def _fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, pairs: np.ndarray, p: ToxicityParams) -> FactorizationMachine:
-    n, size = len(labels), 1 << p.bits
-    slots = np.full(size, -1, np.int32)
-    positive = float(labels.sum())
-    bias = float(np.log((positive + 0.5) / (n - positive + 0.5))) if n else 0.0
-    if not n or positive in (0.0, float(n)):
-        return FactorizationMachine(slots, bias, np.zeros(0), np.zeros((0, p.factors)), pairs)
-    seen = np.bincount(terms, minlength=size)
-    hits = np.bincount(terms, labels[rows], minlength=size)
-    rate = seen / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = (hits / positive - (seen - hits) / (n - positive)) / np.sqrt(rate * (1 - rate) * (1 / positive + 1 / (n - positive)))
-    z = np.where((seen >= 3) & np.isfinite(z), np.abs(z), 0.0)
-    chosen = np.argsort(-z, kind="stable")[: p.max_terms]
-    chosen = np.sort(chosen[z[chosen] >= p.min_z])
-    slots[chosen] = np.arange(len(chosen))
-    size = len(chosen) + len(pairs)
-    rows, at = _places(rows, terms, n, slots, pairs, size)
-    order = np.argsort(rows, kind="stable")
-    rows, at = rows[order], at[order]
-    starts = np.searchsorted(rows, np.arange(n + 1))
+        score[mine] = _scores(sample, _fit(sample, ~mine, marginal(sample, ~mine, p), [], p), mine)
+    known = marginal(sample, np.ones(n, bool), p)
+    pairs = missed_pairs(sample, score, known, p) if p.factors else []
+    known = np.union1d(known, np.array([x for a, b, _ in pairs for x in (a, b)], np.int64)).astype(np.int64)
+    if not len(known):
+        return nothing
+    place, b, w, v = _fit(sample, np.ones(n, bool), known, pairs, p)
+    nothing.slots[sample.names[place >= 0]] = place[place >= 0]
+    return FactorizationMachine(nothing.slots, b, w, v)
+
+
+def _scores(sample: Sample, fitted: tuple[np.ndarray, float, np.ndarray, np.ndarray], docs: np.ndarray) -> np.ndarray:
+    place, b, w, v = fitted
+    out = []
+    wanted = np.flatnonzero(docs)
+    for k in range(0, len(wanted), 1024):
+        x = sample.dense(wanted[k : k + 1024], place, len(w))
+        out.append(b + x @ w + 0.5 * ((x @ v) ** 2 - x @ (v * v)).sum(1))
+    return sigmoid(np.concatenate(out)) if out else np.zeros(0)
+
+
+def _fit(sample: Sample, docs: np.ndarray, known: np.ndarray, pairs: list[tuple[int, int, float]], p: ToxicityParams) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """The places of the known terms, the bias, weights and factors, learned on the documents of the mask."""
+    size, wanted = len(known), np.flatnonzero(docs)
+    positive = float(sample.labels[docs].sum())
+    bias = float(np.log((positive + 0.5) / (len(wanted) - positive + 0.5)))
+    place = np.full(len(sample.names), -1, np.int32)
+    place[known] = np.arange(size)
     rng = np.random.default_rng(p.seed)
     b, w, v = np.array([bias]), np.zeros(size), rng.normal(0, 0.01, (size, p.factors))
-    step = adam([b, w, v], p.rate)
-    for _ in range(p.epochs):
-        order = rng.permutation(n)
-        for k in range(0, n, p.batch):
-            docs = order[k : k + p.batch]
-            x = np.zeros((len(docs), size))
-            for i, d in enumerate(docs):
-                x[i, at[starts[d] : starts[d + 1]]] = 1.0
-            xv = x @ v
-            z = b[0] + x @ w + 0.5 * (xv**2 - x @ (v * v)).sum(1)
-            e = (sigmoid(z) - labels[docs]) / len(docs)
-            gv = x.T @ (e[:, None] * xv) - v * (x.T @ e)[:, None]
-            step([np.array([e.sum()]), x.T @ e + p.decay * w, gv + p.decay * v])
-    return FactorizationMachine(slots, float(b[0]), w, v, pairs)
+    for k, (one, other, sign) in enumerate(pairs):
+        v[place[one], k % p.factors] += 0.1
+        v[place[other], k % p.factors] += 0.1 * sign
+    if size:
+        step = adam([b, w, v], p.rate)
+        for _ in range(p.epochs):
+            order = rng.permutation(wanted)
+            for k in range(0, len(order), p.batch):
+                chosen = order[k : k + p.batch]
+                x = sample.dense(chosen, place, size)
+                xv = x @ v
+                z = b[0] + x @ w + 0.5 * (xv**2 - x @ (v * v)).sum(1)
+                e = (sigmoid(z) - sample.labels[chosen]) / len(chosen)
+                gv = x.T @ (e[:, None] * xv) - v * (x.T @ e)[:, None]
+                step([np.array([e.sum()]), x.T @ e + p.decay * w, gv + p.decay * v])
+    return place, float(b[0]), w, v
 
 
 def with_terms(docs: DataFrame, p: ToxicityParams) -> DataFrame:
@@ -188,17 +223,21 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> FactorizationM
     # At most max_training_rows rows of two numbers: the broadcast and what the driver collects are bounded by it.
     sample = docs.filter("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     first = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    terms = with_terms(first, p).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("terms", "toxic").toArrow()
+    ordered = with_terms(first, p).withColumn("lot", F.xxhash64("doc_id", F.lit(p.seed)))
+    terms = within_terms(ordered, "lot", p.max_training_terms).join(F.broadcast(chosen), "doc_id").orderBy("lot", "doc_id").select("terms", "toxic").toArrow()
     rows, ids = flat(terms["terms"])
-    return train(rows, ids, np.asarray(terms["toxic"], dtype=np.float64), p)
+    labels = np.asarray(terms["toxic"], dtype=np.float64)
+    del terms
+    return train(rows, ids, labels, p)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None = None) -> DataFrame:
     """Scores every whole text: doc_id, held_out, score in [0, 1], predicted (1 if score >= 0.5).
 
     The machine learns from `labels.toxic` of the documents whose crc32(doc_id) mod 5 is not 0; labels, language,
-    source and id are no inputs of a score. A pair of terms counts by itself where single terms miss its labels; one of
-    the two has to tell the labels apart alone (min_z). Of several labels of one document the highest counts, of several
+    source and id are no inputs of a score. Terms that tell nothing alone are known to the machine if the labels of a pair
+    ask for them: one of the two tells the labels apart alone (min_z), or both are among the most frequent terms. A very
+    long text is scored whole, by its distinct terms. Of several labels of one document the highest counts, of several
     texts under one id the least is learned from; null labels are skipped. A text without known terms, an empty
     one or null gets the bias alone; a null id is not held out. Without both classes among the labels all scores
     are the smoothed base rate. Repeated rows are scored one by one; an empty table gives an empty result;

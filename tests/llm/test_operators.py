@@ -255,7 +255,7 @@ def test_contamination_matches_brute_force(spark, docs):
     assert left == {d for d, *_ in rows} - {d for d, _ in got}
 
 
-def test_toxicity_learns_interactions(spark):
+def test_toxicity_of_an_insult_with_a_group(spark):
     rng = np.random.default_rng(3)
     fill = [f"fill{i}" for i in range(60)]
     rows, labels = [], []
@@ -273,6 +273,23 @@ def test_toxicity_learns_interactions(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def test_toxicity_learns_a_pure_interaction():
+    """Either of two words is toxic, both together are not: no single word tells the labels apart."""
+
+    def sample(n, rng):
+        has = rng.random((n, 2)) < 0.5
+        docs = [sorted({*rng.choice(60, 12).tolist(), *np.array([100, 101])[h].tolist()}) for h in has]
+        return np.repeat(np.arange(n), [len(d) for d in docs]), np.concatenate(docs), (has[:, 0] ^ has[:, 1]).astype(float)
+
+    right = {}
+    for factors in (ToxicityParams().factors, 0):
+        rng = np.random.default_rng(9)
+        machine = train(*sample(6000, rng), ToxicityParams(factors=factors))
+        rows, terms, labels = sample(6000, rng)
+        right[factors] = ((machine.score(rows, terms, 6000) >= 0.5) == (labels == 1)).mean()
+    assert right.pop(0) < 0.6 and min(right.values()) > 0.99
+
+
 def test_toxicity_learns_a_group_word_that_is_weak_by_itself():
     """An insult is toxic only with a group word that is common in clean text and tells nothing alone."""
     rng = np.random.default_rng(9)
@@ -288,12 +305,15 @@ def test_toxicity_learns_a_group_word_that_is_weak_by_itself():
     share = has[:, 2].mean()
     apart = has[labels == 1, 2].mean() - has[labels == 0, 2].mean()
     assert abs(apart) / np.sqrt(share * (1 - share) * (1 / labels.sum() + 1 / (1 - labels).sum())) < ToxicityParams().min_z
-    machine = train(rows, terms, labels, ToxicityParams())
+    first = rows, terms, labels
+    machine = train(*first, ToxicityParams())
     rows, terms, has, labels = sample(6000)
     score = machine.score(rows, terms, 6000)
     both = has[:, 1] & has[:, 2]
     assert both.sum() > 30 and (score[both] >= 0.5).all()
     assert ((score >= 0.5) == (labels == 1)).mean() > 0.99
+    additive = train(*first, ToxicityParams(factors=0)).score(rows, terms, 6000)
+    assert (additive[both] >= 0.5).mean() < 0.5
 
 
 def test_toxicity_of_odd_rows(spark, docs):
@@ -301,6 +321,9 @@ def test_toxicity_of_odd_rows(spark, docs):
     out = score_toxicity(docs, labels).collect()
     assert len(out) == len(documents()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     assert drop_toxic(docs, labels).columns == docs.columns
+    long = [(900 + i, " ".join(f"w{(i + 1) * k}" for k in range(20_000)), "en", "s", 1, "", 0, 0.0, "") for i in range(3)]
+    more = labels.union(spark.createDataFrame([(900 + i, 0, 1) for i in range(3)], labels.schema))
+    assert score_toxicity(frame(spark, documents() + long), more, ToxicityParams(max_training_terms=25_000)).count() == len(documents()) + 3
     one_class = spark.createDataFrame([(i, 0, 0) for i in range(30)], "doc_id long, quality int, toxic int")
     assert len({r.score for r in score_toxicity(docs, one_class).collect()}) == 1
 
