@@ -36,7 +36,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 5, percen
 
     Returns doc_id, item_id, n_item_shingles, n_shared and containment. A null or blank item or document has no
     shingles and is in no pair; one with fewer than `width` words has a single shingle, its whole sequence, and so
-    is found only in a document with the same words. Rows of equal ids are searched one by one, and their best
+    is found only in a document with the same words. Very long texts are searched whole. Rows of equal ids are searched one by one, and their best
     containment is returned. Null ids are left out. Empty tables give an empty result; further columns are ignored.
     """
     bench = shingle_sets(items.filter("item_id IS NOT NULL").select("item_id", "text"), width, "item_set")
@@ -49,7 +49,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 5, percen
     searched = shingle_sets(whole, width, "doc_set").select("doc_id", F.explode_outer("doc_set").alias("h"))
     hits = searched.join(probes, "h").select("doc_id", "item_id").distinct()
     hits = durable(hits, "bench-hits")
-    suspects = whole.join(hits.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    suspects = whole.join(durable(hits.select("doc_id").distinct(), "bench-suspects"), "doc_id", "left_semi")
     pairs = shingle_sets(suspects, width, "doc_set").join(hits, "doc_id").join(bench.select("item_id", "n_item_shingles", "item_set"), "item_id")
     counted = pairs.select("doc_id", "item_id", "n_item_shingles", F.size(F.array_intersect("doc_set", "item_set")).alias("n_shared"))
     return (
