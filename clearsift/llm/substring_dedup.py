@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, words
-from .windows import minimizers, run_hashes, windows_with
+from .windows import minimizers, pieces, run_hashes, windows_with
 
 #: Words of a gram: enough that two documents seldom share one by chance, few enough that windows choose few.
 _GRAM = 7
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: An automaton is compiled when its phrases have so many characters; this bounds a task's memory.
+#: An automaton is compiled when its phrases have so many characters, or the documents that wait for it ten times as
+#: many; this bounds a task's memory.
 _SHARD_CHARS = 400_000
 
 
@@ -34,7 +35,7 @@ def passage_anchors(docs: DataFrame, window: int, with_place: bool) -> DataFrame
     """The chosen grams of every document: anchor, doc_id and, if asked for, the place in the document."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             h, lengths = _batch_words(batch.column("h"))
             at, anchor = minimizers(h, lengths, _GRAM, window)
             first = np.cumsum(lengths) - lengths
@@ -51,7 +52,7 @@ def suspect_windows(suspects: DataFrame, window: int) -> DataFrame:
     """Hashes of the windows around the recurring anchors: win, doc_id, start."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             h, lengths = _batch_words(batch.column("h"))
             first = np.cumsum(lengths) - lengths
             places, counts = _batch_words(batch.column("places"))
@@ -143,17 +144,18 @@ def locate(docs: DataFrame, window: int) -> DataFrame:
 
         held: list[tuple[int, str]] = []
         phrases: dict[str, int] = {}
-        chars = 0
+        chars = waiting = 0
         for batch in batches:
             for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("phrases"), strict=True):
                 held.append((doc, text.as_py() or ""))
+                waiting += len(held[-1][1])
                 for x in own.as_py():
                     if x["phrase"] not in phrases:
                         chars += len(x["phrase"])
                     phrases[x["phrase"]] = min(x["source"], phrases.get(x["phrase"], x["source"]))
-                if chars >= _SHARD_CHARS:
+                if chars >= _SHARD_CHARS or waiting >= 10 * _SHARD_CHARS:
                     yield flush()
-                    held, phrases, chars = [], {}, 0
+                    held, phrases, chars, waiting = [], {}, 0, 0
         yield flush()
 
     return docs.mapInArrow(run, "doc_id long, text_sha256 string, n_removed long, kept_sha256 string")
@@ -168,7 +170,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     group of documents is streamed through an automaton of the phrases that occur in it, which finds every
     occurrence by the words themselves, so that equal hashes alone remove nothing.
 
-    A null or blank text has no words. A null id is kept whole and removes nothing. Several rows of one id are one
+    A null or blank text has no words. Of a very long text as many windows are looked at as it has. A null id is kept whole and removes nothing. Several rows of one id are one
     document with several texts: each is judged by itself, only against smaller ids. An empty table gives an empty
     result; further columns are ignored.
     """
