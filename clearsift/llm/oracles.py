@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import FENCES
+from .quality_rules import FENCES, REPEATS_FREE
 
 _W = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
 _WORDS = _W.format("coalesce(text, '')")
@@ -61,7 +61,7 @@ fe AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM t JOIN ln USING (r) LEFT JOIN cov USING (r)),
 m AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, CASE WHEN n_words >= 100 THEN (100 * word_chars) // n_words END AS mean_len,
     CASE WHEN n_words > 0 THEN (1000 * n_symbols) // word_chars END AS symbols, CASE WHEN n_words > 0 THEN (1000 * n_dup_lines) // n_words END AS dup_lines,
-    CASE WHEN n_words > 0 THEN (1000 * n_repeat_words) // n_words END AS repeats FROM fe),
+    CASE WHEN n_words > 0 THEN (1000 * greatest(n_repeat_words - {REPEATS_FREE}, 0)) // n_words END AS repeats FROM fe),
 lo AS ({_LONG}),
 sk AS (SELECT lang, source, metric, {_BUCKET} AS b, count(*) AS n FROM lo GROUP BY ALL),
 {_quartiles('o', 'lang, source')}, {_quartiles('l', 'lang')}, {_quartiles('a', '')},

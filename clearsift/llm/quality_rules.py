@@ -24,7 +24,9 @@ class Fence:
 
 
 #: mean_len: hundredths of a character a word; symbols: a thousand characters; dup_lines and repeats: a thousand words.
-FENCES = (Fence("mean_len", 4, 20, two_sided=True), Fence("symbols", 3, 10), Fence("dup_lines", 3, 15), Fence("repeats", 3, 95))
+FENCES = (Fence("mean_len", 4, 20, two_sided=True), Fence("symbols", 3, 10), Fence("dup_lines", 3, 15), Fence("repeats", 3, 20))
+#: So many repeated words count for nothing: one line that stands twice in a short clean text.
+REPEATS_FREE = 40
 
 
 def window_hashes(hashes: Column, width: int) -> Column:
@@ -86,7 +88,7 @@ def metric_values(features: DataFrame) -> DataFrame:
             "mean_len": F.expr("CASE WHEN n_words >= 100 THEN (100 * word_chars) div n_words END"),
             "symbols": F.expr("CASE WHEN n_words > 0 THEN (1000 * n_symbols) div word_chars END"),
             "dup_lines": F.expr("CASE WHEN n_words > 0 THEN (1000 * n_dup_lines) div n_words END"),
-            "repeats": F.expr("CASE WHEN n_words > 0 THEN (1000 * n_repeat_words) div n_words END"),
+            "repeats": F.expr(f"CASE WHEN n_words > 0 THEN (1000 * greatest(n_repeat_words - {REPEATS_FREE}, 0)) div n_words END"),
         }
     )
 
@@ -153,6 +155,7 @@ def quality_rules(docs: DataFrame, least_rows: int = 50, fences: tuple[Fence, ..
     joined back to the documents. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed and kept.
 
+    Fences are inclusive (ties stay); a very long text is judged by its rates as any other.
     A null or blank text has no words and fails. Null languages and sources are groups of their own. A metric that
     a document or a group has no value for rejects nothing. Repeated rows are judged one by one; an empty table
     gives an empty result; further columns are ignored.
