@@ -108,7 +108,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     size = F.size(words(F.col("text"))).cast("long")
     plan = mix_sources(docs, **params).groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
     plan = durable(plan, "mix-copies").alias("p")
-    d = docs.withColumn("_mix_size", size).alias("d")
-    same = [F.col(f"d.{a}").eqNullSafe(F.col(f"p.{b}")) for a, b in (("doc_id", "doc_id"), ("source", "source"), ("_mix_size", "size"))]
-    joined = d.join(plan, same[0] & same[1] & same[2])
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("_mix_copy")).drop("_mix_copy")
+    # The row is one struct, so that no name of its columns can clash.
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), size.alias("words"))
+    same = F.col("id").eqNullSafe(F.col("p.doc_id")) & F.col("of").eqNullSafe(F.col("p.source")) & F.col("words").eqNullSafe(F.col("p.size"))
+    return d.join(plan, same).select("row", F.explode(F.sequence(F.lit(1), F.col("p.copies")))).select("row.*")

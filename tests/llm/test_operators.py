@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from fixtures import SCHEMA, documents, frame, words
 
-from clearsift.llm import jaccard_join
+from clearsift.llm import jaccard_join, substring_dedup
 from clearsift.llm.components import connected_components
 from clearsift.llm.decontamination import drop_contaminated, find_contamination
 from clearsift.llm.html_extraction import extract_pages, main_text
@@ -125,6 +125,18 @@ def test_quality_rules_reject_the_odd_one_of_a_group(spark):
     assert not kept[99] and all(kept[i] for i in range(60))
 
 
+def test_quality_rules_reject_what_repeats_more_than_its_group_does(spark):
+    """A quarter of a text in repeated windows passes the fixed rule, not that of a group that repeats nothing."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(str(x) for x in rng.choice([f"plain{k}" for k in range(900)], n))
+    line = prose(20)
+    rows = [(i, prose(400), "en", "s", 1, "", 0, 0.0, "") for i in range(60)]
+    rows += [(98, f"{prose(30)} {line} {prose(30)} {line} {prose(60)}", "en", "s", 1, "", 0, 0.0, ""), (99, " ".join([prose(300)] + [line] * 5), "en", "s", 1, "", 0, 0.0, "")]
+    out = {r.doc_id: r for r in quality_rules(frame(spark, rows)).collect()}
+    assert 0.2 < out[99].n_repeat_words / out[99].n_words < 0.28 and not out[99].base_failed and not out[99].kept
+    assert out[98].n_repeat_words == 40 and out[98].kept and all(out[i].kept for i in range(60))
+
+
 def _components(rows, width, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = defaultdict(list)
@@ -229,6 +241,31 @@ def test_substring_dedup_matches_brute_force(docs):
     assert Counter(tuple(r) for r in dedup_substrings(docs).collect()) == _dedup(documents())
 
 
+def test_automata_are_bounded_by_the_documents_that_wait(spark, monkeypatch):
+    """Many documents that share one phrase: few characters of phrases, many of texts."""
+    sizes, stream = spark.sparkContext.accumulator(0), substring_dedup._stream
+    monkeypatch.setattr(substring_dedup, "_SHARD_CHARS", 300)
+
+    def counted(docs, phrases, window):
+        assert sum(len(t) for _, t in docs) <= 10 * 300 + 3000
+        sizes.add(1)
+        return stream(docs, phrases, window)
+
+    monkeypatch.setattr(substring_dedup, "_stream", counted)
+    rng = np.random.default_rng(2)
+    phrase = " ".join(f"licence{i}" for i in range(20))
+    rows = [(i, " ".join(str(x) for x in rng.choice([f"v{k}" for k in range(500)], 60)) + " " + phrase, "en", "s", 1, "", 0, 0.0, "") for i in range(80)]
+    assert Counter(tuple(r) for r in dedup_substrings(frame(spark, rows)).collect()) == _dedup(rows)
+    assert sizes.value > 4
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    rng = np.random.default_rng(3)
+    long = [str(x) for x in rng.choice([f"v{k}" for k in range(5000)], 20_000)]
+    rows = [(i, " ".join(w), "en", "s", 1, "", 0, 0.0, "") for i, w in enumerate([long, long[9000:9100], long[:50] + ["x"] * 40 + long[19_000:], long])]
+    assert Counter(tuple(r) for r in dedup_substrings(frame(spark, rows)).collect()) == _dedup(rows)
+
+
 def test_substring_dedup_with_several_texts_under_one_id(spark):
     rows = documents() + [(20, documents()[13][1], "en", "s", 1, "", 0, 0.0, ""), (21, documents()[10][1] + " more", "en", "s", 1, "", 0, 0.0, "")]
     assert Counter(tuple(r) for r in dedup_substrings(frame(spark, rows)).collect()) == _dedup(rows)
@@ -329,7 +366,7 @@ def test_toxicity_of_odd_rows(spark, docs):
 
 
 def test_filters_keep_columns_with_odd_names_and_their_order(spark, docs):
-    odd = docs.select("text", "lang", "source", "doc_id", docs["size"].alias("a.b"), docs["h"].alias("_range"), docs["score"].alias("copies"))
+    odd = docs.select("text", "lang", "source", "doc_id", docs["size"].alias("a.b"), docs["h"].alias("_mix_size"), docs["score"].alias("copies"), docs["component"].alias("row"), docs["n_chars"].alias("words"))
     labels = spark.createDataFrame([(i, 0, int(i % 2)) for i in range(30)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "no such words in any document at all")], "item_id long, text string")
     for out in (drop_toxic(odd, labels), drop_contaminated(odd, items), jaccard_join.drop_near_copies(odd), mixed_documents(odd)):
