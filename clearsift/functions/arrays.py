@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no content in a title or a sentence.
+#: Words that carry no content in a title or a sentence: connectives, and common words.
 STOP_WORDS = (
-    "yang untuk dengan dari pada dalam adalah akan tidak bisa sudah telah oleh karena juga atau saat agar kepada sebagai "
-    "tersebut mereka kami kita anda dapat lebih bukan hanya masih seperti setelah namun secara antara tentang sebuah bahwa "
-    "hingga sampai jika maka serta para harus ketika melalui belum lagi pernah video foto gambar beredar klaim narasi"
+    "agar yang dan atau di ke untuk dengan karena bahwa dari pada serta sebagai dalam oleh akan jika kalau tetapi namun sehingga "
+    "ini itu adalah juga telah sudah para sebuah tidak bukan lebih semua setiap setelah sebelum ketika saat hanya masih banyak harus dapat"
 ).split()
 
 
@@ -89,6 +88,54 @@ def best_window(words: Column, reference: Column, width: int) -> Column:
     return F.slice(words, 1 - F.array_max(scored)["before"], width)
 
 
+def dedup_ordered(words: Column) -> Column:
+    """Each element once, where it first stands."""
+    return F.array_distinct(words)
+
+
+def closest_passage(sentence: Column, title: Column, narrative: Column, most: int) -> Column:
+    """struct(passage, in_title, in_all, share): the run of words of at most `most` characters that is closest to an article.
+
+    Runs are ranked by the title's words they hold, then by all of the article's, then by their share among their own
+    content words; the earliest of equals wins. Words at the ends that the article does not hold are cut off, but for
+    short ones beside one that it holds. `title` and `narrative` are content words.
+    """
+    words = F.filter(F.split(F.coalesce(sentence, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    every = F.array_union(title, narrative)
+    ends = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w) + 1)))
+    # Of each start the number of words that fit; one that is longer than all stands alone.
+    size = lambda i: F.greatest(F.lit(1), F.size(F.filter(ends, lambda e: (e > F.get(ends, i)) & (e - 1 - F.get(ends, i) <= most))))
+    whole = F.element_at(ends, -1) - 1 <= most
+    starts = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))))
+
+    def scored(i: Column) -> Column:
+        n = F.when(whole, F.size(words)).otherwise(size(i))
+        own = content_words(F.array_join(F.slice(words, i + 1, n), " "))
+        held = F.size(F.array_intersect(own, every))
+        return F.struct(F.size(F.array_intersect(own, title)).alias("in_title"), held.alias("in_all"), F.when(F.size(own) > 0, held / F.size(own)).otherwise(0.0).alias("share"), (-i).alias("before"), n.alias("n"))
+
+    best = F.array_max(F.transform(starts, scored))
+
+    def trimmed(b: Column) -> Column:
+        known = F.when(b["in_title"] >= 3, title).otherwise(every)
+        bare = lambda i: F.lower(F.regexp_replace(F.coalesce(F.get(words, i), F.lit("")), r"(?U)^\W+|\W+$", ""))
+        held = lambda i: F.array_contains(known, bare(i))
+        ok = lambda i, beside: held(i) | ((F.length(bare(i)) <= 3) & held(beside))
+        first, last = -b["before"], -b["before"] + b["n"] - 1
+        places = F.sequence(first, last)
+        left = F.coalesce(F.array_min(F.filter(places, lambda i: ok(i, i + 1))), last)
+        right = F.greatest(left, F.coalesce(F.array_max(F.filter(places, lambda i: ok(i, i - 1))), left))
+        return F.array_join(F.slice(words, left + 1, right - left + 1), " ")
+
+    found = F.get(F.transform(F.array(best), lambda b: F.struct(trimmed(b).alias("passage"), b["in_title"].alias("in_title"), b["in_all"].alias("in_all"), b["share"].alias("share"))), 0)
+    return F.when(F.size(words) > 0, found)
+
+
+def files_to_delete(old: Column, new: Column) -> Column:
+    """Names of an old list that a new one does not have."""
+    return F.array_sort(F.array_except(old, new))
+
+
 def wrap_words(words: Column, width: int) -> Column:
     """Lines of at most `width` characters, filled greedily; a longer word is a line of its own."""
     start = F.array().cast("array<string>")

@@ -47,22 +47,15 @@ def long_date(d: Column) -> Column:
 
 
 def number_value(literal: Column) -> Column:
-    """The value of a number literal: a last group of three digits after separators of one kind is thousands."""
-    thousands = literal.rlike(r"^\d{1,3}(?:\.\d{3})+$|^\d{1,3}(?:,\d{3})+$")
-    mixed_comma = literal.rlike(r"^\d{1,3}(?:\.\d{3})+,\d+$")
-    mixed_point = literal.rlike(r"^\d{1,3}(?:,\d{3})+\.\d+$")
-    plain = (
-        F.when(thousands, F.regexp_replace(literal, "[.,]", ""))
-        .when(mixed_comma, F.regexp_replace(F.regexp_replace(literal, r"\.", ""), ",", "."))
-        .when(mixed_point, F.regexp_replace(literal, ",", ""))
-        .otherwise(F.regexp_replace(literal, ",", "."))
-    )
-    return plain.try_cast("decimal(38,6)")
+    """The value of a number literal. Several separators, or three digits after the last one, mean thousands; any other
+    separator is a decimal one."""
+    thousands = literal.rlike(r"[.,]\d{3}$|[.,].*[.,]")
+    return F.when(thousands, F.regexp_replace(literal, "[.,]", "")).otherwise(F.regexp_replace(literal, ",", ".")).try_cast("decimal(38,6)")
 
 
 #: Multipliers that follow a number.
-MULTIPLIERS = {"ribu": 1_000, "rb": 1_000, "juta": 1_000_000, "jt": 1_000_000, "miliar": 1_000_000_000, "triliun": 1_000_000_000_000}
-_NUMBER = r"\d+(?:[.,]\d+)*(?:\s*(?:ribu|rb|juta|jt|miliar|triliun)\b)?"
+MULTIPLIERS = {"ribu": 1_000, "rb": 1_000, "juta": 1_000_000, "jt": 1_000_000, "miliar": 1_000_000_000, "milyar": 1_000_000_000, "triliun": 1_000_000_000_000}
+_NUMBER = r"\d+(?:[.,]\d+)*(?:\s*(?:ribu|rb|juta|jt|miliar|milyar|triliun)\b)?"
 
 
 def numbers_in(x: Column) -> Column:

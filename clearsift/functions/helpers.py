@@ -78,3 +78,57 @@ def handle_at(box: Column, x: Column, y: Column, reach: float) -> Column:
 def retry_wait(retries: Column, suggested: Column, most: float = 90.0, least: float = 1.0) -> Column:
     """How long to wait after refused calls: the suggestion within bounds; null if none was refused."""
     return F.when(F.exists(retries, lambda s: s == 429), F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce(suggested, F.lit(least)))))
+
+
+def resized_box(box: Column, handle: Column, x: Column, y: Column, width: Column, height: Column, least: float) -> Column:
+    """A box whose named edges (kiri, kanan, atas, bawah, or two of them) are drawn to a point inside the view; it keeps
+    a least width and height."""
+    in_x, in_y = F.greatest(F.lit(0.0), F.least(x, width)), F.greatest(F.lit(0.0), F.least(y, height))
+    moves = lambda name: F.contains(handle, F.lit(name))
+    return F.struct(
+        F.when(moves("kiri"), F.least(in_x, box["r"] - least)).otherwise(box["l"]).alias("l"),
+        F.when(moves("atas"), F.least(in_y, box["b"] - least)).otherwise(box["t"]).alias("t"),
+        F.when(moves("kanan"), F.greatest(in_x, box["l"] + least)).otherwise(box["r"]).alias("r"),
+        F.when(moves("bawah"), F.greatest(in_y, box["t"] + least)).otherwise(box["b"]).alias("b"),
+    )
+
+
+def drawn_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, least: float) -> Column:
+    """The box between two points, whichever way it was drawn, inside the view and of a least size."""
+    box = F.struct(F.least(x1, x2).alias("l"), F.least(y1, y2).alias("t"), F.greatest(x1, x2).alias("r"), F.greatest(y1, y2).alias("b"))
+    return clamp_box(box, width, height, least)
+
+
+def threshold_grid(x: Column, aliases: dict[str, str], most: int = 400) -> Column:
+    """All combinations of 'name=from:to:step,name=a/b' as maps of full names to numbers; null if there are more than
+    `most`. Unknown names are dropped."""
+    parts = F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda p: F.split(F.trim(p), r"\s*=\s*", 2))
+
+    def values(spec: Column) -> Column:
+        ends = F.transform(F.split(spec, ":"), lambda v: v.try_cast("double"))
+        a, b, c = (F.get(ends, i) for i in range(3))
+        steps = F.round((b - a) / c).cast("int")
+        spread = F.transform(F.sequence(F.lit(0), steps), lambda i: F.round(a + i * c, 6))
+        return F.when(F.contains(spec, F.lit(":")), F.when((c > 0) & (b >= a), spread)).otherwise(F.transform(F.split(spec, "/"), lambda v: v.try_cast("double")))
+
+    named = F.transform(F.filter(parts, lambda p: F.size(p) == 2), lambda p: F.struct(F.element_at(_map(aliases), F.get(p, 0)).alias("name"), values(F.get(p, 1)).alias("values")))
+    known = F.filter(named, lambda e: e["name"].isNotNull() & e["values"].isNotNull())
+    one = F.array(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    grow = lambda acc, e: F.flatten(F.transform(acc, lambda m: F.transform(e["values"], lambda v: F.map_concat(m, F.create_map(e["name"], v)))))
+    size = F.aggregate(known, F.lit(1).cast("long"), lambda n, e: n * F.size(e["values"]))
+    return F.when(size <= most, F.aggregate(known, one, grow))
+
+
+def settings_from_lines(x: Column) -> Column:
+    """Lines KEY=VALUE as a map: comments and other lines are left out, quotes around values go, the first of a key counts."""
+    lines = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"\r?\n"), lambda s: F.trim(s)), lambda s: ~s.startswith("#") & F.contains(s, F.lit("=")))
+    pairs = F.transform(lines, lambda s: F.struct(F.trim(F.regexp_extract(s, "^([^=]*)=", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(s, "^[^=]*=", "")), "^[\"']+|[\"']+$", "").alias("value")))
+    first = F.aggregate(pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda out, p: F.when(F.exists(out, lambda o: o["key"] == p["key"]), out).otherwise(F.concat(out, F.array(p))))
+    return F.map_from_entries(first)
+
+
+def typed_setting(x: Column, default: float) -> Column:
+    """A setting that is a number of 0 or more: the default where it is empty, null where it is none such."""
+    text = F.trim(F.coalesce(x, F.lit("")))
+    value = text.try_cast("double")
+    return F.when(text == "", F.lit(default)).when(value >= 0, value)

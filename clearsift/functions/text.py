@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,29 @@ LABEL_PREFIXES = (
 )
 
 
+def _compatible_forms() -> tuple[str, str, dict[str, str]]:
+    """By the Unicode database, what compatibility normalisation makes of single characters: one character for one, as
+    two texts, and the others as a table."""
+    made = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, min(0xFFFF, sys.maxunicode)) if not 0xD800 <= c <= 0xDFFF}
+    made = {c: n for c, n in made.items() if n != c}
+    one = {c: n for c, n in made.items() if len(n) == 1}
+    return "".join(one), "".join(one.values()), {c: n for c, n in made.items() if len(n) > 1}
+
+
+_FROM, _TO, _LONGER = _compatible_forms()
+#: Of the characters that become several, those that occur in read pages; a replacement each.
+_SPELT = {c: _LONGER[c] for c in "…‥ﬀﬁﬂﬃﬄ™½¼¾℃№"}
+
+
+def compatible(x: Column) -> Column:
+    """Full-width, super- and subscript and other compatible forms as plain characters (NFKC without composition of
+    combining marks); a text of ASCII alone is left as it is."""
+    plain = F.translate(x, _FROM, _TO)
+    for c, spelt in _SPELT.items():
+        plain = F.replace(plain, F.lit(c), F.lit(spelt))
+    return F.when(x.rlike("[^\\x00-\\x7F]"), plain).otherwise(x)
+
+
 def text_or_empty(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
@@ -26,13 +52,17 @@ def squeeze(x: Column) -> Column:
 
 
 def normal_line(x: Column) -> Column:
-    """Squeezed and lower-cased; full-width forms are left to the Arrow normaliser in operators.spans."""
-    return F.lower(squeeze(x))
+    """Compatible forms as plain characters, squeezed and lower-cased."""
+    return F.lower(squeeze(compatible(x)))
 
 
-def line_core(x: Column) -> Column:
+def core_of(line: Column) -> Column:
     """A normal line without punctuation at its ends; a closing % or + stays."""
-    return F.regexp_replace(normal_line(x), r"(?U)^[^\w]+|[^\w%+]+$", "")
+    return F.regexp_replace(line, r"(?U)^[^\w]+|[^\w%+]+$", "")
+
+
+def line_core(x: Column) -> Column:
+    return core_of(normal_line(x))
 
 
 def line_tokens(core: Column) -> Column:
@@ -191,6 +221,27 @@ def repair_links(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(joined, r"((?:https?://|ftp://|www\.)\S+)\n\n", "$1\n"), r"\n$", "")
 
 
+def clean_page_text(x: Column) -> Column:
+    """The account itself of an article's text: without links, what follows a section heading, its own heading, blanks."""
+    bare = F.regexp_replace(text_or_empty(x), r"https?://\S+", "")
+    head = F.regexp_replace(bare, r"(?ims)^\s*(?:penjelasan|kesimpulan|fakta|hasil cek|referensi|sumber)\b.*", "")
+    body = F.regexp_replace(head, r"(?is)\A\s*\[?narasi[^:\n]*\]?\s*[:\n]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\n\s*\n+", "\n"), r"\A\s+|\s+\z", ""))
+
+
+def server_address(x: Column, local_port: int = 8000) -> Column:
+    """scheme://host[:port] of a typed address, or null: no path, query or login. Private hosts are reached by http and,
+    where no port is named, at `local_port`; others by https."""
+    typed = F.regexp_replace(F.trim(text_or_empty(x)), "/+$", "")
+    shape = r"^(?:(?i)(https?)://)?([A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?|\[[0-9A-Fa-f:]+\])(?::(\d{1,5}))?$"
+    scheme, host, port = F.lower(F.regexp_extract(typed, shape, 1)), F.lower(F.regexp_extract(typed, shape, 2)), F.regexp_extract(typed, shape, 3)
+    private = host.rlike(r"^(?:localhost|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+)$")
+    named = F.when(scheme != "", scheme).when(private, "http").otherwise("https")
+    at = F.when(port != "", F.concat(F.lit(":"), port)).when((named == "http") & private, F.lit(f":{local_port}")).otherwise("")
+    cut_short = F.contains(F.trim(text_or_empty(x)), F.lit("://")) & ~F.contains(typed, F.lit("://"))
+    return F.when(typed.rlike(shape) & ~cut_short, F.concat(named, F.lit("://"), host, at))
+
+
 def bytes_for_people(n: Column) -> Column:
     kb, mb, gb = F.lit(1024.0), F.lit(1024.0**2), F.lit(1024.0**3)
     return (

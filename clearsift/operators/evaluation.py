@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clearsift.functions.dates_numbers import nearest_rank
-
 
 def ranking_metrics(ranks: DataFrame, *by: str) -> DataFrame:
     """rank@1, rank@5 and MRR of targets (rank, null if missing)."""
@@ -58,15 +56,11 @@ def confusion(rows: DataFrame, expected: str, actual: str, values: list[str]) ->
 
 def slice_metrics(rows: DataFrame, slice_column: str) -> DataFrame:
     """Exact matches, false positives and recall for all rows and for each slice in one pass (grouping sets)."""
-    rows.createOrReplaceTempView("_clearsift_slices")
-    return rows.sparkSession.sql(
-        f"""SELECT coalesce(cast({slice_column} AS string), 'semua') AS part, count(*) AS n,
-                   count_if(expected = actual) AS exact,
-                   count_if(expected = 0 AND actual = 1) AS false_positives,
-                   count_if(expected = 1 AND actual = 1) AS true_positives,
-                   round(count_if(expected = 1 AND actual = 1) / nullif(count_if(expected = 1), 0), 6) AS recall
-            FROM _clearsift_slices GROUP BY GROUPING SETS ((), ({slice_column}))"""
-    )
+    hit = lambda e, a: F.count_if((F.col("expected") == e) & (F.col("actual") == a))
+    positives = F.nullif(F.count_if(F.col("expected") == 1), F.lit(0))
+    return rows.groupingSets([[], [slice_column]], slice_column).agg(
+        F.count("*").alias("n"), F.count_if(F.col("expected") == F.col("actual")).alias("exact"), hit(0, 1).alias("false_positives"), hit(1, 1).alias("true_positives"), F.round(hit(1, 1) / positives, 6).alias("recall")
+    ).select(F.coalesce(F.col(slice_column).cast("string"), F.lit("semua")).alias("part"), "n", "exact", "false_positives", "true_positives", "recall")
 
 
 def detector_counts(found: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -88,14 +82,29 @@ def model_scorecard(calls: DataFrame) -> DataFrame:
     """For each model: valid and honest shares, median and nearest-rank p95 of the latency, refused calls.
 
     calls: model, valid, quotes_found, quotes, latency, status."""
+    p95 = nearest_rank_percentile(calls, "latency", 0.95, "model").withColumnRenamed("value", "latency_p95")
     return calls.groupBy("model").agg(
         F.count("*").alias("n"),
         F.round(100 * F.avg(F.col("valid").cast("double")), 2).alias("valid_percent"),
         F.round(100 * F.sum("quotes_found") / F.nullif(F.sum("quotes"), F.lit(0)), 2).alias("honest_percent"),
         F.median("latency").alias("latency_median"),
-        nearest_rank(F.collect_list("latency"), 0.95).alias("latency_p95"),
         F.count_if(F.col("status") == 429).alias("n_refused"),
+    ).join(p95, "model", "left")
+
+
+def rule_model_agreement(rules: DataFrame, model: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of each feature (doc_id, feature_id) in how many texts (doc_id) both found it, only one, or neither."""
+    marks = rules.select("doc_id", "feature_id", F.lit(True).alias("r")).distinct().join(model.select("doc_id", "feature_id", F.lit(True).alias("m")).distinct(), ["doc_id", "feature_id"], "full")
+    counted = marks.join(texts, "doc_id", "left_semi").groupBy("feature_id").agg(
+        F.count_if(F.col("r").isNotNull() & F.col("m").isNotNull()).alias("both"), F.count_if(F.col("m").isNull()).alias("rules_only"), F.count_if(F.col("r").isNull()).alias("model_only"), F.count("*").alias("n")
     )
+    total = texts.agg(F.count("*").alias("total"))  # one row
+    return counted.crossJoin(F.broadcast(total)).select("feature_id", "both", "rules_only", "model_only", (F.col("total") - F.col("n")).alias("neither"))
+
+
+def most_flagged(counts: DataFrame, label: int, n: int = 6) -> DataFrame:
+    """The features that flag most texts of a label, the first n: of counts (feature_id, label, n_texts)."""
+    return counts.filter(F.col("label") == label).groupBy("feature_id").agg(F.sum("n_texts").alias("n_texts")).orderBy(F.desc("n_texts"), "feature_id").limit(n)
 
 
 def run_stability(runs: DataFrame) -> DataFrame:

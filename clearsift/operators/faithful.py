@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift.functions.arrays import content_words
-from clearsift.functions.dates_numbers import MONTHS, number_value
+from clearsift.functions.dates_numbers import MONTHS, MULTIPLIERS, number_value
 
 #: Reasons, in the order of the checks.
 NEW_NUMBER, NEW_NAME, HEAVY, REPLACED, MANY_NEW, NEGATION = "angka_baru", "entitas_baru", "kata_berat_baru", "kata_pengganti", "kata_baru_banyak", "negasi"
@@ -16,11 +19,34 @@ NEGATION_ENDS = "dengan dan serta tetapi tapi namun atau karena sehingga untuk a
 HEAVY_WORDS = "tipu hoaks hoax palsu bohong dusta fitnah korup korupsi curi maling salah benar fakta keliru sesat terbukti disinformasi scam tersangka tangkap bunuh pidana teror".split()
 PREFIXES = {"meng": "k", "meny": "s", "men": "t", "mem": "p", "me": None, "peng": "k", "peny": "s", "pen": "t", "pem": "p", "pe": None, "di": None, "ber": None, "ter": None}
 SUFFIXES = ("nya", "kan", "an")
-FACTORS = {"ribu": 10**3, "rb": 10**3, "juta": 10**6, "jt": 10**6, "miliar": 10**9, "milyar": 10**9, "triliun": 10**12}
 SHORT_MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "agu": 8, "ags": 8, "agt": 8, "sep": 9, "okt": 10, "nov": 11, "des": 12, "pebruari": 2, "nopember": 11}
 NOT_NAMES = "rp wib wita wit".split()
 
 
+@F.pandas_udf("double")
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def similar_ratio(a: Column, b: Column, digits: int = 4) -> Column:
+    """Twice the characters in the longest common blocks of two words, in the characters of both."""
+    return F.round(_ratios(a, b), digits)
+
+
+@F.pandas_udf("array<string>")
+def _alike(wanted: pd.Series, words: pd.Series, least: pd.Series) -> pd.Series:
+    def one(names, known, bound):
+        return [n for n in names if any(abs(len(w) - len(n)) <= 2 and SequenceMatcher(None, n.lower(), w).ratio() >= bound for w in known)]
+
+    return pd.Series([one(*x) for x in zip(wanted, words, least, strict=True)])
+
+
+def alike(wanted: Column, words: Column, least: float) -> Column:
+    """Those of some words that one of others resembles by similar_ratio, at most two letters longer or shorter. Python
+    runs in Arrow batches, on the few words that no built-in test has settled."""
+    return _alike(wanted, words, F.lit(least))
+
+
 def stem_candidates(w: Column) -> Column:
     """What a word may be derived from: itself, without a prefix (with the letter it swallowed), without a suffix."""
     without = [F.lit(None).cast("string")]
@@ -52,7 +78,7 @@ def number_set(x: Column, loose: bool) -> Column:
 
     def factor(m: Column) -> Column:
         chain = F.lit(1).cast("decimal(13,0)")
-        for word, n in FACTORS.items():
+        for word, n in MULTIPLIERS.items():
             chain = F.when(F.regexp_extract(m, "[a-z]+$", 0) == word, F.lit(n).cast("decimal(13,0)")).otherwise(chain)
         return chain
 
@@ -109,11 +135,11 @@ def negated(tokens: Column, j: Column) -> Column:
     return F.aggregate(window, F.lit(False), fold)
 
 
-def check_faithfulness(pairs: DataFrame, replaced_at: int = 2, most_new: float = 0.34) -> DataFrame:
+def check_faithfulness(pairs: DataFrame, same_name: float = 0.8, replaced_by: float = 0.7, most_new: float = 0.34) -> DataFrame:
     """Adds reason and n_bad to pairs (id, claim, text): the first check that fails, null for a faithful claim.
 
-    Claims and texts are short; each step is a column, so that lambdas only read them. A word is replaced if some
-    word of the text is at most `replaced_at` edits away and yet no form of it.
+    Claims and texts are short; each step is a column, so that lambdas only read them. A name is in the text, too, if a
+    word resembles it by `same_name`; a new word is a replaced one if a word of the text resembles it by `replaced_by`.
     """
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     a = pairs.withColumns({"_w": F.array_distinct(w), "_months": months_in(F.col("text")), "_names": claim_names(F.col("claim")), "_nt": number_set(F.col("text"), True), "_nc": number_set(F.col("claim"), False)})
@@ -125,15 +151,17 @@ def check_faithfulness(pairs: DataFrame, replaced_at: int = 2, most_new: float =
     })
     a = a.withColumns({
         "_bad_numbers": F.size(F.array_except("_nc", "_nt")),
-        "_bad_names": F.size(F.filter("_names", lambda n: ~_entity_present(n, F.col("_w"), F.col("_months")))),
+        "_absent": F.filter("_names", lambda n: ~_entity_present(n, F.col("_w"), F.col("_months"))),
         "_words": F.array_except(F.filter(content_words(F.col("claim")), lambda k: ~k.rlike("[0-9]")), "_low"),
     })
+    a = a.withColumn("_alike", alike(F.filter("_absent", lambda n: F.length(n) >= 4), F.col("_w"), same_name))
+    a = a.withColumn("_bad_names", F.size(F.array_except("_absent", "_alike")))
     heavy = lambda k: F.arrays_overlap(stem_candidates(k), F.array(*[F.lit(h) for h in HEAVY_WORDS]))
     related = lambda k: F.arrays_overlap(stem_candidates(k), F.col("_forms")) | F.exists("_w", lambda x: (F.length(k) >= 5) & (F.length(x) >= 5) & F.contains(x, k))
     misread = lambda k: F.exists("_forms", lambda x: (F.least(F.length(k), F.length(x)) >= 5) & (F.abs(F.length(k) - F.length(x)) <= 2) & (F.levenshtein(k, x) <= tolerance(F.greatest(F.length(k), F.length(x)))))
     a = a.withColumn("_new", F.filter("_words", lambda k: ~related(k) & (heavy(k) | ~misread(k))))
-    near = lambda k: F.exists("_w", lambda x: (F.length(x) >= 4) & (F.levenshtein(k, x) <= replaced_at))
-    a = a.withColumns({"_heavy": F.size(F.filter("_new", heavy)), "_replaced": F.size(F.filter("_new", lambda k: ~heavy(k) & near(k)))})
+    a = a.withColumn("_near", alike(F.filter("_new", lambda k: ~heavy(k)), F.filter("_w", lambda x: F.length(x) >= 4), replaced_by))
+    a = a.withColumns({"_heavy": F.size(F.filter("_new", heavy)), "_replaced": F.size("_near")})
     a = a.withColumn("_plain", F.size("_new") - F.col("_heavy") - F.col("_replaced"))
     said = F.filter(F.transform("_ct", lambda t, i: F.struct(t.alias("t"), negated(F.col("_ct"), i).alias("n"))), lambda x: F.array_contains("_words", x["t"]))
     heard = F.transform("_tt", lambda t, i: F.struct(t.alias("t"), negated(F.col("_tt"), i).alias("n")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
-from clearsift.functions.dates_numbers import nearest_rank
-from clearsift.functions.text import title_key, url_key
+from clearsift.functions.text import clean_page_text, title_key, url_key
 
 
 def average_with_exclusion(rows: DataFrame, value: str, excluded: Column, *by: str) -> DataFrame:
@@ -29,12 +32,27 @@ def daily_usage(calls: DataFrame) -> DataFrame:
 
 
 def allowed_calls(calls: DataFrame, least_gap: float, most_calls: int, most_tokens: int) -> DataFrame:
-    """Adds allowed to calls (day, at, seq, tokens): in their order, each at least a gap after the one before, within
-    the day's calls and tokens."""
-    w = Window.partitionBy("day").orderBy("at", "seq")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.col("at") - F.lag("at").over(w)
-    return calls.withColumn("allowed", (F.coalesce(gap, F.lit(least_gap)) >= least_gap) & (F.count("*").over(so_far) <= most_calls) & (F.sum("tokens").over(so_far) <= most_tokens))
+    """Adds allowed to calls (day, at, seq, tokens): in their order, each at least a gap after the last one that was made,
+    within the day's calls and tokens. A refused call costs nothing.
+
+    Each call depends on those made before it: a day is sorted and streams by, and a task holds three numbers of it.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, last, made, spent = None, None, 0, 0
+        for batch in batches:
+            out = []
+            for d, at, tokens in zip(*(batch.column(c).to_pylist() for c in ("day", "at", "tokens")), strict=True):
+                if d != day:
+                    day, last, made, spent = d, None, 0, 0
+                ok = (last is None or at - last >= least_gap) and made < most_calls and spent + tokens <= most_tokens
+                if ok:
+                    last, made, spent = at, made + 1, spent + tokens
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "allowed"])
+
+    dealt = calls.repartition("day").sortWithinPartitions("day", "at", "seq")
+    return dealt.mapInArrow(judge, StructType([*calls.schema.fields, StructField("allowed", BooleanType())]))
 
 
 def saving_by_variant(rows: DataFrame) -> DataFrame:
@@ -56,8 +74,12 @@ def level_tally(results: DataFrame) -> DataFrame:
 
 
 def latency_stats(rows: DataFrame, value: str, too_long: Column, *by: str) -> DataFrame:
-    """Median, nearest-rank p90, maximum, and how many inputs were cut."""
-    return rows.groupBy(*by).agg(F.median(value).alias("median"), nearest_rank(F.collect_list(value), 0.9).alias("p90"), F.max(value).alias("max"), F.count_if(too_long).alias("n_cut"))
+    """Median, nearest-rank p90, maximum, and how many inputs were cut; no group is gathered."""
+    from clearsift.operators.evaluation import nearest_rank_percentile
+
+    p90 = nearest_rank_percentile(rows, value, 0.9, *by).withColumnRenamed("value", "p90")
+    stats = rows.groupBy(*by).agg(F.median(value).alias("median"), F.max(value).alias("max"), F.count_if(too_long).alias("n_cut"))
+    return stats.join(p90, list(by), "left") if by else stats.crossJoin(p90)
 
 
 def load_tally(rows: DataFrame) -> DataFrame:
@@ -151,3 +173,26 @@ def length_sorted(texts: DataFrame, partitions: int, column: str = "text") -> Da
     """Texts dealt into ranges of length and sorted in each, so that batches for a model hold texts of like length."""
     n = F.length(column)
     return texts.repartitionByRange(partitions, n).sortWithinPartitions(n)
+
+
+def tokens_by_image(attempts: DataFrame) -> DataFrame:
+    """What all attempts at an image cost: of attempts (doc_id, prompt, completion), missing counts being none."""
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return attempts.groupBy("doc_id").agg(F.count("*").alias("attempts"), some("prompt").alias("prompt"), some("completion").alias("completion"))
+
+
+def restricted_to(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is wanted, and the wanted keys that no row has, each once."""
+    ids = wanted.select(key).distinct()
+    return rows.join(ids, key, "left_semi"), ids.join(rows, key, "left_anti")
+
+
+def candidate_articles(articles: DataFrame, label: str, least: int, topic: str | None, per_group: int, seed: int, by: str) -> DataFrame:
+    """Articles (id, label, title, narrative and a group) to make texts from: of a label, whose cleaned narrative has a
+    least length and no link and, if a topic is asked for, names it; so many of each group by keyed digests."""
+    body = clean_page_text(F.col("narrative"))
+    fits = (F.col("label") == label) & (F.length(body) >= least) & ~F.contains(F.lower(body), F.lit("http"))
+    if topic:
+        fits &= F.lower(F.concat_ws(" ", "title", "narrative")).rlike(topic)
+    lot = F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))).cast("binary")), "id"))
+    return articles.filter(fits).withColumn("k", lot).filter(F.col("k") <= per_group).drop("k")

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,7 +30,7 @@ def last_by_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def backfill(rows: DataFrame, key: str, priority: str, columns: list[str]) -> DataFrame:
-    """One row for each key: of each column the first filled value by priority, and the sorted set of other sources."""
+    """One row for each key: of each column the first filled value by priority."""
     filled = lambda c: F.min_by(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.when(F.trim(F.col(c).cast("string")) != "", F.col(priority)))
     return rows.groupBy(key).agg(*[filled(c).alias(c) for c in columns], F.count("*").alias("n_rows"))
 
@@ -47,98 +46,106 @@ def enrich_narrative(articles: DataFrame, narratives: DataFrame) -> DataFrame:
     return articles.withColumn("k", url_key(F.col("url"))).join(last, "k", "left").withColumn("narrative", F.coalesce("looked_up", "narrative")).drop("k", "looked_up")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder the cluster names in spark.checkpoint.dir, and read back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/resolve-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back."""
+    path = shared_path(df.sparkSession, "resolve")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def merge_keys(rows: DataFrame, own_domain: str) -> DataFrame:
-    """(seq, key): every key by which a row can meet another; empty ones make none."""
-    url, title = url_key(F.col("url")), title_key(F.col("title"))
-    slug = F.when(F.contains(F.lower(F.col("url")), F.lit(own_domain)), slug_key(F.col("url")))
+def _keys(rows: DataFrame, own_domain: str) -> DataFrame:
+    """(seq, at, key, offered): the keys by which a row looks for an earlier one, in their order; its own address and
+    slug are also offered to later rows."""
+    slug = lambda u: F.when(F.contains(F.lower(u), F.lit(own_domain)), slug_key(u))
+    entry = lambda at, kind, k, offered: F.when(k != "", F.struct(at.alias("at"), F.concat(F.lit(kind), k).alias("key"), F.lit(offered).alias("offered")))
     refs = F.coalesce("ref_urls", F.array().cast("array<string>"))
-    keys = F.concat(
-        F.array(F.when(url != "", F.concat(F.lit("u:"), url)), F.when(slug != "", F.concat(F.lit("s:"), slug)), F.when(F.length(title) >= 12, F.concat(F.lit("t:"), title))),
-        F.transform(refs, lambda r: F.when(url_key(r) != "", F.concat(F.lit("u:"), url_key(r)))),
-        F.transform(refs, lambda r: F.when(F.contains(F.lower(r), F.lit(own_domain)) & (slug_key(r) != ""), F.concat(F.lit("s:"), slug_key(r)))),
-    )
-    return rows.select("seq", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
-
-
-def key_components(keys: DataFrame) -> DataFrame:
-    """(seq, component): rows that reach each other over shared keys, by passing on least labels; every round is written."""
-    labels = _checkpoint(keys.select("seq").distinct().withColumn("component", F.col("seq")))
-    keys = _checkpoint(keys)
+    url = F.col("url")
+    own = F.array(entry(F.lit(0), "u:", url_key(url), True), entry(F.lit(1), "s:", slug(url), True))
+    addresses = F.transform(refs, lambda r, i: entry(i * 2 + 2, "u:", url_key(r), False))
+    slugs = F.transform(refs, lambda r, i: entry(i * 2 + 3, "s:", slug(r), False))
+    return rows.select("seq", F.inline(F.array_compact(F.concat(own, addresses, slugs))))
+
+
+def earlier_by_key(rows: DataFrame, own_domain: str) -> DataFrame:
+    """(seq, parent): of each row that meets an earlier one by a key, the first such row by its first such key."""
+    keys = _checkpoint(_keys(rows, own_domain))
+    first = keys.filter("offered").groupBy("key").agg(F.min("seq").alias("parent"))
+    met = keys.join(first, "key").filter("parent < seq")
+    return met.groupBy("seq").agg(F.min_by("parent", "at").alias("parent"))
+
+
+def earlier_by_title(heads: DataFrame, days: int = 7) -> DataFrame:
+    """(seq, parent): heads (seq, title, date) that have the title of an earlier one within so many days.
+
+    In the order of a title's heads, each joins the first one kept before that is near in time, or is kept. Heads of
+    one date fare alike and are one entry, so that what is folded of a title has at most as many as there are dates.
+    """
+    titled = heads.select("seq", "date", title_key(F.col("title")).alias("t")).filter(F.length("t") >= 12)
+    entries = titled.groupBy("t", "date").agg(F.min("seq").alias("first"))
+    none = F.array().cast("array<struct<seq:bigint,date:date,kept:bigint>>")
+    near = lambda a, b: a.isNull() | b.isNull() | (F.abs(F.datediff(a, b)) <= days)
+
+    def place(done: Column, e: Column) -> Column:
+        home = F.get(F.filter(done, lambda k: (k["seq"] == k["kept"]) & near(k["date"], e["date"])), 0)["seq"]
+        return F.concat(done, F.array(F.struct(e["first"].alias("seq"), e["date"].alias("date"), F.coalesce(home, e["first"]).alias("kept"))))
+
+    listed = F.sort_array(F.collect_list(F.struct(F.col("first").cast("bigint").alias("first"), F.col("date").cast("date").alias("date"))))
+    placed = entries.groupBy("t").agg(F.aggregate(listed, none, place).alias("e")).select("t", F.inline("e"))
+    joined = titled.join(placed.select(F.col("t").alias("pt"), F.col("date").alias("pd"), "kept"), (F.col("t") == F.col("pt")) & F.col("date").eqNullSafe(F.col("pd")))
+    return joined.select("seq", F.col("kept").alias("parent")).filter("parent < seq")
+
+
+def to_roots(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """(seq, root): parents are smaller than their rows; paths are followed by doubling, and every round is written."""
+    jumps = _checkpoint(rows.select("seq").join(parents, "seq", "left").select("seq", F.coalesce("parent", "seq").alias("root")))
     while True:
-        least = keys.join(labels, "seq").groupBy("key").agg(F.min("component").alias("component"))
-        passed = keys.join(least, "key").groupBy("seq").agg(F.min("component").alias("new"))
-        new = _checkpoint(labels.join(passed, "seq").select("seq", F.least("component", "new").alias("component"), (F.col("new") < F.col("component")).alias("moved")))
-        labels = new.select("seq", "component")
-        if not new.filter("moved").limit(1).count():
-            return labels
+        up = jumps.alias("x").join(jumps.alias("y"), F.col("x.root") == F.col("y.seq")).select("x.seq", F.col("y.root").alias("root"), (F.col("y.root") != F.col("x.root")).alias("moved"))
+        after = _checkpoint(up)
+        jumps = after.select("seq", "root")
+        if not after.filter("moved").limit(1).count():
+            return jumps
 
 
 def resolve_articles(rows: DataFrame, own_domain: str) -> DataFrame:
     """Merges article rows of several sources into one for each article.
 
-    rows: seq (order of priority), source, url, title, narrative, date, ref_urls. In that order a row joins the first
-    kept row that it meets by address, by slug, by a referenced address or slug, or by title within seven days, and
-    passes on its addresses, its first missing narrative or date and its source; else it is kept itself. Whether two
-    rows meet only depends on rows with a shared key: rows are dealt into components by keys, and the order is
-    followed inside each. Returns the kept rows with other_sources and n_merged.
+    rows: seq (unique, the order of priority), source, url, title, narrative, date, ref_urls. A row joins the first
+    earlier row that has its address, else its slug, else an address or slug it refers to; what is left joins by title
+    within seven days. A merged row passes on its address and slug, and the first narrative and date that its article
+    lacks. Where a kept row has no date, the first date of the rows that join it by keys stands for it in the
+    comparison of titles. Returns the kept rows with other_sources (in the order of their first rows) and n_merged.
     """
-    keyed = rows.withColumns({
-        "_u": url_key(F.col("url")),
-        "_s": F.when(F.contains(F.lower(F.col("url")), F.lit(own_domain)), slug_key(F.col("url"))).otherwise(F.lit("")),
-        "_t": title_key(F.col("title")),
-        "_ru": F.transform(F.coalesce("ref_urls", F.array().cast("array<string>")), url_key),
-        "_rs": F.transform(F.filter(F.coalesce("ref_urls", F.array().cast("array<string>")), lambda r: F.contains(F.lower(r), F.lit(own_domain))), slug_key),
-    })
-    components = key_components(merge_keys(rows, own_domain))
-    dealt = keyed.join(components, "seq", "left").withColumn("component", F.coalesce("component", "seq"))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        at_url: dict[str, int] = {}
-        at_slug: dict[str, int] = {}
-        at_title: dict[str, list[int]] = {}
-        for r in pdf.sort_values("seq").to_dict("records"):
-            day = pd.to_datetime(r["date"]) if r["date"] is not None and not pd.isna(r["date"]) else None
-            target = None
-            for table, wanted in ((at_url, [r["_u"]]), (at_slug, [r["_s"]]), (at_url, r["_ru"]), (at_slug, r["_rs"])):
-                target = next((table[k] for k in wanted if k and k in table), None)
-                if target is not None:
-                    break
-            if target is None and len(r["_t"]) >= 12:
-                target = next((i for i in at_title.get(r["_t"], ()) if day is None or kept[i]["_day"] is None or abs((day - kept[i]["_day"]).days) <= 7), None)
-            if target is None:
-                target = len(kept)
-                kept.append({"seq": r["seq"], "source": r["source"], "url": r["url"], "title": r["title"], "narrative": r["narrative"], "date": r["date"], "other_sources": [], "n_merged": 0, "_day": day})
-                if len(r["_t"]) >= 12:
-                    at_title.setdefault(r["_t"], []).append(target)
-            else:
-                k = kept[target]
-                k["n_merged"] += 1
-                k["narrative"] = k["narrative"] or r["narrative"]
-                if k["date"] is None and r["date"] is not None:
-                    k["date"], k["_day"] = r["date"], day
-                if r["source"] != k["source"] and r["source"] not in k["other_sources"]:
-                    k["other_sources"].append(r["source"])
-            for table, key in ((at_url, r["_u"]), (at_slug, r["_s"])):
-                if key:
-                    table.setdefault(key, target)
-        return pd.DataFrame(kept).drop(columns="_day")
-
-    kinds = dict(rows.dtypes)
-    fields = ", ".join(f"{c} {kinds[c]}" for c in ("seq", "source", "url", "title", "narrative", "date"))
-    return dealt.groupBy("component").applyInPandas(settle, f"{fields}, other_sources array<string>, n_merged long")
+    by_key = _checkpoint(earlier_by_key(rows, own_domain))
+    heads = to_roots(rows, by_key)
+    dated = rows.join(heads, "seq").groupBy("root").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("seq"))).alias("date"))
+    own = rows.select("seq", "title").join(dated.withColumnRenamed("root", "seq"), "seq")
+    by_title = _checkpoint(earlier_by_title(own))
+    members = rows.join(to_roots(rows, by_key.unionByName(by_title)), "seq")
+    filled = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col("seq")))
+    merged = members.groupBy("root").agg(filled("narrative").alias("_narrative"), filled("date").alias("_date"), (F.count("*") - 1).alias("n_merged"))
+    sources = members.groupBy("root", "source").agg(F.min("seq").alias("first")).groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "source"))), lambda x: x["source"]).alias("sources"))
+    kept = rows.join(merged.withColumnRenamed("root", "seq"), "seq").join(sources.withColumnRenamed("root", "seq"), "seq")
+    return kept.select(
+        "seq", "source", "url", "title", F.coalesce("_narrative", "narrative").alias("narrative"), F.coalesce("date", "_date").alias("date"),
+        F.filter("sources", lambda s: ~s.eqNullSafe(F.col("source"))).alias("other_sources"), F.col("n_merged").cast("long").alias("n_merged"),
+    )
+
+
+def corpus_stats(rows: DataFrame) -> DataFrame:
+    """One row: how many articles, without a date, without a narrative, with an error mark, and duplicates by reason."""
+    empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("date").isNull()).alias("no_date"), F.count_if(empty("narrative")).alias("no_narrative"), F.count_if(~empty("error")).alias("errors"))
 
 
 def final_order(rows: DataFrame) -> DataFrame:

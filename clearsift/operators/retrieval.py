@@ -33,12 +33,17 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, blocks: int = 16, digits: int = 6) -> DataFrame:
+#: Rows of a block of queries and of a block of the corpus: a task holds one of each and their scores.
+QUERY_ROWS, CORPUS_ROWS = 1024, 8192
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, apart: str | None = None) -> DataFrame:
     """The k best of the corpus for every query, itself left out: query_id, doc_id, score, rank.
 
-    A stated set of queries meets all rows in blocks: the corpus is dealt into blocks by id, each meets every query
-    once as a matrix product and hands on its own k best, so that only k rows a block and query are ranked in the
-    end. Scores are dot products, rounded; ties go to the smaller id. What is excluded goes before the k are taken.
+    A stated set of queries meets all rows in blocks of bounded size, whose numbers grow with both sides: each pair of
+    blocks is a matrix product that hands on its own k best, so that only k rows of each block and query are ranked
+    in the end. Scores are dot products, rounded; ties go to the smaller id. What is excluded, by id or by an equal
+    value of the column `apart`, goes before the k are taken.
     """
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -48,14 +53,23 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, blocks: int = 16, digit
             return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         scores = np.round(q @ d.T, digits)
         scores[ids[:, None] == docs[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :k]
+        if apart:
+            mine, other = np.asarray(left["apart"]), np.asarray(right["apart"])
+            scores[mine[:, None] == other[None, :]] = -np.inf
+        by_id = np.argsort(docs, kind="stable")
+        order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
         best = np.take_along_axis(scores, order, 1)
         keep = np.isfinite(best)
         return pa.table({"query_id": np.repeat(ids, order.shape[1])[keep.ravel()], "doc_id": docs[order][keep], "score": best[keep]})
 
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    d = corpus.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    met = q.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(block, "query_id long, doc_id long, score double")
+    blocks = lambda rows, size: max(1, -(-rows.count() // size))
+    n_q, n_d = blocks(queries, QUERY_ROWS), blocks(corpus, CORPUS_ROWS)
+    more = [F.col(apart).alias("apart")] if apart else []
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), *more, dealt(n_q).alias("i"), every(n_d).alias("j"))
+    d = corpus.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), *more, dealt(n_d).alias("j"), every(n_q).alias("i"))
+    met = q.groupBy("i", "j").cogroup(d.groupBy("i", "j")).applyInArrow(block, "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -70,15 +84,18 @@ def index_mismatch(meta: DataFrame, vectors: DataFrame, articles: DataFrame) ->
 
 
 def corpus_fingerprint(articles: DataFrame) -> DataFrame:
-    """A digest of the corpus: of digests of buckets of ids, so that no task sees all texts. (id, passage) in order of id."""
-    leaf = articles.select("id", F.sha1(F.concat(F.col("id").cast("string"), F.lit("\n"), F.col("passage"), F.lit("\n")).cast("binary")).alias("leaf"))
-    buckets = leaf.groupBy(F.pmod(F.xxhash64("id"), F.lit(4096)).alias("bucket")).agg(
-        F.count("*").alias("n"), F.sha1(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "leaf"))), lambda x: x["leaf"]), "").cast("binary")).alias("digest")
-    )
-    return buckets.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_articles"),
-        F.substring(F.sha1(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "").cast("binary")), 1, 16).alias("fingerprint"),
-    )
+    """(n_articles, fingerprint): a digest of the corpus (id, passage) as a tree, so that no task sees all texts.
+
+    Articles are dealt by their ids' digests into 16**5 groups, these into 16**2, and these make the whole: each level
+    digests the digests below it in their order. It is a value of this library's own, the same wherever it is computed.
+    """
+    sha = lambda c: F.sha1(c.cast("binary"))
+    key = sha(F.col("id").cast("string"))
+    leaf = articles.select(F.substring(key, 1, 5).alias("g"), sha(F.concat(F.col("id").cast("string"), F.lit("\n"), F.coalesce("passage", F.lit("")), F.lit("\n"))).alias("d"))
+    joined = lambda: sha(F.array_join(F.sort_array(F.collect_list("d")), ""))
+    groups = leaf.groupBy("g").agg(F.count("*").alias("n"), joined().alias("d"))
+    few = groups.groupBy(F.substring("g", 1, 2).alias("g")).agg(F.sum("n").alias("n"), joined().alias("d"))
+    return few.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_articles"), F.substring(joined(), 1, 16).alias("fingerprint"))
 
 
 def document_frequencies(docs: DataFrame, words: Column) -> DataFrame:
@@ -88,15 +105,16 @@ def document_frequencies(docs: DataFrame, words: Column) -> DataFrame:
     return tokens.crossJoin(F.broadcast(n)).select("token", "df", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
-def title_relevance(pairs: DataFrame, idf: DataFrame, n_docs: Column) -> DataFrame:
+def title_relevance(pairs: DataFrame, idf: DataFrame, n_docs: Column, misread: bool = False) -> DataFrame:
     """Of pairs (pair_id, title_words, text_words): the weight of title words found in the text, in that of all; 1 of none.
 
-    Title words are few; each looks up its weight by a join, unseen words weigh ln(n + 1)."""
-    from clearsift.functions.arrays import word_in
+    Title words are few; each looks up its weight by a join, unseen words weigh ln(n + 1). With `misread`, words may
+    differ in misread letters."""
+    from clearsift.functions.arrays import word_in, word_in_misread
 
     words = pairs.select("pair_id", F.explode_outer("title_words").alias("token"), "text_words")
     weighed = words.join(idf.select("token", "idf"), "token", "left").withColumn("w", F.coalesce("idf", F.log(n_docs + 1)))
-    found = F.coalesce(word_in(F.col("token"), F.col("text_words")), F.lit(False))
+    found = F.coalesce((word_in_misread if misread else word_in)(F.col("token"), F.col("text_words")), F.lit(False))
     return weighed.groupBy("pair_id").agg(
         F.coalesce(F.sum(F.when(F.col("token").isNotNull() & found, F.col("w"))), F.lit(0.0)).alias("matched"), F.sum(F.when(F.col("token").isNotNull(), F.col("w"))).alias("all_weight")
     ).select("pair_id", F.coalesce(F.when(F.col("all_weight") > 0, F.col("matched") / F.col("all_weight")), F.lit(1.0)).alias("relevance"))

@@ -25,10 +25,12 @@ def islands(rows: DataFrame, by: str, order: list[str], column: str) -> DataFram
 
 
 def word_grams(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, gram): the distinct runs of n lower-case letter words."""
-    words = rows.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    grams = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
-    return words.select(key, F.explode_outer(grams).alias("gram")).filter("gram IS NOT NULL").distinct()
+    """(key, gram): the distinct runs of n lower-case words (letters and digits of any script), as 64-bit hashes.
+
+    The steps are columns of their own, so that a word is hashed once and runs are hashed from hashes."""
+    words = rows.select(key, F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w)).alias("w"))
+    runs = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)])))
+    return words.select(key, F.array_distinct(runs).alias("g")).select(key, F.explode_outer("g").alias("gram")).filter("gram IS NOT NULL")
 
 
 def with_index_map(rows: DataFrame, column: str) -> DataFrame:

@@ -52,11 +52,8 @@ def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     """The query's own class is left out before the best are taken."""
     vectors = table(spark, d, "embeddings")
-    parts = [retrieval.top_k(vectors.filter((F.col("vec_id") % 50 == 0) & (F.col("label") == c)), vectors.filter(F.col("label") != c), 3, blocks=4) for c in range(10)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.select("query_id", "doc_id", "score", "rank")
+    found = retrieval.top_k(vectors.filter("vec_id % 50 = 0"), vectors, 3, apart="label")
+    return found.select("query_id", "doc_id", "score", "rank")
 
 
 @query(_TOP + " SELECT a.query_id, a.score, round(a.score - b.score, 6) AS gap FROM r a LEFT JOIN r b ON a.query_id = b.query_id AND b.rank = 2 WHERE a.rank = 1")
@@ -158,23 +155,20 @@ def letter_ratios(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '!( ?!)+')) AS n_runs, len(regexp_extract_all(text, '!!!+')) > 0 AS strong_run, len(regexp_extract_all(text, '[A-Z]{5,}')) AS n_capital_words,
-(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 30 AND length(regexp_replace(text, '[^A-Z]', '', 'g')) / length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0.4) AS shouted FROM documents""")
+@query("""SELECT doc_id, len(regexp_extract_all(text, '!(\\s?!)+')) AS n_runs, len(list_filter(regexp_extract_all(text, '!(?:\\s?!)+'), lambda r: length(regexp_replace(r, '[^!]', '', 'g')) >= 3)) AS n_strong,
+(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 30 AND length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) / greatest(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 1) > 0.4) AS shouted FROM documents""")
 def caps_exclaim_flags(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("text")
-    letters = text.count_of(x, "[A-Za-z]")
-    return table(spark, d, "documents").select(
-        "doc_id",
-        text.count_of(x, r"!(?: ?!)+").alias("n_runs"),
-        (text.count_of(x, "!!!+") > 0).alias("strong_run"),
-        text.count_of(x, "[A-Z]{5,}").alias("n_capital_words"),
-        ((letters >= 30) & (text.count_of(x, "[A-Z]") / F.greatest(letters, F.lit(1)) > 0.4)).alias("shouted"),
-    )
+    """Runs of exclamation marks as spans, the strong ones, and texts that are mostly capitals."""
+    from clearsift.operators.features import exclamation_runs, mostly_capitals
 
+    found = table(spark, d, "documents").select("doc_id", "text", exclamation_runs(F.col("text")).alias("runs"))
+    strong = F.filter("runs", lambda c: c["strength"] == "kuat")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.size(strong).cast("long").alias("n_strong"), mostly_capitals(F.col("text")).alias("shouted"))
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]')) AS n_alnum, CASE WHEN len(regexp_extract_all(text, '[A-Za-z0-9]')) < 60 THEN 'teks_tidak_terbaca' END AS error FROM documents")
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{Nd}]', '', 'g')) AS n_alnum, CASE WHEN length(regexp_replace(text, '[^\\p{L}\\p{Nd}]', '', 'g')) < 60 THEN 'teks_tidak_terbaca' END AS error FROM documents")
 def text_gate(spark: SparkSession, d: str) -> DataFrame:
-    n = text.count_of(F.col("text"), "[A-Za-z0-9]")
+    n = text.alnum_count(F.col("text"))
     return table(spark, d, "documents").select("doc_id", n.cast("long").alias("n_alnum"), F.when(n < 60, F.lit("teks_tidak_terbaca")).alias("error"))
 
 
@@ -186,14 +180,13 @@ z AS (SELECT *, CASE WHEN NOT regexp_matches(norm, '[\\p{L}\\p{N}_]') THEN 'tanp
 @query(_LINE_SQL + " SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM z GROUP BY 1")
 def line_drop_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Interface words never fill a line of these documents: only lines without letters are dropped."""
-    found = lines.explode_lines(table(spark, d, "documents")).withColumn("reason", lines.line_reason(F.col("text")))
+    found = lines.with_reason(lines.explode_lines(table(spark, d, "documents")))
     return found.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(_LINE_SQL + " SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE reason IS NULL) AS text, count(*) FILTER (WHERE reason IS NOT NULL) AS n_dropped FROM z GROUP BY doc_id")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    found = lines.explode_lines(table(spark, d, "documents"))
-    return lines.clean_text(found.withColumn("reason", lines.line_reason(F.col("text"))))
+    return lines.clean_text(lines.with_reason(lines.explode_lines(table(spark, d, "documents"))))
 
 
 _EMAIL_SQL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)+"
@@ -228,16 +221,16 @@ def doc_frequency_idf(spark: SparkSession, d: str) -> DataFrame:
 
 _PAIRS_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS w, {_WORDS_SQL.format("string_split(text, chr(10))[1]")} AS head FROM documents),
 n AS (SELECT count(*) AS n FROM documents), i AS (SELECT token, ln((max(n.n) + 1) / (count(*) + 1)) AS idf FROM (SELECT unnest(w) AS token FROM d), n GROUP BY token),
-p AS (SELECT a.doc_id AS pair_id, a.head, b.w FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 50 = 0)"""
+p AS (SELECT a.doc_id AS pair_id, a.head, b.w FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)"""
 
 
 @query(_PAIRS_SQL + """, t AS (SELECT pair_id, w, unnest(head) AS token FROM p), s AS (SELECT pair_id, coalesce(idf, ln(n.n + 1)) AS x, list_bool_or(list_transform(w, lambda v: v = token OR (length(token) >= 5 AND length(v) >= 5 AND (contains(v, token) OR contains(token, v))))) AS hit FROM t LEFT JOIN i USING (token), n)
 SELECT pair_id, round(coalesce(sum(x) FILTER (WHERE hit), 0) / sum(x), 6) AS relevance FROM s GROUP BY pair_id UNION ALL SELECT pair_id, 1.0 FROM p WHERE len(head) = 0""")
 def relevance_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """How much of a document's first line is in the next document; the first of every 50 is asked about."""
+    """How much of every document's first line is in the next document."""
     docs = table(spark, d, "documents")
     words = docs.select("doc_id", arrays.content_words(F.col("text")).alias("text_words"))
-    heads = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("pair_id"), arrays.content_words(F.element_at(F.split("text", "\n"), 1)).alias("title_words"), (F.col("doc_id") + 1).alias("doc_id"))
+    heads = docs.select(F.col("doc_id").alias("pair_id"), arrays.content_words(F.element_at(F.split("text", "\n"), 1)).alias("title_words"), (F.col("doc_id") + 1).alias("doc_id"))
     idf = retrieval.document_frequencies(docs, arrays.content_words(F.col("text")))
     n = F.lit(docs.count())
     return retrieval.title_relevance(heads.join(words, "doc_id").select("pair_id", "title_words", "text_words"), idf, n).select("pair_id", F.round("relevance", 6).alias("relevance"))
@@ -252,14 +245,14 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return w.join(after, "doc_id").select("doc_id", F.round(arrays.jaccard(F.col("w"), F.col("w2")), 6).alias("jaccard"))
 
 
-@query("""WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), n AS (SELECT n_nationkey, lower(n_name) AS name FROM nation)
-SELECT n_nationkey, word, levenshtein(word, name) AS distance FROM w JOIN n ON abs(length(word) - length(name)) <= 3 WHERE levenshtein(word, name) <= 3""")
+@query("""WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part),
+f AS (SELECT p_partkey, list_filter(['widgit', 'gizmos', 'smal', 'platte', 'bolts', 'anvils2'], lambda t: len(list_filter(w, lambda x: x = t OR (length(t) >= 5 AND length(x) >= 5 AND (contains(x, t) OR contains(t, x)
+  OR (NOT regexp_matches(t, '[0-9]') AND NOT regexp_matches(x, '[0-9]') AND levenshtein(x, t) <= CASE WHEN length(t) >= 7 THEN 2 ELSE 1 END))))) > 0) AS found FROM p)
+SELECT p_partkey, len(found) AS n_found FROM f""")
 def edit_distance_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Words of part names near names of nations, a table of fixed size."""
-    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
-    names = table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
-    near = words.join(F.broadcast(names), F.abs(F.length("word") - F.length("name")) <= 3).withColumn("distance", F.levenshtein("word", "name", 3))
-    return near.filter("distance >= 0").select("n_nationkey", "word", "distance")
+    """How many of some misread words are in the name of every part."""
+    wanted = F.array(*[F.lit(w) for w in ("widgit", "gizmos", "smal", "platte", "bolts", "anvils2")])
+    return table(spark, d, "part").select("p_partkey", arrays.words_found(wanted, F.split(F.lower("p_name"), " "), misread=True).cast("long").alias("n_found"))
 
 
 # Keys, deduplication, resolution.
@@ -279,7 +272,7 @@ _TITLE_SQL = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 @query(f"SELECT page_id, {_TITLE_SQL} AS title, regexp_replace(lower({_TITLE_SQL}), '[^a-z0-9]+', '', 'g') AS title_key FROM pages")
 def page_title_extract(spark: SparkSession, d: str) -> DataFrame:
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, d, "pages").select("page_id", title.alias("title"), F.regexp_replace(F.lower(title), "[^a-z0-9]+", "").alias("title_key"))
+    return table(spark, d, "pages").select("page_id", title.alias("title"), text.title_key(title).alias("title_key"))
 
 
 @query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages), u AS (SELECT page_id, generate_subscripts(h, 1) AS pos, unnest(h) AS href FROM l)
@@ -289,13 +282,15 @@ def page_outlinks(spark: SparkSession, d: str) -> DataFrame:
     from clearsift.sources.html_pages import register_table_functions
 
     register_table_functions(spark)
-    table(spark, d, "pages").createOrReplaceTempView("_clearsift_pages")
-    return spark.sql("SELECT p.page_id, l.href, l.pos FROM _clearsift_pages p, LATERAL page_links(p.html) l")
+    pages = table(spark, d, "pages")
+    return spark.sql("SELECT p.page_id, l.href, l.pos FROM {pages} p, LATERAL page_links(p.html) l", pages=pages)
 
 
-@query("SELECT md5(lower(trim(text))) AS k, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', '', 'g') AS k, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 def title_key_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.md5(F.lower(F.trim("text")).cast("binary")).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    """Documents by the key of their first line; none begins with a label."""
+    key = text.title_key(F.element_at(F.split("text", "\n"), 1))
+    return table(spark, d, "documents").groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
 @query("""SELECT source, doc_id, n_chars, first_seq FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quality IS NULL, n_chars DESC, doc_id) AS r, min(doc_id) OVER (PARTITION BY source) AS first_seq
@@ -312,7 +307,9 @@ def backfill_nonnull(spark: SparkSession, d: str) -> DataFrame:
     return resolve.backfill(rows, "source", "doc_id", ["quality"])
 
 
-@query()
+@query("""WITH l AS (SELECT substr(sha1(doc_id::VARCHAR), 1, 5) AS g, sha1(doc_id::VARCHAR || chr(10) || text || chr(10)) AS d FROM documents),
+a AS (SELECT g, count(*) AS n, sha1(string_agg(d, '' ORDER BY d)) AS d FROM l GROUP BY g), b AS (SELECT substr(g, 1, 2) AS g, sum(n) AS n, sha1(string_agg(d, '' ORDER BY d)) AS d FROM a GROUP BY 1)
+SELECT sum(n)::BIGINT AS n_articles, substr(sha1(string_agg(d, '' ORDER BY d)), 1, 16) AS fingerprint FROM b""")
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return retrieval.corpus_fingerprint(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("passage")))
@@ -327,8 +324,8 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Documents as articles: their first line is the title, copies share it."""
     rows = table(spark, d, "documents").select(
-        F.col("doc_id").alias("seq"), "source", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.expr("doc_id div 3")).alias("url"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80).alias("title"),
-        F.substring("text", 1, 100).alias("narrative"), F.date_add(F.lit("2024-01-01").cast("date"), F.expr("CAST(doc_id % 30 AS INT)")).alias("date"), F.array().cast("array<string>").alias("ref_urls"),
+        F.col("doc_id").alias("seq"), "source", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.expr("doc_id div 3")).alias("url"), F.element_at(F.split("text", "\n"), 1).alias("title"),
+        F.col("text").alias("narrative"), F.date_add(F.lit("2024-01-01").cast("date"), F.expr("CAST(doc_id % 30 AS INT)")).alias("date"), F.array().cast("array<string>").alias("ref_urls"),
     )
     return resolve.resolve_articles(rows, "example.net")
 
@@ -363,10 +360,14 @@ def year_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(dates_numbers.year_bucket(F.col("o_orderdate")).alias("year")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: x::HUGEINT))) AS n_numbers FROM documents WHERE NOT regexp_matches(text, '[0-9][.,][0-9]') AND NOT regexp_matches(text, '[0-9]{30,}') AND NOT regexp_matches(lower(text), '[0-9]\\s*(ribu|rb|juta|jt|miliar|triliun)')")
+@query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:[.,][0-9]+)*(?:\\s*(?:ribu|rb|juta|jt|miliar|milyar|triliun)\\b)?')) AS m FROM documents),
+p AS (SELECT doc_id, regexp_extract(m, '^[0-9.,]*[0-9]') AS n, regexp_extract(m, '[a-z]+$') AS unit FROM m),
+v AS (SELECT doc_id, TRY_CAST(CASE WHEN regexp_matches(n, '[.,][0-9]{3}$|[.,].*[.,]') THEN regexp_replace(n, '[.,]', '', 'g') ELSE replace(n, ',', '.') END AS DECIMAL(38, 6)) AS v,
+  CASE unit WHEN 'ribu' THEN 1000 WHEN 'rb' THEN 1000 WHEN 'juta' THEN 1000000 WHEN 'jt' THEN 1000000 WHEN 'miliar' THEN 1000000000 WHEN 'milyar' THEN 1000000000 WHEN 'triliun' THEN 1000000000000 ELSE 1 END AS times FROM p)
+SELECT doc_id, count(DISTINCT (v::DOUBLE * times)) AS n_numbers FROM documents LEFT JOIN v USING (doc_id) GROUP BY doc_id""")
 def numbers_in_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"[0-9][.,][0-9]|[0-9]{30,}") & ~F.lower("text").rlike(r"[0-9]\s*(ribu|rb|juta|jt|miliar|triliun)"))
-    return docs.select("doc_id", F.size(dates_numbers.numbers_in(F.col("text"))).cast("long").alias("n_numbers"))
+    """How many different numbers are in every whole text."""
+    return table(spark, d, "documents").select("doc_id", F.size(dates_numbers.numbers_in(F.col("text"))).cast("long").alias("n_numbers"))
 
 
 @query("SELECT event_id, json_valid(props) AS valid, json_extract_string(props, '$.k') AS k FROM events")
@@ -377,9 +378,15 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
 # Joins, sets, samples, windows.
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""WITH k AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://(www\\.)?', ''), '#.*$', ''), '/+$', '') AS k FROM pages)
+SELECT page_id FROM k WHERE k NOT IN (SELECT k FROM k WHERE page_id % 3 = 0 AND page_id % 2 <> 0)""")
 def seen_url_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Every third page is fetched already, every other one of these in vain: it is not seen."""
+    from clearsift.streaming.ingest import unseen
+
+    pages = table(spark, d, "pages").select("page_id", "url")
+    fetched = pages.filter("page_id % 3 = 0").select("url", F.when(F.expr("page_id % 2 = 0"), "galat").alias("error"))
+    return unseen(pages, fetched).select("page_id")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -498,11 +505,11 @@ def merge_report(spark: SparkSession, d: str) -> DataFrame:
     return resolve.merge_report(docs.select("source", F.col("lang").alias("label"), F.col("text").alias("narrative"), F.lit(None).cast("date").alias("date")))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+5], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 6)),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), h AS (SELECT DISTINCT item_id, array_to_string(w[i:i+5], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM b WHERE len(w) >= 6))
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+5], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM t WHERE len(w) >= 6)),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark), h AS (SELECT DISTINCT item_id, array_to_string(w[i:i+5], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM b WHERE len(w) >= 6))
 SELECT doc_id, item_id, count(*) AS n FROM g JOIN h USING (gram) GROUP BY ALL""")
 def contamination_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Shared runs of six letter words of documents and benchmark items."""
+    """Shared runs of six words of documents and benchmark items; whether the items are broadcast is left to Spark."""
     from clearsift.operators.spans import word_grams
 
     docs = word_grams(table(spark, d, "documents"), "doc_id", 6)
@@ -541,7 +548,7 @@ def claim_cascade(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     best = best_sentences(lines.explode_lines(docs), spark.createDataFrame([], "doc_id long, evidence array<string>")).select("doc_id", "sentence", F.col("score").alias("sentence_score"))
-    evidence = F.when(F.expr("doc_id % 3 = 0"), claim_from_evidence(F.substring("text", 1, 80)))
+    evidence = F.when(F.expr("doc_id % 3 = 0"), claim_from_evidence(F.element_at(F.split("text", "\n"), 1)))
     rows = docs.join(best, "doc_id", "left").withColumns({"evidence_claim": evidence, "model_claim": F.lit(None).cast("string"), "model_rejected": F.expr("doc_id % 2 = 0")})
     return decide.claim_cascade(rows).select("doc_id", "claim", "claim_source")
 
@@ -586,16 +593,17 @@ def page_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def screening(spark: SparkSession, d: str) -> DataFrame:
-    """The whole plan on documents as pages; the vectors of the same ids are theirs, all vectors are articles."""
+    """The whole plan on all documents as pages; all vectors are articles, and those with an id divisible by 50 are searched for."""
     from clearsift.operators.screen import screen
 
-    docs = table(spark, d, "documents").filter("doc_id % 50 = 0")
+    docs = table(spark, d, "documents")
     pages = lines.explode_lines(docs).withColumns({"box": F.array(F.struct(F.lit(0.0).alias("x"), (F.col("pos") * 20.0 + 100).alias("y"))), "height": F.lit(2000)})
     vectors = table(spark, d, "embeddings")
     label = F.when(F.col("label") < 3, "salah").when(F.col("label") < 5, "satir").otherwise("lainnya")
-    titles = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 60).alias("title"))
-    articles = vectors.join(titles, "vec_id", "left").select("vec_id", "embedding", label.alias("label"), F.coalesce("title", F.lit("")).alias("title"))
-    return screen(pages, vectors.select("vec_id", "embedding"), articles, decide.profiles(spark))
+    titles = docs.select(F.col("doc_id").alias("vec_id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("narrative"))
+    articles = vectors.join(titles, "vec_id", "left").select("vec_id", "embedding", label.alias("label"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("narrative", F.lit("")).alias("narrative"))
+    searched = vectors.filter("vec_id % 50 = 0").select("vec_id", "embedding")
+    return screen(pages, searched, articles, decide.profiles(spark))
 
 
 # Reports.
@@ -608,9 +616,11 @@ def daily_usage(spark: SparkSession, d: str) -> DataFrame:
     return usage(table(spark, d, "events").select("ts", F.floor("value").alias("tokens")))
 
 
-@query("""WITH c AS (SELECT event_id AS seq, ts::DATE AS day, epoch_us(ts) / 1000000.0 AS sec, floor(value)::BIGINT AS tokens FROM events),
-g AS (SELECT *, sec - lag(sec) OVER w AS gap, row_number() OVER w AS nth, sum(tokens) OVER (PARTITION BY day ORDER BY sec, seq ROWS UNBOUNDED PRECEDING) AS spent FROM c WINDOW w AS (PARTITION BY day ORDER BY sec, seq))
-SELECT seq, coalesce(gap, 5.0) >= 5.0 AND nth <= 50 AND spent <= 2000 AS allowed FROM g""")
+@query("""WITH RECURSIVE c AS (SELECT event_id AS seq, ts::DATE AS day, epoch_us(ts) / 1000000.0 AS sec, floor(value)::BIGINT AS tokens, row_number() OVER (PARTITION BY ts::DATE ORDER BY epoch_us(ts) / 1000000.0, event_id) AS nth FROM events),
+r AS (SELECT seq, day, nth, tokens <= 2000 AS allowed, CASE WHEN tokens <= 2000 THEN sec END AS last, CASE WHEN tokens <= 2000 THEN 1 ELSE 0 END AS made, CASE WHEN tokens <= 2000 THEN tokens ELSE 0 END AS spent FROM c WHERE nth = 1
+UNION ALL SELECT c.seq, c.day, c.nth, ok, CASE WHEN ok THEN c.sec ELSE r.last END, r.made + ok::INT, r.spent + CASE WHEN ok THEN c.tokens ELSE 0 END
+  FROM (SELECT c.*, (r.last IS NULL OR c.sec - r.last >= 5.0) AND r.made < 50 AND r.spent + c.tokens <= 2000 AS ok FROM r JOIN c ON c.day = r.day AND c.nth = r.nth + 1) c JOIN r ON c.day = r.day AND c.nth = r.nth + 1)
+SELECT seq, allowed FROM r""")
 def allowed_calls(spark: SparkSession, d: str) -> DataFrame:
     from clearsift.operators.reports import allowed_calls as allowed
 
@@ -665,3 +675,218 @@ def average_with_exclusion(spark: SparkSession, d: str) -> DataFrame:
     from clearsift.operators.reports import average_with_exclusion as average
 
     return average(table(spark, d, "lineitem"), "l_quantity", F.col("l_linenumber") == 1, "l_returnflag")
+
+
+# Sources and sinks: what is written is read again.
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    from clearsift.operators.resolve import shared_path
+
+    return shared_path(spark, name)
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang FROM documents")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.sources import readers, sinks
+
+    path = _scratch(spark, "jsonl")
+    sinks.write_jsonl(table(spark, d, "documents").select("doc_id", "text", "lang"), path)
+    return readers.read_jsonl(spark, path, "doc_id long, text string, lang string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.sources import readers, sinks
+
+    path = _scratch(spark, "csv")
+    sinks.write_csv(table(spark, d, "customer"), path, ["c_custkey", "c_name", "c_mktsegment"])
+    return readers.read_csv(spark, path, "c_custkey long, c_name string, c_mktsegment string")
+
+
+@query("SELECT doc_id AS key, CASE WHEN doc_id % 7 = 0 THEN 'berubah' WHEN doc_id % 7 = 1 THEN 'hilang' ELSE 'baru' END AS difference FROM documents WHERE doc_id % 7 < 3")
+def seal_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A seal of most documents against a later state, in which some have changed, are gone, or are new."""
+    from clearsift.sources import sinks
+
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    later = docs.filter("doc_id % 7 <> 1").withColumn("source", F.when(F.expr("doc_id % 7 = 0"), F.lit("x")).otherwise(F.col("source")))
+    return sinks.seal_differences(later, "doc_id", sinks.row_hashes(docs.filter("doc_id % 7 <> 2"), "doc_id"))
+
+
+@query("SELECT doc_id, sha256('v1|' || text) AS key FROM documents WHERE sha256('v1|' || text) NOT IN (SELECT sha256('v1|' || text) FROM documents WHERE doc_id % 2 = 0)")
+def cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Even documents are cached by their content, and with them their copies."""
+    from clearsift.streaming import ingest
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cache = docs.filter("doc_id % 2 = 0").select(F.sha2(F.concat_ws("|", F.lit("v1"), "text"), 256).alias("key"))
+    return ingest.cache_misses(docs, cache, "v1").select("doc_id", "key")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+def first_and_last_by_key(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    first = resolve.first_by_key(events, "user_id", "event_id").select("user_id", F.col("event_type").alias("first_type"))
+    return first.join(resolve.last_by_key(events, "user_id", "event_id").select("user_id", F.col("event_type").alias("last_type")), "user_id")
+
+
+@query("SELECT coalesce(CASE WHEN page_id % 5 = 0 THEN 'tanpa url' WHEN page_id % 5 = 1 THEN 'tanpa judul' END, 'baik') AS reason, count(*) AS n FROM pages GROUP BY 1")
+def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    reason = resolve.reject_reason(F.when(F.expr("page_id % 5 = 0"), F.lit(" ")).otherwise(F.col("url")), F.when(F.expr("page_id % 5 = 1"), F.lit(None)).otherwise(F.lit("judul")))
+    return pages.groupBy(F.coalesce(reason, F.lit("baik")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH k AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://(www\\.)?', ''), '#.*$', ''), '/+$', '') AS k FROM pages), n AS (SELECT k, max(page_id) AS seq FROM k WHERE page_id % 2 = 0 GROUP BY k)
+SELECT page_id, coalesce('n' || n.seq::VARCHAR, 'asal') AS narrative FROM k LEFT JOIN n USING (k)""")
+def narrative_lookup(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "url")
+    known = pages.filter("page_id % 2 = 0").select("url", F.col("page_id").alias("seq"), F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("narrative"))
+    return resolve.enrich_narrative(pages.withColumn("narrative", F.lit("asal")), known).select("page_id", "narrative")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE quality IS NULL) AS no_date, count(*) FILTER (WHERE n_chars % 10 = 0) AS no_narrative, count(*) FILTER (WHERE toxic = 1) AS errors FROM documents LEFT JOIN labels USING (doc_id)")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    day, error = F.when(F.col("quality").isNotNull(), F.lit("2024-01-01").cast("date")), F.when(F.col("toxic") == 1, F.lit("galat"))
+    return resolve.corpus_stats(rows.select(day.alias("date"), F.when(F.expr("n_chars % 10 = 0"), F.lit(" ")).otherwise(F.col("text")).alias("narrative"), error.alias("error")))
+
+
+_FOUND_SQL = """WITH f AS (SELECT doc_id, 'simbol' AS feature_id, 'kuat' AS strength FROM documents WHERE regexp_matches(text, '[#*$%&|]') UNION ALL SELECT doc_id, 'angka', 'lemah' FROM documents WHERE regexp_matches(text, '[0-9]')),
+h AS (SELECT feature_id, quality AS label, strength, doc_id, row_number() OVER (PARTITION BY feature_id, quality, strength ORDER BY doc_id) AS k FROM f JOIN labels USING (doc_id)), t AS (SELECT quality AS label, count(*) AS n_class FROM labels JOIN documents USING (doc_id) GROUP BY 1)"""
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    parts = [docs.filter(F.col("text").rlike(p)).select("doc_id", F.lit(f).alias("feature_id"), F.lit(s).alias("strength")) for f, s, p in (("simbol", "kuat", "[#*$%&|]"), ("angka", "lemah", "[0-9]"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(_FOUND_SQL + " SELECT feature_id, label, strength, count(*) AS n_texts, round(100 * count(*) / max(n_class), 2) AS percent, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE k <= 3) AS examples FROM h JOIN t USING (label) GROUP BY ALL")
+def detector_counts(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    counts = evaluation.detector_counts(_found(spark, d), labels, table(spark, d, "documents"))
+    return counts.select("feature_id", "label", "strength", "n_texts", "percent", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+@query(_FOUND_SQL + " SELECT feature_id, count(*) AS n_texts FROM h WHERE label = 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
+def most_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report: its limit is the feature."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return evaluation.most_flagged(evaluation.detector_counts(_found(spark, d), labels, table(spark, d, "documents")), 1)
+
+
+@query(_FOUND_SQL + """, m AS (SELECT doc_id, 'simbol' AS feature_id FROM documents WHERE doc_id % 3 = 0), b AS (SELECT doc_id, feature_id, f.doc_id IS NOT NULL AS r, m.doc_id IS NOT NULL AS m FROM f FULL JOIN m USING (doc_id, feature_id))
+SELECT feature_id, count(*) FILTER (WHERE r AND m) AS both, count(*) FILTER (WHERE r AND NOT m) AS rules_only, count(*) FILTER (WHERE m AND NOT r) AS model_only, (SELECT count(*) FROM documents) - count(*) AS neither FROM b GROUP BY 1""")
+def rule_model_agreement(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    return evaluation.rule_model_agreement(_found(spark, d), docs.filter("doc_id % 3 = 0").withColumn("feature_id", F.lit("simbol")), docs)
+
+
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality AS before, b.quality AS after FROM (SELECT * FROM labels WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels) b USING (doc_id) WHERE a.quality IS DISTINCT FROM b.quality")
+def changed_rows(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels")
+    later = labels.select("doc_id", F.when(F.expr("doc_id % 4 = 0"), 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"))
+    return evaluation.changed_rows(labels.filter("doc_id % 5 <> 0"), later, "doc_id", "quality")
+
+
+@query("""SELECT event_type AS model, count(*) AS n, round(100 * avg((user_id % 2)::DOUBLE), 2) AS valid_percent, round(100 * sum(user_id % 3) / nullif(sum(3), 0), 2) AS honest_percent, median(value) AS latency_median, count(*) FILTER (WHERE event_id % 10 = 0) AS n_refused,
+list_sort(list(value) FILTER (WHERE value IS NOT NULL))[1 + round_even(0.95 * (count(value) - 1), 0)::INT] AS latency_p95 FROM events GROUP BY 1""")
+def model_scorecard(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 2 == 1).alias("valid"), (F.col("user_id") % 3).alias("quotes_found"), F.lit(3).alias("quotes"), F.col("value").alias("latency"), F.when(F.expr("event_id % 10 = 0"), 429).otherwise(200).alias("status"))
+    return evaluation.model_scorecard(calls)
+
+
+@query("SELECT user_id AS doc_id, count(*) AS attempts, coalesce(sum(floor(value)::BIGINT), 0) AS prompt, coalesce(sum(CASE WHEN event_id % 4 <> 0 THEN 7 END), 0) AS completion FROM events GROUP BY 1")
+def tokens_by_image(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import tokens_by_image as tokens
+
+    return tokens(table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.floor("value").alias("prompt"), F.when(F.expr("event_id % 4 <> 0"), F.lit(7)).alias("completion")))
+
+
+@query("SELECT doc_id, 'ada' AS part FROM documents WHERE doc_id IN (SELECT 2 * doc_id FROM labels) UNION ALL SELECT DISTINCT 2 * doc_id, 'tidak dikenal' FROM labels WHERE 2 * doc_id NOT IN (SELECT doc_id FROM documents)")
+def restricted_ids(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import restricted_to
+
+    wanted = table(spark, d, "labels").select((2 * F.col("doc_id")).alias("doc_id"))
+    kept, unknown = restricted_to(table(spark, d, "documents").select("doc_id"), wanted, "doc_id")
+    return kept.withColumn("part", F.lit("ada")).unionByName(unknown.withColumn("part", F.lit("tidak dikenal")))
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 3 <> 0) AS ok, count(*) FILTER (WHERE event_id % 3 = 0) AS busy, median(value) AS median, max(value) AS max FROM events")
+def load_tally(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import load_tally as tally
+
+    return tally(table(spark, d, "events").select(F.when(F.expr("event_id % 3 = 0"), 503).otherwise(200).alias("status"), F.col("value").alias("seconds")))
+
+
+@query("SELECT event_type AS level, count(*) AS n, sum(user_id % 5) AS candidates, count(*) FILTER (WHERE event_id % 4 = 1) AS source_first FROM events GROUP BY 1")
+def level_tally(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import level_tally as tally
+
+    return tally(table(spark, d, "events").select(F.col("event_type").alias("level"), (F.col("user_id") % 5).alias("n_candidates"), F.nullif(F.expr("event_id % 4"), F.lit(0)).alias("source_rank")))
+
+
+@query("SELECT model, count(*) AS calls, ceil(sum(length(text)) / 3.5)::BIGINT AS tokens, greatest(ceil(ceil(sum(length(text)) / 3.5) / tokens_a_day), ceil(count(*) / calls_a_day))::BIGINT AS days FROM documents, (VALUES ('m1', 1000, 14), ('m2', 500000, 1000)) t(model, tokens_a_day, calls_a_day) GROUP BY model, tokens_a_day, calls_a_day")
+def token_budget(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import token_budget as budget
+
+    return budget(table(spark, d, "documents"), spark.createDataFrame([("m1", 1000, 14), ("m2", 500000, 1000)], "model string, tokens_a_day long, calls_a_day long"))
+
+
+@query("SELECT 'ada huruf' AS name, count(*) FILTER (WHERE NOT regexp_matches(text, '[a-z]')) AS n_broken FROM documents UNION ALL SELECT 'pendek', count(*) FILTER (WHERE n_chars > 5000) FROM documents")
+def confirm_results(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import confirm
+
+    return confirm(table(spark, d, "documents"), {"ada huruf": F.col("text").rlike("[a-z]"), "pendek": F.col("n_chars") <= 5000})
+
+
+@query("SELECT event_type AS measure, count(*) FILTER (WHERE user_id % 2 = 0)::DOUBLE AS a, count(*) FILTER (WHERE user_id % 2 = 1)::DOUBLE AS b FROM events GROUP BY 1")
+def comparison_table(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.operators.reports import comparison_table as comparison
+
+    counted = lambda k: table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("user_id") % 2 == k).cast("double").alias("v"))
+    return comparison({"a": counted(0), "b": counted(1)}, "event_type", "v")
+
+
+@query("SELECT vec_id, [round(x, 6) for x in list_transform(embedding, lambda y: y::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE))))][1] AS first FROM embeddings")
+def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Of two vectors, of which the mask lets one through."""
+    pooled = retrieval.mean_pool(F.array("embedding", F.reverse("embedding")), F.array(F.lit(1), F.lit(0)))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(pooled, 0), 6).alias("first"))
+
+
+@query("SELECT false AS wrong_count, true AS wrong_articles, true AS wrong_text")
+def index_check(spark: SparkSession, d: str) -> DataFrame:
+    """An index of as many vectors as it says, over other articles than those at hand."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage"))
+    vectors = table(spark, d, "embeddings")
+    meta = vectors.agg(F.count("*").alias("jumlah")).withColumn("teks_sha1", F.lit("0" * 16))
+    return retrieval.index_mismatch(meta, vectors, docs.filter("id % 3 <> 0"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 400 WHEN page_id % 4 = 1 THEN 413 WHEN page_id % 4 = 2 THEN 415 END AS status FROM pages")
+def image_problems(spark: SparkSession, d: str) -> DataFrame:
+    from clearsift.sources.readers import image_problem
+
+    content = F.when(F.expr("page_id % 4 = 0"), F.lit("")).when(F.expr("page_id % 4 = 1"), F.repeat("html", 50)).when(F.expr("page_id % 4 = 2"), F.lit("GIF89a")).otherwise(F.lit(""))
+    png = F.when(F.expr("page_id % 4 = 3"), F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(content.cast("binary"))
+    return table(spark, d, "pages").select("page_id", image_problem(png, 10_000).alias("status"))
+
+
+@query("SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE n_chars > 3000) AS ids FROM documents GROUP BY source")
+def ids_where(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "documents").groupBy("source").agg(evaluation.ids_where(F.col("n_chars") > 3000).alias("ids"))
+    return ids.select("source", F.nullif(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), F.lit("")).alias("ids"))
+
+
+@query("SELECT doc_id, label, quality AS confidence FROM (SELECT doc_id, quality, toxic AS label FROM labels)")
+def dimension_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A fixed dimension by two keys, with a default."""
+    from clearsift.operators.screen import lookup
+
+    known = {(str(q), str(t)): f"{t},{q}" for q in (0, 1) for t in (0, 1)}
+    named = table(spark, d, "labels").select("doc_id", lookup(known, F.col("quality").cast("string"), F.col("toxic").cast("string"), default=F.lit("-1,-1")).alias("v"))
+    part = lambda i: F.element_at(F.split("v", ","), i).cast("int")
+    return named.select("doc_id", part(1).alias("label"), part(2).alias("confidence"))

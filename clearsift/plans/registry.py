@@ -1,6 +1,6 @@
 """All queries of the library by name, with the SQL that checks them."""
 
-from clearsift.plans import fixture_queries
+from clearsift.plans import case_queries, fixture_queries
 
-QUERIES = dict(fixture_queries.QUERIES)
-ORACLE_SQL = dict(fixture_queries.ORACLE_SQL)
+QUERIES = fixture_queries.QUERIES | case_queries.QUERIES
+ORACLE_SQL = fixture_queries.ORACLE_SQL | case_queries.ORACLE_SQL
