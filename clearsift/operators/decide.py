@@ -104,3 +104,14 @@ def claim_cascade(docs: DataFrame) -> DataFrame:
 def limited_checks(model_ran: Column, search_ran: Column) -> Column:
     """Which checks did not run."""
     return F.array_compact(F.array(F.when(~model_ran, F.lit("llm")), F.when(~search_ran, F.lit("pencarian"))))
+
+
+def forced(level: Column, to: str | None) -> Column:
+    """The level of a demonstration, where one is forced."""
+    return level if to is None else F.lit(to)
+
+
+def without_articles(features: DataFrame, docs: DataFrame, profile_table: DataFrame) -> DataFrame:
+    """(doc_id, profile, level) by features alone: what a verdict is where no article is near."""
+    kinds = "doc_id bigint, article_id bigint, score double, label string, relevance double, title_words_found int"
+    return decide(docs.sparkSession.createDataFrame([], kinds), features, docs, profile_table).select("doc_id", "profile", "level")
