@@ -62,19 +62,6 @@ def _digest(grams: np.ndarray, rows: np.ndarray, n: int, seed: int) -> np.ndarra
     return mix(_per_row(mix(grams ^ _U(seed)), rows, n)).view(np.int64)
 
 
-def set_digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and two digests of the shingle set; equal sets have equal digests."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            grams, counts = _lists(batch, width)
-            rows = np.repeat(np.arange(len(counts)), counts)
-            c1, c2 = (_digest(grams, rows, len(counts), s) for s in _SEEDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(c1), pa.array(c2)], ["doc_id", "n_shingles", "c1", "c2"])
-
-    return _hashed(docs).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long")
-
-
 def least_common(n, percent: int):
     """The least number of elements that a set of n elements has in common with any set linked with it."""
     return (percent * n + 99) // 100
@@ -85,33 +72,31 @@ def asked(n, share: int):
     return np.maximum(1, n * share // 100)
 
 
-def prefix_elements(docs: DataFrame, width: int, percent: int, share: int, owners: bool) -> DataFrame:
-    """The first elements of each set in one global order, that of the hashes: gram, and if asked for, c1, most, k.
+def set_table(docs: DataFrame, width: int, percent: int, share: int = 10) -> DataFrame:
+    """doc_id, n_shingles, two digests c1 and c2 of the shingle set, and its prefix grams with most and k, in one pass.
 
-    Linked sets x and y have least_common elements in common at least, so that the first l common ones lie among the
-    first n - least_common(n) + l of each. With l = asked(n), these prefixes of x and y have at least min(asked(|x|),
+    Equal sets have equal digests. The prefix holds the first elements in one global order, that of the hashes: linked
+    sets x and y have least_common elements in common at least, so that the first l common ones lie among the first
+    n - least_common(n) + l of each. With l = asked(n), the prefixes of x and y have at least min(asked(|x|),
     asked(|y|)) elements in common. `most` is the prefix's size, and k a lower bound of that minimum for any partner.
-    Of equal sets in a batch one is enough.
+    Of equal sets in a batch one gives its prefix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             grams, counts = _lists(batch, width)
-            if not len(grams):
-                continue
             rows = np.repeat(np.arange(len(counts)), counts)
-            whole = _digest(grams, rows, len(counts), _SEEDS[0])
-            most = counts - least_common(counts, percent) + asked(counts, share)
+            c1, c2 = (_digest(grams, rows, len(counts), s) for s in _SEEDS)
             once = np.zeros(len(counts), bool)
-            once[np.unique(whole, return_index=True)[1]] = True
-            taken = once[rows] & (np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts) < most[rows])
-            out, rows = [pa.array(grams[taken].view(np.int64))], rows[taken]
-            if owners:
-                k = asked(least_common(counts, percent), share)
-                out += [pa.array(whole[rows]), pa.array(most[rows].astype(np.int32)), pa.array(k[rows].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, ["gram", "c1", "most", "k"][: len(out)])
+            once[np.unique(c1, return_index=True)[1]] = True
+            most = np.where(once & (counts > 0), counts - least_common(counts, percent) + asked(counts, share), 0)
+            taken = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts) < most[rows]
+            prefixes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(grams[taken].view(np.int64)))
+            k = asked(least_common(counts, percent), share)
+            columns = [batch.column("doc_id"), pa.array(counts), pa.array(c1), pa.array(c2), pa.array(most.astype(np.int32)), pa.array(k.astype(np.int32)), prefixes]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "c1", "c2", "most", "k", "grams"])
 
-    return _hashed(docs).mapInArrow(run, "gram long" + ", c1 long, most int, k int" * owners)
+    return _hashed(docs).mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, most int, k int, grams array<long>")
 
 
 def rarest(elements: DataFrame, held: DataFrame, kept: Column) -> DataFrame:
@@ -126,16 +111,15 @@ def rarest(elements: DataFrame, held: DataFrame, kept: Column) -> DataFrame:
     return first.select("c1", F.explode_outer("es").alias("e")).filter("e IS NOT NULL").select(F.col("e.gram").alias("gram"), "c1")
 
 
-def possible_sets(docs: DataFrame, width: int, percent: int, share: int = 10) -> DataFrame:
-    """c1: the digests of all sets that may be linked with another, found by their prefixes alone.
+def possible_sets(sets: DataFrame) -> DataFrame:
+    """c1: the digests of all sets of a set_table that may be linked with another, found by their prefixes alone.
 
     Two prefixes with k or more common elements share one of the `most` - k + 1 rarest elements of each. As what is
     common in the corpus comes last, boilerplate makes few sets possible. Elements that one row holds stand first and
     meet nobody: only their number counts.
     """
-    counted = prefix_elements(docs, width, percent, share, False).groupBy("gram").agg(F.count("*").alias("df"))
-    held = durable(counted.filter("df > 1"), "jaccard-held")
-    elements = prefix_elements(docs, width, percent, share, True)
+    elements = sets.filter("doc_id IS NOT NULL AND most > 0").select(F.explode("grams").alias("gram"), "c1", "most", "k")
+    held = durable(elements.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-held")
     kept = durable(rarest(elements, held, F.size("es") - F.col("k") + 1), "jaccard-rare")
     met = durable(kept.groupBy("gram").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).filter("a < b").select("gram"), "jaccard-met")
     return durable(kept.join(met, "gram").select("c1").distinct(), "jaccard-possible")
@@ -320,10 +304,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     ignored. Which of two equal sets is looked at makes no difference (ties).
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digests = durable(set_digests(base, width), "jaccard-digests")
+    sets = durable(set_table(base, width, percent), "jaccard-sets")
+    digests = sets.select("doc_id", "n_shingles", "c1", "c2")
     classes = durable(digests.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     # Digests name sets; were two sets to share one, both would be candidates, and nothing would be lost.
-    possible = possible_sets(base.filter("doc_id IS NOT NULL"), width, percent)
+    possible = possible_sets(sets)
     reps = durable(classes.join(possible, "c1").select(F.col("rep").alias("doc_id")).distinct(), "jaccard-reps")
     texts = durable(with_digests(base.join(reps, "doc_id", "left_semi"), width), "jaccard-candidates")
     groups = durable(candidate_groups(texts, width, percent), "jaccard-groups")

@@ -11,7 +11,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str = "h", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "h", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a list column has at most `most` elements in each, or one row: this bounds a task's memory."""
     for batch in batches:
         ends = np.cumsum(np.asarray(batch.column(column).value_lengths().fill_null(0), dtype=np.int64))
