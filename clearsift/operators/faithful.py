@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clearsift.functions.arrays import content_words
 from clearsift.functions.dates_numbers import MONTHS, MULTIPLIERS, number_value
@@ -23,7 +24,7 @@ SHORT_MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "agu
 NOT_NAMES = "rp wib wita wit".split()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
@@ -33,7 +34,7 @@ def similar_ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.round(_ratios(a, b), digits)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _alike(wanted: pd.Series, words: pd.Series, least: pd.Series) -> pd.Series:
     def one(names, known, bound):
         return [n for n in names if any(abs(len(w) - len(n)) <= 2 and SequenceMatcher(None, n.lower(), w).ratio() >= bound for w in known)]

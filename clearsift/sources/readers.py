@@ -120,9 +120,10 @@ def read_queries(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 
 def read_markdown_table(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, cells): the rows of the tables of a Markdown report, without headings' rules."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("t")).filter(F.col("t").rlike(r"^\|.*\|$") & ~F.col("t").rlike(r"^\|[\s:|\-]+\|$"))
-    return rows.select("pos", F.transform(F.split(F.regexp_replace("t", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)).alias("cells"))
+    """(path, pos, cells): the rows of the tables of Markdown reports, by file and line, without headings' rules."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "t"))
+    rows = lines.withColumn("t", F.trim("t")).filter(F.col("t").rlike(r"^\|.*\|$") & ~F.col("t").rlike(r"^\|[\s:|\-]+\|$"))
+    return rows.select("path", "pos", F.transform(F.split(F.regexp_replace("t", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def read_source_map(spark: SparkSession, path: str) -> DataFrame:

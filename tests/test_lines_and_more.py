@@ -62,11 +62,13 @@ def test_highlights(spark):
     assert got == {1: [(0, 5), (6, 7)], 2: [], 3: [(0, 6)]}
 
 
-def test_top_k_matches_brute_force(spark):
+def test_top_k_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 2)
+    monkeypatch.setattr(retrieval, "CORPUS_ROWS", 25)
     rng = random.Random(3)
     vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(60)]
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    got = {(r.query_id, r.rank): r.doc_id for r in retrieval.top_k(table.filter("vec_id < 5"), table, 4, blocks=3).collect()}
+    got = {(r.query_id, r.rank): r.doc_id for r in retrieval.top_k(table.filter("vec_id < 5"), table, 4).collect()}
     for q in range(5):
         order = sorted((-sum(a * b for a, b in zip(vectors[q][1], v, strict=True)), i) for i, v in vectors if i != q)
         assert [got[(q, k)] for k in range(1, 5)] == [i for _, i in order[:4]]

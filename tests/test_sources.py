@@ -1,5 +1,7 @@
 import datetime
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -112,6 +114,53 @@ def test_resolution(spark):
     assert best.w == "y" and best.first_seq == 1
 
 
+def merged_one_by_one(rows):
+    """The merge of articles by going through the rows in their order."""
+    key = lambda u: re.sub(r"/+$", "", re.sub("#.*$", "", re.sub(r"^https?://(www\.)?", "", u.strip().lower())))
+    slug = lambda u: re.sub(r"^\d+-", "", re.sub("^.*/", "", re.sub("/+$", "", re.sub(r"\?.*$", "", re.sub(r"^https?://[^/]+", "", u.lower()))))) if "own.id" in u.lower() else ""
+    offered, root = {}, {}
+    for seq, _, url, _, _, _, refs in rows:
+        wanted = [("u", key(url)), ("s", slug(url))] + [x for r in refs for x in (("u", key(r)), ("s", slug(r)))]
+        met = next((offered[w] for w in wanted if w[1] and w in offered), None)
+        root[seq] = seq if met is None else root[met]
+        for w in wanted[:2]:
+            if w[1]:
+                offered.setdefault(w, seq)
+    day = {}
+    for seq, *_, date, _ in rows:
+        if date is not None:
+            day.setdefault(root[seq], date)
+    kept, home = {}, {}
+    for seq, _, _, title, *_ in rows:
+        t = re.sub("[^a-z0-9]+", "", title.lower())
+        if root[seq] == seq and len(t) >= 12:
+            near = [k for k in kept.get(t, []) if day.get(seq) is None or day.get(k) is None or abs((day[seq] - day[k]).days) <= 7]
+            home[seq] = near[0] if near else seq
+            if not near:
+                kept.setdefault(t, []).append(seq)
+    last = {seq: home.get(root[seq], root[seq]) for seq in root}
+    while any(last[v] != v for v in last.values()):
+        last = {k: last[v] for k, v in last.items()}
+    return last
+
+
+def test_resolution_matches_going_row_by_row(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(1, 121):
+        url = rng.choice(["", f"https://else.id/{rng.randint(1, 40)}", f"https://own.id/articles/{i}-slug-{rng.randint(1, 25)}"])
+        refs = [f"https://else.id/{rng.randint(1, 40)}" for _ in range(rng.choice([0, 0, 0, 1, 2]))]
+        date = None if rng.random() < 0.2 else datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randint(0, 40))
+        rows.append((i, rng.choice("abc"), url, f"Judul panjang nomor {rng.randint(1, 12)}", rng.choice(["", f"isi {i}"]), date, refs))
+    table = spark.createDataFrame(rows, "seq long, source string, url string, title string, narrative string, date date, ref_urls array<string>")
+    got = {r.seq: (r.n_merged, r.narrative) for r in resolve.resolve_articles(table, "own.id").collect()}
+    last = merged_one_by_one(rows)
+    members = {}
+    for r in rows:
+        members.setdefault(last[r[0]], []).append(r)
+    assert got == {k: (len(m) - 1, next((r[4] for r in m if r[4]), "")) for k, m in members.items()} and len(got) < 100
+
+
 def test_sinks_and_streams(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "b")], "id long, x string")
     sinks.write_jsonl(df.coalesce(1), str(tmp_path / "j"))
