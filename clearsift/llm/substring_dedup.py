@@ -186,9 +186,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     only_copy = copies.select("doc_id").join(facts.join(copies, ["doc_id", "text_sha256"], "left_anti").select("doc_id"), "doc_id", "left_anti").distinct()
     whole = base.filter("doc_id IS NOT NULL").join(durable(only_copy, "dedup-skipped"), "doc_id", "left_anti")
 
-    # Which grams occur in two documents; the result is written, so that both sides of the join with it are plain exchanges that Spark can split.
-    spread = passage_anchors(whole, window, False).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    recurring = durable(spread.filter("a < b").select("anchor"), "dedup-anchors")
+    # Which grams occur twice; counts alone are exchanged. The result is written, so that both sides of the join with it
+    # are plain exchanges that Spark can split.
+    counted = passage_anchors(whole, window, False).groupBy("anchor").agg(F.count("*").alias("n"))
+    recurring = durable(counted.filter("n > 1").select("anchor"), "dedup-anchors")
     hits = passage_anchors(whole, window, True).join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     suspects = durable(whole.join(hits, "doc_id"), "dedup-suspects")
 
