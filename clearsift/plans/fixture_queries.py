@@ -575,7 +575,7 @@ def evidence_highlight(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", highlight_spans(F.col("text"), F.slice(F.split("text", r"\s+"), 1, 2)).alias("spans"))
 
 
-@query()
+@query("SELECT item_id, round((length(text) - length(regexp_replace(text, '[aeiou]', '', 'g'))) / length(text), 6) AS cer FROM benchmark")
 def character_error(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items against a reading without their vowels."""
     from clearsift.operators.alignment import character_error_rate
