@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import astuple, dataclass
 
 import numpy as np
@@ -62,17 +62,33 @@ class FactorizationMachine:
 
 
 class Sample:
-    """Labelled documents by their terms, renumbered to those in `least` documents or more; terms of row i: at[starts[i]:starts[i + 1]]."""
-
-    def __init__(self, rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, least: int) -> None:
-        seen = np.bincount(terms)
+    """Labelled documents by their terms, renumbered to those in `least` documents or more; terms of document i:
+    at[starts[i]:starts[i + 1]]. `chunks` gives (lengths, terms) of documents in their order, and is read twice, so that
+    only the terms that stay are ever held together."""
+
+    def __init__(self, chunks: Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]], labels: np.ndarray, least: int, size: int) -> None:
+        seen = np.zeros(size, np.int64)
+        for _, terms in chunks():
+            seen += np.bincount(terms, minlength=size)
         self.names = np.flatnonzero(seen >= least)
         self.labels, self.seen = labels, seen[self.names]
-        number = np.full(len(seen), -1, np.int32)
+        number = np.full(size, -1, np.int32)
         number[self.names] = np.arange(len(self.names), dtype=np.int32)
-        at = number[terms]
-        self.rows, self.at = rows[at >= 0].astype(np.int32), at[at >= 0]
-        self.starts = np.searchsorted(self.rows, np.arange(len(labels) + 1))
+        kept, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for n, terms in chunks():
+            at = number[terms]
+            kept.append(at[at >= 0])
+            lengths.append(np.bincount(np.repeat(np.arange(len(n), dtype=np.int32), n)[at >= 0], minlength=len(n)))
+        self.at = np.concatenate(kept)
+        self.starts = np.append(0, np.cumsum(np.concatenate(lengths)))
+
+    def pieces(self, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document of each, terms) for runs of documents with about so many terms."""
+        i = 0
+        while i < len(self.labels):
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + most, side="right")) - 1)
+            yield np.repeat(np.arange(i, j), np.diff(self.starts[i : j + 1])), self.at[self.starts[i] : self.starts[j]]
+            i = j
 
     def dense(self, docs: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
         """A matrix of documents by the terms that have a place."""
@@ -85,12 +101,14 @@ class Sample:
 
 def marginal(sample: Sample, docs: np.ndarray, p: ToxicityParams) -> np.ndarray:
     """The terms that tell the labels of the documents (a mask) apart by themselves."""
-    mine = docs[sample.rows]
-    at, hit = sample.at[mine], sample.labels[sample.rows[mine]]
     n, positive = int(docs.sum()), float(sample.labels[docs].sum())
     if positive in (0.0, float(n)):
         return np.zeros(0, np.int64)
-    seen, hits = np.bincount(at, minlength=len(sample.names)), np.bincount(at, hit, minlength=len(sample.names))
+    seen, hits = np.zeros(len(sample.names)), np.zeros(len(sample.names))
+    for rows, at in sample.pieces():
+        mine = docs[rows]
+        seen += np.bincount(at[mine], minlength=len(seen))
+        hits += np.bincount(at[mine], sample.labels[rows[mine]], minlength=len(seen))
     rate = seen / n
     with np.errstate(divide="ignore", invalid="ignore"):
         z = np.abs(hits / positive - (seen - hits) / (n - positive)) / np.sqrt(rate * (1 - rate) * (1 / positive + 1 / (n - positive)))
@@ -117,11 +135,16 @@ def missed_pairs(sample: Sample, score: np.ndarray, known: np.ndarray, p: Toxici
             found.setdefault(key, (-float(z[i]), a, int(others[i]), float(np.sign(total[i]))))
 
     size = len(sample.names)
-    by = np.argsort(sample.at, kind="stable").astype(np.int32)
-    first = np.searchsorted(sample.at[by], np.arange(size + 1))
+    # The documents of each known term, from the terms of these alone.
+    is_known = np.zeros(size, bool)
+    is_known[known] = True
+    holders = [(rows[m].astype(np.int32), at[m]) for rows, at in sample.pieces() for m in [is_known[at]]]
+    held_by, held = (np.concatenate([x[k] for x in holders]) if holders else np.zeros(0, np.int32) for k in (0, 1))
+    order = np.argsort(held, kind="stable")
+    held_by, held = held_by[order], held[order]
     every = np.arange(size)
     for a in known:
-        docs = sample.rows[by[first[a] : first[a + 1]]]
+        docs = held_by[np.searchsorted(held, a) : np.searchsorted(held, a, side="right")]
         lengths = sample.starts[docs + 1] - sample.starts[docs]
         index = sample.at[np.repeat(sample.starts[docs] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
         sums = [np.bincount(index, np.repeat(x[docs], lengths), size) for x in (error, spread)]
@@ -148,12 +171,18 @@ def train(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, p: ToxicityPa
     A first machine knows the terms that tell the labels apart alone. Each half is scored by a machine of the other, and
     the terms of the pairs that these miss become known; their factors start in the direction of the pair.
     """
+    starts = np.searchsorted(rows, np.arange(len(labels) + 1))
+    return train_sample(Sample(lambda: [(np.diff(starts), terms)], labels, p.least_rows, 1 << p.bits), p)
+
+
+def train_sample(sample: Sample, p: ToxicityParams) -> FactorizationMachine:
+    """As train, of a sample."""
+    labels = sample.labels
     n, positive = len(labels), float(labels.sum())
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5))) if n else 0.0
     nothing = FactorizationMachine(np.full(1 << p.bits, -1, np.int32), bias, np.zeros(0), np.zeros((0, p.factors)))
-    if not n or not len(terms) or positive in (0.0, float(n)):
+    if not len(sample.at) or positive in (0.0, float(n)):
         return nothing
-    sample = Sample(rows, terms, labels, p.least_rows)
     half = np.random.default_rng(p.seed).permutation(n) % 2 == 0
     score = np.zeros(n)
     for mine in (half, ~half):
@@ -225,10 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> FactorizationM
     first = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     ordered = with_terms(first, p).withColumn("lot", F.xxhash64("doc_id", F.lit(p.seed)))
     terms = within_terms(ordered, "lot", p.max_training_terms).join(F.broadcast(chosen), "doc_id").orderBy("lot", "doc_id").select("terms", "toxic").toArrow()
-    rows, ids = flat(terms["terms"])
-    labels = np.asarray(terms["toxic"], dtype=np.float64)
+
+    def chunks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for chunk in terms["terms"].chunks:
+            yield np.asarray(chunk.value_lengths().fill_null(0), dtype=np.int64), np.asarray(chunk.flatten())
+
+    sample = Sample(chunks, np.asarray(terms["toxic"], dtype=np.float64), p.least_rows, 1 << p.bits)
     del terms
-    return train(rows, ids, labels, p)
+    return train_sample(sample, p)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None = None) -> DataFrame:
