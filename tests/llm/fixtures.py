@@ -18,7 +18,7 @@ def documents():
     base = prose(60)
     passage = prose(30)
     texts = [None, "", "   \n\t ", "one", "one two", "One Two", base, base, base.replace("w1 ", "w2 ", 1), base + " tail", passage, prose(20) + " " + passage + " " + prose(20)]
-    texts += [prose(25) + " " + passage, prose(3000), prose(40) + "\n" + prose(40), "x " * 300, "a b c d e f g h " * 12, "é à ü " + prose(30)]
+    texts += [prose(25) + " " + passage, prose(20_000), prose(40) + "\n" + prose(40), "x " * 300, "a b c d e f g h " * 12, "é à ü " + prose(30)]
     words60 = base.split()
     for k in range(12):  # near copies with an edit each
         w = list(words60)
