@@ -78,11 +78,11 @@ def _keys(rows: DataFrame, own_domain: str) -> DataFrame:
 
 
 def earlier_by_key(rows: DataFrame, own_domain: str) -> DataFrame:
-    """(seq, parent): of each row that meets an earlier one by a key, the first such row by its first such key."""
+    """(seq, parent, at): of each row that meets an earlier one by a key, the first such row by its first such key."""
     keys = _checkpoint(_keys(rows, own_domain))
     first = keys.filter("offered").groupBy("key").agg(F.min("seq").alias("parent"))
     met = keys.join(first, "key").filter("parent < seq")
-    return met.groupBy("seq").agg(F.min_by("parent", "at").alias("parent"))
+    return met.groupBy("seq").agg(F.min_by("parent", "at").alias("parent"), F.min("at").alias("at"))
 
 
 def earlier_by_title(heads: DataFrame, days: int = 7) -> DataFrame:
@@ -117,6 +117,16 @@ def to_roots(rows: DataFrame, parents: DataFrame) -> DataFrame:
             return jumps
 
 
+def merge_links(rows: DataFrame, own_domain: str) -> DataFrame:
+    """(seq, parent, reason): the earlier row that each merged row joins, and by what."""
+    by_key = _checkpoint(earlier_by_key(rows, own_domain))
+    heads = to_roots(rows, by_key.select("seq", "parent"))
+    dated = rows.join(heads, "seq").groupBy("root").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("seq"))).alias("date"))
+    own = rows.select("seq", "title").join(dated.withColumnRenamed("root", "seq"), "seq")
+    reason = F.when(F.col("at") == 0, "alamat").when(F.col("at") == 1, "slug").otherwise("rujukan")
+    return _checkpoint(by_key.select("seq", "parent", reason.alias("reason")).unionByName(earlier_by_title(own).withColumn("reason", F.lit("judul"))))
+
+
 def resolve_articles(rows: DataFrame, own_domain: str) -> DataFrame:
     """Merges article rows of several sources into one for each article.
 
@@ -126,12 +136,7 @@ def resolve_articles(rows: DataFrame, own_domain: str) -> DataFrame:
     lacks. Where a kept row has no date, the first date of the rows that join it by keys stands for it in the
     comparison of titles. Returns the kept rows with other_sources (in the order of their first rows) and n_merged.
     """
-    by_key = _checkpoint(earlier_by_key(rows, own_domain))
-    heads = to_roots(rows, by_key)
-    dated = rows.join(heads, "seq").groupBy("root").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("seq"))).alias("date"))
-    own = rows.select("seq", "title").join(dated.withColumnRenamed("root", "seq"), "seq")
-    by_title = _checkpoint(earlier_by_title(own))
-    members = rows.join(to_roots(rows, by_key.unionByName(by_title)), "seq")
+    members = rows.join(to_roots(rows, merge_links(rows, own_domain).select("seq", "parent")), "seq")
     filled = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col("seq")))
     merged = members.groupBy("root").agg(filled("narrative").alias("_narrative"), filled("date").alias("_date"), (F.count("*") - 1).alias("n_merged"))
     sources = members.groupBy("root", "source").agg(F.min("seq").alias("first")).groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "source"))), lambda x: x["source"]).alias("sources"))

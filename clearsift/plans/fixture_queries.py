@@ -890,3 +890,18 @@ def dimension_lookup(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "labels").select("doc_id", lookup(known, F.col("quality").cast("string"), F.col("toxic").cast("string"), default=F.lit("-1,-1")).alias("v"))
     part = lambda i: F.element_at(F.split("v", ","), i).cast("int")
     return named.select("doc_id", part(1).alias("label"), part(2).alias("confidence"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 5 > 1")
+def replaced_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A table, a smaller version that replaces it, and one that is refused as it lost too many rows."""
+    from clearsift.sources import sinks
+
+    root, docs = _scratch(spark, "versions"), table(spark, d, "documents").select("doc_id", "lang")
+    sinks.replace_checked(docs, root)
+    sinks.replace_checked(docs.filter("doc_id % 5 > 1"), root)
+    try:
+        sinks.replace_checked(docs.filter("doc_id % 50 = 0"), root)
+    except ValueError:
+        return spark.read.parquet(sinks.current_version(spark, root)[0])
+    raise AssertionError("a version of a fiftieth of the rows was switched to")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
+from clearsift.functions.dates_numbers import year_bucket
 from clearsift.functions.text import url_key
 
 
@@ -23,6 +25,27 @@ def unseen(batch: DataFrame, bronze: DataFrame) -> DataFrame:
     return batch.withColumn("k", url_key(F.col("url"))).join(seen, "k", "left_anti").drop("k")
 
 
+def pages_to_fetch(listing: DataFrame, bronze: DataFrame, cutoff: str, stop_after: int) -> DataFrame:
+    """The listed articles to fetch (source, page, url, date): new ones from the cut-off date on, up to the page where
+    `stop_after` pages in a row had none.
+
+    A crawl of a listing from its first page on stops there, and goes on from there when it is repeated, as what it
+    fetched is no longer new."""
+    fresh = unseen(listing.select("source", "page", "url", "date"), bronze).filter(F.col("date").isNull() | (F.col("date") >= F.lit(cutoff).cast("date")))
+    pages = listing.select("source", "page").distinct().join(fresh.groupBy("source", "page").agg(F.count("*").alias("n")), ["source", "page"], "left")
+    order = Window.partitionBy("source").orderBy("page")
+    idle = F.count_if(F.col("n").isNotNull()).over(order.rowsBetween(-(stop_after - 1), 0)) == 0
+    full = F.row_number().over(order) >= stop_after
+    stopped = F.max((F.col("idle") & F.col("full")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    open_ = pages.withColumns({"idle": idle, "full": full}).withColumn("stopped", stopped).filter("stopped = 0").select("source", "page")
+    return fresh.join(open_, ["source", "page"], "left_semi")
+
+
+def fetched_by_year(bronze: DataFrame) -> DataFrame:
+    """How many articles of each year are fetched, those without a date apart."""
+    return bronze.filter("error IS NULL").groupBy(year_bucket(F.col("date")).alias("year")).agg(F.count("*").alias("n"))
+
+
 def cache_misses(inputs: DataFrame, cache: DataFrame, config_version: str, content: str = "text") -> DataFrame:
     """Inputs whose content and configuration have no cached result: cache has key."""
     keyed = inputs.withColumn("key", F.sha2(F.concat_ws("|", F.lit(config_version), F.coalesce(content, F.lit(""))), 256))
