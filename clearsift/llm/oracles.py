@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import BASE, LICENSES, compile_template
 from .quality_rules import FENCES, REPEATS_FREE
 
 _W = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
@@ -119,3 +120,72 @@ p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS LAST, text_crc32, size ROW
 s AS (SELECT *, least(7, ((2 * before + size) * 8) // (2 * total))::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
 """
+
+# CRC-32 is linear: each byte's share depends on the byte and on its distance from the end, and lengths have a share of their own.
+_PLAIN = "trim(regexp_replace(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
+
+
+def _grams(table: str, key: str) -> str:
+    runs = " UNION ALL ".join(f"SELECT {key}, n_words, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM (SELECT {key}, n_words, w, unnest(range(1, n_words - {k - 2})) AS i FROM {table} WHERE n_words >= {k})" for k in (1, 2, 3))
+    return f"SELECT {key}, g, count(*) AS n FROM ({runs}) GROUP BY ALL"
+
+
+_SPLIT = f"SELECT *, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS w, len(w) AS n_words FROM (SELECT {{0}} AS id, {_PLAIN.format('text')} AS p FROM {{1}})"
+RESAMPLING = f"""
+WITH RECURSIVE bytes(k, b, c) AS (SELECT 0, i, i::BIGINT FROM range(256) r(i) UNION ALL SELECT k + 1, b, {_STEP} FROM bytes WHERE k < 8),
+d AS ({_SPLIT.format('doc_id', 'documents')}), t AS ({_SPLIT.format('item_id', 'benchmark')}),
+df AS ({_grams('d', 'id')}), tf AS ({_grams('t', 'id')}),
+g AS (SELECT g, row_number() OVER () AS r, strlen(g) AS len, hex(encode(g)) AS h FROM (SELECT g FROM df UNION SELECT g FROM tf)),
+far(dist, b, c) AS (SELECT 0, b, c FROM bytes WHERE k = 8 UNION ALL SELECT dist + 1, f.b, xor(f.c >> 8, z.c) FROM far f JOIN (SELECT b, c FROM bytes WHERE k = 8) z ON z.b = f.c & 255 WHERE dist < (SELECT max(len) FROM g)),
+head(len, c) AS (SELECT 0, 4294967295::BIGINT UNION ALL SELECT head.len + 1, xor(head.c >> 8, z.c) FROM head JOIN (SELECT b, c FROM bytes WHERE k = 8) z ON z.b = head.c & 255 WHERE head.len < (SELECT max(len) FROM g)),
+x AS (SELECT r, bit_xor(far.c) AS c FROM (SELECT r, len, h, unnest(range(len)) AS i FROM g) u JOIN far ON far.dist = u.len - 1 - u.i AND far.b = ('0x' || substr(u.h, 2 * u.i + 1, 2))::INT GROUP BY r),
+bk AS (SELECT g.g, xor(xor(x.c, head.c), 4294967295) % 10000 AS bucket FROM g JOIN x USING (r) JOIN head ON head.len = g.len),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM df JOIN bk USING (g) GROUP BY bucket), tt AS (SELECT bucket, sum(n)::BIGINT AS t FROM tf JOIN bk USING (g) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((s.s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM tt) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN tt USING (bucket)),
+wt AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM df JOIN bk USING (g) JOIN gains USING (bucket) GROUP BY id),
+sc AS (SELECT d.id AS doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN wt ON wt.id = d.id),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM sc WHERE n_words >= 20)
+SELECT sc.doc_id, n_features, weight, score, CASE WHEN rk.rank <= 5 * n // 100 THEN rk.rank END AS rank, n_words FROM sc LEFT JOIN rk USING (doc_id)
+"""
+
+
+def _clustering(rounds: int) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (SELECT vec_id, k AS cluster, distance FROM (SELECT vec_id, k, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) AS r FROM
+    (SELECT v.vec_id, c.k, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance FROM e v JOIN c{r} c USING (i) GROUP BY v.vec_id, c.k)) WHERE r = 1)""")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT cluster AS k, i, sum(x)::BIGINT AS s, count(*) AS n FROM e JOIN a{r} USING (vec_id) GROUP BY ALL)")
+            steps.append(f"c{r + 1} AS (SELECT c.k, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.k = c.k AND m.i = c.i)")
+    return f"""
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM q),
+c0 AS (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k FROM q) WHERE k < 16),
+{", ".join(steps)},
+s AS (SELECT k AS cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN s USING (cluster)
+"""
+
+
+CLUSTERING = _clustering(3)
+
+
+def _licenses() -> str:
+    compiled = [compile_template(t) for t in BASE + LICENSES]
+    base = [(t.template.label, t.template.text.split()) for t in compiled if t.template.base]
+    places = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p) - 1}] = [{', '.join(map(repr, p))}]) AS base{k}" for k, (_, p) in enumerate(base))
+    starts = "list_concat(" + ", ".join(f"base{k}" for k in range(len(base))) + ")"
+    base_labels = ", ".join(f"CASE WHEN len(base{k}) > 0 THEN '{label}' END" for k, (label, _) in enumerate(base))
+    tests = [f"regexp_matches(' ' || p, '{t.pattern}( |$)')" for t in compiled]
+    labels = ", ".join(f"CASE WHEN {x} THEN '{t.template.label}' END" for t, x in zip(compiled, tests, strict=True))
+    most = ", ".join(f"CASE WHEN {x} THEN {t.n_mandatory} ELSE 0 END" for t, x in zip(compiled, tests, strict=True))
+    joined = "array_to_string(list_sort(list_distinct(list_filter([{0}], lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH d AS ({_SPLIT.format('doc_id', 'documents')}), b AS (SELECT *, {places} FROM d), c AS (SELECT *, {starts} AS starts, greatest({most}) AS most FROM b)
+SELECT id AS doc_id, n_words, len(starts) AS n_base, list_min(starts) - 1 AS first_word, list_max(starts) - 1 AS last_word,
+    {joined.format(base_labels)} AS base_labels, {joined.format(labels)} AS labels, most / (most + 10.0) AS score FROM c
+"""
+
+
+LICENSE_SCAN = _licenses()

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .centroids import cluster_vectors
 from .decontamination import find_contamination
 from .html_extraction import extract_pages
 from .jaccard_join import jaccard_components
+from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .pii import replace_pii
 from .quality_rules import quality_rules
+from .resampling import resample_to_target
 from .sharding import shard_by_bytes
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity
@@ -63,6 +66,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_to_target(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
+    "op11_resampling": op11_resampling,
+    "op12_clustering": op12_clustering,
+    "op13_license_scan": op13_license_scan,
 }
 
 #: The learned operators, HTML and PII have no SQL; tests hold them against brute force or held-out labels.
@@ -84,4 +102,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_decontamination": oracles.DECONTAMINATION,
     "op9_sharding": oracles.SHARDING,
+    "op11_resampling": oracles.RESAMPLING,
+    "op12_clustering": oracles.CLUSTERING,
+    "op13_license_scan": oracles.LICENSE_SCAN,
 }
