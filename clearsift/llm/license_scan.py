@@ -151,7 +151,7 @@ def compile_template(template: Template) -> Compiled:
     items = _parse(template)
     link(build(items, {-1}), len(reads))
     if any(s == len(reads) or reads[s] is None for s in first):
-        raise ValueError(f"{template.label}: a template begins with a word that is its own")
+        raise ValueError(f"{template.label}: the first word of a template has to be its own")
     return Compiled(template, tuple(reads), frozenset(first), tuple(map(frozenset, follows)), tuple(runs(items)), pattern(items))
 
 
