@@ -47,14 +47,14 @@ def enrich_narrative(articles: DataFrame, narratives: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the cluster names in spark.checkpoint.dir."""
+    """A new path in the folder of this application, in the shared folder that the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/clearsift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:

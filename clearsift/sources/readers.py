@@ -110,7 +110,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     Files that begin with DRAF are refused by a null text."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("t"))
     marked = F.regexp_replace(F.regexp_replace("t", r"\[/?UI\]", "\x01"), r"\[\?\]", "\x00")
-    return raw.select("path", F.when(~F.col("t").rlike(r"^\s*DRAF"), F.trim(marked)).alias("text"))
+    return raw.select("path", F.when(~F.col("t").rlike(r"^\s*DRAF"), F.regexp_replace(marked, r"^\s+|\s+$", "")).alias("text"))
 
 
 def read_queries(spark: SparkSession, path: str, n: int) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clearsift.sources.commit_log import CommitLog
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines in which null fields are written too."""
@@ -22,30 +24,26 @@ def replace_versioned(df: DataFrame, root: str) -> str:
 
 def current_version(spark: SparkSession, root: str) -> tuple[str, int] | None:
     """The path and row count of the version that readers take: the last one that was switched to."""
-    from clearsift.sources.readers import path_exists
-
-    pointers = f"{root.rstrip('/')}/pointers"
-    if not path_exists(spark, pointers):
-        return None
-    last = spark.read.schema("seq long, path string, n long").parquet(pointers).orderBy(F.desc("seq")).first()
-    return (last["path"], last["n"]) if last else None
+    last = CommitLog(spark, f"{root.rstrip('/')}/versions").latest()
+    return (last[1]["path"], last[1]["rows"]) if last else None
 
 
 def replace_checked(df: DataFrame, root: str, least_share: float = 0.5) -> str:
     """Writes a new version and switches to it, unless it has fewer rows than `least_share` of the present one's.
 
-    The switch is one appended row, so that readers see the old version or the new one, never a part; the old version
-    stays as the backup. A refused version raises an error and is left where it was written, unused.
+    The switch is one entry of a commit log, so that readers see the old version or the new one, never a part. Of writers at the
+    same time one gets the next number; the others are held against its version and follow it. Older versions
+    stay as backups. A refused version raises an error and is left where it was written, unused.
     """
-    spark = df.sparkSession
-    before = current_version(spark, root)
     path = replace_versioned(df, root)
-    n = spark.read.parquet(path).count()
-    if before and n < least_share * before[1]:
-        raise ValueError(f"{n} rows instead of {before[1]}: the version {path} is not switched to")
-    pointers = f"{root.rstrip('/')}/pointers"
-    seq = 1 if before is None else spark.read.parquet(pointers).agg(F.max("seq")).first()[0] + 1
-    spark.createDataFrame([(seq, path, n)], "seq long, path string, n long").coalesce(1).write.mode("append").parquet(pointers)
+    n = df.sparkSession.read.parquet(path).count()
+
+    def switch(present: dict | None) -> dict:
+        if present and n < least_share * present["rows"]:
+            raise ValueError(f"{n} rows instead of {present['rows']}: the version {path} is not switched to")
+        return {"path": path, "rows": n}
+
+    CommitLog(df.sparkSession, f"{root.rstrip('/')}/versions").append(switch)
     return path
 
 
