@@ -121,9 +121,9 @@ def changed_rows(before: DataFrame, after: DataFrame, key: str, value: str) -> D
     return joined.filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def ids_where(condition: Column, id_column: str = "doc_id") -> Column:
-    """The sorted ids of the rows of a group that fulfil a condition."""
-    return F.sort_array(F.collect_list(F.when(condition, F.col(id_column))))
+def ids_where(rows: DataFrame, condition: Column, by: str, id_column: str = "doc_id") -> DataFrame:
+    """(group, id): the ids of the rows of each group that fulfil a condition, a row for each; nothing is gathered."""
+    return rows.filter(condition).select(F.col(by), F.col(id_column).alias("id")).sortWithinPartitions(by, "id")
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, share: float, seed: int) -> DataFrame:

@@ -875,10 +875,9 @@ def image_problems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", image_problem(png, 10_000).alias("status"))
 
 
-@query("SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE n_chars > 3000) AS ids FROM documents GROUP BY source")
+@query("SELECT source, doc_id AS id FROM documents WHERE n_chars > 3000")
 def ids_where(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "documents").groupBy("source").agg(evaluation.ids_where(F.col("n_chars") > 3000).alias("ids"))
-    return ids.select("source", F.nullif(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), F.lit("")).alias("ids"))
+    return evaluation.ids_where(table(spark, d, "documents"), F.col("n_chars") > 3000, "source")
 
 
 @query("SELECT doc_id, label, quality AS confidence FROM (SELECT doc_id, quality, toxic AS label FROM labels)")

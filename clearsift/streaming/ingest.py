@@ -60,12 +60,3 @@ def start_ingest(stream: DataFrame, target: str, checkpoint: str, since: str | N
 def windowed_counts(events: DataFrame, window: str = "1 day", lateness: str = "1 day") -> DataFrame:
     """Calls and tokens by window of event time: events (ts, tokens); late rows count until the watermark."""
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", window)).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
-
-
-def latest_frame(frames: DataFrame, delay_ms: int, timeout_ms: int) -> DataFrame:
-    """The frame that a capture takes: the latest one after a delay and before a timeout, else the latest before the delay.
-
-    frames: capture_id, frame_id, at_ms (since the request)."""
-    after = F.col("at_ms").between(delay_ms, timeout_ms)
-    chosen = F.coalesce(F.max_by(F.when(after, F.col("frame_id")), F.when(after, F.col("at_ms"))), F.max_by(F.when(F.col("at_ms") < delay_ms, F.col("frame_id")), F.when(F.col("at_ms") < delay_ms, F.col("at_ms"))))
-    return frames.groupBy("capture_id").agg(chosen.alias("frame_id"), (~F.coalesce(F.max(after), F.lit(False))).alias("is_fallback"))

@@ -177,5 +177,3 @@ def test_sinks_and_streams(spark, tmp_path):
     batch = spark.createDataFrame([("https://x.id/a",), ("https://x.id/b",)], "url string")
     bronze = spark.read.parquet(str(tmp_path / "in"))
     assert [r.url for r in ingest.unseen(batch, bronze).collect()] == ["https://x.id/b"]
-    frames = spark.createDataFrame([(1, 10, 50), (1, 11, 400), (1, 12, 900), (2, 20, 10), (2, 21, 90)], "capture_id long, frame_id long, at_ms long")
-    assert {tuple(r) for r in ingest.latest_frame(frames, 100, 800).collect()} == {(1, 11, False), (2, 21, True)}
