@@ -138,7 +138,7 @@ function_cases("number_functions", [
     ("months_in", faithful.months_in, [("1 Nov {n}, lalu 26/1/2026 dan Mei", "'[1,5,11]'"), ("{n} {k}", "'[]'"), ("pada 3 Juli {k}", "'[7]'")]),
     ("number_value", lambda x: dates_numbers.number_value(x).cast("double"), [("1.{k}", "CASE WHEN length(ks) = 3 THEN (1000 + k)::VARCHAR || '.0' ELSE ('1.' || ks)::DOUBLE::VARCHAR END"), ("{k},5", "(k + 0.5)::DOUBLE::VARCHAR"), ("1.500.000", "'1500000.0'")]),
     ("numbers_in", lambda x: F.array_join(F.transform(dates_numbers.numbers_in(x), lambda v: v.cast("long").cast("string")), ","), [("{n} {k} juta dan {k} ribu", "CASE WHEN k = 0 THEN '0' ELSE (k * 1000000) || ',' || (k * 1000) END"), ("{n}", "''"), ("1,5 juta x {k} milyar", "CASE WHEN k = 0 THEN '0,1500000' ELSE '1500000,' || (k * 1000000000) END")]),
-    ("duration_seconds", lambda x: F.round(dates_numbers.duration_seconds(x), 2), [("{k}m30.5s", "(k * 60 + 30.5)::DOUBLE::VARCHAR"), ("{k}ms", "round(k / 1000.0, 2)::DOUBLE::VARCHAR"), ("{k}", "k::DOUBLE::VARCHAR"), ("{n}", "NULL")]),
+    ("duration_seconds", lambda x: F.round(dates_numbers.duration_seconds(x), 2), [("{k}m30.5s", "(k * 60 + 30.5)::DOUBLE::VARCHAR"), ("{k}ms", "(floor(k / 10.0 + 0.5) / 100)::DOUBLE::VARCHAR"), ("{k}", "k::DOUBLE::VARCHAR"), ("{n}", "NULL")]),
     ("unit_score", lambda x: dates_numbers.unit_score(x.cast("double") / 1000), [("{k}", "least(1.0, k / 1000.0)::DOUBLE::VARCHAR"), ("-{k}", "CASE WHEN k = 0 THEN '-0.0' ELSE '0.0' END")]),
     ("fit_within", lambda x: dates_numbers.fit_within(*_point(x), 100), [("400|200", """'{"w":100,"h":50}'"""), ("{k}|20", """CASE WHEN k <= 100 THEN '{"w":' || ks || ',"h":20}' ELSE '{"w":100,"h":' || greatest(1, floor(2000.0 / k + 0.5)::INT) || '}' END""")]),
     ("view_to_pixels", _pixels, [("0,50,50,100", """'{"x":0,"y":0,"w":25,"h":25}'"""), ("-{k},0,1,51", """'{"x":0,"y":0,"w":1,"h":1}'""")]),
@@ -205,7 +205,7 @@ function_cases("array_functions", [
     ("settings_from_lines", helpers.settings_from_lines, [("# x\nA={k}\nB = '{n}' \nrusak\nA=2", """'{"A":"' || ks || '","B":"' || n || '"}'""")]),
     ("typed_setting", lambda x: helpers.typed_setting(x, 5.0), [("2,{k}", "NULL"), ("{k}.5", "(k + 0.5)::DOUBLE::VARCHAR"), ("-1", "NULL"), (None, "'5.0'"), (" ", "'5.0'")]),
     ("forbidden_path", lambda x: helpers.forbidden_path(x, [".env"]), [("{t}/.env/b", "'true'"), ("{t}/env", "'false'")]),
-    ("retry_wait", lambda x: helpers.retry_wait(F.transform(F.split(_two(x)[0], ","), lambda v: v.cast("int")), _two(x)[1].cast("double")), [("429|{k}", "least(k, 90)::DOUBLE::VARCHAR"), ("200,429|5", "'5.0'"), ("200|{k}", "NULL")]),
+    ("retry_wait", lambda x: helpers.retry_wait(F.transform(F.split(_two(x)[0], ","), lambda v: v.cast("int")), _two(x)[1].cast("double")), [("429|{k}", "greatest(1, least(k, 90))::DOUBLE::VARCHAR"), ("200,429|5", "'5.0'"), ("200|{k}", "NULL")]),
     ("overlaid", lambda x: helpers.overlaid(x, F.lit("asal")), [("{n}", "n"), (None, "'asal'")]),
 ])
 
@@ -254,6 +254,53 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.classify_lines(placed).select("doc_id", "pos", "reason")
 
 
+#: Of each feature and strength ("" for none), sentences; {n} is filled with a part's name.
+_SENTENCES: dict[tuple[str, str], list[str]] = {
+    ("ajakan_menyebarkan", "kuat"): ["Ayo SEBARLUASKAN soal {n}", "teruskan {n} ini ke seluruh kontak", "bagikan video ini, {n}", "share sebanyaknya {n}", "mohon bantu viralkan {n}", "kirimkan {n} ke 5 orang", "Bagikan via Telegram. Sebarluaskan {n}"],
+    ("ajakan_menyebarkan", "lemah"): ["Forward {n}", "boleh share, {n}", "teruskan {n}"],
+    ("ajakan_menyebarkan", ""): ["Share : Twitter", "kirim lewat email {n}", "Teruskan ke salin tautan", "penyebar {n}"],
+    ("desakan_waktu", "kuat"): ["Baca {n} sebelum keburu dihapusnya", "hari ini saja {n}", "penawaran terbatas {n}", "segera pesan {n} sebelum habis", "kartu {n} akan langsung diblokir"],
+    ("desakan_waktu", "lemah"): ["Buruan, {n}", "mulai Kamis {n}", "dalam waktu 30 menit {n}", "dalam 2jam {n}"],
+    ("desakan_waktu", ""): ["sebelum makan {n}", "dalam kotak {n}", "segeralah {n}"],
+    ("sumber_tidak_jelas", "lemah"): ["Konon {n}", "info dr wa {n}", "dpt {n} teman lalu dapat kabar dari grup", "beredar luas {n}", "sumber : whatsapp {n}"],
+    ("sumber_tidak_jelas", ""): ["info resmi {n}", "sumber air {n}"],
+    ("judul_clickbait", "lemah"): ["GEGER! {n}", "gak bakal percaya {n}", "ternyata begini {n}", "wajib simak {n}", "bikin merinding {n}", "inilah rahasianya {n}"],
+    ("judul_clickbait", ""): ["gegernya {n}", "wajib lapor {n}"],
+    ("bahasa_provokatif", "kuat"): ["musnahkanlah {n} aseng"],
+    ("bahasa_provokatif", "lemah"): ["laknat {n}", "mereka zalim, {n}"],
+    ("permintaan_data_rahasia", "kuat"): [
+        "sebutkan {n} sandi", "dia menanyakan password {n}", "masukkan kode 4 digit {n}", "tolong teruskan sms {n}", "harus lakukan verifikasi dua langkah {n}", "unlock {n} lewat ovo", "qris {n} error", "refund {n} via gopay", "wajib setor uang {n} dulu",
+        "bayar {n} denda", "ketik pin {n}", "Jangan ragu, berikan kodenya {n}", "jangan sampai terlambat kirim otp {n}", "Dilarang parkir. Kirimkan token {n}"],
+    ("permintaan_data_rahasia", ""): ["jangan pernah berikan otp {n}", "kirim pin peta {n}", "kami tidak akan pernah meminta sandi {n}", "Hindari memberi tahu, jangan kirimkan cvv {n}", "kode 12345 angka {n}"],
+    ("link_mencurigakan", "kuat"): ["buka https://cutt.ly/{k}", "daftar di murah{k}.icu/x", "toko{k}.wixsite.com", "lewat chat.whatsapp.com/q{k}"],
+    ("link_mencurigakan", "lemah"): ["lihat www.tempo.co dan https://asal{k}.net/a."],
+    ("link_mencurigakan", ""): ["lihat https://www.republika.co.id/{k}", "surel {k}@s.id"],
+    ("kapital_tanda_seru", "kuat"): ["Lihat {n}!!!", "Lihat ! ! ! {n}", "DENGARKAN KABAR BURUK! LARI DARI KOTA SEKARANG! {n}"],
+    ("kapital_tanda_seru", "lemah"): ["Bagus!! {n}", "HARGA MINYAK GORENG NAIK LAGI DI SEMUA TOKO KOTA {n}"],
+    ("kapital_tanda_seru", ""): ["Bagus! {n}", "CV ABC {n}"],
+}
+_DETECTED = [(f, s, t) for (f, s), texts in _SENTENCES.items() for t in texts]
+
+
+@query(f"WITH p AS ({_PART}) SELECT k AS doc_id, f AS feature_id, s AS strength FROM p JOIN (VALUES " + ", ".join(f"({i}, '{f}', '{s or 'tidak ada'}')" for i, (f, s, _) in enumerate(_DETECTED)) + f") v(i, f, s) ON v.i = k % {len(_DETECTED)}")
+def planted_features(spark: SparkSession, d: str) -> DataFrame:
+    """A sentence for each part, with its name: which strength its feature has, each list once in some seventy parts."""
+    which = lambda i: chosen(F.col("p_partkey"), [x[i] for x in _DETECTED])
+    asked = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), filled(which(2)).alias("text"), which(0).alias("feature_id"))
+    found = features.detect_features(asked).select("doc_id", "feature_id", "strength")
+    return asked.join(found, ["doc_id", "feature_id"], "left").select("doc_id", "feature_id", F.coalesce("strength", F.lit("tidak ada")).alias("strength"))
+
+
+@query(f"WITH p AS ({_PART}) SELECT k AS doc_id, 'desakan_waktu' AS feature_id, 'tujuh delapan segera ' || n || ' sembilan sepuluh' AS evidence, 0 AS n_strong FROM p UNION ALL SELECT k, 'sumber_tidak_jelas', 'konon ' || n || ' heboh sekali', 0 FROM p")
+def feature_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of evidence snap to blanks; an exclusion takes a match away."""
+    parts = table(spark, d, "part")
+    long = F.concat(F.lit("satuduatigaempat limaenamlimaenamlimaenam tujuh delapan segera "), "p_name", F.lit(" sembilan sepuluh sebelasduabelastigabelas"))
+    texts = parts.select(F.col("p_partkey").alias("doc_id"), long.alias("text")).unionByName(parts.select((F.col("p_partkey") + 10_000_000).alias("doc_id"), F.concat(F.lit("konon "), "p_name", F.lit(" heboh sekali")).alias("text")))
+    found = features.detect_features(texts, {"judul_clickbait": r"\bheboh sekali\b"})
+    return found.select((F.col("doc_id") % 10_000_000).alias("doc_id"), "feature_id", F.array_join("evidence", ";").alias("evidence"), "n_strong")
+
+
 @query(f"""WITH p AS ({_PART}), v(pos, kind, confidence, n) AS (VALUES (0, 'desakan_waktu', 'tinggi', 1), (0, 'judul_clickbait', 'sedang', 1), (1, 'judul_clickbait', 'tinggi', 1), (1, 'bahasa_provokatif', 'sedang', 1), (2, 'sumber_tidak_jelas', 'tinggi', 1))
 SELECT k AS doc_id, kind AS feature_id, confidence, v.n FROM p JOIN v ON pos = k % 4""")
 def feature_merge(spark: SparkSession, d: str) -> DataFrame:
