@@ -12,11 +12,20 @@ STOP_WORDS = (
 ).split()
 
 
+def plain_words(x: Column) -> Column:
+    """All words of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def says_something(w: Column, stop_words: list[str] | None = None) -> Column:
+    """Whether a word has four letters or more, or three characters with a digit, and is no stop word."""
+    heavy = (F.length(w) >= 4) | ((F.length(w) == 3) & (F.translate(w, "0123456789", "") != w))
+    return heavy & ~w.isin(STOP_WORDS if stop_words is None else stop_words)
+
+
 def content_words(x: Column, stop_words: list[str] | None = None) -> Column:
-    """Distinct words that say something: four letters or more, or three characters with a digit; no stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    heavy = F.filter(found, lambda w: (F.length(w) >= 4) | ((F.length(w) >= 3) & w.rlike("[0-9]")))
-    return F.array_except(heavy, F.array(*[F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)]))
+    """Distinct words that say something."""
+    return F.array_distinct(F.filter(plain_words(x), lambda w: says_something(w, stop_words)))
 
 
 def word_in(word: Column, words: Column) -> Column:

@@ -47,23 +47,57 @@ def character_errors(reference: str, reading: str, wildcard: str = "\x00", inter
                 n += 1
             chars.append(c)
     text = "".join(chars)
+    if not free:
+        return edit_distance(text, reading or ""), n
     miss = np.ones(len(text), np.int64)
     miss[list(free)] = 0
     last = _best_row(text, reading or "", free, np.concatenate([[0], np.cumsum(miss)]))
     return int(last[-1]), n
 
 
+def _places(pattern: str) -> dict[str, int]:
+    """Of each character the bits of the places where it stands."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, bit by bit (Myers, Hyyrö): the differences between neighbouring rows are the bits of two integers of
+    a text's length, so that a character of the other costs a dozen operations on whole words."""
+    if not a or not b:
+        return len(a) or len(b)
+    full, of = (1 << len(a)) - 1, _places(a).get
+    up, down = full, 0
+    for c in b:
+        same = of(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right = ((down | (full & ~(diagonal | up))) << 1) | 1
+        up, down = (((up & diagonal) << 1) | ~(diagonal | right)) & full, right & diagonal & full
+    return len(b) + up.bit_count() - down.bit_count()
+
+
 def substring_distance(needle: str, haystack: str) -> int:
-    """The least number of edits that make a piece of the haystack equal to the needle (Sellers' recurrence)."""
-    row = np.arange(len(needle) + 1)
-    codes = np.fromiter(map(ord, needle), np.int64, len(needle))
-    best = len(needle)
-    for c in map(ord, haystack or ""):
-        step = np.empty_like(row)
-        step[0] = 0
-        step[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != c))
-        row = np.minimum.accumulate(step - np.arange(len(step))) + np.arange(len(step))
-        best = min(best, int(row[-1]))
+    """The least number of edits that make a piece of the haystack equal to the needle (Sellers' recurrence, bit by bit: a piece
+    may begin at any character, at no cost)."""
+    if not needle or needle in (haystack or ""):
+        return 0
+    full, last, of = (1 << len(needle)) - 1, 1 << (len(needle) - 1), _places(needle).get
+    up, down, score = full, 0, len(needle)
+    best = score
+    for c in haystack or "":
+        same = of(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full & ~(diagonal | up)), up & diagonal
+        if left & last:
+            score -= 1
+            if score < best:
+                best = score
+        elif right & last:
+            score += 1
+        right <<= 1
+        up, down = ((left << 1) | ~(diagonal | right)) & full, right & diagonal & full
     return best
 
 

@@ -57,9 +57,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/clearsift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back."""
-    path = shared_path(df.sparkSession, "resolve")
+    path = shared_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,7 +79,7 @@ def _keys(rows: DataFrame, own_domain: str) -> DataFrame:
 
 def earlier_by_key(rows: DataFrame, own_domain: str) -> DataFrame:
     """(seq, parent, at): of each row that meets an earlier one by a key, the first such row by its first such key."""
-    keys = _checkpoint(_keys(rows, own_domain))
+    keys = checkpointed(_keys(rows, own_domain))
     first = keys.filter("offered").groupBy("key").agg(F.min("seq").alias("parent"))
     met = keys.join(first, "key").filter("parent < seq")
     return met.groupBy("seq").agg(F.min_by("parent", "at").alias("parent"), F.min("at").alias("at"))
@@ -108,10 +108,10 @@ def earlier_by_title(heads: DataFrame, days: int = 7) -> DataFrame:
 
 def to_roots(rows: DataFrame, parents: DataFrame) -> DataFrame:
     """(seq, root): parents are smaller than their rows; paths are followed by doubling, and every round is written."""
-    jumps = _checkpoint(rows.select("seq").join(parents, "seq", "left").select("seq", F.coalesce("parent", "seq").alias("root")))
+    jumps = checkpointed(rows.select("seq").join(parents, "seq", "left").select("seq", F.coalesce("parent", "seq").alias("root")))
     while True:
         up = jumps.alias("x").join(jumps.alias("y"), F.col("x.root") == F.col("y.seq")).select("x.seq", F.col("y.root").alias("root"), (F.col("y.root") != F.col("x.root")).alias("moved"))
-        after = _checkpoint(up)
+        after = checkpointed(up)
         jumps = after.select("seq", "root")
         if not after.filter("moved").limit(1).count():
             return jumps
@@ -119,12 +119,12 @@ def to_roots(rows: DataFrame, parents: DataFrame) -> DataFrame:
 
 def merge_links(rows: DataFrame, own_domain: str) -> DataFrame:
     """(seq, parent, reason): the earlier row that each merged row joins, and by what."""
-    by_key = _checkpoint(earlier_by_key(rows, own_domain))
+    by_key = checkpointed(earlier_by_key(rows, own_domain))
     heads = to_roots(rows, by_key.select("seq", "parent"))
     dated = rows.join(heads, "seq").groupBy("root").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("seq"))).alias("date"))
     own = rows.select("seq", "title").join(dated.withColumnRenamed("root", "seq"), "seq")
     reason = F.when(F.col("at") == 0, "alamat").when(F.col("at") == 1, "slug").otherwise("rujukan")
-    return _checkpoint(by_key.select("seq", "parent", reason.alias("reason")).unionByName(earlier_by_title(own).withColumn("reason", F.lit("judul"))))
+    return checkpointed(by_key.select("seq", "parent", reason.alias("reason")).unionByName(earlier_by_title(own).withColumn("reason", F.lit("judul"))))
 
 
 def resolve_articles(rows: DataFrame, own_domain: str) -> DataFrame:

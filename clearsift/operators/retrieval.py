@@ -35,43 +35,74 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 #: Rows of a block of queries and of a block of the corpus: a task holds one of each and their scores.
 QUERY_ROWS, CORPUS_ROWS = 1024, 8192
+_SCORED = "query_id long, doc_id long, score double"
+
+
+def _best(queries: np.ndarray, docs: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a matrix of scores the k best of each row, as flat arrays: only what reaches a row's k-th score is sorted."""
+    if not scores.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.partition(scores, -k, axis=1)[:, -k][:, None] if scores.shape[1] > k else -np.inf
+    row, column = np.nonzero((scores >= least) & (scores > -np.inf))
+    value, doc = scores[row, column], docs[column]
+    order = np.lexsort((doc, -value, row))
+    row = row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return queries[row[kept]], doc[order][kept], value[order][kept]
+
+
+def _scores(left: pa.Table, right: pa.Table | pa.RecordBatch, digits: int, apart: bool) -> np.ndarray:
+    """Rounded dot products of two blocks; minus infinity for what is excluded."""
+    scores = np.round(_matrix(left["vector"]) @ _matrix(right["vector"]).T, digits)
+    scores[np.asarray(left["query_id"])[:, None] == np.asarray(right["doc_id"])[None, :]] = -np.inf
+    if apart:
+        scores[np.asarray(left["apart"])[:, None] == np.asarray(right["apart"])[None, :]] = -np.inf
+    return scores
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, apart: str | None = None) -> DataFrame:
     """The k best of the corpus for every query, itself left out: query_id, doc_id, score, rank.
 
-    A stated set of queries meets all rows in blocks of bounded size, whose numbers grow with both sides: each pair of
-    blocks is a matrix product that hands on its own k best, so that only k rows of each block and query are ranked
-    in the end. Scores are dot products, rounded; ties go to the smaller id. What is excluded, by id or by an equal
-    value of the column `apart`, goes before the k are taken.
+    A stated set of queries meets all rows as matrix products that hand on their own k best. Up to QUERY_ROWS queries go to the
+    tasks as they are, so that the corpus is scanned once where it lies. More of them meet it in blocks of bounded
+    size, whose numbers grow with both sides. Scores are dot products, rounded; ties go to the smaller id. What is
+    excluded, by id or by an equal value of the column `apart`, goes before the k are taken.
     """
+    more = [F.col(apart).alias("apart")] if apart else []
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), *more)
+    d = corpus.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), *more)
+    few = q.limit(QUERY_ROWS + 1).toArrow()  # bounded, whatever the number of queries
+    met = _scanned(few, d, k, digits, bool(apart)) if len(few) <= QUERY_ROWS else _in_blocks(q, d, k, digits, bool(apart))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _scanned(queries: pa.Table, corpus: DataFrame, k: int, digits: int, apart: bool) -> DataFrame:
+    ids = np.asarray(queries["query_id"])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(ids) and len(batch):
+                found = _best(ids, np.asarray(batch["doc_id"]), _scores(queries, pa.Table.from_batches([batch]), digits, apart), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "doc_id", "score"])
+
+    return corpus.mapInArrow(scan, _SCORED)
+
+
+def _in_blocks(q: DataFrame, d: DataFrame, k: int, digits: int, apart: bool) -> DataFrame:
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, d = _matrix(left["vector"]), _matrix(right["vector"])
-        ids, docs = np.asarray(left["query_id"]), np.asarray(right["doc_id"])
-        if not len(ids) or not len(docs):
-            return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        scores = np.round(q @ d.T, digits)
-        scores[ids[:, None] == docs[None, :]] = -np.inf
-        if apart:
-            mine, other = np.asarray(left["apart"]), np.asarray(right["apart"])
-            scores[mine[:, None] == other[None, :]] = -np.inf
-        by_id = np.argsort(docs, kind="stable")
-        order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-        best = np.take_along_axis(scores, order, 1)
-        keep = np.isfinite(best)
-        return pa.table({"query_id": np.repeat(ids, order.shape[1])[keep.ravel()], "doc_id": docs[order][keep], "score": best[keep]})
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(left) and len(right):
+            found = _best(np.asarray(left["query_id"]), np.asarray(right["doc_id"]), _scores(left, right, digits, apart), k)
+        return pa.table([pa.array(x) for x in found], ["query_id", "doc_id", "score"])
 
     blocks = lambda rows, size: max(1, -(-rows.count() // size))
-    n_q, n_d = blocks(queries, QUERY_ROWS), blocks(corpus, CORPUS_ROWS)
-    more = [F.col(apart).alias("apart")] if apart else []
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    n_q, n_d = blocks(q, QUERY_ROWS), blocks(d, CORPUS_ROWS)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), *more, dealt(n_q).alias("i"), every(n_d).alias("j"))
-    d = corpus.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), *more, dealt(n_d).alias("j"), every(n_q).alias("i"))
-    met = q.groupBy("i", "j").cogroup(d.groupBy("i", "j")).applyInArrow(block, "query_id long, doc_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    left = q.withColumn("i", dealt("query_id", n_q)).withColumn("j", every(n_d))
+    right = d.withColumn("j", dealt("doc_id", n_d)).withColumn("i", every(n_q))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(block, _SCORED)
 
 
 def index_mismatch(meta: DataFrame, vectors: DataFrame, articles: DataFrame) -> DataFrame:
@@ -98,23 +129,32 @@ def corpus_fingerprint(articles: DataFrame) -> DataFrame:
     return few.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_articles"), F.substring(joined(), 1, 16).alias("fingerprint"))
 
 
-def document_frequencies(docs: DataFrame, words: Column) -> DataFrame:
-    """(token, df, idf): ln((n + 1) / (df + 1)) over the distinct words of each document."""
-    tokens = docs.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+def document_frequencies(docs: DataFrame, words: Column, keep: Column | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(token, df, idf): ln((n + 1) / (df + 1)) over the distinct words of each document.
+
+    `keep` is a condition on token and judged once for each distinct word, after counting; `wanted` (token) restricts
+    the words before they are counted.
+    """
+    tokens = docs.select(F.explode(F.array_distinct(words)).alias("token"))
+    if wanted is not None:
+        tokens = tokens.join(wanted, "token", "left_semi")
+    counted = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    counted = counted if keep is None else counted.filter(keep)
     n = docs.agg(F.count("*").alias("n_docs"))  # one row
-    return tokens.crossJoin(F.broadcast(n)).select("token", "df", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)).alias("idf"))
+    return counted.crossJoin(F.broadcast(n)).select("token", "df", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
 def title_relevance(pairs: DataFrame, idf: DataFrame, n_docs: Column, misread: bool = False) -> DataFrame:
     """Of pairs (pair_id, title_words, text_words): the weight of title words found in the text, in that of all; 1 of none.
 
-    Title words are few; each looks up its weight by a join, unseen words weigh ln(n + 1). With `misread`, words may
-    differ in misread letters."""
+    Title words are few; each is judged beside its text and then looks up its weight by a join, without the text's words. Unseen words
+    weigh ln(n + 1). With `misread`, words may differ in misread letters."""
     from clearsift.functions.arrays import word_in, word_in_misread
 
-    words = pairs.select("pair_id", F.explode_outer("title_words").alias("token"), "text_words")
+    test = word_in_misread if misread else word_in
+    hit = F.transform("title_words", lambda t: F.struct(t.alias("token"), F.coalesce(test(t, F.col("text_words")), F.lit(False)).alias("found")))
+    words = pairs.select("pair_id", F.explode_outer(hit).alias("t")).select("pair_id", "t.token", "t.found")
     weighed = words.join(idf.select("token", "idf"), "token", "left").withColumn("w", F.coalesce("idf", F.log(n_docs + 1)))
-    found = F.coalesce((word_in_misread if misread else word_in)(F.col("token"), F.col("text_words")), F.lit(False))
     return weighed.groupBy("pair_id").agg(
-        F.coalesce(F.sum(F.when(F.col("token").isNotNull() & found, F.col("w"))), F.lit(0.0)).alias("matched"), F.sum(F.when(F.col("token").isNotNull(), F.col("w"))).alias("all_weight")
+        F.coalesce(F.sum(F.when(F.col("token").isNotNull() & F.col("found"), F.col("w"))), F.lit(0.0)).alias("matched"), F.sum(F.when(F.col("token").isNotNull(), F.col("w"))).alias("all_weight")
     ).select("pair_id", F.coalesce(F.when(F.col("all_weight") > 0, F.col("matched") / F.col("all_weight")), F.lit(1.0)).alias("relevance"))

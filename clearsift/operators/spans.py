@@ -2,26 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clearsift.operators.resolve import checkpointed
+
+
+def _dealt(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Rows dealt into ranges of (by, order) and written with their range's number, so that a group of any size is many tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(rows.repartitionByRange(n, F.col(by), *order).withColumn("_range", F.spark_partition_id()))
+
+
+def _carried(dealt: DataFrame, by: str, inside: Column, over) -> DataFrame:
+    """Adds _carry: what a group's ranges before a row's range hand on. `inside` is an aggregate of a range's part of a
+    group, `over` makes the carry of those before.
+
+    Only the first group of a range can have begun before it, so that the table of carries has a row for each range at
+    most, and its broadcast is bounded.
+    """
+    parts = dealt.groupBy(by, "_range").agg(inside.alias("_part"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(F.col(by).alias("_by"), F.col("_range").alias("_at"), over("_part", before).alias("_carry")).filter("_carry IS NOT NULL")
+    return dealt.join(F.broadcast(carry), (F.col("_range") == F.col("_at")) & F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by", "_at")
+
 
 def merge_intervals(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """Overlapping or adjacent intervals of a group become one: by, start, end, n."""
-    order = Window.partitionBy(by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Overlapping or adjacent intervals of a group become one: by, start, end, n.
+
+    A group is worked on in ranges of its starts; the furthest end of the ranges before, and how many intervals they
+    begin, are handed on, so that one group may hold all rows. A null group is a group.
+    """
+    dealt = _carried(_dealt(rows.select(by, start, end), by, [start, end]), by, F.max(end), lambda c, w: F.max(c).over(w))
+    order = Window.partitionBy("_range", by).orderBy(start, end)
+    reach = F.greatest(F.col("_carry"), F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = checkpointed(dealt.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1))).drop("_carry"))
+    numbered = _carried(marked, by, F.sum("_new"), lambda c, w: F.sum(c).over(w))
+    island = F.coalesce("_carry", F.lit(0)) + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = numbered.withColumn("_island", island)
     return numbered.groupBy(by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
 def islands(rows: DataFrame, by: str, order: list[str], column: str) -> DataFrame:
-    """Adds the number of the run of equal neighbours in a column that a row belongs to."""
-    w = Window.partitionBy(by).orderBy(*order)
-    new = ~F.lag(column).over(w).eqNullSafe(F.col(column)) | (F.row_number().over(w) == 1)
-    marked = rows.withColumn("_new", new.cast("int"))
-    return marked.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Adds the number of the run of equal neighbours in a column that a row belongs to; groups are worked on in ranges."""
+    last = F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order))
+    dealt = _carried(_dealt(rows, by, order), by, last, lambda c, w: F.last(c, ignorenulls=True).over(w))
+    w = Window.partitionBy("_range", by).orderBy(*order)
+    before = F.coalesce(F.lag(F.struct(F.col(column).alias("v"))).over(w), F.col("_carry"))
+    new = F.when(before.isNull(), F.lit(1)).otherwise((~before["v"].eqNullSafe(F.col(column))).cast("int"))
+    marked = checkpointed(dealt.withColumn("_new", new).drop("_carry"))
+    counted = _carried(marked, by, F.sum("_new"), lambda c, x: F.sum(c).over(x))
+    number = F.coalesce("_carry", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("island", number).drop("_new", "_range", "_carry")
 
 
 def word_grams(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -216,7 +216,9 @@ def content_words(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT unnest({_WORDS_SQL.format('text')}) AS token FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT token, count(*) AS df, round(ln((max(n.n) + 1) / (count(*) + 1)), 6) AS idf FROM t, n GROUP BY token""")
 def doc_frequency_idf(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.document_frequencies(table(spark, d, "documents"), arrays.content_words(F.col("text"))).select("token", "df", F.round("idf", 6).alias("idf"))
+    """Words are counted as they stand; stop words and short ones go after that."""
+    counted = retrieval.document_frequencies(table(spark, d, "documents"), arrays.plain_words(F.col("text")), arrays.says_something(F.col("token")))
+    return counted.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 _PAIRS_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS w, {_WORDS_SQL.format("string_split(text, chr(10))[1]")} AS head FROM documents),
@@ -230,10 +232,11 @@ def relevance_pairs(spark: SparkSession, d: str) -> DataFrame:
     """How much of every document's first line is in the next document."""
     docs = table(spark, d, "documents")
     words = docs.select("doc_id", arrays.content_words(F.col("text")).alias("text_words"))
-    heads = docs.select(F.col("doc_id").alias("pair_id"), arrays.content_words(F.element_at(F.split("text", "\n"), 1)).alias("title_words"), (F.col("doc_id") + 1).alias("doc_id"))
-    idf = retrieval.document_frequencies(docs, arrays.content_words(F.col("text")))
-    n = F.lit(docs.count())
-    return retrieval.title_relevance(heads.join(words, "doc_id").select("pair_id", "title_words", "text_words"), idf, n).select("pair_id", F.round("relevance", 6).alias("relevance"))
+    heads = docs.select(F.col("doc_id").alias("pair_id"), arrays.content_words(F.substring_index("text", "\n", 1)).alias("title_words"), (F.col("doc_id") + 1).alias("doc_id"))
+    asked = heads.select(F.explode("title_words").alias("token")).distinct()
+    idf = retrieval.document_frequencies(docs, arrays.plain_words(F.col("text")), wanted=asked)
+    pairs = heads.join(words, "doc_id").select("pair_id", "title_words", "text_words")
+    return retrieval.title_relevance(pairs, idf, F.lit(docs.count())).select("pair_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS w FROM documents)
@@ -904,3 +907,60 @@ def replaced_rows(spark: SparkSession, d: str) -> DataFrame:
     except ValueError:
         return spark.read.parquet(sinks.current_version(spark, root)[0])
     raise AssertionError("a version of a fiftieth of the rows was switched to")
+
+
+# Misread words: words of five letters, made of the digests of parts' keys, so that many are near each other.
+
+_DIGESTS = "WITH w AS (SELECT DISTINCT p_partkey AS k, substr(translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'aabbccddeeaabbcc'), 1, 4 + (p_partkey // 7 % 5)::INT) AS token FROM part)"
+
+
+def _digest_words(spark: SparkSession, d: str) -> DataFrame:
+    letters = F.translate(F.md5(F.col("p_partkey").cast("string").cast("binary")), "0123456789abcdef", "aabbccddeeaabbcc")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.substring(letters, F.lit(1), (4 + F.floor(F.col("p_partkey") / 7) % 5).cast("int")).alias("token"))
+
+
+_NEAR = "levenshtein(a.token, b.token) <= CASE WHEN length(a.token) >= 7 THEN 2 ELSE 1 END AND length(a.token) >= 5 AND length(b.token) >= 5"
+
+
+@query(_DIGESTS + f" SELECT DISTINCT a.token, b.token AS near FROM w a JOIN w b ON a.k % 50 = 0 AND {_NEAR}")
+def misread_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words that a stated set, those of keys divisible by 50, may have become, among all."""
+    from clearsift.operators.misread import misread_pairs
+
+    words = _digest_words(spark, d)
+    return misread_pairs(words.filter("k % 50 = 0"), words)
+
+
+@query(_DIGESTS + f""" SELECT o.k AS pair_id, count(DISTINCT t.token) FILTER (WHERE EXISTS (SELECT 1 FROM w b WHERE b.k // 20 = o.k + 1 AND (b.token = t.token OR (length(t.token) >= 5 AND length(b.token) >= 5
+  AND levenshtein(t.token, b.token) <= CASE WHEN length(t.token) >= 7 THEN 2 ELSE 1 END)))) AS n_found FROM (SELECT DISTINCT k // 20 AS k FROM w) o JOIN w t ON t.k // 20 = o.k GROUP BY o.k""")
+def misread_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Words come in titles of twenty; how many of a title's words are in the next one, equal or misread."""
+    from clearsift.operators.misread import words_found_misread
+
+    words = _digest_words(spark, d).withColumn("g", F.floor(F.col("k") / 20))
+    pairs = words.select(F.col("g").alias("pair_id"), F.col("g").alias("title_id"), (F.col("g") + 1).alias("text_id")).distinct()
+    return words_found_misread(pairs, words.select(F.col("g").alias("title_id"), "token"), words.select(F.col("g").alias("text_id"), "token"))
+
+
+_ONE = "SELECT 1 AS k, floor(epoch(ts) / 60)::BIGINT AS s, floor(epoch(ts) / 60)::BIGINT + 1 + (event_id % 9) AS e, event_id, ts, event_type FROM events"
+
+
+@query(f"""WITH s AS ({_ONE}), w AS (SELECT *, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM w)
+SELECT k, min(s) AS s, max(e) AS e, count(*) AS n FROM g GROUP BY k, island""")
+def interval_merge_of_one(spark: SparkSession, d: str) -> DataFrame:
+    """All events as the intervals of one user."""
+    from clearsift.operators.spans import merge_intervals
+
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).cast("long")
+    rows = table(spark, d, "events").select(F.lit(1).alias("k"), minute.alias("s"), (minute + 1 + F.col("event_id") % 9).alias("e"))
+    return merge_intervals(rows, "k", "s", "e")
+
+
+@query(f"""WITH l AS (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS before FROM ({_ONE})), g AS (SELECT *, sum(CASE WHEN before IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM l)
+SELECT event_id, island FROM g""")
+def islands_of_one(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one user's, each with the number of its run of equal types."""
+    from clearsift.operators.spans import islands
+
+    return islands(table(spark, d, "events").withColumn("k", F.lit(1)), "k", ["ts", "event_id"], "event_type").select("event_id", "island")
