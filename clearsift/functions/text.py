@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that may stand as a label without brackets, or with one bracket missing.
 LABEL_WORDS = "SALAH|HOAX|HOAKS|HASUT|FITNAH|DISINFORMASI|MISINFORMASI|PENIPUAN|BENAR|FAKTA|FALSE"
@@ -19,27 +20,38 @@ LABEL_PREFIXES = (
 )
 
 
-def _compatible_forms() -> tuple[str, str, dict[str, str]]:
-    """By the Unicode database, what compatibility normalisation makes of single characters: one character for one, as
-    two texts, and the others as a table."""
-    made = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x80, min(0xFFFF, sys.maxunicode)) if not 0xD800 <= c <= 0xDFFF}
-    made = {c: n for c, n in made.items() if n != c}
-    one = {c: n for c, n in made.items() if len(n) == 1}
-    return "".join(one), "".join(one.values()), {c: n for c, n in made.items() if len(n) > 1}
+#: Blocks whose characters most texts consist of: Latin, Greek, Cyrillic, punctuation and currency signs, kana, Han, Hangul.
+_BLOCKS = ((0x80, 0x24F), (0x370, 0x52F), (0x2010, 0x2060), (0x20A0, 0x20BF), (0x3041, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 
 
-_FROM, _TO, _LONGER = _compatible_forms()
-#: Of the characters that become several, those that occur in read pages; a replacement each.
-_SPELT = {c: _LONGER[c] for c in "…‥ﬀﬁﬂﬃﬄ™½¼¾℃№"}
+def _stable_ranges() -> str:
+    """Of the blocks, as a list of ranges of a pattern, the characters that normalisation leaves as they are whatever stands
+    beside them: their own compatible form, no combining mark, and no second part of a composed character."""
+    second = {d[1] for c in range(0x80, 0x11FFF) if (d := unicodedata.decomposition(chr(c)).split()) and len(d) == 2 and not d[0].startswith("<")}
+    stable = lambda c: unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and f"{c:04X}" not in second and unicodedata.category(chr(c)) != "Cn"
+    ranges: list[list[int]] = []
+    for c in (c for low, high in _BLOCKS for c in range(low, high + 1) if stable(c)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in ranges)
+
+
+_UNSTABLE = f"[^\\x00-\\x7F{_stable_ranges()}]"
+#: Texts of nothing but these are told by one short class: ASCII, letters with one mark, common punctuation.
+_PLAIN = "^[\\x00-\\x7F\\u00BF-\\u0131\\u0134-\\u013E\\u2013-\\u2016\\u2018-\\u201D]*+\\z"
+
+
+@F.pandas_udf(StringType())
+def _normalised(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def compatible(x: Column) -> Column:
-    """Full-width, super- and subscript and other compatible forms as plain characters (NFKC without composition of
-    combining marks); a text of ASCII alone is left as it is."""
-    plain = F.translate(x, _FROM, _TO)
-    for c, spelt in _SPELT.items():
-        plain = F.replace(plain, F.lit(c), F.lit(spelt))
-    return F.when(x.rlike("[^\\x00-\\x7F]"), plain).otherwise(x)
+    """NFKC: compatible forms as plain characters, letters and combining marks composed, in canonical order. Only texts with a
+    character that may change leave the built-in expressions; all others are passed on as they are."""
+    return F.coalesce(_normalised(F.when(~x.rlike(_PLAIN) & x.rlike(_UNSTABLE), x)), x)
 
 
 def text_or_empty(x: Column) -> Column:

@@ -28,32 +28,52 @@ def _carried(dealt: DataFrame, by: str, inside: Column, over) -> DataFrame:
     return dealt.join(F.broadcast(carry), (F.col("_range") == F.col("_at")) & F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by", "_at")
 
 
-def merge_intervals(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """Overlapping or adjacent intervals of a group become one: by, start, end, n.
+#: Rows of a group that one task sorts; larger groups are dealt into ranges.
+MOST_IN_TASK = 1_000_000
 
-    A group is worked on in ranges of its starts; the furthest end of the ranges before, and how many intervals they
-    begin, are handed on, so that one group may hold all rows. A null group is a group.
+
+def _fits(rows: DataFrame, by: str, most: int) -> bool:
+    """Whether every group has so few rows that one task can sort it: one count by group, of which a single number is returned."""
+    return (rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0) <= most
+
+
+def merge_intervals(rows: DataFrame, by: str, start: str, end: str, most_in_task: int = MOST_IN_TASK) -> DataFrame:
+    """Overlapping or adjacent intervals of a group become one: by, start, end, n. A null group is a group.
+
+    Groups of bounded size are windows. Where one is larger, groups are worked on in ranges of their starts: the furthest end
+    of the ranges before, and how many intervals they begin, are handed on, so that one group may hold all rows.
     """
-    dealt = _carried(_dealt(rows.select(by, start, end), by, [start, end]), by, F.max(end), lambda c, w: F.max(c).over(w))
-    order = Window.partitionBy("_range", by).orderBy(start, end)
-    reach = F.greatest(F.col("_carry"), F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = checkpointed(dealt.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1))).drop("_carry"))
-    numbered = _carried(marked, by, F.sum("_new"), lambda c, w: F.sum(c).over(w))
-    island = F.coalesce("_carry", F.lit(0)) + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = numbered.withColumn("_island", island)
+    rows, whole = rows.select(by, start, end), Window.unboundedPreceding
+    if _fits(rows, by, most_in_task):
+        order = Window.partitionBy(by).orderBy(start, end)
+        reach = F.max(end).over(order.rowsBetween(whole, -1))
+        marked = rows.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
+        numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(whole, 0)))
+    else:
+        order = Window.partitionBy("_range", by).orderBy(start, end)
+        dealt = _carried(_dealt(rows, by, [start, end]), by, F.max(end), lambda c, w: F.max(c).over(w))
+        reach = F.greatest(F.col("_carry"), F.max(end).over(order.rowsBetween(whole, -1)))
+        marked = dealt.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1))).drop("_carry")
+        numbered = _carried(marked, by, F.sum("_new"), lambda c, w: F.sum(c).over(w))
+        numbered = numbered.withColumn("_island", F.coalesce("_carry", F.lit(0)) + F.sum("_new").over(order.rowsBetween(whole, 0)))
     return numbered.groupBy(by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
-def islands(rows: DataFrame, by: str, order: list[str], column: str) -> DataFrame:
-    """Adds the number of the run of equal neighbours in a column that a row belongs to; groups are worked on in ranges."""
-    last = F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order))
-    dealt = _carried(_dealt(rows, by, order), by, last, lambda c, w: F.last(c, ignorenulls=True).over(w))
+def islands(rows: DataFrame, by: str, order: list[str], column: str, most_in_task: int = MOST_IN_TASK) -> DataFrame:
+    """Adds the number of the run of equal neighbours in a column that a row belongs to; large groups are worked on in ranges."""
+    value, whole = F.struct(F.col(column).alias("v")), Window.unboundedPreceding
+    if _fits(rows, by, most_in_task):
+        w = Window.partitionBy(by).orderBy(*order)
+        marked = rows.withColumn("_new", F.when(F.lag(value).over(w)["v"].eqNullSafe(F.col(column)) & (F.row_number().over(w) > 1), F.lit(0)).otherwise(F.lit(1)))
+        return marked.withColumn("island", F.sum("_new").over(w.rowsBetween(whole, 0))).drop("_new")
+    last = F.max_by(value, F.struct(*order))
+    dealt = _carried(_dealt(rows, by, order), by, last, lambda c, x: F.last(c, ignorenulls=True).over(x))
     w = Window.partitionBy("_range", by).orderBy(*order)
-    before = F.coalesce(F.lag(F.struct(F.col(column).alias("v"))).over(w), F.col("_carry"))
+    before = F.coalesce(F.lag(value).over(w), F.col("_carry"))
     new = F.when(before.isNull(), F.lit(1)).otherwise((~before["v"].eqNullSafe(F.col(column))).cast("int"))
-    marked = checkpointed(dealt.withColumn("_new", new).drop("_carry"))
+    marked = dealt.withColumn("_new", new).drop("_carry")
     counted = _carried(marked, by, F.sum("_new"), lambda c, x: F.sum(c).over(x))
-    number = F.coalesce("_carry", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    number = F.coalesce("_carry", F.lit(0)) + F.sum("_new").over(w.rowsBetween(whole, 0))
     return counted.withColumn("island", number).drop("_new", "_range", "_carry")
 
 

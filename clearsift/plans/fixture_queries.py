@@ -954,7 +954,7 @@ def interval_merge_of_one(spark: SparkSession, d: str) -> DataFrame:
 
     minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).cast("long")
     rows = table(spark, d, "events").select(F.lit(1).alias("k"), minute.alias("s"), (minute + 1 + F.col("event_id") % 9).alias("e"))
-    return merge_intervals(rows, "k", "s", "e")
+    return merge_intervals(rows, "k", "s", "e", most_in_task=100)
 
 
 @query(f"""WITH l AS (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS before FROM ({_ONE})), g AS (SELECT *, sum(CASE WHEN before IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM l)
@@ -963,4 +963,4 @@ def islands_of_one(spark: SparkSession, d: str) -> DataFrame:
     """All events as one user's, each with the number of its run of equal types."""
     from clearsift.operators.spans import islands
 
-    return islands(table(spark, d, "events").withColumn("k", F.lit(1)), "k", ["ts", "event_id"], "event_type").select("event_id", "island")
+    return islands(table(spark, d, "events").withColumn("k", F.lit(1)), "k", ["ts", "event_id"], "event_type", most_in_task=100).select("event_id", "island")

@@ -97,3 +97,18 @@ def test_article_pages(spark):
 def test_messages(spark):
     row = spark.range(1).select(screen.level_text(F.lit("hati_hati"), F.lit("mirip")).alias("a"), screen.level_text(F.lit("lain"), F.lit("")).alias("b"), screen.error_text(F.lit("x")).alias("c"), screen.comparison_message(F.lit("salah"), F.lit("kuat"), F.lit(None).cast("string")).alias("d")).first()
     assert tuple(row) == ("Perlu hati-hati: mirip artikel cek fakta", "lain", "Terjadi kesalahan", "sejalan")
+
+
+def test_compatible_forms_equal_the_unicode_database(spark):
+    """Every assigned character, alone and between others, and sequences of letters and marks."""
+    import unicodedata
+
+    rng = random.Random(2)
+    every = [chr(c) for c in range(0x20, 0x20000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    marks = [c for c in every if unicodedata.combining(c)] + list("ᅡᆨা")
+    texts = ["".join(every[i : i + 7]) for i in range(0, len(every), 7)] + [f"a{c}b" for c in every if unicodedata.normalize("NFKC", c) != c]
+    texts += [rng.choice("aeoAEOαιи가ᄀकé") + "".join(rng.choice(marks) for _ in range(rng.randint(1, 4))) for _ in range(4000)]
+    from clearsift.functions.text import compatible
+
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(-1, None), (-2, "")], "i long, t string").select("i", compatible(F.col("t")).alias("t")).collect()
+    assert {r.i: r.t for r in rows} == {i: unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)} | {-1: None, -2: ""}
