@@ -12,6 +12,7 @@ LINK = r"(?i:(?:https?://|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|id|co|
 LOCAL_PHONE = r"(?<![\w])(?:\+?62|0)[ ]?8[\d \-.]{6,14}\d(?!\d)"
 FOREIGN_PHONE = r"(?<![\w])\+\d{1,3}[ \-]?\d[\d \-]{7,12}\d(?!\d)"
 CUT_PHONE = r"(?<![\w])\+62[ ]?8\d"
+SIMPLE_PHONE = r"(?<![\w])(?:\+?62|0)\s?8[\d\s\-.]{7,13}\d(?!\d)|(?<![\w])\+\d{1,3}[\s-]?\d[\d\s-]{7,12}\d(?!\d)"
 ACCOUNT = r"(?<![\w/@])@[A-Za-z0-9_.]{2,}"
 
 
@@ -44,6 +45,14 @@ def mask_text(x: Column) -> Column:
     return F.when(text.rlike(LINK), joined).otherwise(_mask_piece(text))
 
 
+def mask_simply(x: Column) -> Column:
+    """The simpler masker of comparisons: no count of digits, no account lines, one pattern for numbers."""
+    text = mask_emails(x)
+    piece = lambda t: F.regexp_replace(F.regexp_replace(t, SIMPLE_PHONE, NUMBER_TOKEN), ACCOUNT, ACCOUNT_TOKEN)
+    links = F.regexp_extract_all(text, F.lit(LINK), F.lit(0))
+    return F.array_join(F.zip_with(F.transform(F.split(text, LINK, -1), piece), links, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def _letters_share_run(a: Column, b: Column, run: int = 6) -> Column:
     """Whether two tokens share a run of letters: whether their pieces of letters share a gram of that length."""
     grams = lambda t: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(f"[a-z]{{{run},}}"), F.lit(0)), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - run + 1), lambda i: F.substring(p, i, F.lit(run)))))

@@ -165,15 +165,49 @@ def comparison_table(results: dict[str, DataFrame], measure: str, value: str) ->
     return whole.groupBy("measure").pivot("run", sorted(results)).agg(F.first("value"))
 
 
-def evaluation_report(rows: DataFrame, ranks: DataFrame, slice_column: str) -> dict[str, DataFrame]:
-    """The tables of an evaluation report: confusion, metrics by slice, ranking. rows: expected, actual (0 or 1) and the slice."""
+def sweep_table(decisions: DataFrame, expected: DataFrame) -> DataFrame:
+    """What each profile of thresholds does: false alarms by level, recall, and how often the level is the wanted or an allowed one.
+
+    decisions: profile, doc_id, level. expected: doc_id, is_positive, wanted, allowed (array of levels).
+    """
+    rows = decisions.join(expected, "doc_id")
+    positive, level = F.col("is_positive"), F.col("level")
+    found = F.count_if(positive & level.isin("kuat", "hati_hati"))
+    return rows.groupBy("profile").agg(
+        F.count_if(~positive & (level == "kuat")).alias("false_strong"), F.count_if(~positive & (level == "hati_hati")).alias("false_caution"), F.count_if(~positive).alias("n_negative"),
+        F.round(F.when(F.count_if(positive) > 0, found / F.count_if(positive)).otherwise(0.0), 6).alias("recall"), F.count_if(positive & (level == "kuat")).alias("true_strong"), F.count_if(positive).alias("n_positive"),
+        F.count_if(level == F.col("wanted")).alias("as_wanted"), F.count_if((level == F.col("wanted")) | F.array_contains("allowed", level)).alias("as_allowed"),
+    )
+
+
+def differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, before, after) of two runs (doc_id, level), where both have a row and the levels differ."""
+    joined = before.select("doc_id", F.col("level").alias("before")).join(after.select("doc_id", F.col("level").alias("after")), "doc_id")
+    return joined.filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def article_ids(candidates: DataFrame, articles: DataFrame) -> DataFrame:
+    """Adds article_id to candidates (url, title): the first article with both, null without one; missing texts count as empty."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    first = articles.groupBy(text("url").alias("_u"), text("title").alias("_t")).agg(F.min("article_id").alias("article_id"))
+    return candidates.withColumns({"_u": text("url"), "_t": text("title")}).join(first, ["_u", "_t"], "left").drop("_u", "_t")
+
+
+def evaluation_report(rows: DataFrame, ranks: DataFrame, slice_column: str, sweep: tuple[DataFrame, DataFrame] | None = None, baseline: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables of an evaluation report: confusion, metrics by slice, ranking, and if they are given a sweep of thresholds
+    (decisions, expected) and the differences to a baseline (before, after). rows: expected, actual (0 or 1) and the slice."""
     from clearsift.operators.evaluation import confusion, ranking_metrics, slice_metrics
 
-    return {
+    tables = {
         "confusion": confusion(rows.withColumn("actual", F.col("actual").cast("string")), "expected", "actual", ["0", "1"]),
         "slices": slice_metrics(rows, slice_column),
         "ranking": ranking_metrics(ranks),
     }
+    if sweep:
+        tables["sweep"] = sweep_table(*sweep)
+    if baseline:
+        tables["differences"] = differences(*baseline)
+    return tables
 
 
 def length_sorted(texts: DataFrame, partitions: int, column: str = "text") -> DataFrame:

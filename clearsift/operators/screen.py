@@ -15,8 +15,6 @@ LEVEL_TEXT = {
     ("hati_hati", "mirip"): "Perlu hati-hati: mirip artikel cek fakta", ("hati_hati", "ciri_saja"): "Perlu hati-hati: ada ciri", ("tidak_ditemukan", "rujukan"): "Tidak ditemukan indikasi; ada rujukan",
     ("tidak_ditemukan", ""): "Tidak ditemukan indikasi",
 }
-#: Messages of errors.
-ERROR_TEXT = {"teks_tidak_terbaca": "Teks tidak terbaca", "gambar_tidak_valid": "Gambar tidak valid", "server_sibuk": "Server sibuk"}
 
 
 def lookup(table: dict, *keys: Column, default: Column) -> Column:
@@ -30,21 +28,6 @@ def level_text(level: Column, variant: Column) -> Column:
     return lookup(LEVEL_TEXT, level, variant, default=level)
 
 
-def error_text(code: Column) -> Column:
-    return lookup(ERROR_TEXT, code, default=F.lit("Terjadi kesalahan"))
-
-
-def caution_cause(level: Column, variant: Column) -> Column:
-    """Why a level asks for caution, as the client tells it."""
-    return F.when(level != "hati_hati", F.lit(None)).when(variant == "ciri_saja", F.lit("ciri")).when(variant.isin("mirip", "konflik", "satir"), F.lit("artikel")).otherwise(F.lit("lain"))
-
-
-def comparison_message(assessment: Column, level: Column, cause: Column) -> Column:
-    """What the reader's own assessment compares to."""
-    agrees = (assessment == "ragu") & (level == "hati_hati") | (assessment == "salah") & (level == "kuat") | (assessment == "benar") & (level == "tidak_ditemukan")
-    return F.when(assessment.isNull(), F.lit(None)).when(agrees, F.lit("sejalan")).when(cause.isNotNull(), F.concat(F.lit("berbeda karena "), cause)).otherwise(F.lit("berbeda"))
-
-
 def refuted_evidence(texts: DataFrame, verdict: DataFrame, articles: DataFrame, fallback: DataFrame, most: int = 140, least: int = 3) -> DataFrame:
     """(doc_id, profile, refuted_evidence): of each text that an article refutes, the passage closest to the article.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearsift.functions import arrays, dates_numbers, helpers, json_replies, labels, text
-from clearsift.operators import alignment, claims, decide, evaluation, faithful, features, lines, masking, reports, resolve, screen, spans
+from clearsift.operators import alignment, claims, decide, evaluation, faithful, features, lines, masking, messages, reports, resolve, screen, spans
 from clearsift.plans.fixture_queries import table
 from clearsift.sources.html_pages import article_record, listing_rows
 from clearsift.streaming import ingest
@@ -165,9 +165,6 @@ function_cases("reply_functions", [
     ("normal_label", labels.normal_label, [("SALAH", "'salah'"), ("Penipuan", "'penipuan'"), ("belum  terbukti", "'belum_terbukti'"), ("KLARIFIKASI", "'klarifikasi'"), ("satire", "'satir'"), ("BENAR", "'benar'"), ("Fakta", "'benar'"), ("EDUKASI", "'bukan_cek_fakta'"), ("CEK FAKTA", "'bukan_cek_fakta'"), ("", "'lainnya'"), ("{n}", "'lainnya'"), ("DISINFOMASI", "'salah'")]),
     ("label_with_verdict", lambda x: labels.label_with_verdict(*_two(x)), [("ISU {n}|Benar", "'lainnya'"), ("ISU|Benar", "'klarifikasi'"), ("SALAH|Benar", "'salah'"), ("|salah", "'salah'")]),
     ("level_text", lambda x: screen.level_text(*_two(x)), [("hati_hati|mirip", "'Perlu hati-hati: mirip artikel cek fakta'"), ("{t}|", "t")]),
-    ("error_text", screen.error_text, [("server_sibuk", "'Server sibuk'"), ("{n}", "'Terjadi kesalahan'")]),
-    ("comparison_message", lambda x: screen.comparison_message(*_two(x), F.lit(None).cast("string")), [("salah|kuat", "'sejalan'"), ("benar|kuat", "'berbeda'")]),
-    ("caution_cause", lambda x: screen.caution_cause(*_two(x)), [("hati_hati|ciri_saja", "'ciri'"), ("hati_hati|mirip", "'artikel'"), ("{t}|", "NULL")]),
 ])
 
 
@@ -228,6 +225,86 @@ function_cases("line_functions", [
 ])
 
 
+_KINDS = ["url_belum_diatur", "tidak_terjangkau", "waktu_habis", "cleartext", "respons", "tidak_aktif", "server"]
+_CODES = ["teks_tidak_terbaca", "terlalu_besar", "gambar_kosong", "bukan_gambar", "server_sibuk", "lain"]
+_CARD_SQL = """CASE kind WHEN 'url_belum_diatur' THEN 'url' WHEN 'cleartext' THEN 'cleartext' WHEN 'server' THEN CASE code WHEN 'teks_tidak_terbaca' THEN 'teks' WHEN 'terlalu_besar' THEN 'besar' WHEN 'server_sibuk' THEN 'sibuk' WHEN 'lain' THEN 'server' ELSE 'gambar' END ELSE kind END"""
+
+
+@query(f"""WITH e AS (SELECT c_custkey AS k, {_KINDS}[c_custkey % 7 + 1] AS kind, {_CODES}[c_custkey // 7 % 6 + 1] AS code FROM customer), f AS (SELECT *, {_CARD_SQL} AS name FROM e)
+SELECT k, 'galat_isi_' || name AS body, CASE WHEN name IN ('url', 'cleartext', 'respons') THEN 'BUKA_PENGATURAN' WHEN name IN ('teks', 'besar', 'gambar') THEN 'PILIH_ULANG' ELSE 'COBA_LAGI' END AS action, name = 'tidak_terjangkau' AS settings,
+CASE WHEN name IN ('url', 'cleartext') THEN 'galat_isi_server' WHEN name = 'respons' THEN 'galat_isi_respons_rilis' ELSE 'galat_isi_' || name END AS body_without, name IN ('teks', 'besar', 'gambar') AS choose_without,
+CASE kind WHEN 'url_belum_diatur' THEN 'galat_url_belum_diatur' WHEN 'respons' THEN 'galat_respons_tidak_dikenali' WHEN 'tidak_aktif' THEN 'galat_server_tidak_aktif'
+  WHEN 'server' THEN CASE code WHEN 'teks_tidak_terbaca' THEN 'galat_teks_tidak_terbaca' WHEN 'terlalu_besar' THEN 'galat_terlalu_besar' WHEN 'server_sibuk' THEN 'galat_server_sibuk' WHEN 'lain' THEN 'galat_server' ELSE 'galat_gambar_rusak' END ELSE 'galat_' || kind END AS message FROM f""")
+def error_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Every kind of failure and code of the server over the customers: cards with and without settings, and messages."""
+    kind, code = chosen(F.col("c_custkey"), _KINDS), chosen(F.floor(F.col("c_custkey") / 7), _CODES)
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), messages.error_card(kind, code, True).alias("a"), messages.error_card(kind, code, False).alias("b"), messages.error_message(kind, code).alias("message"))
+    return rows.select("k", F.col("a.body").alias("body"), F.col("a.action").alias("action"), F.col("a.settings").alias("settings"), F.col("b.body").alias("body_without"), (F.col("b.action") == "PILIH_ULANG").alias("choose_without"), "message")
+
+
+_LEVELS, _VIEWS, _LABELS = ["kuat", "hati_hati", "tidak_ditemukan", "baru"], ["percaya", "ragu", "tidak_percaya", "dilewati"], [" Salah", "penipuan", "klarifikasi", "SATIR", "belum_terbukti", "benar", "lain"]
+
+
+@query(f"""WITH e AS (SELECT c_custkey AS k, {_LEVELS}[c_custkey % 4 + 1] AS level, {_VIEWS}[c_custkey // 4 % 4 + 1] AS seen, c_custkey // 16 % 2 AS n, c_custkey // 32 % 3 AS arts, {_LABELS}[c_custkey % 7 + 1] AS label FROM customer),
+f AS (SELECT *, CASE WHEN n > 0 THEN 'ciri' WHEN arts = 2 THEN 'satir' WHEN arts = 1 THEN 'artikel' ELSE 'umum' END AS cause, lower(trim(label)) AS l FROM e)
+SELECT k, cause, 'banding_pesan_' || CASE WHEN seen = 'dilewati' THEN seen WHEN level = 'baru' THEN 'tidak_dikenal' WHEN level = 'tidak_ditemukan' THEN level || '_' || seen WHEN seen <> 'percaya' THEN 'ada_ciri_waspada' WHEN level = 'kuat' THEN 'kuat_percaya' ELSE 'hati_hati_percaya_' || cause END AS message,
+'hasil_label_' || CASE WHEN l IN ('benar', 'lain') THEN 'rujukan' ELSE l END AS label_text, CASE WHEN l IN ('salah', 'penipuan') THEN 'MERAH' ELSE 'NETRAL' END AS style,
+CASE WHEN level = 'tidak_ditemukan' THEN 'hasil_terbatas_arti_tidak_ditemukan' ELSE 'hasil_terbatas_arti' END AS meaning, CASE n WHEN 0 THEN 'hasil_terbatas_lain,hasil_terbatas_ai' ELSE 'hasil_terbatas_cek_fakta,hasil_terbatas_lain' END AS limited FROM f""")
+def client_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Levels, assessments, causes, labels and limited checks in all combinations over the customers."""
+    k, part = F.col("c_custkey"), lambda n: F.floor(F.col("c_custkey") / n)
+    articles = F.when(part(32) % 3 == 0, F.array().cast("array<string>")).when(part(32) % 3 == 1, F.array(F.lit("salah"))).otherwise(F.array(F.lit("salah"), F.lit("satir")))
+    rows = table(spark, d, "customer").select(k.alias("k"), chosen(k, _LEVELS).alias("level"), chosen(part(4), _VIEWS).alias("seen"), (part(16) % 2).alias("n"), articles.alias("articles"), chosen(k, _LABELS).alias("label"))
+    rows = rows.withColumn("cause", messages.caution_cause(F.col("n"), F.col("articles"))).withColumn("shown", messages.article_label(F.col("label")))
+    limited = F.when(F.col("n") == 0, F.array(F.lit("x"), F.lit(" AI "), F.lit("y"))).otherwise(F.array(F.lit("cek_fakta"), F.lit("z"), F.lit("cek_fakta")))
+    return rows.select("k", "cause", messages.comparison_message(F.col("seen"), F.col("level"), F.col("cause")).alias("message"), F.col("shown.text").alias("label_text"), F.col("shown.style").alias("style"), messages.limited_meaning(F.col("level")).alias("meaning"), F.array_join(messages.limited_sentences(limited), ",").alias("limited"))
+
+
+_SWEEP = """WITH s AS (SELECT p_partkey AS k, v.p AS profile, CASE WHEN p_size >= v.hi THEN 'kuat' WHEN p_size >= v.lo THEN 'hati_hati' ELSE 'tidak_ditemukan' END AS level, p_partkey % 3 = 0 AS positive,
+  CASE WHEN p_partkey % 3 = 0 THEN 'kuat' ELSE 'tidak_ditemukan' END AS wanted FROM part, (VALUES ('a', 40, 30), ('b', 30, 20)) v(p, hi, lo))"""
+
+
+def _decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    parts, positive = table(spark, d, "part"), F.col("p_partkey") % 3 == 0
+    profile = lambda p, hi, lo: parts.select(F.col("p_partkey").alias("doc_id"), F.lit(p).alias("profile"), F.when(F.col("p_size") >= hi, "kuat").when(F.col("p_size") >= lo, "hati_hati").otherwise("tidak_ditemukan").alias("level"))
+    expected = parts.select(F.col("p_partkey").alias("doc_id"), positive.alias("is_positive"), F.when(positive, "kuat").otherwise("tidak_ditemukan").alias("wanted"), F.when(positive, F.array(F.lit("hati_hati"))).otherwise(F.array().cast("array<string>")).alias("allowed"))
+    return profile("a", 40, 30).unionByName(profile("b", 30, 20)), expected
+
+
+@query(_SWEEP + """ SELECT profile, count(*) FILTER (WHERE NOT positive AND level = 'kuat') AS false_strong, count(*) FILTER (WHERE NOT positive AND level = 'hati_hati') AS false_caution, count(*) FILTER (WHERE NOT positive) AS n_negative,
+round(count(*) FILTER (WHERE positive AND level <> 'tidak_ditemukan') / count(*) FILTER (WHERE positive), 6) AS recall, count(*) FILTER (WHERE positive AND level = 'kuat') AS true_strong, count(*) FILTER (WHERE positive) AS n_positive,
+count(*) FILTER (WHERE level = wanted) AS as_wanted, count(*) FILTER (WHERE level = wanted OR (positive AND level = 'hati_hati')) AS as_allowed FROM s GROUP BY profile""")
+def sweep_report(spark: SparkSession, d: str) -> DataFrame:
+    """Two profiles of thresholds over all parts, against what was expected."""
+    return reports.sweep_table(*_decisions(spark, d))
+
+
+@query(_SWEEP + " SELECT a.k AS doc_id, a.level AS before, b.level AS after FROM s a JOIN s b ON a.k = b.k AND a.profile = 'a' AND b.profile = 'b' WHERE a.level <> b.level")
+def report_differences(spark: SparkSession, d: str) -> DataFrame:
+    """The report of one profile against the other as its baseline: the rows that differ."""
+    decisions, expected = _decisions(spark, d)
+    of = lambda p: decisions.filter(F.col("profile") == p).drop("profile")
+    rows = of("b").join(expected, "doc_id").select("doc_id", "level", (F.col("wanted") == "kuat").cast("int").alias("expected"), (F.col("level") == "kuat").cast("int").alias("actual"), F.lit("x").alias("part"))
+    report = reports.evaluation_report(rows, spark.createDataFrame([], "rank int"), "part", sweep=(decisions, expected), baseline=(of("a"), of("b")))
+    return report["differences"]
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, 'https://x.id/' || o_custkey AS url, o_orderpriority AS title FROM orders), m AS (SELECT url, title, min(id) AS id FROM a GROUP BY ALL)
+SELECT c_custkey, m.id AS article_id FROM customer LEFT JOIN m ON m.url = 'https://x.id/' || c_custkey AND m.title = '2-HIGH'""")
+def articles_by_url_and_title(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of which only address and title are known get the first article with both."""
+    articles = table(spark, d, "orders").select(F.col("o_orderkey").alias("article_id"), F.concat(F.lit("https://x.id/"), "o_custkey").alias("url"), F.col("o_orderpriority").alias("title"))
+    asked = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("https://x.id/"), "c_custkey").alias("url"), F.lit("2-HIGH").alias("title"))
+    return reports.article_ids(asked, articles).select("c_custkey", "article_id")
+
+
+@query(f"WITH p AS ({_PART}) SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN 'wa [NOMOR] atau [EMAIL] ' || n WHEN 1 THEN 'buka toko' || ks || '.id/0812345678901 lalu [AKUN] ' || n ELSE 'hubungi [NOMOR] ' || n END AS text FROM p")
+def simply_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The simple masker: addresses of mail, then numbers and accounts outside links."""
+    body = chosen(F.col("p_partkey"), ["wa +62 812-3456.7890 atau {t}@c.id {n}", "buka toko{k}.id/0812345678901 lalu @akun_{t} {n}", "hubungi +1 202-555-0143 {n}"])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), masking.mask_simply(filled(body)).alias("text"))
+
+
 # Cases of several rows: each part's, customer's or supplier's key makes its own group of rows.
 
 

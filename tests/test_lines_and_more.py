@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from clearsift.operators import alignment, evaluation, lines, retrieval, screen
+from clearsift.operators import alignment, evaluation, lines, messages, retrieval, screen
 from clearsift.sources.html_pages import article_record
 
 BOX = "array<struct<x:double,y:double>>"
@@ -95,8 +95,8 @@ def test_article_pages(spark):
 
 
 def test_messages(spark):
-    row = spark.range(1).select(screen.level_text(F.lit("hati_hati"), F.lit("mirip")).alias("a"), screen.level_text(F.lit("lain"), F.lit("")).alias("b"), screen.error_text(F.lit("x")).alias("c"), screen.comparison_message(F.lit("salah"), F.lit("kuat"), F.lit(None).cast("string")).alias("d")).first()
-    assert tuple(row) == ("Perlu hati-hati: mirip artikel cek fakta", "lain", "Terjadi kesalahan", "sejalan")
+    row = spark.range(1).select(screen.level_text(F.lit("hati_hati"), F.lit("mirip")).alias("a"), screen.level_text(F.lit("lain"), F.lit("")).alias("b"), messages.comparison_message(F.lit("percaya"), F.lit("hati_hati"), messages.caution_cause(F.lit(0), F.array(F.lit("satir")))).alias("c"), messages.article_label(F.lit(None).cast("string"))["text"].alias("d")).first()
+    assert tuple(row) == ("Perlu hati-hati: mirip artikel cek fakta", "lain", "banding_pesan_hati_hati_percaya_satir", "hasil_label_rujukan")
 
 
 def test_compatible_forms_equal_the_unicode_database(spark):
