@@ -31,9 +31,19 @@ HOLDING = CONTAINERS | NEVER | BESIDE
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies "
     "consent disclaimer disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager "
-    "pagination popup promo promoted promotion recommended related search share sharing sidebar signup skip social "
-    "sponsor sponsored sponsors subscribe toolbar widget".split()
+    "pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social "
+    "sponsor sponsored sponsors subscribe toolbar trending widget".split()
 )
+#: Words that say nothing by themselves beside one of these; any other word ("related-work") takes a mark back.
+NEUTRAL = frozenset(
+    "a area bar block body bottom box btn button buttons by class col column container content entry field form global google group head header "
+    "inner item items layout left link links list main media module nr outer page panel post posts primary right row secondary section side site "
+    "slot small sticky story stories sub text thread title to top unit view with wrap wrapper wide".split()
+)
+#: Words that mark comments only if what they mark looks like them: several alike children.
+IF_REPEATED = frozenset(("discussion", "responses", "reactions", "conversation"))
+_FUSED = re.compile(f"(?:{'|'.join(sorted(FURNITURE | NEUTRAL, key=len, reverse=True))})+")
+_PIECE = re.compile("|".join(sorted(FURNITURE | NEUTRAL, key=len, reverse=True)))
 #: Elements that are content regions by definition.
 REGIONS = frozenset(("article", "main"))
 _WHOLE = REGIONS | {"html", "body"}
@@ -49,16 +59,27 @@ class Container:
     parent: int
     never: bool = False
     marked: bool = False
+    kind: str = ""  # its tag and classes
+    doubtful: bool = False  # marked by a word that its children have to bear out
 
 
 @dataclass
 class Line:
-    """What stands between the ends of blocks: its text, tags, container, and the characters inside links."""
+    """What stands between the ends of blocks: its text, tags, container, the characters inside links, the links and those to other sites."""
 
     text: str
     tags: int
     container: int
     linked: int
+    links: int = 0
+    outside: int = 0
+
+
+def is_marked(name: str) -> bool:
+    """Whether a class, id or role is that of furniture: one of its words is, and no other word says something else."""
+    words = _NAME.findall(name.lower())
+    words = [p for w in words for p in ([w] if w in FURNITURE or w in NEUTRAL or not _FUSED.fullmatch(w) else _PIECE.findall(w))]
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in NEUTRAL for w in words)
 
 
 class LineReader(HTMLParser):
@@ -71,27 +92,34 @@ class LineReader(HTMLParser):
         self.open = [0]
         self.names: Counter[str] = Counter()  # of the open containers
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = self.links = self.begun = self.outside = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
-            self.lines.append(Line(text, self.tags, self.open[-1], self.linked))
-        self.parts, self.tags, self.linked = [], 0, 0
+            self.lines.append(Line(text, self.tags, self.open[-1], self.linked, self.begun, self.outside))
+        self.parts, self.tags, self.linked, self.begun, self.outside = [], 0, 0, 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
+            if self.names["button"]:  # its end is missing: a button holds no blocks
+                self.handle_endtag("button")
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
-        self.links += tag == "a"
+        if tag == "a":
+            self.links += 1
+            self.begun += 1
+            self.outside += any(k == "href" and re.match(r"\s*(?:[a-z]+:)?//", v or "", re.IGNORECASE) is not None for k, v in attrs)
         if tag in HOLDING and tag not in _VOID:
-            names = [v or "" for k, v in attrs if k in ("class", "id", "role")]
-            marked = tag not in _WHOLE and any(n in FURNITURE for v in names for n in _NAME.findall(v.lower()))
+            names = [n for k, v in attrs if k in ("class", "id", "role") for n in (v or "").split()]
+            marked = tag not in _WHOLE and any(map(is_marked, names))
+            doubtful = tag not in _WHOLE and any(n.lower() in IF_REPEATED for n in names)
+            kind = " ".join([tag, *sorted(n for k, v in attrs if k == "class" for n in (v or "").split())])
             hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
             page_header = tag == "header" and not any(self.names[x] for x in REGIONS)
-            self.containers.append(Container(tag, self.open[-1], tag in NEVER, marked or hidden or page_header or tag in BESIDE))
+            self.containers.append(Container(tag, self.open[-1], tag in NEVER, marked or hidden or page_header or tag in BESIDE, kind, doubtful))
             self.open.append(len(self.containers) - 1)
             self.names[tag] += 1
 
@@ -129,7 +157,10 @@ def furniture(containers: list[Container], lines: list[Line], least: float = 0.1
     for line in lines:
         own[line.container] += len(line.text)
     parent = [c.parent for c in containers]
-    marked = np.array([c.marked for c in containers])
+    alike = Counter((c.parent, c.kind) for c in containers)
+    several = {parent for (parent, kind), n in alike.items() if n > 1 and kind != "p"}
+    below_several = {containers[i].parent for i in several} | several  # the list itself may stand one level down
+    marked = np.array([c.marked or (c.doubtful and i in below_several) for i, c in enumerate(containers)])
     never = np.array([c.never for c in containers])
     for i in range(1, len(containers)):
         never[i] |= never[parent[i]]
@@ -185,6 +216,30 @@ def content_root(containers: list[Container], lines: list[Line], chosen: np.ndar
     return int(np.flatnonzero(dense >= most * dense[0])[-1])
 
 
+def menus(containers: list[Container], lines: list[Line]) -> np.ndarray:
+    """Lines that are menus by their links: several links of the own site in a row, or the short items of a list of such links.
+
+    A paragraph that is one link, references to other sites and lists of longer titles are text.
+    """
+    of = lambda x: next((i for i in _upward(containers, x.container) if containers[i].tag in ("ul", "ol", "dl", "table")), 0)
+    linked = np.array([x.linked > 0.5 * len(x.text.replace(" ", "")) and not x.outside for x in lines])
+    out = linked & np.array([x.links > 1 for x in lines])
+    lists: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        if x.text and containers[x.container].tag in ("li", "td", "dl"):
+            lists.setdefault(of(x), []).append(i)
+    for at, items in lists.items():
+        if at and len(items) > 2 and linked[items].all() and sum(len(lines[i].text.split()) for i in items) <= 3 * len(items):
+            out[items] = True
+    return out
+
+
+def _upward(containers: list[Container], i: int) -> Iterator[int]:
+    while i > 0:
+        yield i
+        i = containers[i].parent
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of one page; empty for a null or blank page."""
     if not html:
@@ -213,8 +268,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     inside = [i == root for i in range(len(containers))]
     for i in range(root + 1, len(containers)):
         inside[i] = inside[containers[i].parent] or i == root
-    # Inside a region, a line that is nothing but links and lies in the lower cluster is a menu.
-    menu = [x.linked > 0.5 * len(x.text.replace(" ", "")) and x.text.count(" ") > 0 and r < cut for x, r in zip(lines, smoothed, strict=True)]
+    menu = menus(containers, lines) & (smoothed < cut)
     kept = (x.text for x, out, m in zip(lines, beside, menu, strict=True) if x.text and not out and not m and (region[x.container] in articles if articles else inside[x.container]))
     return " ".join(kept)
 
@@ -225,7 +279,7 @@ def extract_pages(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     Every line of a page (what stands between the ends of blocks) has a ratio of text to tags; furniture such as
     menus, adverts, forms, notices and comments has none. Ratios are smoothed, lines above the threshold between
     the two clusters mark content regions: articles and main parts, or what holds them all. The blocks of a region are
-    kept, short ones too, but for those of the lower cluster that consist of links. Class names are hints: where they
+    kept, short ones too, but for those of the lower cluster that are menus of the own site. Class names are hints: where they
     would leave next to nothing of a page, they are not believed. Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
     A null, blank or textless page gives an empty text. A very long page is read whole, in time in proportion to it. Markup that never ends is read as far as it goes. Nulls in

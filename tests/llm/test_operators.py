@@ -442,6 +442,30 @@ def test_main_text():
     assert main_text("<div><p>" + "long " * 5000 + "</p></div>") == ("long " * 5000).strip()
 
 
+def test_sections_with_telling_names_stay_and_furniture_goes():
+    long = "A sentence with many words that goes on and on, so that its line is dense. " * 3
+    page = "<body><article><p>{0}</p>{1}<p>{0}</p></article></body>"
+    text = long.strip()
+    for name in ("related-work", "search-policy", "cookies-policy", "login-policy", "notice-policy", "comment-policy", "banner-policy", "social-policy", "promotion-policy", "sharing-policy", "discussion"):
+        assert main_text(page.format(long, f'<section id="{name}"><h2>Head</h2><p>{long}</p></section>')) == f"{text} Head {text} {text}", name
+    for name in ("commentlist", "replies", "adsbygoogle", "adsbox", "sidenav", "trending", "comment-list", "site-nav", "related-posts", "ad", "share_buttons", "newsletterSignup"):
+        assert main_text(page.format(long, f'<div class="{name}"><p>{long}</p></div>')) == f"{text} {text}", name
+    for name in ("responses", "discussion"):
+        comments = f'<div class="{name}"><div class="c"><b>Ann</b><p>{long}</p></div><div class="c"><b>Bob</b><p>{long}</p></div></div>'
+        assert main_text(page.format(long, comments)) == f"{text} {text}", name
+
+
+def test_links_that_are_text_stay():
+    long = "A sentence with many words that goes on and on, so that its line is dense. " * 3
+    references = "".join(f'<li><a href="https://else{i}.org/x">Reference {i}</a></li>' for i in range(6))
+    titles = "".join(f'<li><a href="/p{i}">A longer title of another paper, number {i}</a></li>' for i in range(4))
+    got = main_text(f'<article><p>{long}</p><ul>{references}</ul><p><a href="/x">This whole paragraph is one link</a></p><ol>{titles}</ol><p>{long}</p></article>')
+    assert all(f"Reference {i}" in got and f"number {i}" in got for i in range(4)) and "whole paragraph is one link" in got
+    menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "News", "About us", "Contact"))
+    assert main_text(f"<div><ul>{menu}</ul><p>{long}</p><p>{long}</p></div>") == f"{long.strip()} {long.strip()}"
+    assert main_text(f"<article><p>{long}</p><button>Share<p>{long}</p></article>") == f"{long.strip()} {long.strip()}"
+
+
 def test_main_text_does_not_believe_marks_that_leave_nothing():
     long = "A long paragraph of text that is dense enough to be content, as it goes on and on. " * 3
     two, text = f"<p>{long}</p><p>{long}</p>", f"{long}{long}".strip()
