@@ -38,7 +38,7 @@ PATTERNS = {
     "key": r"(?=[Ags])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b",
     "secret": rf"(?<=[=:]\s{{0,3}}[\"']?)(?<=\b{_SECRET_WORD}\s{{0,3}}[=:]\s{{0,3}}[\"']?)[^\s\"']{{6,}}",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
-    "iban": r"(?=[A-Z]{2}\d)[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+    "iban": r"(?=[A-Z]{2}\d)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]*\d)[A-Z0-9]{4}){1,6}(?: (?=[A-Z]*\d)[A-Z0-9]{1,3})?)\b",
     "phone": r"(?=[+(\d])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}\b)",
     "national": r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}\b",
     "card": r"(?=\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\d)",
@@ -56,7 +56,7 @@ _KINDS = [  # what a found piece is, by itself: the first that it matches
     ("national", r"^\d{3}-\d{2}-\d{4}$"),
     ("card", r"^(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})$"),
     ("phone", r"^[+(]?[\d ().\-]{9,24}$"),
-    ("iban", r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"),
+    ("iban", r"^[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{1,4}){3,8})$"),
     ("female", rf"^(?:{'|'.join(FEMALE)})$"),
     ("male", rf"^(?:{'|'.join(MALE)})$"),
     ("surname", rf"^{_NAME}$"),
@@ -71,6 +71,28 @@ _ENDINGS = {("female", "latin"): ["la", "na", "ria", "lia"], ("male", "latin"):
 #: From this attempt on, a surrogate may leave its value's length.
 _EXACT = 5
 _NAMES = ("female", "male", "surname")
+#: Surnames that are months, too; their bare mentions stay.
+MONTHS = "March April May June July August März Mai Juni Juli Mars Avril Juin Marzo Abril Mayo".split()
+
+
+def canonical(kind: Column, value: Column) -> Column:
+    """What two ways to write one entity have in common: addresses in lower case, numbers of cards and accounts without gaps."""
+    return F.when(kind == "email", F.lower(value)).when(kind == "card", F.regexp_replace(value, r"\D", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
+
+
+def written_like(kind: Column, value: Column, surrogate: Column) -> Column:
+    """A canonical surrogate with the gaps and capitals of the value that it stands for."""
+    gap = F.regexp_extract(value, r"^.{4}([ \-])", 1)
+    gaps = F.regexp_replace(surrogate, F.lit("(.{4})(?=.)"), F.concat(F.lit("$1"), gap))
+    capital = F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: F.when(F.substring(value, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    return F.when(kind.isin("card", "iban") & (gap != ""), gaps).when((kind == "email") & (value != F.lower(value)), capital).otherwise(surrogate)
+
+
+def _mod_97(account: Column) -> Column:
+    """The remainder of an account number by 97, its country and check digits put last, letters read as 10 to 35."""
+    turned = F.concat(F.substring(account, 5, 60), F.substring(account, 1, 4))
+    code = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + code(c)) % 97))
 
 
 def kind_of(value: Column) -> Column:
@@ -154,7 +176,9 @@ def with_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     material = lambda *x: F.sha2(F.concat_ws("|", F.lit(secret), *x).cast("binary"), 512)
     local = F.substring_index(value, "@", 1)
     base = entities.withColumn("digest", material(F.col("kind"), value, F.col("attempt").cast("string")))
-    base = base.withColumn("drawn", F.when(F.col("kind") == "card", _in_kind(value, F.col("digest"), F.lit(1))))
+    base = base.withColumn("drawn", F.when(F.col("kind").isin("card", "iban"), _in_kind(value, F.col("digest"), F.when(F.col("kind") == "card", 1).otherwise(2))))
+    blank = F.concat(F.substring("drawn", 1, 2), F.lit("00"), F.substring("drawn", 5, 60))
+    checked = F.concat(F.substring("drawn", 1, 2), F.lpad((98 - _mod_97(blank)).cast("string"), 2, "0"), F.substring("drawn", 5, 60))
     digest = F.col("digest")
     top = F.substring_index(value, ".", -1)
     host = F.expr("substring(value, 1, length(value) - length(substring_index(value, '.', -1)) - 1)")
@@ -172,7 +196,7 @@ def with_surrogates(entities: DataFrame, secret: str) -> DataFrame:
         .when(F.col("kind") == "phone", F.concat(_in_kind(value, digest, code), digits))
         .when(F.col("kind") == "national", F.concat(_in_kind(value, digest, F.lit(0)), digits))
         .when(F.col("kind") == "secret", F.concat(_in_secret(value, digest), letters))
-        .when(F.col("kind") == "iban", _in_kind(value, digest, F.lit(2)))
+        .when(F.col("kind") == "iban", F.when(_mod_97(value) == 1, checked).otherwise(F.col("drawn")))
         .when(
             F.col("kind") == "card",
             F.when(_luhn_sum(_digits(value), 1) % 10 == 0, F.concat(F.expr("substring(drawn, 1, length(drawn) - 1)"), last.cast("string"))).otherwise(F.col("drawn")),
@@ -222,9 +246,11 @@ def replace_pii(docs: DataFrame, secret: str = "clearsift-demo-key") -> DataFram
     Found are e-mail addresses, access keys, values assigned to passwords and tokens, IPv4 addresses, IBANs, phone
     and national numbers, card numbers, and names after a title or a known first name. One entity has one surrogate
     in all documents (coreference), different entities different ones (distinctness), drawn with a keyed digest:
-    separators, lengths, country codes, issuer digits, valid check digits, an e-mail's shared domain, a name's
-    gender and script stay as they are. Names are replaced word by word, so that a surname alone still refers to
-    the same person; a name that is found once in a document is replaced at its bare mentions there, too. Where a format
+    separators, lengths, capitals, country codes, issuer digits, valid check digits, an e-mail's shared domain, a name's
+    gender and script stay as they are. An address in other capitals, and a number of a card or account with other gaps,
+    is the same entity. Names are replaced word by word, so that a surname alone still refers to
+    the same person; a name that is found once in a document is replaced at its bare mentions there, too, unless the document has it as a
+    word in lower case or it is a month. Where a format
     has too few surrogates, they grow longer. Only rows that hold an entity are shuffled.
 
     Names are only found after the listed titles and first names; others stay. A very long text is one row as any other.
@@ -238,9 +264,14 @@ def replace_pii(docs: DataFrame, secret: str = "clearsift-demo-key") -> DataFram
     has = F.coalesce(F.size("found") > 0, F.lit(False))
     hits = seen.filter(has)
     pieces = hits.select("row", F.posexplode("found").alias("place", "value")).withColumn("kind", kind_of(F.col("value")))
+    pieces = pieces.withColumnRenamed("value", "written").withColumn("value", canonical(F.col("kind"), F.col("written")))
     table = durable(assign_surrogates(pieces.select("kind", "value").distinct(), secret), "pii-table")
-    named = pieces.join(table, ["kind", "value"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate", "kind", "value"))).alias("new"))
-    people = F.array_distinct(F.transform(F.filter("new", lambda x: x.kind.isin(*_NAMES)), lambda x: F.struct(x.value.alias("value"), x.surrogate.alias("surrogate"))))
+    put = F.struct("place", written_like(F.col("kind"), F.col("written"), F.col("surrogate")).alias("surrogate"), "kind", "value")
+    named = pieces.join(table, ["kind", "value"]).groupBy("row").agg(F.sort_array(F.collect_list(put)).alias("new"))
+    # A word that the text has in lower case, or a month, is no name where it stands alone.
+    plain = lambda x: F.rlike("text", F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.lower(x.value), F.lit(r"(?![\p{L}\p{N}])")))
+    sure = lambda x: x.kind.isin(*_NAMES) & ~x.value.isin(MONTHS) & ~plain(x)
+    people = F.array_distinct(F.transform(F.filter("new", sure), lambda x: F.struct(x.value.alias("value"), x.surrogate.alias("surrogate"))))
     rebuilt = hits.join(named, "row").select("doc_id", F.split("text", EVERY, -1).alias("between"), F.col("new.surrogate").alias("new"), people.alias("people"))
     alone = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x.value, F.lit(r"(?![\p{L}\p{N}])"))
     # No surrogate is a name that occurs, so that one name after the other can be replaced.

@@ -557,6 +557,26 @@ def test_bare_mentions_of_a_found_name(spark):
     assert out[2].text == rows[1][1] and out[2].n_replaced == 0
 
 
+def test_one_entity_in_two_ways_of_writing(spark):
+    texts = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "Anna.Smith@Example.com", "anna.smith@example.com", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "DE88370400440532013000"]
+    out = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bare = lambda i: out[i].replace(" ", "").replace("-", "")
+    assert bare(0) == bare(1) == bare(2) != "4111111111111111" and [out[0][4], out[2][4]] == [" ", "-"] and len(out[0]) == 19
+    assert out[3].lower() == out[4] != texts[4] and [c.isupper() for c in out[3]][0] and len(out[3]) == len(texts[3])
+    assert bare(5) == bare(6) and out[5].count(" ") == 5 and out[6] != texts[6]
+    number = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4]))
+    assert number(bare(6)) % 97 == 1 and number(bare(7)) % 97 == 1 and out[7].startswith("GB") and out[7].count(" ") == 5
+    assert number(texts[8]) % 97 != 1 and out[8].startswith("DE")
+
+
+def test_words_that_are_no_names_where_they_stand_alone(spark):
+    rows = [(1, "Mr May said in May that May Day is May."), (2, "Mrs Baker met a baker. Baker left."), (3, "Mrs Baker left. Baker came back.")]
+    out = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new, baker = out[1].split()[1], out[3].split()[1]
+    assert out[1] == f"Mr {new} said in May that May Day is May." and new != "May"
+    assert out[2] == f"Mrs {baker} met a baker. Baker left." and out[3] == f"Mrs {baker} left. {baker} came back."
+
+
 def test_surrogates_depend_on_the_key(spark):
     entity = spark.createDataFrame([("email", "a.b@c.org", "q.org", 0)], "kind string, value string, domain string, attempt int")
     assert with_surrogates(entity, "k1").first().surrogate != with_surrogates(entity, "k2").first().surrogate
