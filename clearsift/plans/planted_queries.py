@@ -522,7 +522,7 @@ def candidate_articles(spark: SparkSession, d: str) -> DataFrame:
     return reports.candidate_articles(rows, "salah", 180, None, 2, 3, "brand").groupBy("brand").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH p AS ({_PART}) SELECT k AS doc_id, CASE WHEN k % 2 = 0 THEN lower(t) ELSE 'tiga' END AS never_read FROM p")
+@query(f"WITH p AS ({_PART}) SELECT k AS doc_id, CASE WHEN k % 2 = 1 THEN 'tiga' WHEN contains(n, lower(t)) THEN '' ELSE lower(t) END AS never_read FROM p")
 def words_never_read(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
     truth = parts.select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" tiga "), "p_type").alias("text"))
