@@ -149,10 +149,13 @@ def title_relevance(pairs: DataFrame, idf: DataFrame, n_docs: Column, misread: b
 
     Title words are few; each is judged beside its text and then looks up its weight by a join, without the text's words. Unseen words
     weigh ln(n + 1). With `misread`, words may differ in misread letters."""
-    from clearsift.functions.arrays import word_in, word_in_misread
+    from clearsift.functions.arrays import word_in_misread
 
-    test = word_in_misread if misread else word_in
-    hit = F.transform("title_words", lambda t: F.struct(t.alias("token"), F.coalesce(test(t, F.col("text_words")), F.lit(False)).alias("found")))
+    # Words that may be part of another one have a column of their own, made once for a text and not for each title word.
+    pairs = pairs.withColumn("_long", F.filter("text_words", lambda w: F.length(w) >= 5))
+    part = lambda t: (F.length(t) >= 5) & F.exists("_long", lambda w: F.contains(w, t) | F.contains(t, w))
+    test = lambda t: word_in_misread(t, F.col("text_words")) if misread else F.array_contains("text_words", t) | part(t)
+    hit = F.transform("title_words", lambda t: F.struct(t.alias("token"), F.coalesce(test(t), F.lit(False)).alias("found")))
     words = pairs.select("pair_id", F.explode_outer(hit).alias("t")).select("pair_id", "t.token", "t.found")
     weighed = words.join(idf.select("token", "idf"), "token", "left").withColumn("w", F.coalesce("idf", F.log(n_docs + 1)))
     return weighed.groupBy("pair_id").agg(
