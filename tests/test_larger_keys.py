@@ -22,7 +22,7 @@ def large(spark, tmp_path_factory):
     return SimpleNamespace(folder=folder, duck=duck)
 
 
-@pytest.mark.parametrize("name", ["text_functions", "array_functions", "reply_functions"])
+@pytest.mark.parametrize("name", ["number_functions", "text_functions", "reply_functions", "array_functions"])
 def test_functions_of_larger_keys(spark, large, name):
     """Doubles are shown without exponents, sizes come in megabytes and with grouped digits, numbers that are too long for a mask are no quotes."""
     got = __spark_entry__.queries()[name](spark, large.folder).select("function", "k", "result")
