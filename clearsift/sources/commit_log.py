@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -24,6 +25,8 @@ class CommitLog:
         self.spark, self.folder = spark, folder.rstrip("/")
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._files = self._path("").getFileSystem(self._conf)
+        self._turn = threading.Lock()
+        self._known = 0  # a number that is known to be taken; later ones are looked for from here
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
@@ -41,13 +44,29 @@ class CommitLog:
         finally:
             stream.close()
 
+    def _taken(self, number: int) -> bool:
+        return self._files.exists(self._path(f"{number:020d}.json"))
+
+    def last(self) -> int:
+        """The last number, 0 if there is none: numbers have no gaps, so it is looked for in steps that double, then by halves."""
+        low, step = self._known, 1
+        while self._taken(low + step):
+            low, step = low + step, step * 2
+        high = low + step
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._taken(middle) else (low, middle)
+        self._known = max(self._known, low)
+        return low
+
     def latest(self) -> tuple[int, dict] | None:
-        numbers = self.numbers()
-        return (numbers[-1], self.entry(numbers[-1])) if numbers else None
+        number = self.last()
+        return (number, self.entry(number)) if number else None
 
     def put(self, number: int, entry: dict) -> bool:
         """Writes an entry under a number; whether this writer got it."""
-        self._files.mkdirs(self._path(""))
+        if not self._known:
+            self._files.mkdirs(self._path(""))
         ready, target = self._path(f".{uuid.uuid4().hex}"), self._path(f"{number:020d}.json")
         stream = self._files.create(ready, False)
         stream.write(bytearray(json.dumps(entry).encode()))
@@ -74,9 +93,13 @@ class CommitLog:
         context.rename(self._files.makeQualified(ready), self._files.makeQualified(target), how)
 
     def append(self, make) -> tuple[int, dict]:
-        """Puts make(latest entry or None) under the next number, again for each number that another writer got first."""
+        """Puts make(latest entry or None) under the next number, again for each number that another writer got first.
+
+        Writers that share this object take turns, as of those that want one number all but one would write in vain.
+        """
         while True:
-            last = self.latest()
-            number, entry = (last[0] if last else 0) + 1, make(last[1] if last else None)
-            if self.put(number, entry):
-                return number, entry
+            with self._turn:
+                last = self.latest()
+                number, entry = (last[0] if last else 0) + 1, make(last[1] if last else None)
+                if self.put(number, entry):
+                    return number, entry
