@@ -211,9 +211,13 @@ def evaluation_report(rows: DataFrame, ranks: DataFrame, slice_column: str, swee
 
 
 def length_sorted(texts: DataFrame, partitions: int, column: str = "text") -> DataFrame:
-    """Texts dealt into ranges of length and sorted in each, so that batches for a model hold texts of like length."""
-    n = F.length(column)
-    return texts.repartitionByRange(partitions, n).sortWithinPartitions(n)
+    """Texts dealt into ranges of length and sorted in each, so that batches for a model hold texts of like length.
+
+    There are `partitions` ranges, and as many as Spark shuffles into if that is more, so that a task's share does not depend on
+    `partitions` alone; texts of one length may lie in several.
+    """
+    n, ranges = F.length(column), max(partitions, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return texts.repartitionByRange(ranges, n, F.xxhash64(column)).sortWithinPartitions(n)
 
 
 def tokens_by_image(attempts: DataFrame) -> DataFrame:
