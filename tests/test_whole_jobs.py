@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from clearsift.operators import evaluation
+from clearsift.operators import evaluation, misread, reports
 from clearsift.sources.commit_log import CommitLog
 from clearsift.streaming import listing
 
@@ -39,3 +39,19 @@ def test_batches_of_a_crawl_grow(spark, tmp_path):
     assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
     reader = listing.ListingReader({"path": site, "cursor": str(tmp_path / "cursor")})
     assert len(reader.partitions({}, {"s": [1, 40]})) == 2
+
+
+def test_misread_titles_do_not_meet_a_vocabulary(spark, monkeypatch):
+    """Words are held against their pair's text only: equal ones, or misread from five letters on without digits."""
+    monkeypatch.setattr(misread, "misread_pairs", lambda *_: 1 / 0)
+    titles = spark.createDataFrame([(1, w) for w in ("garuda", "abcd", "ab12c", "merdeka", "kapal")] + [(2, "garuda")], "title_id int, token string")
+    texts = spark.createDataFrame([(7, w) for w in ("garudo", "abce", "ab13c", "merdvkx", "kapalan")] + [(8, "garuda"), (8, "abcd"), (8, "x")], "text_id int, token string")
+    pairs = spark.createDataFrame([(1, 1, 7), (2, 1, 8), (3, 2, 7), (4, 2, 9)], "pair_id int, title_id int, text_id int")
+    assert dict(map(tuple, misread.words_found_misread(pairs, titles, texts).collect())) == {1: 2, 2: 2, 3: 1, 4: 0}
+
+
+def test_ranges_of_length_are_not_a_few(spark):
+    """A task's share of texts does not hang on the asked number of ranges alone, and texts of one length lie in several."""
+    texts = spark.range(4000).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("text"))
+    dealt = reports.length_sorted(texts, 2).select(F.spark_partition_id().alias("p"))
+    assert dealt.distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
