@@ -38,3 +38,30 @@ def test_masking_groups_only_lines_that_may_be_accounts(spark):
     masked = masking.mask_documents(docs)
     assert dict(masked.collect()) == {1: "[AKUN]\n[AKUN]\n[AKUN]\nKalimat biasa\nhalo", 2: "", 3: "Tulis ke [EMAIL]\n\n[NOMOR] ya"}
     assert plan(masked).count("Join") == 1 and "_fits" not in plan(masked)
+
+
+def test_a_search_holds_the_scores_of_few_queries_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from clearsift.operators import retrieval
+
+    shapes, scores = [], retrieval._scores
+    monkeypatch.setattr(retrieval, "_scores", lambda *a: (x := scores(*a), shapes.append(x.shape))[0])
+    vectors = np.random.default_rng(1).random((300, 8))
+    rows = lambda name: pa.table({name: pa.array(range(300)), "vector": pa.array(vectors.tolist())})
+    found = retrieval._met(rows("query_id"), rows("doc_id"), 2, 6, False)
+    whole = np.round(vectors @ vectors.T, 6) - 9 * np.eye(300)
+    assert [s for s in found["score"].to_pylist()] == [s for r in whole for s in sorted(r, reverse=True)[:2]]
+    assert max(s[0] for s in shapes) <= retrieval.SCORED_ROWS and sum(s[0] for s in shapes) == 300
+
+
+def test_records_of_a_large_batch_are_handed_on_in_pieces():
+    import pyarrow as pa
+
+    from clearsift.sources import html_pages
+
+    page = "<h1>T</h1><article><p>eins</p><p>zwei</p></article>"
+    parts = list(html_pages.article_record.func(iter([pa.array([page, None] * 500)])))
+    assert max(len(p) for p in parts) <= html_pages.PAGES_AT_ONCE and sum(len(p) for p in parts) == 1000
+    assert parts[0][0].as_py() == {"title": "T", "date": None, "blocks": ["eins", "zwei"], "narrative": None} and parts[0][1].as_py()["blocks"] is None
