@@ -65,3 +65,17 @@ def test_records_of_a_large_batch_are_handed_on_in_pieces():
     parts = list(html_pages.article_record.func(iter([pa.array([page, None] * 500)])))
     assert max(len(p) for p in parts) <= html_pages.PAGES_AT_ONCE and sum(len(p) for p in parts) == 1000
     assert parts[0][0].as_py() == {"title": "T", "date": None, "blocks": ["eins", "zwei"], "narrative": None} and parts[0][1].as_py()["blocks"] is None
+
+
+def test_cells_are_read_by_patterns_made_once(monkeypatch):
+    import datetime as dt
+    from xml.etree import ElementTree
+
+    from pyspark.sql import types as T
+
+    from clearsift.sources import xlsx
+
+    monkeypatch.setattr(xlsx.re, "fullmatch", lambda *a: (_ for _ in ()).throw(AssertionError("a pattern for each cell")))
+    cell = lambda v: xlsx._value(ElementTree.fromstring(f'<c xmlns="{xlsx.MAIN}"><v>{v}</v></c>'), [], set(), xlsx.EPOCHS[False])
+    assert [cell("12"), cell("1.5"), cell("-3")] == [12, 1.5, -3]
+    assert xlsx.convert(True, T.LongType()) == 1 and xlsx.convert(2, T.DoubleType()) == 2.0 and xlsx.convert(dt.datetime(2020, 1, 2), T.DateType()) == dt.date(2020, 1, 2)
