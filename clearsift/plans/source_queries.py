@@ -123,22 +123,20 @@ def _captures(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_CAPTURES)
 def frame_choice(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of captures as a stream of three files, some rows a file late; a last row far ahead brings the watermark past all timers."""
+    """Frames of captures as a stream of three batches a month, some rows a batch late; a last row far ahead brings the watermark past all timers."""
     rows, path, out = _captures(spark, d), scratch(spark, "frames"), scratch(spark, "chosen")
     late = F.when(F.col("frame_id") % 10 == 0, F.expr("INTERVAL 20 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
     part = F.least(F.floor(F.dayofmonth(F.col("ts") + late) / 11), F.lit(2)).cast("int")
     months = F.months_between(F.date_trunc("month", F.col("ts") + late), F.lit(dt.date(2000, 1, 1))).cast("int")
-    dealt = rows.withColumn("part", months * 3 + part)
+    aside = scratch(spark, "dealt")
+    rows.withColumn("part", months * 3 + part).write.partitionBy("part").parquet(aside)
+    dealt = spark.read.schema(f"{frames.CAPTURES}, part int").parquet(aside)
     for number in sorted(r.part for r in dealt.select("part").distinct().collect()):  # a handful of days' thirds
-        dealt.filter(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(path)
-    end = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("capture_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("long").alias("frame_id"))
+        dealt.filter(F.col("part") == number).drop("part").write.mode("append").parquet(path)
+        frames.take_frames(spark, path, out, _RULES)
+    end = dealt.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("capture_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("long").alias("frame_id"))
     end.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    run = frames.choose_frames(stream, _RULES).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").start()
-    try:
-        run.processAllAvailable()
-    finally:
-        run.stop()
+    frames.take_frames(spark, path, out, _RULES)
     return spark.read.schema(frames.CHOSEN).parquet(out)
 
 
