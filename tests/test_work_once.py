@@ -26,6 +26,32 @@ def test_a_sentence_is_scored_once(spark):
     assert plan(best).count("mengumumkan") == 1  # the pattern of assertions
 
 
+def test_what_loops_over_places_read_is_computed_once(spark):
+    """Shouted sentences and strong links are no part of a loop's body, evidence is collected once a row."""
+    docs = spark.createDataFrame([(1, "THE OLD MAN!! THE NEW SEA!! Buka bit.ly/x dan www.a.id/b.")], "doc_id long, text string")
+    found = features.detect_features(docs)
+    evidence = {r.feature_id: (r.strength, r.evidence, r.n_strong) for r in found.collect()}
+    assert evidence["kapital_tanda_seru"][0] == evidence["link_mencurigakan"][0] == "kuat" and evidence["kapital_tanda_seru"][2] == 1
+    spans = plan(docs.select(features.capital_spans(F.col("text")).alias("p")))
+    assert spans.count(features.CAPITAL_SENTENCE) == 3 and "substring" not in spans  # asked, cut and extracted; runs are judged by their match
+    links = plan(docs.select(features.link_spans(F.col("text")).alias("p")))
+    assert links.count(features.LINKS[2]) == 3
+    assert plan(found).count("sort_array(") == 1
+
+
+def test_places_are_counted_over_blocks(spark):
+    """Matches of several blocks stand where a plain search finds them; every suspicious link has the sign that is asked first."""
+    import re
+
+    texts = ["!!", "", "a", "x!! ! !!!y" * 7, "ab !! c" * 50 + "!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(c.s, c.e, c.strength) for c in r.p] for r in docs.select("doc_id", features.exclamation_runs(F.col("text")).alias("p")).collect()}
+    assert got == {i: [(*m.span(), "kuat" if m[0].count("!") >= 3 else "lemah") for m in re.finditer(r"!(?:\s?!)+", t)] for i, t in enumerate(texts)}
+    hosts = [f"{h}/a" for h in (*features.SHORTENERS, "chat.whatsapp.com")] + [f"a.{t}" for t in features.CHEAP_TLDS] + features.FREE_HOSTS
+    links = spark.createDataFrame([(f"Lihat {h.upper() if i % 2 else h} ya",) for i, h in enumerate(hosts)], "text string")
+    assert all([c.strength for c in r.p] == ["kuat"] for r in links.select(features.link_spans(F.col("text")).alias("p")).collect())
+
+
 def test_lines_are_told_from_interface_once(spark):
     pages = spark.createDataFrame([(1, 0, "Satu baris yang belum"), (1, 1, "selesai di sini.")], "doc_id long, pos int, text string")
     joined = claims.paragraphs(pages)
