@@ -52,6 +52,18 @@ def test_places_are_counted_over_blocks(spark):
     assert all([c.strength for c in r.p] == ["kuat"] for r in links.select(features.link_spans(F.col("text")).alias("p")).collect())
 
 
+def test_a_long_sentence_is_cut_into_words_once(spark):
+    """Words and their places are no part of the loops over starts; a passage of a thousand words is the best of all runs."""
+    from clearsift.functions.arrays import closest_passage
+
+    words = [f"kata{k % 97}" for k in range(1000)]
+    words[700:703] = ["gempa", "kota", "lama"]
+    rows = spark.createDataFrame([(" ".join(words), ["gempa", "kota"], ["lama"])], "s string, t array<string>, n array<string>")
+    found = rows.select(closest_passage(F.col("s"), F.col("t"), F.col("n"), 40).alias("p"))
+    assert found.first().p.passage == "gempa kota lama" and tuple(found.first().p)[1:3] == (2, 3)
+    assert plan(found).count("split(") == 1
+
+
 def test_lines_are_told_from_interface_once(spark):
     pages = spark.createDataFrame([(1, 0, "Satu baris yang belum"), (1, 1, "selesai di sini.")], "doc_id long, pos int, text string")
     joined = claims.paragraphs(pages)
